@@ -1,0 +1,27 @@
+"""Size-checked broadcast.
+
+A side is broadcast only when its row count has been measured to be within a
+bound; otherwise the plan keeps a shuffle join and AQE (skew-join splitting,
+runtime coalescing) handles the rest.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_ROWS = 1_000_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> tuple[DataFrame, bool]:
+    """Return ``(broadcast(df), True)`` when ``df`` has at most ``max_rows``
+    rows, else ``(df, False)``.  The check runs one count over the small side
+    and stops reading once the bound is exceeded."""
+    n = df.limit(max_rows + 1).count()
+    if n <= max_rows:
+        return F.broadcast(df), True
+    return df, False
+
+
+def small_or_shuffle(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    return bounded_broadcast(df, max_rows)[0]
