@@ -15,7 +15,6 @@ import sys
 import time
 
 import duckdb
-import pandas as pd
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -28,43 +27,35 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _kind(dtype) -> str:
-    s = str(dtype).lower()
-    if "int" in s:
-        return "int"
-    if "float" in s or "double" in s:
-        return "float"
-    if "bool" in s:
-        return "bool"
-    if "datetime" in s or "timestamp" in s:
-        return "ts"
-    return "other"
+def _kind(t) -> str:
+    """Exact Arrow type, except that string encodings form one family."""
+    s = str(t).lower()
+    if s in ("string", "large_string", "string_view"):
+        return "string"
+    return s
 
 
 def _norm(v):
     if v is None:
-        return None
+        return "∅"
     if isinstance(v, float):
         if math.isnan(v):
-            return None
+            return "∅"
         return repr(round(v, 9))
-    if isinstance(v, pd.Timestamp):
-        return v.isoformat()
-    if hasattr(v, "item"):
-        return _norm(v.item())
+    if isinstance(v, dict):
+        return "{" + ",".join(f"{k}:{_norm(x)}" for k, x in sorted(v.items())) + "}"
+    if isinstance(v, (list, tuple)):
+        return "[" + ",".join(_norm(x) for x in v) + "]"
     return repr(v)
 
 
-def frame_digest(pdf: pd.DataFrame) -> tuple[int, list[str], str]:
-    cols = sorted(pdf.columns)
-    pdf = pdf[cols]
-    rows = []
-    for rec in pdf.itertuples(index=False, name=None):
-        rows.append("|".join("∅" if (x is None or (not isinstance(x, (list, dict, str)) and pd.isna(x)))
-                             else str(_norm(x)) for x in rec))
-    rows.sort()
+def table_digest(tbl) -> tuple[int, list[str], dict, str]:
+    cols = sorted(tbl.column_names)
+    data = [tbl.column(c).to_pylist() for c in cols]
+    rows = sorted("|".join(_norm(col[i]) for col in data) for i in range(tbl.num_rows))
     h = hashlib.sha256("\n".join(rows).encode()).hexdigest()
-    return len(rows), cols, h
+    kinds = {c: _kind(tbl.schema.field(c).type) for c in cols}
+    return tbl.num_rows, cols, kinds, h
 
 
 def compare(spark, sf_dir: str, names=None, verbose=True) -> dict:
@@ -77,15 +68,13 @@ def compare(spark, sf_dir: str, names=None, verbose=True) -> dict:
         rec = {"oracle": name in sqls}
         t0 = time.time()
         try:
-            sp = qs[name](spark, sf_dir).toPandas()
+            sp = qs[name](spark, sf_dir).toArrow()
             rec["spark_s"] = round(time.time() - t0, 2)
-            rec["rows"] = len(sp)
+            rec["rows"] = sp.num_rows
             if name in sqls:
-                dd = con.execute(sqls[name]).df()
-                n1, c1, h1 = frame_digest(sp)
-                n2, c2, h2 = frame_digest(dd)
-                k1 = {c: _kind(sp[c].dtype) for c in sp.columns}
-                k2 = {c: _kind(dd[c].dtype) for c in dd.columns}
+                dd = con.sql(sqls[name]).to_arrow_table()
+                n1, c1, k1, h1 = table_digest(sp)
+                n2, c2, k2, h2 = table_digest(dd)
                 rec.update(rows_ok=n1 == n2, cols_ok=c1 == c2, kinds_ok=k1 == k2, hash_ok=h1 == h2,
                            oracle_rows=n2)
                 if not (c1 == c2 and k1 == k2):
