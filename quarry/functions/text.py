@@ -7,6 +7,7 @@ import html as _html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._util import as_col
 
@@ -63,7 +64,7 @@ def html_text_raw(c) -> Column:
     return F.trim(F.regexp_replace(no_tags, r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_entities(s: pd.Series) -> pd.Series:
     """HTML entity decoding, Arrow-batched (no built-in covers all entities)."""
     return s.map(lambda v: _html.unescape(v) if isinstance(v, str) else v)
