@@ -49,7 +49,10 @@ def _sql_rotate(col: str, values) -> str:
 
 def doc_files(spark, sf_dir) -> DataFrame:
     """Source-file view of ``documents`` (content + metadata_* fields)."""
-    d = table(spark, sf_dir, "documents")
+    return doc_files_from(table(spark, sf_dir, "documents"))
+
+
+def doc_files_from(d: DataFrame) -> DataFrame:
     cat = _rotate(F.col("doc_id"), CATEGORIES)
     ext = _rotate(F.col("doc_id"), EXTENSIONS)
     name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit("."), ext)
@@ -77,7 +80,10 @@ FROM documents"""
 
 def page_files(spark, sf_dir) -> DataFrame:
     """Source-file view of ``pages`` (raw HTML)."""
-    p = table(spark, sf_dir, "pages")
+    return page_files_from(table(spark, sf_dir, "pages"))
+
+
+def page_files_from(p: DataFrame) -> DataFrame:
     return p.select(
         F.col("url").alias("metadata_storage_path"),
         url_leaf("url").alias("metadata_storage_name"),
@@ -290,7 +296,10 @@ def _k(props):
 
 
 def runs(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return runs_from(table(spark, sf_dir, "events"))
+
+
+def runs_from(e: DataFrame) -> DataFrame:
     et = F.col("event_type")
     return e.select(
         F.col("user_id").alias("indexer"),
@@ -323,7 +332,10 @@ def _status_of(et):
 
 
 def status_events(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return status_events_from(table(spark, sf_dir, "events"))
+
+
+def status_events_from(e: DataFrame) -> DataFrame:
     st = _status_of(F.col("event_type"))
     even = F.col("event_id") % 2 == 0
     return e.select(
@@ -345,7 +357,10 @@ FROM events)"""
 
 
 def attempts(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return attempts_from(table(spark, sf_dir, "events"))
+
+
+def attempts_from(e: DataFrame) -> DataFrame:
     et = F.col("event_type")
     even = F.col("event_id") % 2 == 0
     sku = (_k(F.col("props")) % 10) == 0
@@ -380,7 +395,10 @@ FROM events)"""
 
 
 def telemetry(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return telemetry_from(table(spark, sf_dir, "events"))
+
+
+def telemetry_from(e: DataFrame) -> DataFrame:
     return e.select(
         F.concat(F.lit("run-"), F.col("event_id").cast("string")).alias("RunId"),
         F.col("event_type").alias("Workflow"),
