@@ -62,7 +62,7 @@ def scan_documents(spark: SparkSession, root: str, include=INCLUDE_EXTENSIONS,
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text file(s) → (file, line_no, line).  Each env file is read whole
     (they are a few lines long) so line numbers are exact per file."""
-    df = spark.read.option("wholetext", "true").text(path).select(
+    df = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.col("value"))
     return df.select("file", F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("line_no", "line"))
 
@@ -106,5 +106,5 @@ def parse_listing(docs: DataFrame, json_col: str = "json", envelope: str = "valu
 
 def scan_listing(spark: SparkSession, path: str, envelope: str = "value",
                  item_schema: T.StructType = LISTING_ITEM) -> DataFrame:
-    raw = spark.read.option("wholetext", "true").text(path).select(F.col("value").alias("json"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("value").alias("json"))
     return parse_listing(raw, "json", envelope, item_schema)
