@@ -26,6 +26,11 @@ def tokens(c) -> Column:
     return F.regexp_extract_all(F.lower(as_col(c)), F.lit(TOKEN_PATTERN), 0)
 
 
+def token_count(c) -> Column:
+    """Number of analysed terms, without materialising them (null for null)."""
+    return F.regexp_count(F.lower(as_col(c)), F.lit(TOKEN_PATTERN))
+
+
 def chunk_count(c, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """Number of fixed windows (step = size - overlap); one for short or empty text."""
     step = size - overlap

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import document_key
-from ..functions.text import CHUNK_OVERLAP, CHUNK_SIZE, chunk_at, chunk_offsets, tokens
+from ..functions.text import CHUNK_OVERLAP, CHUNK_SIZE, chunk_at, chunk_offsets, token_count, tokens
 
 # The declared index schema and its per-field flags
 # (key, searchable, filterable, sortable, facetable).
@@ -91,7 +91,10 @@ def field_values(docs: DataFrame, fields=SEARCHABLE) -> DataFrame:
 def tokenize(docs: DataFrame, fields=SEARCHABLE) -> DataFrame:
     """(id, field, dl, term) — one row per token occurrence."""
     fv = field_values(docs, fields).select("id", "field", tokens("value").alias("toks"))
-    return fv.select("id", "field", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    # explode_outer + null filter: a plain explode makes the optimizer add a
+    # non-empty filter that evaluates the tokenizer a second time
+    return (fv.select("id", "field", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
+            .where(F.col("term").isNotNull()))
 
 
 def build_postings(docs: DataFrame, fields=SEARCHABLE) -> DataFrame:
@@ -104,7 +107,7 @@ def build_postings(docs: DataFrame, fields=SEARCHABLE) -> DataFrame:
 
 def field_stats(docs: DataFrame, fields=SEARCHABLE) -> DataFrame:
     """Per field: number of documents and average field length (tokens)."""
-    fv = field_values(docs, fields).select("field", F.size(tokens("value")).alias("dl"))
+    fv = field_values(docs, fields).select("field", token_count("value").alias("dl"))
     return fv.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"),
                                    F.avg("dl").alias("avg_dl"))
 

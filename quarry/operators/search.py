@@ -33,22 +33,41 @@ def _literal_terms(spark: SparkSession, query: str) -> DataFrame:
                     F.explode(F.array_distinct(tokens(F.lit(query)))).alias("term")))
 
 
+def _literal_array(query: str) -> Column:
+    """Distinct query terms as an expression Catalyst folds to a constant array."""
+    return F.array_distinct(tokens(F.lit(query)))
+
+
 def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
     """(query_id, term): distinct analysed terms of each query."""
     return queries.select(F.col(id_col).alias("query_id"),
                           F.explode(F.array_distinct(tokens(text_col))).alias("term"))
 
 
-def _matched_postings(docs: DataFrame, terms: DataFrame, fields, keep: Column | None) -> DataFrame:
-    """(field, term, id, dl, keep, tf) for the query terms only."""
+def _matched_postings(docs: DataFrame, terms: DataFrame | None, fields, keep: Column | None,
+                      literal_terms: Column | None = None) -> DataFrame:
+    """(field, term, id, dl, _keep, tf) for the query terms only.
+
+    With ``literal_terms`` (a constant array) each document's token array is
+    filtered before it is exploded, so only matching tokens become rows;
+    otherwise tokens are semi-joined with ``terms``.  ``explode_outer`` plus
+    a null filter keeps the optimizer from re-running the tokenizer in an
+    inferred non-empty-array filter."""
     base = docs.select("id", (keep if keep is not None else F.lit(True)).alias("_keep"),
                        *[F.col(f) for f in fields])
     args = ", ".join(f"'{f}', `{f}`" for f in fields)
     fv = base.select("id", "_keep", F.expr(f"stack({len(fields)}, {args}) AS (field, value)"))
-    tok = fv.select("id", "_keep", "field", tokens("value").alias("toks")) \
-        .select("id", "_keep", "field", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-    hit = tok.join(terms, "term", "left_semi")
-    return hit.groupBy("field", "term", "id", "dl", "_keep").agg(F.count(F.lit(1)).alias("tf"))
+    tok = fv.select("id", "_keep", "field", tokens("value").alias("toks"))
+    if literal_terms is not None:
+        tok = tok.select("id", "_keep", "field", F.size("toks").alias("dl"),
+                         F.filter("toks", lambda t: F.array_contains(literal_terms, t)).alias("toks"))
+    else:
+        tok = tok.select("id", "_keep", "field", F.size("toks").alias("dl"), "toks")
+    occ = tok.select("id", "_keep", "field", "dl", F.explode_outer("toks").alias("term")) \
+        .where(F.col("term").isNotNull())
+    if literal_terms is None:
+        occ = occ.join(terms, "term", "left_semi")
+    return occ.groupBy("field", "term", "id", "dl", "_keep").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def _bm25(tf: Column, dl: Column, df_: Column, n: Column, avg_dl: Column,
@@ -59,7 +78,8 @@ def _bm25(tf: Column, dl: Column, df_: Column, n: Column, avg_dl: Column,
 
 
 def score_hits(docs: DataFrame, qterms: DataFrame, fields=SEARCHABLE, keep: Column | None = None,
-               terms_broadcast: bool | None = None, max_terms: int = 2_000_000) -> DataFrame:
+               terms_broadcast: bool | None = None, max_terms: int = 2_000_000,
+               literal_terms: Column | None = None) -> DataFrame:
     """(query_id, id, score) for every document sharing a term with a query.
 
     ``qterms`` is (query_id, term).  Statistics (N, avg length, df) are global
@@ -67,14 +87,15 @@ def score_hits(docs: DataFrame, qterms: DataFrame, fields=SEARCHABLE, keep: Colu
     """
     fields = list(fields)
     distinct_terms = qterms.select("term").distinct()
-    if terms_broadcast is None:
-        distinct_terms, small = bounded_broadcast(distinct_terms, max_terms)
-    elif terms_broadcast:
+    if literal_terms is not None or terms_broadcast:
         distinct_terms, small = F.broadcast(distinct_terms), True
+    elif terms_broadcast is None:
+        distinct_terms, small = bounded_broadcast(distinct_terms, max_terms)
     else:
         small = False
-    mp = _matched_postings(docs, distinct_terms, fields, keep)
-    dfreq = mp.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    mp = _matched_postings(docs, distinct_terms, fields, keep, literal_terms)
+    # same partial aggregate as the scoring branch, so the postings shuffle is reused
+    dfreq = mp.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     # one row per (field, term) of the query terms: bounded like the terms
     dfreq = F.broadcast(dfreq) if small else dfreq
     stats = F.broadcast(field_stats(docs, fields))          # one row per field
@@ -112,8 +133,9 @@ def bm25_search(docs: DataFrame, query: str, k: int = 5, fields=SEARCHABLE,
     over fields, ties on id.  (rank, id, score)."""
     spark = docs.sparkSession
     qt = _literal_terms(spark, query)
-    hits = score_hits(docs, qt, fields, keep=where,
-                      terms_broadcast=len(query) <= MAX_LITERAL_QUERY_CHARS)
+    small = len(query) <= MAX_LITERAL_QUERY_CHARS
+    hits = score_hits(docs, qt, fields, keep=where, terms_broadcast=small,
+                      literal_terms=_literal_array(query) if small else None)
     return top_k(hits.select("id", "score"), k, [F.col("score").desc(), F.col("id").asc()]) \
         .select("rank", "id", "score")
 
@@ -127,9 +149,10 @@ def filtered_search(docs: DataFrame, query: str, where: Column, k: int = 5) -> D
 def match_count(docs: DataFrame, query: str, fields=SEARCHABLE) -> DataFrame:
     """Number of documents matching any term of the query."""
     spark = docs.sparkSession
-    qt = _literal_terms(spark, query).select("term")
-    qt = F.broadcast(qt) if len(query) <= MAX_LITERAL_QUERY_CHARS else qt
-    mp = _matched_postings(docs, qt, list(fields), None)
+    if len(query) <= MAX_LITERAL_QUERY_CHARS:
+        mp = _matched_postings(docs, None, list(fields), None, _literal_array(query))
+    else:
+        mp = _matched_postings(docs, _literal_terms(spark, query).select("term"), list(fields), None)
     return mp.agg(F.count_distinct("id").alias("matches"))
 
 

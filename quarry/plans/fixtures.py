@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import document_key, url_leaf, utf8_size
 from ..functions.text import html_title
+from ..operators.index import map_fields
 
 # Reference instant, category and extension rotations.
 NOW = "2024-02-01 00:00:00"
@@ -30,6 +31,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows feed CPU-heavy text work (tokenizing, HTML)."""
+    return spread(table(spark, sf_dir, name))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than there are task
+    slots (a small file stored as one row group is read by one task).  On
+    large inputs the scan already has more splits than slots and this is a
+    no-op, so no extra shuffle appears at scale."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
 def _rotate(col, values):
     expr = None
     for i, v in enumerate(values):
@@ -49,7 +66,7 @@ def _sql_rotate(col: str, values) -> str:
 
 def doc_files(spark, sf_dir) -> DataFrame:
     """Source-file view of ``documents`` (content + metadata_* fields)."""
-    return doc_files_from(table(spark, sf_dir, "documents"))
+    return doc_files_from(text_table(spark, sf_dir, "documents"))
 
 
 def doc_files_from(d: DataFrame) -> DataFrame:
@@ -80,7 +97,7 @@ FROM documents"""
 
 def page_files(spark, sf_dir) -> DataFrame:
     """Source-file view of ``pages`` (raw HTML)."""
-    return page_files_from(table(spark, sf_dir, "pages"))
+    return page_files_from(text_table(spark, sf_dir, "pages"))
 
 
 def page_files_from(p: DataFrame) -> DataFrame:
@@ -107,7 +124,6 @@ FROM pages"""
 
 def docs(spark, sf_dir) -> DataFrame:
     """Index rows (the seven declared fields) for ``documents``."""
-    from ..operators.index import map_fields
     return map_fields(doc_files(spark, sf_dir))
 
 
