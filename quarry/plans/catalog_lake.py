@@ -131,3 +131,56 @@ SELECT 'FABRIC_WORKSPACE_' || upper(regexp_replace(displayName, '[^A-Za-z0-9]',
 FROM workspaces""")
 def q_export_pairs(spark, sf):
     return sinks.pair_lines(fx.workspaces(spark, sf), "FABRIC_WORKSPACE", "displayName", "id")
+
+
+# ------------------------------------------------------------ SQL functions
+@register("sql_functions", f"""WITH {fx.DOCS_SQL},
+n AS (SELECT id, title, content,
+             CASE WHEN length(content) <= 2000 THEN 1 ELSE CAST(ceil((length(content) - 2000) / 1800.0) AS INTEGER) + 1 END AS cnt
+      FROM docs)
+SELECT id, nullif(CASE WHEN length(trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9-]', '-', 'g'), '-+', '-', 'g'), '-')) > 128
+                       THEN trim(left(trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9-]', '-', 'g'), '-+', '-', 'g'), '-'), 128), '-')
+                       ELSE trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9-]', '-', 'g'), '-+', '-', 'g'), '-') END, '') AS slug,
+       CAST(p AS INTEGER) AS chunk_no, CAST(length(substring(content, p * 1800 + 1, 2000)) AS INTEGER) AS chunk_len
+FROM n, range(0, cnt) AS r(p)""")
+def q_sql_functions(spark, sf):
+    """The SQL-registered functions used from SQL: a scalar slug and a
+    lateral table function producing chunks."""
+    from ..functions.sql import register_sql_functions
+    register_sql_functions(spark)
+    fx.docs(spark, sf).createOrReplaceTempView("quarry_docs")
+    return spark.sql("""SELECT d.id, safe_name(d.title) AS slug, c.chunk_no, length(c.chunk) AS chunk_len
+                        FROM quarry_docs d, LATERAL chunk_text(d.content) c""")
+
+
+# ------------------------------------------------------------ sinks, read back
+def _scratch(spark, name):
+    import uuid
+    from ..session import scratch_path
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+@register("write_index", f"WITH {fx.DOCS_SQL} SELECT * FROM docs")
+def q_write_index(spark, sf):
+    path = _scratch(spark, "index")
+    sinks.write_index(fx.docs(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+@register("write_layers", f"""WITH {SILVER_SQL}
+SELECT category, count(*) AS documents, CAST(sum(length(content)) AS BIGINT) AS characters,
+       CAST(sum(file_size) AS BIGINT) AS bytes, CAST(sum({_chunks_sql('content')}) AS BIGINT) AS chunks
+FROM silver GROUP BY category""")
+def q_write_layers(spark, sf):
+    paths = sinks.write_layers(fx.docs(spark, sf), _scratch(spark, "lake"))
+    gold = spark.read.parquet(paths["gold"])
+    return gold.select("category", "documents", "characters", "bytes", "chunks")
+
+
+@register("export_pairs_file", f"""WITH {fx.WORKSPACES_SQL}
+SELECT 'FABRIC_WORKSPACE_' || upper(regexp_replace(displayName, '[^A-Za-z0-9]', '_', 'g')) || '_ID=' || CAST(id AS VARCHAR) AS value
+FROM workspaces""")
+def q_export_pairs_file(spark, sf):
+    path = _scratch(spark, "pairs")
+    sinks.export_pairs(fx.workspaces(spark, sf), path, "FABRIC_WORKSPACE", "displayName", "id")
+    return spark.read.text(path)

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import reconcile as rc
 from ..operators import runs as rn
+from ..sources import sinks
 from . import fixtures as fx
 from .catalog_columns import CLASSIFY_SQL
 from .catalog_governance import RECONCILE_SQL
-from .registry import register
+from .registry import _ORACLES, register
 
 NOW_SQL = f"TIMESTAMP '{fx.NOW}'"
 
@@ -101,3 +102,13 @@ r AS (SELECT RunId, '{{"RunId":' || to_json(RunId) || ',"Workflow":' || to_json(
 SELECT RunId, record, CAST(octet_length(encode(record)) AS BIGINT) AS bytes FROM r""")
 def q_write_telemetry(spark, sf):
     return rn.telemetry_records(fx.telemetry(spark, sf), fx.now_lit())
+
+
+@register("write_telemetry_file", _ORACLES["write_telemetry"].replace(
+    "SELECT RunId, record, CAST(octet_length(encode(record)) AS BIGINT) AS bytes FROM r", "SELECT record AS value FROM r"))
+def q_write_telemetry_file(spark, sf):
+    import uuid
+    from ..session import scratch_path
+    path = scratch_path(spark, f"telemetry-{uuid.uuid4().hex[:12]}")
+    sinks.write_telemetry(fx.telemetry(spark, sf), path, fx.now_lit())
+    return spark.read.text(path)
