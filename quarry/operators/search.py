@@ -44,32 +44,40 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "q
                           F.explode(F.array_distinct(tokens(text_col))).alias("term"))
 
 
-def _matched_postings(docs: DataFrame, terms: DataFrame | None, fields, keep: Column | None,
-                      literal_terms: Column | None = None) -> DataFrame:
-    """(field, term, id, dl, _keep, tf) for the query terms only.
-
-    With ``literal_terms`` (a constant array) each document's token array is
-    filtered before it is exploded, so only matching tokens become rows;
-    otherwise tokens are semi-joined with ``terms``.  ``explode_outer`` plus
-    a null filter keeps the optimizer from re-running the tokenizer in an
-    inferred non-empty-array filter."""
+def _field_tokens(docs: DataFrame, fields, keep: Column | None) -> DataFrame:
+    """(id, _keep, field, dl, toks): one row per document field."""
     base = docs.select("id", (keep if keep is not None else F.lit(True)).alias("_keep"),
                        *[F.col(f) for f in fields])
     args = ", ".join(f"'{f}', `{f}`" for f in fields)
     fv = base.select("id", "_keep", F.expr(f"stack({len(fields)}, {args}) AS (field, value)"))
     tok = fv.select("id", "_keep", "field", tokens("value").alias("toks"))
+    return tok.select("id", "_keep", "field",
+                      F.when(F.col("toks").isNotNull(), F.size("toks")).alias("dl"), "toks")
+
+
+def _postings_of(tok: DataFrame, terms: DataFrame | None, literal_terms: Column | None) -> DataFrame:
+    """(field, term, id, dl, _keep, tf) for the query terms only.
+
+    With ``literal_terms`` (a constant array) each token array is filtered
+    before it is exploded, so only matching tokens become rows; otherwise
+    tokens are semi-joined with ``terms``.  ``explode_outer`` plus a null
+    filter keeps the optimizer from re-running the tokenizer in an inferred
+    non-empty-array filter."""
+    toks = F.col("toks")
     if literal_terms is not None:
-        tok = tok.select("id", "_keep", "field", F.size("toks").alias("dl"),
-                         F.filter("toks", lambda t: F.array_contains(literal_terms, t)).alias("toks"))
-    else:
-        tok = tok.select("id", "_keep", "field", F.size("toks").alias("dl"), "toks")
-    occ = tok.select("id", "_keep", "field", "dl", F.explode_outer("toks").alias("term")) \
+        toks = F.filter("toks", lambda t: F.array_contains(literal_terms, t))
+    occ = tok.select("id", "_keep", "field", "dl", F.explode_outer(toks).alias("term")) \
         .where(F.col("term").isNotNull())
     if literal_terms is None:
         occ = occ.join(terms, "term", "left_semi")
     return occ.groupBy("field", "term", "id", "dl", "_keep").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _matched_postings(docs: DataFrame, terms: DataFrame | None, fields, keep: Column | None,
+                      literal_terms: Column | None = None) -> DataFrame:
+    return _postings_of(_field_tokens(docs, fields, keep), terms, literal_terms)
+
+
 def _bm25(tf: Column, dl: Column, df_: Column, n: Column, avg_dl: Column,
           k1: float = BM25_K1, b: float = BM25_B) -> Column:
     idf = F.log(F.lit(1.0) + (n - df_ + F.lit(0.5)) / (df_ + F.lit(0.5)))
@@ -79,11 +87,21 @@ def _bm25(tf: Column, dl: Column, df_: Column, n: Column, avg_dl: Column,
 
 def score_hits(docs: DataFrame, qterms: DataFrame, fields=SEARCHABLE, keep: Column | None = None,
                terms_broadcast: bool | None = None, max_terms: int = 2_000_000,
-               literal_terms: Column | None = None) -> DataFrame:
+               literal_terms: Column | None = None, colocate: bool = False) -> DataFrame:
     """(query_id, id, score) for every document sharing a term with a query.
 
     ``qterms`` is (query_id, term).  Statistics (N, avg length, df) are global
     over ``docs``; ``keep`` only restricts which documents are scored.
+
+    ``colocate`` (for many queries): documents are tokenized once and the
+    token rows hash-partitioned by ``id``.  The field statistics, the
+    document frequencies and the postings all read that one exchange (reused),
+    and every later aggregate is keyed by a superset of ``id`` — (field, term,
+    id, …) for tf and (query_id, id) for the score — so both run without a
+    shuffle: the query fan-out (queries × documents sharing common terms)
+    never crosses the network, only the top-k survivors do.  A single query
+    skips it: it moves only its matching tokens and counts lengths with
+    ``regexp_count`` in a second scan.
     """
     fields = list(fields)
     distinct_terms = qterms.select("term").distinct()
@@ -93,12 +111,17 @@ def score_hits(docs: DataFrame, qterms: DataFrame, fields=SEARCHABLE, keep: Colu
         distinct_terms, small = bounded_broadcast(distinct_terms, max_terms)
     else:
         small = False
-    mp = _matched_postings(docs, distinct_terms, fields, keep, literal_terms)
-    # same partial aggregate as the scoring branch, so the postings shuffle is reused
-    dfreq = mp.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    tok = _field_tokens(docs, fields, keep)
+    if colocate:
+        tok = tok.repartition("id")
+        stats = tok.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    else:
+        stats = field_stats(docs, fields)
+    stats = F.broadcast(stats)                                   # one row per field
+    mp = _postings_of(tok, distinct_terms, literal_terms)
+    dfreq = mp.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     # one row per (field, term) of the query terms: bounded like the terms
     dfreq = F.broadcast(dfreq) if small else dfreq
-    stats = F.broadcast(field_stats(docs, fields))          # one row per field
     qt = F.broadcast(qterms) if small else qterms
     contrib = (mp.where(F.col("_keep"))
                .join(dfreq, ["field", "term"])
@@ -167,7 +190,7 @@ def retrieve_batch(queries: DataFrame, docs: DataFrame, k: int = 5, min_score: f
                    fields=SEARCHABLE, where: Column | None = None) -> DataFrame:
     """Many questions at once: top-k passages per question, optional score
     floor.  (query_id, rank, id, score)."""
-    hits = score_hits(docs, query_terms(queries), fields, keep=where)
+    hits = score_hits(docs, query_terms(queries), fields, keep=where, colocate=True)
     if min_score is not None:
         hits = hits.where(F.col("score") >= F.lit(min_score))
     return top_k_per_query(hits, k).select("query_id", "rank", "id", "score")
