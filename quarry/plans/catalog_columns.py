@@ -213,12 +213,19 @@ def q_first_present(spark, sf):
 
 
 @register("age_days", f"""WITH {fx.WORKSPACES_SQL}
-SELECT id, date_sub('day', createdDate, {NOW_SQL}) AS age_days,
-       coalesce(date_sub('day', createdDate, {NOW_SQL}) >= 7, TRUE) AS old_enough FROM workspaces""")
+SELECT id, date_sub('day', createdDate, {NOW_SQL}) AS age_days FROM workspaces WHERE createdDate IS NOT NULL""")
 def q_age_days(spark, sf):
+    """Whole elapsed days where the creation date is known (undefined otherwise)."""
+    w = fx.workspaces(spark, sf).where(F.col("createdDate").isNotNull())
+    return w.select("id", vl.age_days("createdDate", fx.now_lit()).alias("age_days"))
+
+
+@register("old_enough", f"""WITH {fx.WORKSPACES_SQL}
+SELECT id, coalesce(date_sub('day', createdDate, {NOW_SQL}) >= 7, TRUE) AS old_enough FROM workspaces""")
+def q_old_enough(spark, sf):
+    """Age check over every workspace; an unknown creation date counts as old enough."""
     w = fx.workspaces(spark, sf)
-    return w.select("id", vl.age_days("createdDate", fx.now_lit()).alias("age_days"),
-                    vl.old_enough("createdDate", fx.now_lit(), 7).alias("old_enough"))
+    return w.select("id", vl.old_enough("createdDate", fx.now_lit(), 7).alias("old_enough"))
 
 
 CLASSIFY_SQL = """CASE WHEN code >= 200 AND code < 300 THEN 'created'
@@ -229,21 +236,22 @@ CLASSIFY_SQL = """CASE WHEN code >= 200 AND code < 300 THEN 'created'
 
 
 @register("classify_outcome", f"""WITH {fx.ATTEMPTS_SQL}
-SELECT event_id, code, {CLASSIFY_SQL} AS outcome FROM attempts""")
+SELECT event_id, {CLASSIFY_SQL} AS outcome FROM attempts""")
 def q_classify_outcome(spark, sf):
     a = fx.attempts(spark, sf)
-    return a.select("event_id", "code", vl.classify_outcome("code", "body").alias("outcome"))
+    return a.select("event_id", vl.classify_outcome("code", "body").alias("outcome"))
 
 
 @register("predicates", f"""WITH {fx.WORKSPACES_SQL}
 SELECT id, displayName, lower(type) = lower('personal') AS is_personal,
-       displayName ILIKE '%#00000001%' AS name_match, capacityId IN (1, 2, 3) AS in_list
+       displayName ILIKE '%#00000001%' AS name_match, coalesce(capacityId IN ('cap-1', 'cap-2', 'cap-3'), FALSE) AS in_list
 FROM workspaces
-WHERE lower(type) = lower('personal') OR displayName ILIKE '%#00000001%' OR capacityId IN (1, 2, 3)""")
+WHERE lower(type) = lower('personal') OR displayName ILIKE '%#00000001%' OR capacityId IN ('cap-1', 'cap-2', 'cap-3')""")
 def q_predicates(spark, sf):
     w = fx.workspaces(spark, sf)
     personal = vl.ci_equal("type", F.lit("personal"))
     name_match = vl.ilike_any("displayName", "*#00000001*")
-    in_list = F.col("capacityId").isin(1, 2, 3)
+    # like ``-in``: a missing value is simply not in the list
+    in_list = F.coalesce(F.col("capacityId").isin("cap-1", "cap-2", "cap-3"), F.lit(False))
     return w.where(personal | name_match | in_list).select(
         "id", "displayName", personal.alias("is_personal"), name_match.alias("name_match"), in_list.alias("in_list"))

@@ -26,13 +26,13 @@ def _resolve_listing(spark, sf):
     li = fx.table(spark, sf, "lineitem")
     k = F.col("l_orderkey").cast("string")
     return li.select("l_orderkey").distinct().select(
-        F.col("l_orderkey").alias("id"), F.concat(F.lit("ORDER-"), k).alias("displayName"),
+        F.concat(F.lit("item-"), k).alias("id"), F.concat(F.lit("ORDER-"), k).alias("displayName"),
         F.concat(F.lit("lh-"), k).alias("name"))
 
 
 RESOLVE_SQL = """rnames AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'order-' || CAST(o_orderkey AS VARCHAR)
                                 ELSE 'LH-' || CAST(o_orderkey AS VARCHAR) END AS name FROM orders),
-rlisting AS (SELECT DISTINCT l_orderkey AS id, 'ORDER-' || CAST(l_orderkey AS VARCHAR) AS displayName,
+rlisting AS (SELECT DISTINCT 'item-' || CAST(l_orderkey AS VARCHAR) AS id, 'ORDER-' || CAST(l_orderkey AS VARCHAR) AS displayName,
                     'lh-' || CAST(l_orderkey AS VARCHAR) AS name FROM lineitem),
 aliases AS (SELECT alias_key, min(id) AS id FROM (
               SELECT lower(displayName) AS alias_key, id FROM rlisting WHERE displayName IS NOT NULL
@@ -49,11 +49,11 @@ def _returned_listing(spark, sf):
     li = fx.table(spark, sf, "lineitem").where(F.col("l_returnflag") == "R")
     k = F.col("l_orderkey").cast("string")
     return li.select("l_orderkey").distinct().select(
-        (F.col("l_orderkey") * 10 + 1).alias("id"), F.concat(F.lit("Order-"), k).alias("displayName"))
+        F.concat(F.lit("returned-"), k).alias("id"), F.concat(F.lit("Order-"), k).alias("displayName"))
 
 
 @register("resolve_with_fallback", f"""WITH {RESOLVE_SQL},
-plist AS (SELECT DISTINCT l_orderkey * 10 + 1 AS id, 'Order-' || CAST(l_orderkey AS VARCHAR) AS displayName
+plist AS (SELECT DISTINCT 'returned-' || CAST(l_orderkey AS VARCHAR) AS id, 'Order-' || CAST(l_orderkey AS VARCHAR) AS displayName
           FROM lineitem WHERE l_returnflag = 'R'),
 pa AS (SELECT lower(displayName) AS alias_key, min(id) AS p_id FROM plist GROUP BY 1),
 sa AS (SELECT alias_key, id AS s_id FROM aliases)

@@ -41,10 +41,12 @@ def spread(df: DataFrame) -> DataFrame:
     slots (a small file stored as one row group is read by one task).  On
     large inputs the scan already has more splits than slots and this is a
     no-op, so no extra shuffle appears at scale."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access (e.g. Spark Connect): leave the scan as is
+        return df
+    return df.repartition(slots) if parts < slots else df
 
 
 def _rotate(col, values):
@@ -162,7 +164,8 @@ def workspaces(spark, sf_dir) -> DataFrame:
         k.alias("id"),
         F.when(k % 3 == 0, F.upper("c_name")).otherwise(F.col("c_name")).alias("displayName"),
         F.when(k % 11 == 0, F.lit("Personal")).otherwise(F.lit("Workspace")).alias("type"),
-        F.when(k % 5 == 0, F.lit(None).cast("int")).otherwise(F.col("c_nationkey")).alias("capacityId"),
+        F.when(k % 5 == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("cap-"), F.col("c_nationkey").cast("string"))).alias("capacityId"),
         F.when(k % 7 == 0, F.lit(None).cast("timestamp_ntz")).otherwise(created).alias("createdDate"),
         F.col("c_mktsegment").alias("description"),
     )
@@ -172,7 +175,7 @@ WORKSPACES_SQL = f"""workspaces AS (
 SELECT c_custkey AS id,
        CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS displayName,
        CASE WHEN c_custkey % 11 = 0 THEN 'Personal' ELSE 'Workspace' END AS type,
-       CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_nationkey END AS capacityId,
+       CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'cap-' || CAST(c_nationkey AS VARCHAR) END AS capacityId,
        CASE WHEN c_custkey % 7 = 0 THEN NULL
             ELSE TIMESTAMP '{NOW}' - to_days(CAST(c_custkey % 20 AS INTEGER)) - INTERVAL 30 MINUTE END AS createdDate,
        c_mktsegment AS description
@@ -182,7 +185,7 @@ FROM customer)"""
 def capacities(spark, sf_dir) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     return n.select(
-        F.col("n_nationkey").alias("id"),
+        F.concat(F.lit("cap-"), F.col("n_nationkey").cast("string")).alias("id"),
         F.col("n_name").alias("displayName"),
         F.lower("n_name").alias("name"),
         F.when(F.col("n_regionkey") < 3, F.lit("Active")).otherwise(F.lit("Paused")).alias("state"),
@@ -191,7 +194,7 @@ def capacities(spark, sf_dir) -> DataFrame:
 
 
 CAPACITIES_SQL = """capacities AS (
-SELECT n_nationkey AS id, n_name AS displayName, lower(n_name) AS name,
+SELECT 'cap-' || CAST(n_nationkey AS VARCHAR) AS id, n_name AS displayName, lower(n_name) AS name,
        CASE WHEN n_regionkey < 3 THEN 'Active' ELSE 'Paused' END AS state,
        'F' || CAST((n_regionkey + 1) * 8 AS VARCHAR) AS sku
 FROM nation)"""
@@ -262,11 +265,11 @@ def existing_items(spark, sf_dir) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select("l_orderkey").distinct().select(
         F.concat(F.lit("ORDER-"), F.col("l_orderkey").cast("string")).alias("name"),
-        F.col("l_orderkey").alias("id"))
+        F.concat(F.lit("item-"), F.col("l_orderkey").cast("string")).alias("id"))
 
 
 DESIRED_SQL = """desired AS (SELECT 'order-' || CAST(o_orderkey AS VARCHAR) AS name FROM orders),
-existing AS (SELECT DISTINCT 'ORDER-' || CAST(l_orderkey AS VARCHAR) AS name, l_orderkey AS id FROM lineitem)"""
+existing AS (SELECT DISTINCT 'ORDER-' || CAST(l_orderkey AS VARCHAR) AS name, 'item-' || CAST(l_orderkey AS VARCHAR) AS id FROM lineitem)"""
 
 
 def grants_desired(spark, sf_dir) -> DataFrame:

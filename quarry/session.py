@@ -37,10 +37,13 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder the cluster names in ``spark.checkpoint.dir``."""
-    d = spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get(CHECKPOINT_CONF, None)
     if d:
         return d
-    return spark.conf.get(CHECKPOINT_CONF, None)
+    try:
+        return spark.sparkContext.getCheckpointDir()
+    except Exception:  # no SparkContext access (e.g. Spark Connect)
+        return None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -50,7 +53,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, d)
-    spark.sparkContext.setCheckpointDir(d)
+    try:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(d)
+    except Exception:  # no SparkContext access
+        pass
     return d
 
 

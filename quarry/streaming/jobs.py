@@ -12,6 +12,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,7 +121,7 @@ _STATE_SCHEMA = T.StructType([
 
 
 def _stall_fn(limit_s: int):
-    limit = pd.Timedelta(seconds=limit_s)
+    limit_ms = limit_s * 1000
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (run_id,) = key
@@ -130,22 +131,21 @@ def _stall_fn(limit_s: int):
             yield pd.DataFrame({"run_id": [run_id], "state": [st], "first_ts": [first_ts],
                                 "last_ts": [last_ts]})
             return
-        if state.exists:
-            first_ts, last_ts, last_event, st = state.get
-        else:
-            first_ts, last_ts, last_event, st = None, None, None, None
+        first_ts, last_ts, last_event, st = state.get if state.exists else (None, None, None, None)
         for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            f, lrow = pdf["ts"].min(), pdf.iloc[-1]
+            ts = pdf["ts"].to_numpy()
+            ev = pdf["event_id"].to_numpy()
+            i = np.lexsort((ev, ts))[-1]                     # latest by (ts, event_id)
+            f = pd.Timestamp(ts.min())
             first_ts = f if first_ts is None or f < first_ts else first_ts
-            newer = last_ts is None or (lrow["ts"], lrow["event_id"]) > (last_ts, last_event)
-            if newer:
-                last_ts, last_event, st = lrow["ts"], int(lrow["event_id"]), lrow["state"]
+            cand = (pd.Timestamp(ts[i]), int(ev[i]))
+            if last_ts is None or cand > (pd.Timestamp(last_ts), last_event):
+                last_ts, last_event, st = cand[0], cand[1], pdf["state"].iat[i]
         if st in TERMINAL_STATES:
             state.remove()
         else:
             state.update((first_ts, last_ts, last_event, st))
-            state.setTimeoutTimestamp(int((pd.Timestamp(first_ts) + limit).timestamp() * 1000))
+            state.setTimeoutTimestamp(int(pd.Timestamp(first_ts).value // 1_000_000) + limit_ms)
 
     return fn
 
