@@ -2,8 +2,9 @@
 active-capacity labels, exclusions, dependants and scope.
 
 The scripts loop and look up one object at a time; here each loop is one
-equi/semi/anti join.  Listings are broadcast only after their row count has
-been checked (``bounded_broadcast``); larger listings take a shuffle join.
+equi/semi/anti join.  Listings carry no broadcast hint: adaptive execution
+broadcasts them only when their measured size is below the threshold, and
+keeps a shuffle join (with skew splitting) otherwise.
 Case-insensitive matching is the default (``case_sensitive=True`` gives the
 exact comparison of the bash variants).
 """
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.sizing import bounded_broadcast, small_or_shuffle
+from ..plans.sizing import small_or_shuffle
 
 
 def _fold(c: Column, case_sensitive: bool) -> Column:
@@ -35,13 +36,11 @@ def listing_aliases(listing: DataFrame, alias_cols=("displayName", "name"), id_c
 
 
 def resolve_by_name(names: DataFrame, listing: DataFrame, name_col: str = "name",
-                    alias_cols=("displayName", "name"), case_sensitive: bool = False,
-                    max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                    alias_cols=("displayName", "name"), case_sensitive: bool = False) -> DataFrame:
     """names ⋈ listing where displayName OR name matches — as a union of
     aliases and one equi join, never an OR join condition.  Unresolved names
     are kept with a null id.  (name, id, resolved)."""
-    aliases = small_or_shuffle(listing_aliases(listing, alias_cols, case_sensitive=case_sensitive),
-                               max_broadcast_rows)
+    aliases = small_or_shuffle(listing_aliases(listing, alias_cols, case_sensitive=case_sensitive))
     keyed = names.select(F.col(name_col).alias("name"),
                          _fold(F.col(name_col), case_sensitive).alias("alias_key"))
     return (keyed.join(aliases, "alias_key", "left")
@@ -132,7 +131,7 @@ def scope_filter(assets: DataFrame, scope: DataFrame, workspaces: DataFrame,
     allowed = (workspaces.where(~F.coalesce(F.col("type") == F.lit(personal_type), F.lit(False)))
                .select(F.col("id").alias("_ws"))
                .join(scope.select(F.col("workspace_id").alias("_ws")), "_ws", "left_semi"))
-    allowed, _ = bounded_broadcast(allowed)
+    allowed = small_or_shuffle(allowed)
     return assets.join(allowed, F.col(asset_ws_col) == F.col("_ws"), "left_semi")
 
 

@@ -4,8 +4,8 @@ Each query drives its stream over the driver table read as a file stream
 (``availableNow``: drain, then stop), writes to a fresh folder under the
 shared checkpoint folder, and returns the final state read back from the
 sink.  Final states equal the batch operators, so the batch SQL is their
-oracle; the stalled-run timer job has watermark-relative semantics and gets
-a rows-only check (its brute-force test is in tests/)."""
+oracle.  The stalled-run job judges runs against the largest event time seen,
+which for a drained stream is the batch definition written in its SQL."""
 
 from __future__ import annotations
 
@@ -70,13 +70,16 @@ def q_stream_ingest(spark, sf):
                       F.octet_length("content").cast("bigint").alias("content_bytes"))
 
 
-@register("stream_stalled_runs")
+@register("stream_stalled_runs", f"""WITH {LATEST_SQL}
+SELECT run_id, state, first_ts, last_ts FROM latest
+WHERE state NOT IN ('Succeeded', 'Failed', 'Cancelled')
+  AND first_ts + INTERVAL 900 SECOND < (SELECT max(ts) FROM status_events WHERE coalesce(status, runStatus) IS NOT NULL)""")
 def q_stream_stalled_runs(spark, sf):
     sink, ckpt = sj.run_folder(spark, "stalled")
     q = sj.stream_stalled_runs(fx.status_events_from(stream_table(spark, sf, "events")), sink, ckpt,
                                limit_s=900)
     q.awaitTermination()
-    return spark.read.parquet(sink)
+    return sj.read_stalled_runs(spark, sink)
 
 
 assert q_upsert_index is not None

@@ -1,8 +1,11 @@
 """Size-checked broadcast.
 
-A side is broadcast only when its row count has been measured to be within a
-bound; otherwise the plan keeps a shuffle join and AQE (skew-join splitting,
-runtime coalescing) handles the rest.
+Three cases, all with a bound that is checked before anything is broadcast:
+sides bounded by construction (one row per field, terms of a literal query)
+use ``F.broadcast`` directly; a side whose bound also decides other
+broadcasts uses ``bounded_broadcast`` (one count that stops at the bound);
+every other side is left to adaptive execution, which measures it at run
+time (``small_or_shuffle``).
 """
 
 from __future__ import annotations
@@ -23,5 +26,10 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> tuple[
     return df, False
 
 
-def small_or_shuffle(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    return bounded_broadcast(df, max_rows)[0]
+def small_or_shuffle(df: DataFrame) -> DataFrame:
+    """A join side whose size grows with the data: no hint.  Adaptive query
+    execution measures the side's shuffle output at run time and switches to
+    a broadcast join only below ``spark.sql.adaptive.autoBroadcastJoinThreshold``
+    (the checked bound); above it the shuffle join stays, with skew splitting.
+    This avoids a second pass that a count-based check would cost."""
+    return df

@@ -10,15 +10,11 @@ equals the batch operator over the same input.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.lake import upsert_index
 from ..operators.runs import STALL_LIMIT_S, TERMINAL_STATES, status_of
@@ -112,54 +108,64 @@ def stream_telemetry(records: DataFrame, sink: str, checkpoint: str, event_time:
 
 
 # --------------------------------------------------------------- stalled runs
-STALLED_SCHEMA = T.StructType([
-    T.StructField("run_id", T.LongType()), T.StructField("state", T.StringType()),
-    T.StructField("first_ts", T.TimestampType()), T.StructField("last_ts", T.TimestampType())])
-_STATE_SCHEMA = T.StructType([
-    T.StructField("first_ts", T.TimestampType()), T.StructField("last_ts", T.TimestampType()),
-    T.StructField("last_event", T.LongType()), T.StructField("state", T.StringType())])
-
-
-def _stall_fn(limit_s: int):
-    limit_ms = limit_s * 1000
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (run_id,) = key
-        if state.hasTimedOut:
-            first_ts, last_ts, _, st = state.get
-            state.remove()
-            yield pd.DataFrame({"run_id": [run_id], "state": [st], "first_ts": [first_ts],
-                                "last_ts": [last_ts]})
-            return
-        first_ts, last_ts, last_event, st = state.get if state.exists else (None, None, None, None)
-        for pdf in pdfs:
-            ts = pdf["ts"].to_numpy()
-            ev = pdf["event_id"].to_numpy()
-            i = np.lexsort((ev, ts))[-1]                     # latest by (ts, event_id)
-            f = pd.Timestamp(ts.min())
-            first_ts = f if first_ts is None or f < first_ts else first_ts
-            cand = (pd.Timestamp(ts[i]), int(ev[i]))
-            if last_ts is None or cand > (pd.Timestamp(last_ts), last_event):
-                last_ts, last_event, st = cand[0], cand[1], pdf["state"].iat[i]
-        if st in TERMINAL_STATES:
-            state.remove()
-        else:
-            state.update((first_ts, last_ts, last_event, st))
-            state.setTimeoutTimestamp(int(pd.Timestamp(first_ts).value // 1_000_000) + limit_ms)
-
-    return fn
+def _read_version(spark: SparkSession, root: str, before: int) -> DataFrame | None:
+    try:
+        versions = spark.read.parquet(root)
+    except AnalysisException:
+        return None
+    versions = versions.where(F.col("v") < before)
+    newest = versions.agg(F.max("v")).first()[0]
+    return None if newest is None else versions.where(F.col("v") == newest).drop("v")
 
 
 def stream_stalled_runs(events: DataFrame, sink: str, checkpoint: str, limit_s: int = STALL_LIMIT_S,
-                        delay: str = "0 seconds", trigger: str | None = None):
-    """Runs with no terminal state ``limit_s`` after their first event, found
-    with an event-time timer per run (state: first/last time and state)."""
-    ev = (events.select("run_id", "event_id", F.col("ts").cast("timestamp").alias("ts"),
-                        status_of(F.col("status"), F.col("runStatus")).alias("state"))
-          .where(F.col("state").isNotNull())
-          .withWatermark("ts", delay))
-    out = ev.groupBy("run_id").applyInPandasWithState(
-        _stall_fn(limit_s), STALLED_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
-    w = (out.writeStream.outputMode("append").format("parquet")
-         .option("path", sink).option("checkpointLocation", checkpoint))
+                        delay_s: int = 0, trigger: str | None = None):
+    """Runs whose latest state is not terminal ``limit_s`` seconds (event
+    time) after their first event, judged against the largest event time
+    seen so far minus ``delay_s``.
+
+    Each micro-batch is reduced per run with one aggregate (first time and
+    latest (ts, event_id, state)), merged with the open runs of the previous
+    batch (a versioned state table in the shared folder), and split into
+    closed (terminal, dropped), stalled (emitted to ``sink/batch_id=<n>`` and
+    dropped) and still open (written as state version ``<n>``).  JVM only; a
+    retried batch rewrites its own folders."""
+    state_root, clock_root = f"{sink}_state", f"{sink}_clock"
+    st_col = status_of(F.col("status"), F.col("runStatus"))
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        ev = batch.where(st_col.isNotNull()).select("run_id", "event_id", "ts", st_col.alias("state"))
+        cur = ev.groupBy("run_id").agg(
+            F.min("ts").alias("first_ts"),
+            F.max(F.struct("ts", "event_id", "state")).alias("last"))
+        prev = _read_version(spark, state_root, batch_id)
+        if prev is not None:
+            merged = (prev.withColumnRenamed("first_ts", "p_first").withColumnRenamed("last", "p_last")
+                      .join(cur, "run_id", "full")
+                      .select("run_id", F.least("p_first", "first_ts").alias("first_ts"),
+                              F.greatest("p_last", "last").alias("last")))
+        else:
+            merged = cur
+        clock_prev = _read_version(spark, clock_root, batch_id)
+        seen = ev.select(F.max("ts").alias("max_ts"))
+        if clock_prev is not None:
+            seen = seen.unionByName(clock_prev).agg(F.max("max_ts").alias("max_ts"))
+        seen.write.mode("overwrite").parquet(f"{clock_root}/v={batch_id}")
+        watermark = F.timestamp_add("SECOND", F.lit(-delay_s),
+                                    spark.read.parquet(f"{clock_root}/v={batch_id}").select(F.max("max_ts")).scalar())
+        terminal = F.col("last.state").isin(TERMINAL_STATES)
+        due = F.timestamp_add("SECOND", F.lit(limit_s), F.col("first_ts")) < watermark
+        labelled = merged.withColumn("_terminal", terminal).withColumn("_due", due)
+        (labelled.where(~F.col("_terminal") & F.col("_due"))
+         .select("run_id", F.col("last.state").alias("state"), "first_ts", F.col("last.ts").alias("last_ts"))
+         .write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}"))
+        (labelled.where(~F.col("_terminal") & ~F.col("_due")).select("run_id", "first_ts", "last")
+         .write.mode("overwrite").parquet(f"{state_root}/v={batch_id}"))
+
+    w = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return _start(w, trigger)
+
+
+def read_stalled_runs(spark: SparkSession, sink: str) -> DataFrame:
+    return spark.read.parquet(sink).drop("batch_id")

@@ -95,7 +95,7 @@ def test_stream_stalled_runs_brute_force(spark):
     q = sj.stream_stalled_runs(fx.status_events_from(stream_table(spark, SF_SMALL, "events")), sink, ckpt,
                                limit_s=900)
     q.awaitTermination()
-    got = {r.run_id: r.state for r in spark.read.parquet(sink).collect()}
+    got = {r.run_id: r.state for r in sj.read_stalled_runs(spark, sink).collect()}
     # brute force over the same events in pandas: last state per run by (ts, event_id),
     # stalled when not terminal and first_ts + 900 s < watermark (max event time)
     ev = fx.status_events(spark, SF_SMALL).toPandas()
