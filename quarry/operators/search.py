@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import BM25_B, BM25_K1, tokens
 from ..plans.sizing import bounded_broadcast
-from .index import FACETABLE, INDEX_FIELDS, SEARCHABLE, field_stats
+from ..sources.sinks import write_postings
+from .index import FACETABLE, INDEX_FIELDS, SEARCHABLE, build_postings, field_stats
 
 SCORE_DIGITS = 6
 # a literal query of at most this many characters has a proven small term set
@@ -250,3 +251,39 @@ def sort_by_field(docs: DataFrame, field: str) -> DataFrame:
     from ..plans.ordering import global_rank
     return global_rank(docs.select("id", F.col(field).alias("value")),
                        [F.col("value").asc_nulls_first(), F.col("id").asc()])
+
+
+# ------------------------------------------------------------ persisted index
+def write_search_index(docs: DataFrame, root: str, fields=SEARCHABLE, partitions: int | None = None) -> None:
+    """Build once: postings partitioned by field and range-clustered by term
+    (so ``term IN (...)`` skips row groups by min/max statistics), plus the
+    per-field statistics."""
+    fields = list(fields)
+    write_postings(build_postings(docs, fields), f"{root}/postings", partitions)
+    field_stats(docs, fields).write.mode("overwrite").parquet(f"{root}/stats")
+
+
+def query_term_list(spark: SparkSession, query: str) -> list[str]:
+    """Distinct analysed terms of one query string (a parameter, bounded by
+    its length) — computed by the same JVM tokenizer as the index."""
+    rows = spark.range(1).select(F.explode(_literal_array(query)).alias("t")).collect()
+    return sorted(r.t for r in rows)
+
+
+def search_index(spark: SparkSession, root: str, query: str, k: int = 5, fields=SEARCHABLE,
+                 where_ids: DataFrame | None = None) -> DataFrame:
+    """BM25 top-k against a persisted index: reads only the postings of the
+    query's terms (pushed-down ``IN`` filter, field partitions pruned), never
+    re-tokenizes documents.  Same scores and ranking as :func:`bm25_search`."""
+    terms = query_term_list(spark, query)
+    post = (spark.read.parquet(f"{root}/postings")
+            .where(F.col("field").isin(list(fields)) & F.col("term").isin(terms)))
+    dfreq = post.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    stats = spark.read.parquet(f"{root}/stats")
+    hits = post if where_ids is None else post.join(where_ids.select("id"), "id", "left_semi")
+    contrib = (hits.join(F.broadcast(dfreq), ["field", "term"])     # ≤ terms × fields rows
+               .join(F.broadcast(stats), "field")                    # one row per field
+               .select("id", _bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"),
+                                   F.col("avg_dl")).alias("w")))
+    scored = contrib.groupBy("id").agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score"))
+    return top_k(scored, k, [F.col("score").desc(), F.col("id").asc()]).select("rank", "id", "score")

@@ -33,10 +33,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table whose rows feed CPU-heavy text work (tokenizing, HTML)."""
-    return spread(table(spark, sf_dir, name))
+    return spread_scan(table(spark, sf_dir, name))
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread_scan(df: DataFrame) -> DataFrame:
     """Round-robin a scan that yields fewer partitions than there are task
     slots (a small file stored as one row group is read by one task).  On
     large inputs the scan already has more splits than slots and this is a
@@ -66,9 +66,10 @@ def _sql_rotate(col: str, values) -> str:
 # documents → source files → index rows
 # --------------------------------------------------------------------------
 
-def doc_files(spark, sf_dir) -> DataFrame:
+def doc_files(spark, sf_dir, spread: bool = True) -> DataFrame:
     """Source-file view of ``documents`` (content + metadata_* fields)."""
-    return doc_files_from(text_table(spark, sf_dir, "documents"))
+    src = text_table(spark, sf_dir, "documents") if spread else table(spark, sf_dir, "documents")
+    return doc_files_from(src)
 
 
 def doc_files_from(d: DataFrame) -> DataFrame:
@@ -124,9 +125,9 @@ SELECT url AS metadata_storage_path,
 FROM pages"""
 
 
-def docs(spark, sf_dir) -> DataFrame:
+def docs(spark, sf_dir, spread: bool = True) -> DataFrame:
     """Index rows (the seven declared fields) for ``documents``."""
-    return map_fields(doc_files(spark, sf_dir))
+    return map_fields(doc_files(spark, sf_dir, spread))
 
 
 # SQL twin of map_fields over a files CTE named ``files``.
