@@ -27,12 +27,13 @@ def _trim_dashes(c: Column) -> Column:
     return F.btrim(c, F.lit("-"))
 
 
-def scoped_name(workspace, domain, default: str, generic: str, suffix: str = "-documents") -> Column:
-    """Replace the generic default name by slug(workspace+suffix), else
-    slug(domain+suffix), else keep it.  ``concat`` is null-propagating, which
+def scoped_name(workspace, domain, folder: str, default: str, generic: str) -> Column:
+    """Replace the generic default name by slug(workspace-folder), else
+    slug(domain-folder), else keep it.  ``concat`` is null-propagating, which
     is what makes a missing workspace fall through to the domain."""
     ws = present(as_col(workspace))
     dm = present(as_col(domain))
+    suffix = "-" + (folder or "documents")
     derived = F.coalesce(safe_name(F.concat(ws, F.lit(suffix))),
                          safe_name(F.concat(dm, F.lit(suffix))))
     d = F.lit(default)

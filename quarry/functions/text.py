@@ -73,3 +73,16 @@ def html_text_raw(c) -> Column:
 def unescape_entities(s: pd.Series) -> pd.Series:
     """HTML entity decoding, Arrow-batched (no built-in covers all entities)."""
     return s.map(lambda v: _html.unescape(v) if isinstance(v, str) else v)
+
+
+def extract_fields(pages, html_col: str = "html", decode: bool = True):
+    """Raw page rows → title, visible text and UTF-8 size.  Title and size
+    are built-in expressions; entity decoding of the text is the one
+    Arrow-batched Python step (``decode=False`` keeps it JVM-only)."""
+    html = as_col(html_col)
+    text = html_text_raw(html)
+    title = html_title(html)
+    if decode:
+        text, title = unescape_entities(text), unescape_entities(title)
+    return pages.select("*", title.alias("title"), text.alias("text"),
+                        F.octet_length(html).cast("bigint").alias("size"))

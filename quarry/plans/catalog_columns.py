@@ -49,7 +49,7 @@ def q_scoped_name(spark, sf):
     ws = F.when(k % 4 == 0, F.lit(None).cast("string")).when(k % 4 == 1, F.lit("")).otherwise(F.col("displayName"))
     dm = F.when(k % 8 == 0, F.lit(None).cast("string")).otherwise(F.col("description"))
     generic = "onelake-documents-index"
-    return w.select("id", nm.scoped_name(ws, dm, generic, generic).alias("index_name"))
+    return w.select("id", nm.scoped_name(ws, dm, "documents", generic, generic).alias("index_name"))
 
 
 _KEY = fx.KEY_SQL
@@ -168,20 +168,19 @@ def q_category_of(spark, sf):
         .agg(F.count(F.lit(1)).alias("documents"))
 
 
-@register("extract_fields", f"""WITH {fx.PAGES_SQL}
-SELECT file_path AS url, title, file_size FROM pagedocs""")
+@register("extract_fields", r"""SELECT url, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title,
+       CAST(octet_length(encode(html)) AS BIGINT) AS file_size FROM pages""")
 def q_extract_fields(spark, sf):
-    p = fx.page_files(spark, sf)
-    return p.select(F.col("metadata_storage_path").alias("url"), F.col("metadata_title").alias("title"),
-                    F.col("metadata_storage_size").alias("file_size"))
+    """Title (entities as in the page) and UTF-8 size of every page."""
+    p = tx.extract_fields(fx.text_table(spark, sf, "pages"), decode=False)
+    return p.select("url", "title", F.col("size").alias("file_size"))
 
 
 @register("extract_text")
 def q_extract_text(spark, sf):
-    """Visible page text with entities decoded (Arrow-batched pandas UDF)."""
-    p = fx.table(spark, sf, "pages")
-    return p.select("page_id", tx.unescape_entities(tx.html_text_raw(F.col("html"))).alias("text"),
-                    tx.unescape_entities(tx.html_title(F.col("html"))).alias("title"))
+    """Visible page text and title with entities decoded (Arrow-batched pandas UDF)."""
+    p = tx.extract_fields(fx.text_table(spark, sf, "pages"), decode=True)
+    return p.select("page_id", "text", "title")
 
 
 def _fp_inputs(spark, sf):

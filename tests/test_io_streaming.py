@@ -107,3 +107,27 @@ def test_stream_stalled_runs_brute_force(spark):
         if last not in rn.TERMINAL_STATES and g["ts"].min() + pd.Timedelta(seconds=900) < wm:
             want[run_id] = last
     assert got == want
+
+
+def test_extract_text_matches_python(spark):
+    import html
+    import re
+
+    from quarry.functions import text as tx
+    pages = fx.table(spark, SF_SMALL, "pages")
+    got = {r.page_id: (r.title, r.text) for r in tx.extract_fields(pages).select("page_id", "title", "text").collect()}
+
+    def py_text(h):
+        h = re.sub(r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>", " ", h)
+        h = re.sub(r"(?s)<[^>]*>", " ", h)
+        return html.unescape(re.sub(r"\s+", " ", h, flags=re.ASCII).strip(" "))
+
+    def py_title(h):
+        m = re.search(r"(?is)<title[^>]*>(.*?)</title>", h)
+        t = m.group(1).strip(" ") if m else ""
+        return html.unescape(t) if t else None
+
+    rows = pages.collect()
+    assert len(got) == len(rows) > 0
+    for r in rows:
+        assert got[r.page_id] == (py_title(r.html), py_text(r.html))
