@@ -124,13 +124,17 @@ def score_hits(docs: DataFrame, qterms: DataFrame, fields=SEARCHABLE, keep: Colu
     # one row per (field, term) of the query terms: bounded like the terms
     dfreq = F.broadcast(dfreq) if small else dfreq
     qt = F.broadcast(qterms) if small else qterms
-    contrib = (mp.where(F.col("_keep"))
-               .join(dfreq, ["field", "term"])
-               .join(stats, "field")
-               .join(qt, "term")
-               .select("query_id", "id",
-                       _bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"), F.col("avg_dl"))
-                       .alias("w")))
+    # weight of each posting before the fan-out to queries (one row per
+    # posting, not per posting × query)
+    w = (mp.where(F.col("_keep"))
+         .join(dfreq, ["field", "term"])
+         .join(stats, "field")
+         .select("term", "id", _bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"),
+                                     F.col("avg_dl")).alias("w")))
+    if colocate:
+        # rows are partitioned by id, so summing the fields per (term, id) needs no shuffle
+        w = w.groupBy("term", "id").agg(F.sum("w").alias("w"))
+    contrib = w.join(qt, "term").select("query_id", "id", "w")
     return (contrib.groupBy("query_id", "id")
             .agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score")))
 

@@ -107,7 +107,7 @@ ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER
 
 @register("retrieve_batch", _batch_sql(5, None, "SELECT * FROM ranked"))
 def q_retrieve_batch(spark, sf):
-    return se.retrieve_batch(fx.queries_table(spark, sf), fx.docs(spark, sf, spread=False), k=5)
+    return se.retrieve_batch(fx.queries_table(spark, sf), fx.docs(spark, sf), k=5)
 
 
 # Retrieval depth 5 and our score floor for the strictness knob.
@@ -116,14 +116,14 @@ MIN_SCORE = 25.0
 
 @register("top_k_per_query", _batch_sql(5, MIN_SCORE, "SELECT * FROM ranked"))
 def q_top_k_per_query(spark, sf):
-    return se.retrieve_batch(fx.queries_table(spark, sf), fx.docs(spark, sf, spread=False), k=5,
+    return se.retrieve_batch(fx.queries_table(spark, sf), fx.docs(spark, sf), k=5,
                              min_score=MIN_SCORE)
 
 
 @register("citation_counts", _batch_sql(5, MIN_SCORE,
                                         "SELECT query_id, count(*) AS passages FROM ranked GROUP BY query_id"))
 def q_citation_counts(spark, sf):
-    hits = se.retrieve_batch(fx.queries_table(spark, sf), fx.docs(spark, sf, spread=False), k=5,
+    hits = se.retrieve_batch(fx.queries_table(spark, sf), fx.docs(spark, sf), k=5,
                              min_score=MIN_SCORE)
     return se.citation_counts(hits)
 

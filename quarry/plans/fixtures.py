@@ -32,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows feed CPU-heavy text work (tokenizing, HTML)."""
+    """A table whose rows feed CPU-heavy work (tokenizing, HTML, profiling)."""
     return spread_scan(table(spark, sf_dir, name))
 
 
