@@ -44,12 +44,16 @@ FIELD_MAPPING = [
 ]
 
 
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "timestamp_ntz": T.TimestampNTZType()}
+
+
 def index_schema() -> T.StructType:
+    """The declared schema; per-field flags travel as column metadata."""
     fields = []
     for name, typ, key, searchable, filterable, sortable, facetable in INDEX_FIELDS:
         meta = {"key": key, "searchable": searchable, "filterable": filterable,
                 "sortable": sortable, "facetable": facetable}
-        fields.append(T.StructField(name, T._parse_datatype_string(typ), not key, meta))
+        fields.append(T.StructField(name, _TYPES[typ], not key, meta))
     return T.StructType(fields)
 
 

@@ -11,7 +11,7 @@ from ..sources import sinks
 from . import fixtures as fx
 from .catalog_columns import CLASSIFY_SQL
 from .catalog_governance import RECONCILE_SQL
-from .registry import _ORACLES, register
+from .registry import oracle_for, register
 
 NOW_SQL = f"TIMESTAMP '{fx.NOW}'"
 
@@ -104,7 +104,7 @@ def q_write_telemetry(spark, sf):
     return rn.telemetry_records(fx.telemetry(spark, sf), fx.now_lit())
 
 
-@register("write_telemetry_file", _ORACLES["write_telemetry"].replace(
+@register("write_telemetry_file", oracle_for("write_telemetry").replace(
     "SELECT RunId, record, CAST(octet_length(encode(record)) AS BIGINT) AS bytes FROM r", "SELECT record AS value FROM r"))
 def q_write_telemetry_file(spark, sf):
     import uuid

@@ -13,7 +13,6 @@ from .registry import register
 
 # The search probes used by the registered queries.
 SEARCH_QUERY = "The équechier Ungßach thwhwhly report doc pdf 42"
-FILTER_EXTENSIONS = [".pdf", ".docx"]
 TOKEN_RE = r"'[\p{L}\p{N}]+'"
 
 # ---------------------------------------------------------------- SQL pieces

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from ..operators import index as ix
 from ..streaming import jobs as sj
 from . import fixtures as fx
-from .catalog_lake import q_upsert_index
+from . import catalog_lake  # noqa: F401  (registers upsert_index, whose SQL is reused)
 from .catalog_runs import LATEST_SQL
-from .registry import _ORACLES, register
+from .registry import oracle_for, register
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = None) -> DataFrame:
@@ -55,7 +55,7 @@ def q_stream_telemetry(spark, sf):
     return spark.read.parquet(sink).withColumn("Timestamp", F.col("Timestamp").cast("timestamp_ntz"))
 
 
-@register("stream_ingest", _ORACLES["upsert_index"])
+@register("stream_ingest", oracle_for("upsert_index"))
 def q_stream_ingest(spark, sf):
     sink, ckpt = sj.run_folder(spark, "ingest")
     docs = ix.map_fields(fx.doc_files_from(stream_table(spark, sf, "documents")))
@@ -81,5 +81,3 @@ def q_stream_stalled_runs(spark, sf):
     q.awaitTermination()
     return sj.read_stalled_runs(spark, sink)
 
-
-assert q_upsert_index is not None

@@ -31,3 +31,8 @@ def queries() -> dict[str, QueryFn]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
+
+
+def oracle_for(name: str) -> str:
+    """The oracle SQL of an already registered query (to reuse it)."""
+    return _ORACLES[name]
