@@ -140,9 +140,10 @@ def q_chunk_text(spark, sf):
 @register("tokenize", f"""WITH {fx.DOCS_SQL}, {FIELDS_SQL}, {TOK_SQL}
 SELECT field, term, count(*) AS occurrences, count(DISTINCT id) AS docs FROM occ GROUP BY field, term""")
 def q_tokenize(spark, sf):
-    t = ix.tokenize(fx.docs(spark, sf))
-    return t.groupBy("field", "term").agg(F.count(F.lit(1)).alias("occurrences"),
-                                          F.count_distinct("id").alias("docs"))
+    """Occurrences and documents per analysed term; postings are unique per
+    (field, term, document), so the distinct count is a plain count."""
+    p = ix.build_postings(fx.docs(spark, sf))
+    return p.groupBy("field", "term").agg(F.sum("tf").alias("occurrences"), F.count(F.lit(1)).alias("docs"))
 
 
 @register("build_postings", f"""WITH {fx.DOCS_SQL}, {FIELDS_SQL}, {TOK_SQL}
