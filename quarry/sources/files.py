@@ -60,11 +60,15 @@ def scan_documents(spark: SparkSession, root: str, include=INCLUDE_EXTENSIONS,
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text file(s) → (file, line_no, line).  Each env file is read whole
-    (they are a few lines long) so line numbers are exact per file."""
-    df = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value"))
-    return df.select("file", F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("line_no", "line"))
+    """Text file(s) → (file, line_no, line), one row per line, split across
+    tasks like any text scan.  ``line_no`` is an order key, not a count:
+    (start of the file split, position within the split), which is monotone
+    in file order — all that first/last-wins needs."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"),
+                 F.monotonically_increasing_id().alias("pos")).alias("line_no"),
+        F.col("value").alias("line"))
 
 
 # key=value rule — split at the first '=', strip double quotes.
@@ -88,7 +92,8 @@ def parse_pairs(lines: DataFrame, keep: str = "last", line_col: str = "line",
 
 
 def scan_pairs(spark: SparkSession, path: str, keep: str = "last") -> DataFrame:
-    return parse_pairs(read_lines(spark, path), keep=keep, group_cols=("file",))
+    """(file, key, value) from KEY=VALUE files."""
+    return parse_pairs(read_lines(spark, path), keep=keep, group_cols=("file",)).drop("line_no")
 
 
 LISTING_ITEM = T.StructType([T.StructField("id", T.StringType()), T.StructField("displayName", T.StringType())])

@@ -131,3 +131,23 @@ def test_extract_text_matches_python(spark):
     assert len(got) == len(rows) > 0
     for r in rows:
         assert got[r.page_id] == (py_title(r.html), py_text(r.html))
+
+
+def test_scan_pairs_order_across_splits(spark, scratch):
+    lines = [f"K{i % 50}=v{i}" for i in range(40000)]
+    with open(f"{scratch}/big.env", "w") as fh:
+        fh.write("\n".join(lines) + "\n")
+    last, first = {}, {}
+    for ln in lines:
+        k, v = ln.split("=", 1)
+        last[k] = v
+        first.setdefault(k, v)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        assert spark.read.text(f"{scratch}/big.env").rdd.getNumPartitions() > 1
+        got_last = {r.key: r.value for r in fs.scan_pairs(spark, f"{scratch}/big.env").collect()}
+        got_first = {r.key: r.value for r in fs.scan_pairs(spark, f"{scratch}/big.env", keep="first").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got_last == last and got_first == first
