@@ -105,13 +105,15 @@ def score_hits(docs: DataFrame, qterms: DataFrame, fields=SEARCHABLE, keep: Colu
     ``regexp_count`` in a second scan.
     """
     fields = list(fields)
-    distinct_terms = qterms.select("term").distinct()
     if literal_terms is not None or terms_broadcast:
-        distinct_terms, small = F.broadcast(distinct_terms), True
+        small = True
     elif terms_broadcast is None:
-        distinct_terms, small = bounded_broadcast(distinct_terms, max_terms)
+        # (query, term) rows bound the distinct terms and the df table as well
+        _, small = bounded_broadcast(qterms, max_terms)
     else:
         small = False
+    distinct_terms = qterms.select("term").distinct()
+    distinct_terms = F.broadcast(distinct_terms) if small else distinct_terms
     tok = _field_tokens(docs, fields, keep)
     if colocate:
         tok = tok.repartition("id")

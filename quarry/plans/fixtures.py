@@ -527,7 +527,9 @@ FROM conversations)"""
 
 
 def listing_envelopes(spark, sf_dir) -> DataFrame:
-    """One ``{"value": [...]}`` listing document per region, packed with to_json."""
+    """One ``{"value": [...]}`` listing document per region, packed with
+    to_json; a page holds the nations of one region (five, fixed by the
+    TPC-H schema), so the collected group is bounded."""
     n = table(spark, sf_dir, "nation")
     return (n.groupBy(F.col("n_regionkey").alias("page"))
             .agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct(
