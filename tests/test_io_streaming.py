@@ -151,3 +151,32 @@ def test_scan_pairs_order_across_splits(spark, scratch):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got_last == last and got_first == first
+
+
+def test_stream_ingest_restart_and_merge(spark):
+    from quarry.plans.catalog_streaming import stream_table
+    sink, ckpt = sj.run_folder(spark, "ingest-test")
+    for _ in range(2):
+        docs = ix.map_fields(fx.doc_files_from(stream_table(spark, SF_SMALL, "documents")))
+        q = sj.stream_ingest(docs, sink, ckpt, map_fn=lambda b: b)
+        q.awaitTermination()
+    versions = spark.read.parquet(sink).select("v").distinct().count()
+    assert versions == 1
+    cur = sj.read_current_index(spark, sink)
+    assert cur.count() == fx.docs(spark, SF_SMALL).count()
+    assert cur.select("id").distinct().count() == cur.count()
+
+
+def test_stream_telemetry_dedups_across_batches(spark, scratch):
+    tel = fx.telemetry(spark, SF_SMALL).withColumn(
+        "Timestamp", F.coalesce(F.col("Timestamp"), fx.now_lit()).cast("timestamp"))
+    src = f"{scratch}/deliveries"
+    tel.coalesce(1).write.mode("append").parquet(src)     # first delivery
+    tel.coalesce(1).write.mode("append").parquet(src)     # the same records re-sent
+    stream = spark.readStream.schema(tel.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    sink, ckpt = sj.run_folder(spark, "telemetry-test")
+    q = sj.stream_telemetry(stream, sink, ckpt)
+    q.awaitTermination()
+    out = spark.read.parquet(sink)
+    assert out.count() == tel.count()
+    assert out.select("RunId").distinct().count() == tel.count()
