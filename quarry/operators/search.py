@@ -122,7 +122,13 @@ def score_hits(docs: DataFrame, qterms: DataFrame, fields=SEARCHABLE, keep: Colu
         stats = field_stats(docs, fields)
     stats = F.broadcast(stats)                                   # one row per field
     mp = _postings_of(tok, distinct_terms, literal_terms)
-    dfreq = mp.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    # df and the collection frequency cf; using cf (every posting has tf >= 1,
+    # so the filter keeps all rows) keeps tf from being pruned in this branch,
+    # which makes its postings exchange identical to the scoring branch's and
+    # lets Spark reuse it instead of tokenizing the documents again
+    dfreq = (mp.groupBy("field", "term")
+             .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+             .where(F.col("cf") > 0).drop("cf"))
     # one row per (field, term) of the query terms: bounded like the terms
     dfreq = F.broadcast(dfreq) if small else dfreq
     qt = F.broadcast(qterms) if small else qterms
