@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.values import old_enough, usable
 from ..plans.sizing import small_or_shuffle
-from .lookups import lookup_active
+from .lookups import lookup_active, scope_filter
 
 
 def orphan_candidates(workspaces: DataFrame, capacities: DataFrame, excluded: DataFrame,
@@ -82,8 +82,17 @@ def profile_table(df: DataFrame, table_name: str, approx: bool = True) -> DataFr
     return out.select(*cols_out)
 
 
-def catalog_scan(tables: dict[str, DataFrame], approx: bool = True) -> DataFrame:
-    """Profile every table of the scope and union the per-column rows."""
+def catalog_scan(tables: dict[str, DataFrame], scope: DataFrame | None = None,
+                 workspaces: DataFrame | None = None, workspace_cols: dict[str, str] | None = None,
+                 approx: bool = True) -> DataFrame:
+    """Scoped asset discovery: tables with a workspace column
+    (``workspace_cols``) keep only rows of in-scope, non-personal
+    workspaces; every table is profiled in one pass and the per-column rows
+    are unioned."""
+    if scope is not None and workspaces is not None:
+        tables = {name: (scope_filter(df, scope, workspaces, asset_ws_col=(workspace_cols or {})[name])
+                         if name in (workspace_cols or {}) else df)
+                  for name, df in tables.items()}
     return reduce(DataFrame.unionByName, [profile_table(df, name, approx) for name, df in tables.items()])
 
 

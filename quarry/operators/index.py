@@ -8,8 +8,6 @@ field), so nothing in the build needs a broadcast or a skew-prone join.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,22 +120,3 @@ def corpus_stats(docs: DataFrame, postings: DataFrame | None = None, fields=SEAR
     dfreq = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     # field_stats has one row per field (proven bound: number of fields).
     return dfreq.join(F.broadcast(field_stats(docs, fields)), "field")
-
-
-@dataclass
-class SearchIndex:
-    """A search index as DataFrames: the documents and their field list.
-    Postings and statistics are derived lazily so a search reads only the
-    postings of its own terms."""
-    docs: DataFrame
-    fields: tuple = tuple(SEARCHABLE)
-
-    def postings(self) -> DataFrame:
-        return build_postings(self.docs, list(self.fields))
-
-    def stats(self) -> DataFrame:
-        return field_stats(self.docs, list(self.fields))
-
-
-def build_index(docs: DataFrame, fields=SEARCHABLE) -> SearchIndex:
-    return SearchIndex(docs, tuple(fields))

@@ -253,25 +253,22 @@ def _profile_sql() -> str:
     return f"WITH {fx.WORKSPACES_SQL}, {fx.SCOPE_SQL} " + " UNION ALL ".join(parts)
 
 
-def _scoped_tables(spark, sf):
-    """Tables of the scan scope; ``orders`` restricted to in-scope workspaces."""
+def _profile_inputs(spark, sf):
     # profiling is CPU-bound (dozens of aggregates per table): spread one-row-group files
-    tables = {t: fx.text_table(spark, sf, t) for t in PROFILE_TABLES}
-    scoped = lk.scope_filter(tables["orders"], fx.scope(spark, sf), fx.workspaces(spark, sf),
-                             asset_ws_col="o_custkey")
-    tables["orders"] = scoped
-    return tables
+    return dict(tables={t: fx.text_table(spark, sf, t) for t in PROFILE_TABLES},
+                scope=fx.scope(spark, sf), workspaces=fx.workspaces(spark, sf),
+                workspace_cols={"orders": "o_custkey"})
 
 
 @register("catalog_scan")
 def q_catalog_scan(spark, sf):
     """With approximate distinct counts (HyperLogLog++): rows-only check."""
-    return gv.catalog_scan(_scoped_tables(spark, sf), approx=True)
+    return gv.catalog_scan(**_profile_inputs(spark, sf), approx=True)
 
 
 @register("catalog_profile", _profile_sql())
 def q_catalog_profile(spark, sf):
-    return gv.catalog_scan(_scoped_tables(spark, sf), approx=False)
+    return gv.catalog_scan(**_profile_inputs(spark, sf), approx=False)
 
 
 # ------------------------------------------------------------ config layers
