@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import document_key, url_leaf, utf8_size
+from ..functions.names import url_leaf, utf8_size
 from ..functions.text import html_title
 from ..operators.index import map_fields
 
