@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 
 from ..operators.lake import upsert_index
@@ -71,28 +72,61 @@ def read_current_index(spark: SparkSession, index_root: str, before: int | None
 
 
 # --------------------------------------------------------------- latest state
-def stream_latest_state(events: DataFrame, sink: str, checkpoint: str, trigger: str | None = None):
-    """Live current state per run: a streaming aggregate (max_by over
-    (ts, event_id)) in update mode; each batch's changed runs are appended
-    to ``sink/batch_id=<n>``."""
+def _read_version(spark: SparkSession, root: str, before: int) -> DataFrame | None:
+    try:
+        versions = spark.read.parquet(root)
+    except AnalysisException:
+        return None
+    versions = versions.where(F.col("v") < before)
+    newest = versions.agg(F.max("v")).first()[0]
+    return None if newest is None else versions.where(F.col("v") == newest).drop("v")
+
+
+def _merge_runs(batch: DataFrame, prev: DataFrame | None) -> DataFrame:
+    """Per run: first event time and latest (ts, event_id, state) over the
+    micro-batch merged with the open runs carried from earlier batches."""
     st = status_of(F.col("status"), F.col("runStatus"))
-    agg = (events.where(st.isNotNull()).groupBy("run_id")
-           .agg(F.max_by(st, F.struct("ts", "event_id")).alias("state"),
-                F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
+    ev = batch.where(st.isNotNull()).select("run_id", "event_id", "ts", st.alias("state"))
+    cur = ev.groupBy("run_id").agg(F.min("ts").alias("first_ts"),
+                                   F.max(F.struct("ts", "event_id", "state")).alias("last"))
+    if prev is None:
+        return cur
+    return (prev.withColumnRenamed("first_ts", "p_first").withColumnRenamed("last", "p_last")
+            .join(cur, "run_id", "full")
+            .select("run_id", F.least("p_first", "first_ts").alias("first_ts"),
+                    F.greatest("p_last", "last").alias("last")))
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
-    w = agg.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+def stream_latest_state(events: DataFrame, sink: str, checkpoint: str, trigger: str | None = None):
+    """Live current state per run.  Each micro-batch is reduced per run with
+    one aggregate, merged with the runs still open (a versioned state table:
+    terminal runs leave it, so state stays bounded by the open runs), and the
+    merged rows of the runs it touched are appended to ``sink/batch_id=<n>``."""
+    state_root = f"{sink}_state"
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)   # two outputs from one micro-batch
+        try:
+            merged = _merge_runs(batch, _read_version(spark, state_root, batch_id))
+            touched = batch.select("run_id").distinct()
+            (merged.join(touched, "run_id", "left_semi")
+             .write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}"))
+            (merged.where(~F.col("last.state").isin(TERMINAL_STATES))
+             .write.mode("overwrite").parquet(f"{state_root}/v={batch_id}"))
+        finally:
+            batch.unpersist()
+
+    w = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return _start(w, trigger)
 
 
 def read_latest_state(spark: SparkSession, sink: str) -> DataFrame:
-    """Final state: for each run the row of the newest batch that changed it."""
+    """Final state per run over all changes: the latest (ts, event_id) row
+    and the earliest event time."""
     ch = spark.read.parquet(sink)
-    row = F.struct("state", "first_ts", "last_ts")
-    return (ch.groupBy("run_id").agg(F.max_by(row, F.col("batch_id")).alias("_r"))
-            .select("run_id", "_r.state", "_r.first_ts", "_r.last_ts")
+    return (ch.groupBy("run_id").agg(F.max("last").alias("last"), F.min("first_ts").alias("first_ts"))
+            .select("run_id", F.col("last.state").alias("state"), "first_ts", F.col("last.ts").alias("last_ts"))
             .withColumn("terminal", F.col("state").isin(TERMINAL_STATES)))
 
 
@@ -108,16 +142,6 @@ def stream_telemetry(records: DataFrame, sink: str, checkpoint: str, event_time:
 
 
 # --------------------------------------------------------------- stalled runs
-def _read_version(spark: SparkSession, root: str, before: int) -> DataFrame | None:
-    try:
-        versions = spark.read.parquet(root)
-    except AnalysisException:
-        return None
-    versions = versions.where(F.col("v") < before)
-    newest = versions.agg(F.max("v")).first()[0]
-    return None if newest is None else versions.where(F.col("v") == newest).drop("v")
-
-
 def stream_stalled_runs(events: DataFrame, sink: str, checkpoint: str, limit_s: int = STALL_LIMIT_S,
                         delay_s: int = 0, trigger: str | None = None):
     """Runs whose latest state is not terminal ``limit_s`` seconds (event
@@ -135,18 +159,15 @@ def stream_stalled_runs(events: DataFrame, sink: str, checkpoint: str, limit_s:
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        ev = batch.where(st_col.isNotNull()).select("run_id", "event_id", "ts", st_col.alias("state"))
-        cur = ev.groupBy("run_id").agg(
-            F.min("ts").alias("first_ts"),
-            F.max(F.struct("ts", "event_id", "state")).alias("last"))
-        prev = _read_version(spark, state_root, batch_id)
-        if prev is not None:
-            merged = (prev.withColumnRenamed("first_ts", "p_first").withColumnRenamed("last", "p_last")
-                      .join(cur, "run_id", "full")
-                      .select("run_id", F.least("p_first", "first_ts").alias("first_ts"),
-                              F.greatest("p_last", "last").alias("last")))
-        else:
-            merged = cur
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)   # three outputs from one micro-batch
+        try:
+            _stall_step(spark, batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def _stall_step(spark, batch: DataFrame, batch_id: int) -> None:
+        ev = batch.where(st_col.isNotNull())
+        merged = _merge_runs(batch, _read_version(spark, state_root, batch_id))
         clock_prev = _read_version(spark, clock_root, batch_id)
         seen = ev.select(F.max("ts").alias("max_ts"))
         if clock_prev is not None:
