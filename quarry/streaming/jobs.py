@@ -40,35 +40,60 @@ def _start(writer, trigger: str | None):
 # --------------------------------------------------------------- ingest
 def stream_ingest(files: DataFrame, index_root: str, checkpoint: str, map_fn,
                   trigger: str | None = None):
-    """Index documents as they arrive: each micro-batch is mapped to index
-    rows and merged (newest ``last_modified`` wins) into a new index version
-    folder ``<index_root>/v=<batch_id>``; the newest version is the current
-    index.  A retried batch overwrites its own version folder."""
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+    """Index documents as they arrive, merge-on-read: each micro-batch maps
+    its files to index rows, keeps the newest row per key within the batch,
+    and writes only those rows to ``<index_root>/changes/batch_id=<n>`` — a
+    batch costs O(batch), never a rewrite of the index, and a retried batch
+    overwrites its own folder.  :func:`read_current_index` merges snapshot
+    and changes; :func:`compact_index` folds changes into a new snapshot."""
+    def step(batch: DataFrame, batch_id: int) -> None:
         rows = map_fn(batch)
-        prev = read_current_index(spark, index_root, before=batch_id)
-        # merging into an empty index still resolves duplicates within the batch
-        merged = upsert_index(prev if prev is not None else rows.limit(0), rows)
-        merged.write.mode("overwrite").parquet(f"{index_root}/v={batch_id}")
+        upsert_index(rows.limit(0), rows).write.mode("overwrite") \
+            .parquet(f"{index_root}/changes/batch_id={batch_id}")
 
-    w = files.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    w = files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return _start(w, trigger)
 
 
-def read_current_index(spark: SparkSession, index_root: str, before: int | None = None) -> DataFrame | None:
-    """Rows of the newest version (partition column ``v``) below ``before``;
-    None before the first version exists."""
+def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        versions = spark.read.parquet(index_root)
+        return spark.read.parquet(path)
     except AnalysisException:
         return None
-    if before is not None:
-        versions = versions.where(F.col("v") < before)
-    newest = versions.agg(F.max("v")).first()[0]
-    if newest is None:
+
+
+def read_current_index(spark: SparkSession, index_root: str, key: str = "id",
+                       version: str = "last_modified") -> DataFrame | None:
+    """Current index: the newest snapshot plus every later change, newest
+    ``version`` per key (a later batch wins a tie) — one aggregate."""
+    snap = _read_or_none(spark, f"{index_root}/snapshot")
+    changes = _read_or_none(spark, f"{index_root}/changes")
+    parts = []
+    if snap is not None:
+        newest = snap.agg(F.max("v")).first()[0]
+        parts.append(snap.where(F.col("v") == newest).drop("v").withColumn("batch_id", F.lit(newest)))
+        if changes is not None:
+            changes = changes.where(F.col("batch_id") > newest)
+    if changes is not None:
+        parts.append(changes)
+    if not parts:
         return None
-    return versions.where(F.col("v") == newest).drop("v")
+    allrows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    cols = [c for c in allrows.columns if c not in (key, "batch_id")]
+    return (allrows.groupBy(key)
+            .agg(F.max_by(F.struct(*cols), F.struct(version, "batch_id")).alias("_w"))
+            .select(key, *[F.col(f"_w.{c}").alias(c) for c in cols]))
+
+
+def compact_index(spark: SparkSession, index_root: str) -> None:
+    """Fold the changes into snapshot ``v=<last batch>``; readers switch to it
+    once it is complete, and earlier folders can then be removed."""
+    changes = _read_or_none(spark, f"{index_root}/changes")
+    if changes is None:
+        return
+    last = changes.agg(F.max("batch_id")).first()[0]
+    read_current_index(spark, index_root).write.mode("overwrite") \
+        .parquet(f"{index_root}/snapshot/v={last}")
 
 
 # --------------------------------------------------------------- latest state
