@@ -90,3 +90,4 @@ def test_latest_state_hot_run(spark):
     got = {r.run_id: r.state for r in ls.collect()}
     assert got == want
     assert isinstance(pd.Timestamp(ls.where("run_id = -1").first().first_ts), pd.Timestamp)
+
