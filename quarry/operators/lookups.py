@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.formats import DATASOURCE_KIND, OWN_DATASOURCE_PREFIX
 from ..plans.sizing import small_or_shuffle
 
 
@@ -67,8 +68,8 @@ def resolve_with_fallback(names: DataFrame, primary: DataFrame, secondary: DataF
 
 
 def pick_by_priority(requests: DataFrame, candidates: DataFrame, account: str,
-                     request_col: str = "workspace_id", prefix: str = "Fabric-Workspace-",
-                     kind: str = "PowerBI") -> DataFrame:
+                     request_col: str = "workspace_id", prefix: str = OWN_DATASOURCE_PREFIX,
+                     kind: str = DATASOURCE_KIND) -> DataFrame:
     """Datasource choice per request: the request's own datasource, else the
     first root-level one of ``kind`` (no collection or the account
     collection), else the first of ``kind`` anywhere, else create the own

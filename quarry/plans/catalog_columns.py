@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import formats as fm
 from ..functions import names as nm
 from ..functions import text as tx
 from ..functions import values as vl
@@ -41,15 +42,15 @@ def _present_sql(x: str) -> str:
 s AS (SELECT id, CASE WHEN id % 4 = 0 THEN NULL WHEN id % 4 = 1 THEN '' ELSE displayName END AS ws,
              CASE WHEN id % 8 = 0 THEN NULL ELSE description END AS dm FROM workspaces)
 SELECT id, coalesce({_slug_sql(_present_sql('ws') + " || '-documents'")},
-                    {_slug_sql(_present_sql('dm') + " || '-documents'")}, 'onelake-documents-index') AS index_name
+                    {_slug_sql(_present_sql('dm') + " || '-documents'")}, '{fm.DEFAULT_INDEX_NAME}') AS index_name
 FROM s""")
 def q_scoped_name(spark, sf):
     w = fx.workspaces(spark, sf)
     k = F.col("id")
     ws = F.when(k % 4 == 0, F.lit(None).cast("string")).when(k % 4 == 1, F.lit("")).otherwise(F.col("displayName"))
     dm = F.when(k % 8 == 0, F.lit(None).cast("string")).otherwise(F.col("description"))
-    generic = "onelake-documents-index"
-    return w.select("id", nm.scoped_name(ws, dm, "documents", generic, generic).alias("index_name"))
+    generic = fm.DEFAULT_INDEX_NAME
+    return w.select("id", nm.scoped_name(ws, dm, fm.DOCUMENTS_FOLDER, generic, generic).alias("index_name"))
 
 
 _KEY = fx.KEY_SQL
@@ -77,7 +78,8 @@ def q_path_leaf(spark, sf):
                     nm.path_leaf(F.regexp_replace("url", "[^/]*$", ""), default="documents").alias("folder_leaf"))
 
 
-RESOURCE_FMT = "/subscriptions/%s/resourceGroups/%s/providers/Microsoft.Fabric/capacities/%s"
+RESOURCE_FMT = fm.CAPACITY_RESOURCE_FMT
+_RES = RESOURCE_FMT.split("%s")   # literal pieces between the parts, for the SQL twin
 
 
 @register("compose_id", f"""WITH r AS (
@@ -85,7 +87,7 @@ RESOURCE_FMT = "/subscriptions/%s/resourceGroups/%s/providers/Microsoft.Fabric/c
          CASE WHEN c_custkey % 6 = 0 THEN '' ELSE 'rg-' || lower(c_mktsegment) END AS rg,
          'cap' || CAST(c_custkey AS VARCHAR) AS cap FROM customer)
 SELECT id, CASE WHEN {_present_sql('sub')} IS NOT NULL AND {_present_sql('rg')} IS NOT NULL AND {_present_sql('cap')} IS NOT NULL
-                THEN '/subscriptions/' || sub || '/resourceGroups/' || rg || '/providers/Microsoft.Fabric/capacities/' || cap
+                THEN '{_RES[0]}' || sub || '{_RES[1]}' || rg || '{_RES[2]}' || cap
            END AS resource_id
 FROM r""")
 def q_compose_id(spark, sf):
@@ -97,8 +99,8 @@ def q_compose_id(spark, sf):
 
 
 @register("path_segment", f"""WITH r AS (
-  SELECT c_custkey AS id, '/subscriptions/sub-' || CAST(c_nationkey AS VARCHAR) || '/resourceGroups/rg-'
-         || lower(c_mktsegment) || '/providers/Microsoft.Fabric/capacities/cap' || CAST(c_custkey AS VARCHAR) AS rid
+  SELECT c_custkey AS id, '{_RES[0]}sub-' || CAST(c_nationkey AS VARCHAR) || '{_RES[1]}rg-'
+         || lower(c_mktsegment) || '{_RES[2]}cap' || CAST(c_custkey AS VARCHAR) AS rid
   FROM customer)
 SELECT id, string_split(rid, '/')[5] AS resource_group, string_split(rid, '/')[9] AS capacity,
        string_split(rid, '/')[20] AS beyond FROM r""")
@@ -112,13 +114,13 @@ def q_path_segment(spark, sf):
 
 
 @register("json_path", f"""WITH {fx.OUTPUTS_SQL}
-SELECT env, CASE WHEN json_valid(outputs) THEN json_extract_string(outputs, '$.fabricCapacityId.value') END AS capacity_id,
-       CASE WHEN json_valid(outputs) THEN json_extract_string(outputs, '$.desiredFabricWorkspaceName.value') END AS workspace_name
+SELECT env, CASE WHEN json_valid(outputs) THEN json_extract_string(outputs, '$.{fm.OUTPUT_CAPACITY_FIELD}.value') END AS capacity_id,
+       CASE WHEN json_valid(outputs) THEN json_extract_string(outputs, '$.{fm.OUTPUT_WORKSPACE_FIELD}.value') END AS workspace_name
 FROM outputs_json""")
 def q_json_path(spark, sf):
     o = fx.outputs_json(spark, sf)
-    return o.select("env", vl.json_path("outputs", "fabricCapacityId.value").alias("capacity_id"),
-                    vl.json_path("outputs", "desiredFabricWorkspaceName.value").alias("workspace_name"))
+    return o.select("env", vl.json_path("outputs", f"{fm.OUTPUT_CAPACITY_FIELD}.value").alias("capacity_id"),
+                    vl.json_path("outputs", f"{fm.OUTPUT_WORKSPACE_FIELD}.value").alias("workspace_name"))
 
 
 @register("redact_tokens", f"""WITH {fx.MESSAGES_SQL}

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.formats import DATASOURCE_KIND, OWN_DATASOURCE_PREFIX
 from ..operators import governance as gv
 from ..operators import lookups as lk
 from ..operators import reconcile as rc
@@ -70,19 +71,19 @@ def _priority_candidates(spark, sf):
     s = fx.table(spark, sf, "supplier")
     ds = fx.datasources(spark, sf)
     own = s.where(F.col("s_suppkey") % 5 == 0).select(
-        F.concat(F.lit("Fabric-Workspace-"), (F.col("s_suppkey") * 3).cast("string")).alias("name"),
-        F.lit("PowerBI").alias("kind"), F.concat(F.lit("collection-"), F.col("s_nationkey").cast("string"))
+        F.concat(F.lit(OWN_DATASOURCE_PREFIX), (F.col("s_suppkey") * 3).cast("string")).alias("name"),
+        F.lit(DATASOURCE_KIND).alias("kind"), F.concat(F.lit("collection-"), F.col("s_nationkey").cast("string"))
         .alias("collection"), F.col("s_nationkey").alias("workspace"))
     return ds.unionByName(own)
 
 
 PRIORITY_SQL = f"""{fx.DATASOURCES_SQL},
 cands AS (SELECT name, kind, collection FROM datasources
-          UNION ALL SELECT 'Fabric-Workspace-' || CAST(s_suppkey * 3 AS VARCHAR), 'PowerBI',
+          UNION ALL SELECT '{OWN_DATASOURCE_PREFIX}' || CAST(s_suppkey * 3 AS VARCHAR), '{DATASOURCE_KIND}',
                            'collection-' || CAST(s_nationkey AS VARCHAR) FROM supplier WHERE s_suppkey % 5 = 0),
-rootf AS (SELECT min(name) AS n FROM cands WHERE kind = 'PowerBI' AND (collection IS NULL OR collection = '{fx.ACCOUNT_COLLECTION}')),
-anyf AS (SELECT min(name) AS n FROM cands WHERE kind = 'PowerBI'),
-req AS (SELECT c_custkey AS request, 'Fabric-Workspace-' || CAST(c_custkey AS VARCHAR) AS own_name FROM customer),
+rootf AS (SELECT min(name) AS n FROM cands WHERE kind = '{DATASOURCE_KIND}' AND (collection IS NULL OR collection = '{fx.ACCOUNT_COLLECTION}')),
+anyf AS (SELECT min(name) AS n FROM cands WHERE kind = '{DATASOURCE_KIND}'),
+req AS (SELECT c_custkey AS request, '{OWN_DATASOURCE_PREFIX}' || CAST(c_custkey AS VARCHAR) AS own_name FROM customer),
 own AS (SELECT DISTINCT name AS own_name FROM cands)"""
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.formats import PAIR_PREFIX_WORKSPACE
 from ..operators import index as ix
 from ..operators import lake as lk
 from ..sources import files as sf_files
@@ -127,10 +128,10 @@ def q_scan_listing(spark, sf):
 
 
 @register("export_pairs", f"""WITH {fx.WORKSPACES_SQL}
-SELECT 'FABRIC_WORKSPACE_' || upper(regexp_replace(displayName, '[^A-Za-z0-9]', '_', 'g')) || '_ID=' || CAST(id AS VARCHAR) AS line
+SELECT '{PAIR_PREFIX_WORKSPACE}_' || upper(regexp_replace(displayName, '[^A-Za-z0-9]', '_', 'g')) || '_ID=' || CAST(id AS VARCHAR) AS line
 FROM workspaces""")
 def q_export_pairs(spark, sf):
-    return sinks.pair_lines(fx.workspaces(spark, sf), "FABRIC_WORKSPACE", "displayName", "id")
+    return sinks.pair_lines(fx.workspaces(spark, sf), PAIR_PREFIX_WORKSPACE, "displayName", "id")
 
 
 # ------------------------------------------------------------ SQL functions
@@ -178,9 +179,9 @@ def q_write_layers(spark, sf):
 
 
 @register("export_pairs_file", f"""WITH {fx.WORKSPACES_SQL}
-SELECT 'FABRIC_WORKSPACE_' || upper(regexp_replace(displayName, '[^A-Za-z0-9]', '_', 'g')) || '_ID=' || CAST(id AS VARCHAR) AS value
+SELECT '{PAIR_PREFIX_WORKSPACE}_' || upper(regexp_replace(displayName, '[^A-Za-z0-9]', '_', 'g')) || '_ID=' || CAST(id AS VARCHAR) AS value
 FROM workspaces""")
 def q_export_pairs_file(spark, sf):
     path = _scratch(spark, "pairs")
-    sinks.export_pairs(fx.workspaces(spark, sf), path, "FABRIC_WORKSPACE", "displayName", "id")
+    sinks.export_pairs(fx.workspaces(spark, sf), path, PAIR_PREFIX_WORKSPACE, "displayName", "id")
     return spark.read.text(path)

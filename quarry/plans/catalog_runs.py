@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.formats import TELEMETRY_WORKSPACE_FIELD as WS_FIELD
 from ..operators import reconcile as rc
 from ..operators import runs as rn
 from ..sources import sinks
@@ -95,10 +96,10 @@ def q_telemetry_by_run(spark, sf):
 
 @register("write_telemetry", f"""WITH {fx.TELEMETRY_SQL},
 f AS (SELECT RunId, Workflow, Status, Duration,
-             strftime(coalesce("Timestamp", {NOW_SQL}), '%Y-%m-%dT%H:%M:%S.%fZ') AS ts, FabricWorkspaceId FROM telemetry),
+             strftime(coalesce("Timestamp", {NOW_SQL}), '%Y-%m-%dT%H:%M:%S.%fZ') AS ts, {WS_FIELD} FROM telemetry),
 r AS (SELECT RunId, '{{"RunId":' || to_json(RunId) || ',"Workflow":' || to_json(Workflow) || ',"Status":' || to_json(Status)
              || ',"Duration":' || CAST(Duration AS VARCHAR) || ',"Timestamp":' || to_json(ts)
-             || ',"FabricWorkspaceId":' || CAST(FabricWorkspaceId AS VARCHAR) || '}}' AS record FROM f)
+             || ',"{WS_FIELD}":' || CAST({WS_FIELD} AS VARCHAR) || '}}' AS record FROM f)
 SELECT RunId, record, CAST(octet_length(encode(record)) AS BIGINT) AS bytes FROM r""")
 def q_write_telemetry(spark, sf):
     return rn.telemetry_records(fx.telemetry(spark, sf), fx.now_lit())

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.formats import TELEMETRY_WORKSPACE_FIELD
 from ..operators import index as ix
 from ..streaming import jobs as sj
 from . import fixtures as fx
@@ -40,7 +41,7 @@ def q_stream_latest_state(spark, sf):
 
 
 @register("stream_telemetry", f"""WITH {fx.TELEMETRY_SQL}
-SELECT RunId, Workflow, Status, Duration, coalesce("Timestamp", TIMESTAMP '{fx.NOW}') AS "Timestamp", FabricWorkspaceId
+SELECT RunId, Workflow, Status, Duration, coalesce("Timestamp", TIMESTAMP '{fx.NOW}') AS "Timestamp", {TELEMETRY_WORKSPACE_FIELD}
 FROM telemetry""")
 def q_stream_telemetry(spark, sf):
     sink, ckpt = sj.run_folder(spark, "telemetry")

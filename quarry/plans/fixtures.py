@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.formats import (CONFIG_KEYS, DATASOURCE_KIND, OUTPUT_CAPACITY_FIELD, OUTPUT_WORKSPACE_FIELD,
+                                 PAIR_PREFIX_LAKEHOUSE, TELEMETRY_WORKSPACE_FIELD)
 from ..functions.names import url_leaf, utf8_size
 from ..functions.text import html_title
 from ..operators.index import map_fields
@@ -20,7 +22,6 @@ CATEGORIES = ["contracts", "reports", "policies", "manuals", "presentations"]
 EXTENSIONS = ["pdf", "docx", "png", "txt"]
 ACCOUNT_COLLECTION = "catalog-account"
 LAYERS = ["explicit", "outputs", "envfile", "default"]
-CONFIG_KEYS = ["FABRIC_CAPACITY_ID", "FABRIC_WORKSPACE_NAME", "FABRIC_DOMAIN_NAME"]
 
 
 def now_lit():
@@ -223,7 +224,7 @@ def datasources(spark, sf_dir) -> DataFrame:
     k = F.col("s_suppkey")
     return s.select(
         F.col("s_name").alias("name"),
-        F.when(k % 2 == 0, F.lit("PowerBI")).otherwise(F.lit("AdlsGen2")).alias("kind"),
+        F.when(k % 2 == 0, F.lit(DATASOURCE_KIND)).otherwise(F.lit("AdlsGen2")).alias("kind"),
         F.when(k % 6 == 0, F.lit(None).cast("string"))
         .when(k % 6 == 2, F.lit(ACCOUNT_COLLECTION))
         .otherwise(F.concat(F.lit("collection-"), F.col("s_nationkey").cast("string"))).alias("collection"),
@@ -233,7 +234,7 @@ def datasources(spark, sf_dir) -> DataFrame:
 
 DATASOURCES_SQL = f"""datasources AS (
 SELECT s_name AS name,
-       CASE WHEN s_suppkey % 2 = 0 THEN 'PowerBI' ELSE 'AdlsGen2' END AS kind,
+       CASE WHEN s_suppkey % 2 = 0 THEN '{DATASOURCE_KIND}' ELSE 'AdlsGen2' END AS kind,
        CASE WHEN s_suppkey % 6 = 0 THEN NULL WHEN s_suppkey % 6 = 2 THEN '{ACCOUNT_COLLECTION}'
             ELSE 'collection-' || CAST(s_nationkey AS VARCHAR) END AS collection,
        s_nationkey AS workspace
@@ -426,7 +427,7 @@ def telemetry_from(e: DataFrame) -> DataFrame:
         F.floor("value").cast("int").alias("Duration"),
         F.when(F.col("event_id") % 13 == 0, F.lit(None).cast("timestamp_ntz")).otherwise(F.col("ts"))
         .alias("Timestamp"),
-        F.col("user_id").alias("FabricWorkspaceId"),
+        F.col("user_id").alias(TELEMETRY_WORKSPACE_FIELD),
     )
 
 
@@ -434,7 +435,7 @@ TELEMETRY_SQL = f"""telemetry AS (
 SELECT 'run-' || CAST(event_id AS VARCHAR) AS RunId, event_type AS Workflow, {_STATUS_CASE} AS Status,
        CAST(floor(value) AS INTEGER) AS Duration,
        CASE WHEN event_id % 13 = 0 THEN NULL ELSE ts END AS "Timestamp",
-       user_id AS FabricWorkspaceId
+       user_id AS {TELEMETRY_WORKSPACE_FIELD}
 FROM events)"""
 
 
@@ -477,18 +478,18 @@ def outputs_json(spark, sf_dir) -> DataFrame:
     every 4th lacks the capacity entry."""
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    cap_key = F.when(k % 4 == 0, F.lit("otherId")).otherwise(F.lit("fabricCapacityId"))
+    cap_key = F.when(k % 4 == 0, F.lit("otherId")).otherwise(F.lit(OUTPUT_CAPACITY_FIELD))
     body = F.concat(F.lit('{"'), cap_key, F.lit('":{"value":"cap-'), k.cast("string"),
-                    F.lit('"},"desiredFabricWorkspaceName":{"value":"'), F.col("c_name"), F.lit('"}'))
+                    F.lit(f'"}},"{OUTPUT_WORKSPACE_FIELD}":{{"value":"'), F.col("c_name"), F.lit('"}'))
     js = F.when(k % 17 == 0, body).otherwise(F.concat(body, F.lit("}")))
     return c.select(k.alias("env"), js.alias("outputs"))
 
 
-OUTPUTS_SQL = """outputs_json AS (
+OUTPUTS_SQL = f"""outputs_json AS (
 SELECT c_custkey AS env,
-       '{"' || CASE WHEN c_custkey % 4 = 0 THEN 'otherId' ELSE 'fabricCapacityId' END || '":{"value":"cap-'
-         || CAST(c_custkey AS VARCHAR) || '"},"desiredFabricWorkspaceName":{"value":"' || c_name || '"}'
-         || CASE WHEN c_custkey % 17 = 0 THEN '' ELSE '}' END AS outputs
+       '{{"' || CASE WHEN c_custkey % 4 = 0 THEN 'otherId' ELSE '{OUTPUT_CAPACITY_FIELD}' END || '":{{"value":"cap-'
+         || CAST(c_custkey AS VARCHAR) || '"}},"{OUTPUT_WORKSPACE_FIELD}":{{"value":"' || c_name || '"}}'
+         || CASE WHEN c_custkey % 17 = 0 THEN '' ELSE '}}' END AS outputs
 FROM customer)"""
 
 
@@ -496,14 +497,14 @@ def pair_lines(spark, sf_dir) -> DataFrame:
     """KEY="value" lines (each key twice, values containing '='), numbered."""
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    key = F.concat(F.lit("FABRIC_LAKEHOUSE_"), (k % 97).cast("string"), F.lit("_ID"))
+    key = F.concat(F.lit(PAIR_PREFIX_LAKEHOUSE + "_"), (k % 97).cast("string"), F.lit("_ID"))
     line = F.concat(key, F.lit('="'), F.col("c_name"), F.lit("=v"), k.cast("string"), F.lit('"'))
     return c.select((k * 2).alias("line_no"), line.alias("line"))
 
 
-PAIR_LINES_SQL = """pair_lines AS (
+PAIR_LINES_SQL = f"""pair_lines AS (
 SELECT c_custkey * 2 AS line_no,
-       'FABRIC_LAKEHOUSE_' || CAST(c_custkey % 97 AS VARCHAR) || '_ID="' || c_name || '=v' || CAST(c_custkey AS VARCHAR) || '"' AS line
+       '{PAIR_PREFIX_LAKEHOUSE}_' || CAST(c_custkey % 97 AS VARCHAR) || '_ID="' || c_name || '=v' || CAST(c_custkey AS VARCHAR) || '"' AS line
 FROM customer)"""
 
 

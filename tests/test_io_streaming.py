@@ -6,6 +6,7 @@ import os
 import pandas as pd
 from pyspark.sql import functions as F
 
+from quarry.functions.formats import PAIR_PREFIX_WORKSPACE
 from quarry.operators import index as ix
 from quarry.operators import runs as rn
 from quarry.plans import fixtures as fx
@@ -58,8 +59,8 @@ def test_write_index_layers_exports(spark, scratch):
     gold = spark.read.parquet(paths["gold"])
     silver = spark.read.parquet(paths["silver"])
     assert gold.agg(F.sum("documents")).first()[0] == silver.count()
-    sinks.export_pairs(fx.workspaces(spark, SF_SMALL), f"{scratch}/env", "FABRIC_WORKSPACE", "displayName", "id")
-    sinks.export_pairs(fx.workspaces(spark, SF_SMALL), f"{scratch}/env", "FABRIC_WORKSPACE", "displayName", "id",
+    sinks.export_pairs(fx.workspaces(spark, SF_SMALL), f"{scratch}/env", PAIR_PREFIX_WORKSPACE, "displayName", "id")
+    sinks.export_pairs(fx.workspaces(spark, SF_SMALL), f"{scratch}/env", PAIR_PREFIX_WORKSPACE, "displayName", "id",
                        mode="append")
     pairs = fs.parse_pairs(spark.read.text(f"{scratch}/env").select(
         F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line")))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import names as nm
+from quarry.functions.formats import DATASOURCE_KIND, OWN_DATASOURCE_PREFIX
 from quarry.functions import text as tx
 from quarry.functions import values as vl
 from quarry.operators import index as ix
@@ -138,11 +139,13 @@ def test_priority_no_candidate_and_ties(spark):
     req = spark.createDataFrame([(1,), (2,)], "workspace_id long")
     empty = spark.createDataFrame([], "name string, kind string, collection string")
     got = {r.request: (r.datasource, r.choice) for r in lk.pick_by_priority(req, empty, "acct").collect()}
-    assert got == {1: ("Fabric-Workspace-1", "create"), 2: ("Fabric-Workspace-2", "create")}
-    c = spark.createDataFrame([("zz", "PowerBI", "child"), ("bb", "PowerBI", "acct"), ("aa", "PowerBI", None),
-                               ("Fabric-Workspace-2", "Other", None)], "name string, kind string, collection string")
+    own = OWN_DATASOURCE_PREFIX
+    assert got == {1: (f"{own}1", "create"), 2: (f"{own}2", "create")}
+    kind = DATASOURCE_KIND
+    c = spark.createDataFrame([("zz", kind, "child"), ("bb", kind, "acct"), ("aa", kind, None),
+                               (f"{own}2", "Other", None)], "name string, kind string, collection string")
     got = {r.request: (r.datasource, r.choice) for r in lk.pick_by_priority(req, c, "acct").collect()}
-    assert got == {1: ("aa", "root"), 2: ("Fabric-Workspace-2", "own")}
+    assert got == {1: ("aa", "root"), 2: (f"{own}2", "own")}
 
 
 def test_reconcile_second_run_is_empty(spark):
