@@ -299,3 +299,32 @@ def search_index(spark: SparkSession, root: str, query: str, k: int = 5, fields=
                                    F.col("avg_dl")).alias("w")))
     scored = contrib.groupBy("id").agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score"))
     return top_k(scored, k, [F.col("score").desc(), F.col("id").asc()]).select("rank", "id", "score")
+
+
+def retrieve_index(spark: SparkSession, root: str, queries: DataFrame, k: int = 5,
+                   min_score: float | None = None, fields=SEARCHABLE, max_terms: int = 2_000_000) -> DataFrame:
+    """Batch retrieval against a persisted index: the stored postings are
+    semi-joined with the batch's terms (broadcast after a bounded count),
+    weighted once per posting, fanned out to the queries and reduced to the
+    top k per query.  Same results as :func:`retrieve_batch`.
+
+    The postings are clustered by term (for single-query pruning), so the
+    (query, doc) aggregate shuffles its map-side partial sums; a copy of the
+    postings bucketed by document id would remove that shuffle, as the
+    in-memory batch path does with its colocating exchange."""
+    qterms = query_terms(queries)
+    _, small = bounded_broadcast(qterms, max_terms)
+    terms = qterms.select("term").distinct()
+    post = (spark.read.parquet(f"{root}/postings").where(F.col("field").isin(list(fields)))
+            .join(F.broadcast(terms) if small else terms, "term", "left_semi"))
+    dfreq = post.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    stats = spark.read.parquet(f"{root}/stats")
+    w = (post.join(F.broadcast(dfreq) if small else dfreq, ["field", "term"])
+         .join(F.broadcast(stats), "field")
+         .select("term", "id", _bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"),
+                                     F.col("avg_dl")).alias("w")))
+    hits = (w.join(F.broadcast(qterms) if small else qterms, "term")
+            .groupBy("query_id", "id").agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score")))
+    if min_score is not None:
+        hits = hits.where(F.col("score") >= F.lit(min_score))
+    return top_k_per_query(hits, k).select("query_id", "rank", "id", "score")

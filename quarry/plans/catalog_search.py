@@ -109,6 +109,16 @@ def q_retrieve_batch(spark, sf):
     return se.retrieve_batch(fx.queries_table(spark, sf), fx.docs(spark, sf), k=5)
 
 
+@register("retrieve_index", _batch_sql(5, None, "SELECT * FROM ranked"))
+def q_retrieve_index(spark, sf):
+    """Build the index once, then answer the whole batch from its postings."""
+    import uuid
+    from ..session import scratch_path
+    root = scratch_path(spark, f"search-index-{uuid.uuid4().hex[:12]}")
+    se.write_search_index(fx.docs(spark, sf), root)
+    return se.retrieve_index(spark, root, fx.queries_table(spark, sf), k=5)
+
+
 # Retrieval depth 5 and our score floor for the strictness knob.
 MIN_SCORE = 25.0
 

@@ -58,3 +58,18 @@ def test_chunks_rejoin(spark, texts, size, overlap):
         rebuilt = parts[0] + "".join(p[overlap:] for p in parts[1:])
         assert rebuilt == t
         assert all(len(p) <= size for p in parts)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 5)), st.integers(0, 10 ** 6)),
+                min_size=1, max_size=300, unique_by=lambda t: t[1]),
+       st.integers(min_value=1, max_value=7))
+def test_global_rank_equals_sorted_position(spark, rows, parts):
+    from pyspark.sql import functions as F
+
+    from quarry.plans.ordering import global_rank
+    df = spark.createDataFrame(rows, "value int, id long")
+    ranked = global_rank(df, [F.col("value").asc_nulls_first(), F.col("id").asc()], partitions=parts)
+    got = {r.id: r["rank"] for r in ranked.collect()}
+    order = sorted(rows, key=lambda t: (t[0] is not None, t[0] if t[0] is not None else 0, t[1]))
+    assert got == {ident: i + 1 for i, (_, ident) in enumerate(order)}
