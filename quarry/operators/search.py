@@ -1,15 +1,23 @@
 """BM25 search, filters, facets, coverage and batch retrieval.
 
-Scoring plan (single query and batch alike):
+Single query (``bm25_search``, ``filtered_search``, ``match_count``):
 
-  documents ─stack fields─ tokenize ─explode─ ⋈ query terms (broadcast, size
-  proven by the query length or checked by count) ─ partial agg (field, term,
-  id, dl) → tf ─ shuffle ─ ⋈ df per query term (≤ terms × fields rows) ⋈ field
-  stats (one row per field) ─ Σ over terms per (query, doc) ─ top-k.
+  documents ─stack fields─ tokenize ─ filter each token array by the constant
+  query-term array ─ explode ─ partial agg (field, term, id, dl) → tf ─ shuffle
+  (matching tokens only) ─ ⋈ df per query term (≤ terms × fields rows, reused
+  exchange) ⋈ field stats (one row per field) ─ Σ per doc ─ TakeOrderedAndProject.
 
-Only tokens of query terms ever reach a shuffle; a hot term is reduced by the
-map-side partial aggregate; top-k per query uses a partial group limit before
-its shuffle, so no task ever holds all hits of a query.
+Many queries (``retrieve_batch``):
+
+  documents ─ tokenize ─ shuffle by id (once) ─ stats, df and tf from that one
+  exchange ─ weight per posting ─ Σ over fields per (term, doc) ─ ⋈ (query,
+  term) ─ Σ per (query, doc) ─ partial WindowGroupLimit ─ shuffle by query ─ top k.
+  Every aggregate after the id exchange is keyed by a superset of id, so the
+  queries × documents fan-out never crosses the network.
+
+Persisted index (``write_search_index``, ``search_index``, ``retrieve_index``):
+postings partitioned by field and clustered by term; searches read only their
+terms' postings.
 """
 
 from __future__ import annotations
