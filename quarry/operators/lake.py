@@ -64,6 +64,12 @@ def scope_path(df: DataFrame, prefix: str | None, path_col: str = "file_path") -
     return df.where(F.col(path_col).startswith(prefix))
 
 
+def scope_partition(layer: DataFrame, category: str | None, part_col: str = "category") -> DataFrame:
+    """Folder scope on a layer written partitioned by category: the predicate
+    is on the partition column, so only that folder is listed and read."""
+    return layer if category is None else layer.where(F.col(part_col) == F.lit(category))
+
+
 def upsert_index(old: DataFrame, new: DataFrame, key: str = "id", version: str = "last_modified") -> DataFrame:
     """Merge keyed on ``key``; the newest ``version`` wins, on a tie the new
     row wins.  An aggregate (max_by), not a window over the key."""

@@ -185,3 +185,13 @@ def q_export_pairs_file(spark, sf):
     path = _scratch(spark, "pairs")
     sinks.export_pairs(fx.workspaces(spark, sf), path, PAIR_PREFIX_WORKSPACE, "displayName", "id")
     return spark.read.text(path)
+
+
+@register("scope_partition", f"""WITH {fx.DOCS_SQL}
+SELECT id, file_path, file_size FROM docs WHERE starts_with(file_path, 'Files/documents/reports/')""")
+def q_scope_partition(spark, sf):
+    """Scope by folder on the bronze layer (partitioned by category): partition pruning."""
+    path = _scratch(spark, "bronze")
+    sinks.write_bronze(fx.docs(spark, sf), path)
+    bronze = spark.read.parquet(path)
+    return lk.scope_partition(bronze, "reports").select("id", "file_path", "file_size")
