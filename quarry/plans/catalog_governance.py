@@ -181,10 +181,13 @@ def q_merge_principals(spark, sf):
     return rc.merge_principals(fx.principals_current(spark, sf), fx.principals_added(spark, sf))
 
 
-@register("joined_names", f"""WITH {fx.CAPACITIES_SQL}
-SELECT state, string_agg(name, ', ' ORDER BY name) AS names FROM capacities GROUP BY state""")
+@register("joined_names", """SELECT l_orderkey, string_agg(p_name, ', ' ORDER BY p_name) AS names
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey""")
 def q_joined_names(spark, sf):
-    return rc.joined_names(fx.capacities(spark, sf), ["state"], "name")
+    """Part names per order (a group holds at most seven line items)."""
+    li = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    parts = fx.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    return rc.joined_names(li.join(parts, "l_partkey"), ["l_orderkey"], "p_name")
 
 
 # ------------------------------------------------------------ orphan report

@@ -121,7 +121,8 @@ def q_scan_pairs_first(spark, sf):
     return sf_files.parse_pairs(fx.pair_lines(spark, sf), keep="first")
 
 
-@register("scan_listing", """SELECT n_regionkey AS page, CAST(n_nationkey AS VARCHAR) AS id, n_name AS displayName FROM nation""")
+@register("scan_listing", """SELECT l_orderkey AS page, CAST(l_linenumber AS VARCHAR) AS id,
+       'part-' || CAST(l_partkey AS VARCHAR) AS displayName FROM lineitem""")
 def q_scan_listing(spark, sf):
     env = fx.listing_envelopes(spark, sf)
     return sf_files.parse_listing(env, "json", "value", keep_cols=("page",))

@@ -528,11 +528,12 @@ FROM conversations)"""
 
 
 def listing_envelopes(spark, sf_dir) -> DataFrame:
-    """One ``{"value": [...]}`` listing document per region, packed with
-    to_json; a page holds the nations of one region (five, fixed by the
-    TPC-H schema), so the collected group is bounded."""
-    n = table(spark, sf_dir, "nation")
-    return (n.groupBy(F.col("n_regionkey").alias("page"))
-            .agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct(
-                F.col("n_nationkey").alias("id"), F.col("n_name").alias("displayName")))).alias("value")))
-                 .alias("json")))
+    """One ``{"value": [...]}`` listing document per order, packed with
+    to_json: the items are the order's line items (at most seven per order by
+    the TPC-H schema), so each collected group is bounded while the number of
+    documents grows with the data."""
+    li = table(spark, sf_dir, "lineitem")
+    item = F.struct(F.col("l_linenumber").cast("string").alias("id"),
+                    F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("displayName"))
+    return (li.groupBy(F.col("l_orderkey").alias("page"))
+            .agg(F.to_json(F.struct(F.sort_array(F.collect_list(item)).alias("value"))).alias("json")))
