@@ -316,21 +316,25 @@ def retrieve_index(spark: SparkSession, root: str, queries: DataFrame, k: int =
     weighted once per posting, fanned out to the queries and reduced to the
     top k per query.  Same results as :func:`retrieve_batch`.
 
-    The postings are clustered by term (for single-query pruning), so the
-    (query, doc) aggregate shuffles its map-side partial sums; a copy of the
-    postings bucketed by document id would remove that shuffle, as the
-    in-memory batch path does with its colocating exchange."""
+    The stored postings are clustered by term (for single-query pruning);
+    the batch's matching postings are re-partitioned by document id once, so
+    the queries × documents fan-out stays inside tasks, as in the in-memory
+    batch path."""
     qterms = query_terms(queries)
     _, small = bounded_broadcast(qterms, max_terms)
     terms = qterms.select("term").distinct()
+    # the batch's postings (not the fan-out) move once, by document id; the
+    # per-(term, doc) and per-(query, doc) sums then need no shuffle
     post = (spark.read.parquet(f"{root}/postings").where(F.col("field").isin(list(fields)))
-            .join(F.broadcast(terms) if small else terms, "term", "left_semi"))
+            .join(F.broadcast(terms) if small else terms, "term", "left_semi")
+            .repartition("id"))
     dfreq = post.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     stats = spark.read.parquet(f"{root}/stats")
     w = (post.join(F.broadcast(dfreq) if small else dfreq, ["field", "term"])
          .join(F.broadcast(stats), "field")
          .select("term", "id", _bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"),
-                                     F.col("avg_dl")).alias("w")))
+                                     F.col("avg_dl")).alias("w"))
+         .groupBy("term", "id").agg(F.sum("w").alias("w")))
     hits = (w.join(F.broadcast(qterms) if small else qterms, "term")
             .groupBy("query_id", "id").agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score")))
     if min_score is not None:
