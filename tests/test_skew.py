@@ -2,6 +2,9 @@
 exact (checked against pandas), and the plans must reduce the hot key before
 the shuffle (partial aggregate / partial group limit)."""
 
+import io
+from contextlib import redirect_stdout
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -13,7 +16,10 @@ from tests.conftest import SF_CHECK
 
 
 def _plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    buf = io.StringIO()
+    with redirect_stdout(buf):
+        df.explain()
+    return buf.getvalue()
 
 
 def _skewed_runs(spark):
