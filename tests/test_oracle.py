@@ -30,3 +30,18 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert 0 < len(rows) <= 5
     assert df.columns == ["rank", "id", "score"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_plan_has_no_pairwise_join(spark, name):
+    """No registered query pairs rows without an equi key."""
+    import io
+    from contextlib import redirect_stdout
+
+    from tests.conftest import SF_SMALL
+    df = E.queries()[name](spark, SF_SMALL)
+    buf = io.StringIO()
+    with redirect_stdout(buf):
+        df.explain()
+    plan = buf.getvalue()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
