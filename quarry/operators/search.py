@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..functions.text import BM25_B, BM25_K1, tokens
 from ..plans.sizing import bounded_broadcast
 from ..sources.sinks import write_postings
-from .index import FACETABLE, INDEX_FIELDS, SEARCHABLE, build_postings, field_stats
+from .index import FACETABLE, INDEX_FIELDS, SEARCHABLE, build_postings, field_stats, field_stats_from_postings
 
 SCORE_DIGITS = 6
 # a literal query of at most this many characters has a proven small term set
@@ -280,7 +280,9 @@ def write_search_index(docs: DataFrame, root: str, fields=SEARCHABLE, partitions
     per-field statistics."""
     fields = list(fields)
     write_postings(build_postings(docs, fields), f"{root}/postings", partitions)
-    field_stats(docs, fields).write.mode("overwrite").parquet(f"{root}/stats")
+    # statistics from the written postings: no second pass of the tokenizer
+    written = docs.sparkSession.read.parquet(f"{root}/postings")
+    field_stats_from_postings(written, docs, fields).write.mode("overwrite").parquet(f"{root}/stats")
 
 
 def query_term_list(spark: SparkSession, query: str) -> list[str]:
