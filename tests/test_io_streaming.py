@@ -185,3 +185,31 @@ def test_stream_telemetry_dedups_across_batches(spark, scratch):
     out = spark.read.parquet(sink)
     assert out.count() == tel.count()
     assert out.select("RunId").distinct().count() == tel.count()
+
+
+def test_persisted_index_equals_in_memory_search(spark, scratch):
+    from quarry.operators import search as se
+    docs = fx.docs(spark, SF_SMALL)
+    se.write_search_index(docs, f"{scratch}/idx")
+    texts = [r.content for r in docs.orderBy("id").limit(4).collect()]
+    probes = [" ".join(t.split()[:6]) for t in texts] + ["the of and", "zzzz-unknown", "doc 7 pdf"]
+    for q in probes:
+        mem = [(r["rank"], r.id, r.score) for r in se.bm25_search(docs, q, 5).collect()]
+        idx = [(r["rank"], r.id, r.score) for r in se.search_index(spark, f"{scratch}/idx", q, 5).collect()]
+        assert sorted(mem) == sorted(idx), q
+    queries = spark.createDataFrame([(i, q) for i, q in enumerate(probes)], "query_id long, query string")
+    batch = sorted(tuple(r) for r in se.retrieve_batch(queries, docs, 5).collect())
+    stored = sorted(tuple(r) for r in se.retrieve_index(spark, f"{scratch}/idx", queries, 5).collect())
+    assert batch == stored
+
+
+def test_persisted_index_filtered_equals_in_memory(spark, scratch):
+    from quarry.operators import search as se
+    docs = fx.docs(spark, SF_SMALL)
+    se.write_search_index(docs, f"{scratch}/idx")
+    where = F.lower("file_name").like("%.pdf")
+    q = "the of and doc pdf 42"
+    mem = sorted(tuple(r) for r in se.filtered_search(docs, q, where, 10).collect())
+    ids = docs.where(where).select("id")
+    idx = sorted(tuple(r) for r in se.search_index(spark, f"{scratch}/idx", q, 10, where_ids=ids).collect())
+    assert mem == idx and len(mem) > 0
