@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import quality, simhash
+from quarry.llm import packing, quality, simhash
 from quarry.llm._io import crc_mod, prepare, read
 
 QUERIES: dict = {}
@@ -43,3 +43,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, max_bits=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
                         "component_id")
+
+
+@register("op10_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return packing.pack(read(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")),
+                        max_tokens=2048)
