@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import packing, quality, simhash
+from quarry.llm import decontaminate, packing, quality, simhash
 from quarry.llm._io import crc_mod, prepare, read
 
 QUERIES: dict = {}
@@ -50,3 +50,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return packing.pack(read(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")),
                         max_tokens=2048)
+
+
+@register("op6_decontamination")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: the items that leak into it and the share of the worst one."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = decontaminate.scan(docs, read(spark, sf_dir, "benchmark"))
+    per_doc = hits.groupBy("doc_id").agg(
+        F.sort_array(F.collect_set("item_id")).alias("items"),  # bounded by the number of items
+        F.max(F.col("covered") / F.col("words")).alias("coverage"))
+    return (docs.select("doc_id").join(per_doc, "doc_id", "left")
+            .select("doc_id", F.col("items").isNotNull().alias("contaminated"),
+                    F.coalesce("items", F.array().cast("array<long>")).alias("items"),
+                    F.coalesce("coverage", F.lit(0.0)).alias("coverage")))
