@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, packing, quality, simhash
+from quarry.llm import decontaminate, packing, quality, secret_scan, simhash
 from quarry.llm._io import crc_mod, prepare, read
 
 QUERIES: dict = {}
@@ -64,3 +64,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", F.col("items").isNotNull().alias("contaminated"),
                     F.coalesce("items", F.array().cast("array<long>")).alias("items"),
                     F.coalesce("coverage", F.lit(0.0)).alias("coverage")))
+
+
+@register("op7_secret_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: candidates, secrets, and the secrets' spans with their scores."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.train(docs))
+    bad = F.filter("findings", lambda c: c["secret"])
+    return found.select(
+        "doc_id", F.size("findings").cast("long").alias("n_candidates"), F.size(bad).cast("long").alias("n_secrets"),
+        F.array_join(F.transform(bad, lambda c: F.concat_ws(":", c["start"], c["end"])), ",").alias("spans"),
+        F.array_max(F.transform("findings", lambda c: c["score"])).alias("max_score"))

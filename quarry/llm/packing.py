@@ -25,6 +25,7 @@ empty table gives no pieces; other columns are ignored.  More than ``max_queues`
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -36,35 +37,88 @@ from pyspark.sql import functions as F
 from quarry.llm import _text as X
 from quarry.llm._io import written
 
-CACHE_WORDS = 400_000
+CACHE_RUNS, CACHE_PARTS = 300_000, 600_000
 _TOKENIZERS: dict = {}
+# a run of letters (ASCII, Latin-1) between runs of ASCII punctuation other than the apostrophe:
+# the tokenizer's own splits fall between the three
+_PLAIN = re.compile(rb"([!-&(-/:-@\[-`{-~]*)((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
 
 
-class _Words(dict):
-    """Ids (little-endian 32-bit) of a run of non-space bytes.  The tokenizer splits at white
-    space before anything else, so a text's ids are those of its runs one after the other."""
+class _Words:
+    """Ids (little-endian 32-bit) of texts.  The tokenizer splits at white space before anything
+    else, so a text's ids are those of its runs of other bytes one after the other; each new run
+    of a batch is encoded once, and plain ones by their parts.  Caches start anew at their bound."""
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.runs: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {b"": b""}
 
     def encode(self, raw: bytes) -> bytes:
         ids = self.tokenizer.encode(raw.decode("utf-8"), add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        ids = self[word] = self.encode(word)
-        return ids
-
-    def text(self, raw: bytes) -> bytes:
-        for m in self.marks:
-            if m in raw:  # a mark may join what white space parts: leave such texts to the tokenizer
-                return self.encode(raw)
-        return b"".join(map(self.__getitem__, raw.split()))
+    def _learn_parts(self, new: list[bytes]) -> None:
+        if len(self.parts) + len(new) > CACHE_PARTS:
+            self.parts = {b"": b""}
+        for i in range(0, len(new), 512):
+            some = new[i:i + 512]
+            got = self.tokenizer.encode(b" ".join(some).decode("utf-8"), add_special_tokens=False)
+            word = np.array(got.word_ids, dtype=np.int64)
+            if not len(word) or word[-1] != len(some) - 1 or (np.diff(word) > 1).any():
+                self.parts.update((p, self.encode(p)) for p in some)
+                continue
+            raw, cut = np.array(got.ids, dtype="<u4").tobytes(), np.searchsorted(word, np.arange(len(some) + 1)) * 4
+            self.parts.update((p, raw[a:b]) for p, a, b in zip(some, cut[:-1], cut[1:], strict=True))
+
+    def _learn(self, new: set[bytes]) -> None:
+        if len(self.runs) + len(new) > CACHE_RUNS:
+            self.runs = {}
+        plain, other = [], []
+        for run in new:
+            m = _PLAIN.fullmatch(run)
+            if m:
+                plain.append((run, m[1], m[2].lower(), m[3]))
+            else:
+                other.append(run)
+        unknown = {p for row in plain for p in row[1:]} - self.parts.keys()
+        if unknown:
+            known = {p: self.parts[p] for row in plain for p in row[1:] if p in self.parts}
+            self._learn_parts(list(unknown))
+            self.parts.update(known)
+        parts = self.parts
+        self.runs.update((run, parts[a] + parts[b] + parts[c]) for run, a, b, c in plain)
+        for i in range(0, len(other), 1024):
+            some = other[i:i + 1024]
+            got = self.tokenizer.encode_batch([r.decode("utf-8") for r in some], add_special_tokens=False)
+            self.runs.update((r, np.array(e.ids, dtype="<u4").tobytes()) for r, e in zip(some, got, strict=True))
+
+    def texts(self, data: bytes, off: list[int]) -> list[bytes]:
+        """Ids of each text, a megabyte of texts at a time."""
+        out, i, n = [], 0, len(off) - 1
+        while i < n:
+            j = i + 1
+            while j < n and off[j + 1] - off[i] <= 1 << 20:
+                j += 1
+            split = [data[off[t]:off[t + 1]].split() for t in range(i, j)]
+            new = set()
+            for runs in split:
+                new.update(runs)
+            new.difference_update(self.runs.keys())
+            if new:
+                before = self.runs
+                self._learn(new)
+                if self.runs is not before:  # the bound was reached: this batch's runs once more
+                    self._learn({r for runs in split for r in runs} - self.runs.keys())
+            get = self.runs.__getitem__
+            for t, runs in zip(range(i, j), split, strict=True):
+                raw = data[off[t]:off[t + 1]]
+                # a special token's text may join what white space parts: the tokenizer does such texts whole
+                out.append(self.encode(raw) if any(m in raw for m in self.marks) else b"".join(map(get, runs)))
+            i = j
+        return out
 
 
 def _words(path: str) -> _Words:
@@ -86,10 +140,9 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "do
         words, part, before = _words(tokenizer), TaskContext.get().partitionId(), {}
         for batch in batches:
             data, off = X.string_buffer(batch.column(1))
-            raw, sources = data.tobytes(), batch.column(2).to_pylist()
             ids, begin = [], []
-            for i, s in enumerate(sources):
-                ids.append(words.text(raw[off[i]:off[i + 1]]) + end)
+            for s, raw in zip(batch.column(2).to_pylist(), words.texts(data.tobytes(), off.tolist()), strict=True):
+                ids.append(raw + end)
                 begin.append(before.get(s, 0))
                 before[s] = begin[-1] + len(ids[-1]) // 4
             n = [len(x) // 4 for x in ids]
