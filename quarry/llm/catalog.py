@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, packing, quality, secret_scan, simhash
+from quarry.llm import decontaminate, packing, pii, quality, secret_scan, simhash
 from quarry.llm._io import crc_mod, prepare, read
 
 QUERIES: dict = {}
@@ -76,3 +76,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("findings").cast("long").alias("n_candidates"), F.size(bad).cast("long").alias("n_secrets"),
         F.array_join(F.transform(bad, lambda c: F.concat_ws(":", c["start"], c["end"])), ",").alias("spans"),
         F.array_max(F.transform("findings", lambda c: c["score"])).alias("max_score"))
+
+
+@register("op4_pii")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda c: c["base"])
+
+    def written_out(spans):
+        return F.array_join(F.transform(spans, lambda c: F.concat_ws(":", c["kind"], c["start"], c["end"])), ",")
+
+    def of(kind):
+        return F.filter("spans", lambda c: c["base"] & (c["kind"] == kind))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(written_out(base), 256).alias("base_sha256"),
+                        written_out(F.col("spans")).alias("spans"))
