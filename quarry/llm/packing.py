@@ -25,7 +25,6 @@ empty table gives no pieces; other columns are ignored.  More than ``max_queues`
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -37,89 +36,142 @@ from pyspark.sql import functions as F
 from quarry.llm import _text as X
 from quarry.llm._io import written
 
-CACHE_RUNS, CACHE_PARTS = 300_000, 600_000
+KNOWN_PARTS = 2_000_000
 _TOKENIZERS: dict = {}
-# a run of letters (ASCII, Latin-1) between runs of ASCII punctuation other than the apostrophe:
-# the tokenizer's own splits fall between the three
-_PLAIN = re.compile(rb"([!-&(-/:-@\[-`{-~]*)((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+_CODES = np.arange(256)
+_OUT, _LETTER, _DIGIT, _OTHER, _WHOLE = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[X.SPACE] = _OUT
+_KIND[((_CODES | 32) >= 97) & ((_CODES | 32) <= 122) & (_CODES < 128)] = _LETTER
+_KIND[_CODES >= 128] = _LETTER
+_KIND[(_CODES >= 48) & (_CODES <= 57)] = _DIGIT
+# second bytes of the Latin-1 letters after the lead byte C3
+_SECOND = (_CODES >= 0x80) & (_CODES <= 0xBF) & (_CODES != 0x97) & (_CODES != 0xB7)
 
 
 class _Words:
-    """Ids (little-endian 32-bit) of texts.  The tokenizer splits at white space before anything
-    else, so a text's ids are those of its runs of other bytes one after the other; each new run
-    of a batch is encoded once, and plain ones by their parts.  Caches start anew at their bound."""
+    """Ids of texts.  The tokenizer splits at white space, and between letters, digits and other
+    signs, before anything else, so a text's ids are those of its parts one after the other and
+    each distinct part is encoded once.  Runs with an apostrophe (contractions) or letters beyond
+    Latin-1 (composition) are parts as a whole; texts with a special token's string are encoded
+    whole.  The ids of known parts are kept in flat arrays under their hashes, anew at a bound."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.runs: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {b"": b""}
-
-    def encode(self, raw: bytes) -> bytes:
-        ids = self.tokenizer.encode(raw.decode("utf-8"), add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def _learn_parts(self, new: list[bytes]) -> None:
-        if len(self.parts) + len(new) > CACHE_PARTS:
-            self.parts = {b"": b""}
-        for i in range(0, len(new), 512):
-            some = new[i:i + 512]
-            got = self.tokenizer.encode(b" ".join(some).decode("utf-8"), add_special_tokens=False)
-            word = np.array(got.word_ids, dtype=np.int64)
-            if not len(word) or word[-1] != len(some) - 1 or (np.diff(word) > 1).any():
-                self.parts.update((p, self.encode(p)) for p in some)
+        self.clear()
+
+    def clear(self) -> None:
+        self.hash = np.zeros(0, np.uint64)
+        self.start, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _encode(self, parts: list[bytes], single: np.ndarray) -> list[np.ndarray]:
+        """Ids of each part; ``single`` ones are not split further, so many go in one call."""
+        out: list = [None] * len(parts)
+        one, rest = np.flatnonzero(single).tolist(), np.flatnonzero(~single).tolist()
+        for i in range(0, len(one), 512):
+            some = one[i:i + 512]
+            got = self.tokenizer.encode(b" ".join(parts[k] for k in some).decode("utf-8"), add_special_tokens=False)
+            word, ids = np.array(got.word_ids, dtype=np.int64), np.array(got.ids, dtype=np.uint32)
+            cut = np.searchsorted(word, np.arange(len(some) + 1))
+            if word[-1] != len(some) - 1 or (np.diff(cut) == 0).any():
+                rest += some
                 continue
-            raw, cut = np.array(got.ids, dtype="<u4").tobytes(), np.searchsorted(word, np.arange(len(some) + 1)) * 4
-            self.parts.update((p, raw[a:b]) for p, a, b in zip(some, cut[:-1], cut[1:], strict=True))
-
-    def _learn(self, new: set[bytes]) -> None:
-        if len(self.runs) + len(new) > CACHE_RUNS:
-            self.runs = {}
-        plain, other = [], []
-        for run in new:
-            m = _PLAIN.fullmatch(run)
-            if m:
-                plain.append((run, m[1], m[2].lower(), m[3]))
-            else:
-                other.append(run)
-        unknown = {p for row in plain for p in row[1:]} - self.parts.keys()
-        if unknown:
-            known = {p: self.parts[p] for row in plain for p in row[1:] if p in self.parts}
-            self._learn_parts(list(unknown))
-            self.parts.update(known)
-        parts = self.parts
-        self.runs.update((run, parts[a] + parts[b] + parts[c]) for run, a, b, c in plain)
-        for i in range(0, len(other), 1024):
-            some = other[i:i + 1024]
-            got = self.tokenizer.encode_batch([r.decode("utf-8") for r in some], add_special_tokens=False)
-            self.runs.update((r, np.array(e.ids, dtype="<u4").tobytes()) for r, e in zip(some, got, strict=True))
-
-    def texts(self, data: bytes, off: list[int]) -> list[bytes]:
-        """Ids of each text, a megabyte of texts at a time."""
-        out, i, n = [], 0, len(off) - 1
-        while i < n:
-            j = i + 1
-            while j < n and off[j + 1] - off[i] <= 1 << 20:
-                j += 1
-            split = [data[off[t]:off[t + 1]].split() for t in range(i, j)]
-            new = set()
-            for runs in split:
-                new.update(runs)
-            new.difference_update(self.runs.keys())
-            if new:
-                before = self.runs
-                self._learn(new)
-                if self.runs is not before:  # the bound was reached: this batch's runs once more
-                    self._learn({r for runs in split for r in runs} - self.runs.keys())
-            get = self.runs.__getitem__
-            for t, runs in zip(range(i, j), split, strict=True):
-                raw = data[off[t]:off[t + 1]]
-                # a special token's text may join what white space parts: the tokenizer does such texts whole
-                out.append(self.encode(raw) if any(m in raw for m in self.marks) else b"".join(map(get, runs)))
-            i = j
+            for k, a, b in zip(some, cut[:-1], cut[1:], strict=True):
+                out[k] = ids[a:b]
+        for i in range(0, len(rest), 512):
+            some = rest[i:i + 512]
+            got = self.tokenizer.encode_batch([parts[k].decode("utf-8") for k in some], add_special_tokens=False)
+            for k, e in zip(some, got, strict=True):
+                out[k] = np.array(e.ids, dtype=np.uint32)
         return out
 
+    def _learn(self, h: np.ndarray, parts: list[bytes], single: np.ndarray) -> None:
+        ids = self._encode(parts, single)
+        count = np.array([len(x) for x in ids], np.int64)
+        start = len(self.flat) + np.cumsum(count) - count
+        self.flat = np.concatenate([self.flat, *ids])
+        at = np.searchsorted(self.hash, h)
+        self.hash, self.start, self.count = (np.insert(x, at, y) for x, y in
+                                             ((self.hash, h), (self.start, start), (self.count, count)))
+
+    def _parts(self, data: np.ndarray, off: np.ndarray):
+        """(lower-cased bytes, starts, ends, kinds) of the parts."""
+        kind = _KIND[data]
+        low = X.LOWER[data]
+        second = np.zeros(len(data), bool)
+        second[1:] = (data[:-1] == 0xC3) & _SECOND[data[1:]]
+        lead = np.zeros(len(data), bool)
+        lead[:-1] = second[1:]
+        odd = ((data >= 0x80) & ~second & ~lead) | (data == 39)
+        if odd.any():
+            s, e, _ = X.word_spans(data, off, ~X.SPACE)
+            seen = np.concatenate([[0], np.cumsum(odd)])
+            whole = seen[e] > seen[s]
+            edge = np.zeros(len(data) + 1, np.int64)
+            edge[s[whole]] += 1
+            edge[e[whole]] -= 1
+            inside = np.cumsum(edge[:-1]) > 0
+            kind[inside] = _WHOLE
+            low[inside] = data[inside]
+        turn = kind[1:] != kind[:-1]
+        cut = off[1:-1]
+        turn[cut[(cut > 0) & (cut < len(data))] - 1] = True
+        begin = np.concatenate([[0], np.flatnonzero(turn) + 1])
+        end = np.append(begin[1:], len(data))
+        k = kind[begin]
+        part = k != _OUT
+        return low, begin[part], end[part], k[part]
+
+    def _chunk(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has)."""
+        if len(data) == 0:
+            return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
+        low, s, e, kind = self._parts(data, off)
+        if not len(s):
+            return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
+        u, first, back = np.unique(X.span_hash(low, s, e), return_index=True, return_inverse=True)
+
+        def unknown() -> np.ndarray:
+            at = np.searchsorted(self.hash, u)
+            return np.flatnonzero((at == len(self.hash)) | (np.append(self.hash, np.uint64(0))[at] != u))
+        new = unknown()
+        if len(self.hash) + len(new) > KNOWN_PARTS:
+            self.clear()
+            new = unknown()
+        if len(new):
+            raw, k = low.tobytes(), kind[first[new]]
+            parts = [raw[a:b] for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)]
+            self._learn(u[new], parts, (k == _LETTER) | (k == _OTHER))
+        at = np.searchsorted(self.hash, u)[back]
+        count = self.count[at]
+        before = np.cumsum(count) - count
+        ids = self.flat[np.repeat(self.start[at] - before, count) + np.arange(int(count.sum()))]
+        return ids, X.segment_sum(count, np.searchsorted(s, off))
+
+    def texts(self, col: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(32-bit ids of all texts, each followed by ``end_id``; ids per text)."""
+        ids, counts = [], []
+        for _, _, data, off in X.chunks(col):
+            raw = data.tobytes()
+            if any(m in raw for m in self.marks):
+                each = [self._text(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                got, n = np.concatenate(each), np.array([len(x) for x in each], np.int64)
+            else:
+                got, n = self._chunk(data, off)
+            ids.append(np.insert(got, np.cumsum(n), np.uint32(end_id)))
+            counts.append(n + 1)
+        if not counts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _text(self, raw: bytes) -> np.ndarray:
+        if any(m in raw for m in self.marks):
+            ids = self.tokenizer.encode(raw.decode("utf-8"), add_special_tokens=False).ids
+            return np.array(ids, dtype=np.uint32)
+        return self._chunk(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+
 
 def _words(path: str) -> _Words:
     if path not in _TOKENIZERS:
@@ -134,21 +186,20 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "do
              text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: its ids with ``end_id`` (32-bit little-endian), its task and the
     tokens that its source has before it in that task.  Written, hence stable."""
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches):
-        words, part, before = _words(tokenizer), TaskContext.get().partitionId(), {}
+        words, part, served = _words(tokenizer), TaskContext.get().partitionId(), {}
         for batch in batches:
-            data, off = X.string_buffer(batch.column(1))
-            ids, begin = [], []
-            for s, raw in zip(batch.column(2).to_pylist(), words.texts(data.tobytes(), off.tolist()), strict=True):
-                ids.append(raw + end)
-                begin.append(before.get(s, 0))
-                before[s] = begin[-1] + len(ids[-1]) // 4
-            n = [len(x) // 4 for x in ids]
+            ids, n = words.texts(batch.column(1), end_id)
+            before = []
+            for s, k in zip(batch.column(2).to_pylist(), n.tolist(), strict=True):
+                before.append(served.get(s, 0))
+                served[s] = before[-1] + k
+            edges = np.concatenate([[0], 4 * np.cumsum(n)]).astype(np.int32)
+            blob = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges),
+                                                               pa.py_buffer(ids.astype("<u4"))])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2).cast(pa.string()), pa.array([part] * len(n), pa.int32()),
-                 pa.array(begin, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
+                 pa.array(before, pa.int64()), pa.array(n, pa.int64()), blob],
                 names=["doc_id", "source", "part", "before", "n", "ids"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
