@@ -113,13 +113,19 @@ def word_spans(data: np.ndarray, off: np.ndarray, is_word: np.ndarray = WORD):
     return start, end, np.searchsorted(start, off)
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans by prefix sums of a random-byte polynomial."""
-    n = len(data)
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """Prefix sums of a random-byte polynomial, for ``span_hash``."""
+    pre = np.zeros(len(data) + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        pre = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(BYTE_KEY[data] * _powers(MULT, n), dtype=np.uint64, out=pre[1:])
-        h = (pre[end] - pre[start]) * _powers(MULT_INV, n + 1)[start]
+        np.cumsum(BYTE_KEY[data] * _powers(MULT, len(data)), dtype=np.uint64, out=pre[1:])
+    return pre
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, pre: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of byte spans (``pre``: their bytes' prefix sums, if at hand)."""
+    pre = prefix_hash(data) if pre is None else pre
+    with np.errstate(over="ignore"):
+        h = (pre[end] - pre[start]) * _powers(MULT_INV, len(data) + 1)[start]
     return mix(h + (end - start).astype(np.uint64))
 
 

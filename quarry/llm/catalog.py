@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, packing, pii, quality, secret_scan, simhash
+from quarry.llm import decontaminate, packing, pii, quality, secret_scan, simhash, toxicity
 from quarry.llm._io import crc_mod, prepare, read
 
 QUERIES: dict = {}
@@ -91,3 +91,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(written_out(base), 256).alias("base_sha256"),
                         written_out(F.col("spans")).alias("spans"))
+
+
+@register("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 4) != 2)
+    found = toxicity.score(docs, toxicity.train(docs, labels))
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted", "spans")
