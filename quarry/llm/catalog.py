@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, packing, pii, quality, secret_scan, simhash, toxicity
+from quarry.llm import decontaminate, embeddings, packing, pii, quality, secret_scan, simhash, toxicity
 from quarry.llm._io import crc_mod, prepare, read
 
 QUERIES: dict = {}
@@ -99,3 +99,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 4) != 2)
     found = toxicity.score(docs, toxicity.train(docs, labels))
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted", "spans")
+
+
+@register("op1_embedding_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.9)
