@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, embeddings, packing, pii, quality, secret_scan, simhash, toxicity
+from quarry.llm import decontaminate, embeddings, packing, paragraphs, pii, quality, secret_scan, simhash, toxicity
 from quarry.llm._io import crc_mod, prepare, read
 
 QUERIES: dict = {}
@@ -104,3 +104,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_embedding_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+@register("op5_paragraph_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its paragraphs, those removed, and their bytes and places."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = paragraphs.duplicates(docs)
+    gone = F.when(F.col("removed"), F.struct("place", "start", "end", "cluster"))
+    per_doc = found.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_paragraphs"), F.count(F.when(F.col("size") > 1, 1)).alias("n_repeated"),
+        F.count(F.when(F.col("removed"), 1)).alias("n_removed"),
+        F.sum(F.when(F.col("removed"), F.col("end") - F.col("start")).otherwise(0)).alias("removed_bytes"),
+        F.sort_array(F.collect_list(gone)).alias("removed"))  # a document's own paragraphs
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in
+              ("n_paragraphs", "n_repeated", "n_removed", "removed_bytes")]
+    return docs.select("doc_id").join(per_doc, "doc_id", "left").select("doc_id", *counts, "removed")
