@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, embeddings, packing, paragraphs, pii, quality, secret_scan, simhash, toxicity
+from quarry.llm import (decontaminate, embeddings, packing, paragraphs, pii, quality, secret_scan, simhash, suffixes,
+                        toxicity)
 from quarry.llm._io import crc_mod, prepare, read
 
 QUERIES: dict = {}
@@ -120,3 +121,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in
               ("n_paragraphs", "n_repeated", "n_removed", "removed_bytes")]
     return docs.select("doc_id").join(per_doc, "doc_id", "left").select("doc_id", *counts, "removed")
+
+
+@register("op2_suffix_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.clean(docs, length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
