@@ -22,8 +22,7 @@ TOKENIZER = "word_bpe_49k.json"
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the production quality model accepts."""
     prepare(spark)
-    judged = quality.score(docs, catalog.quality_model(spark, sf_dir))
-    return judged.where(F.col("predicted") == 1).select(*docs.columns)
+    return quality.accepted(docs, catalog.quality_model(spark, sf_dir))
 
 
 def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
