@@ -113,18 +113,19 @@ def telling_words(word: np.ndarray, group: np.ndarray, toxic: np.ndarray) -> np.
     """Words that stand out in toxic texts.  One entry per text and distinct word: word hash, the
     text's group of near copies (counted once per word) and its label."""
     words, w = np.unique(word, return_inverse=True)
-    seen = np.unique(np.stack([w, group, toxic], axis=1), axis=0)
-    pos = np.bincount(seen[seen[:, 2] == 1, 0], minlength=len(words)).astype(float)
-    neg = np.bincount(seen[seen[:, 2] == 0, 0], minlength=len(words)).astype(float)
-    groups = np.unique(np.stack([group, toxic], axis=1), axis=0)
-    base = np.clip(groups[:, 1].mean(), 1e-6, 1 - 1e-6)
+    # a group and label in one number, below that of the word: sorting counts each once a word
+    kinds = 2 * (int(group.max()) + 1)
+    seen = np.unique(w * kinds + 2 * group + toxic)
+    pos = np.bincount(seen[seen % 2 == 1] // kinds, minlength=len(words)).astype(float)
+    neg = np.bincount(seen[seen % 2 == 0] // kinds, minlength=len(words)).astype(float)
+    base = np.clip((np.unique(2 * group + toxic) % 2).mean(), 1e-6, 1 - 1e-6)
     q = np.clip(pos / np.maximum(pos + neg, 1), 1e-9, 1 - 1e-9)
     ratio = pos * np.log(q / base) + neg * np.log((1 - q) / (1 - base))
     tried = max(2, int((pos + neg >= 5).sum()))
     return words[(q >= 0.8) & (ratio >= np.log(tried) + 2)]
 
 
-def fit_field(texts: list[str], toxic: np.ndarray, chains: int = 12_000, rounds: int = 120, l2: float = 1e-4) -> dict:
+def fit_field(texts: list[str], toxic: np.ndarray, chains: int = 6_000, rounds: int = 100, l2: float = 1e-4) -> dict:
     """Maximum likelihood on the chains with toxic tokens and an even sample of the others, at most
     ``chains`` in all, by Adam on the full gradient.  Texts are read a chunk at a time."""
     none = {"words": np.zeros(0, np.uint64)}
@@ -132,23 +133,22 @@ def fit_field(texts: list[str], toxic: np.ndarray, chains: int = 12_000, rounds:
     col, y_doc = pa.array([texts[i] for i in order], pa.string()), toxic[order]
     if not len(order) or y_doc.min() == y_doc.max():
         return none
-    word, group, label = [], [], []
+    word, near = [], []
     for i, _, data, off in X.chunks(col):
         h, _, _, w_off, _ = _tokens(data, off)
         for d in range(len(w_off) - 1):
-            own = np.unique(h[w_off[d]:w_off[d + 1]], axis=0)
+            every = h[w_off[d]:w_off[d + 1]]
+            own, first = np.unique(every[:, 0], return_index=True)
             # a beginning tells only where different words share it
-            shared, times = np.unique(own[:, 1:], return_counts=True)
-            u = np.concatenate([own[:, 0], shared[(times >= 2) & (shared != 0)]])
-            word.append(u)
-            group.append(np.full(len(u), own[:, 0].min() if len(own) else 0, np.uint64))
-            label.append(np.full(len(u), y_doc[i + d]))
-    word = np.concatenate(word)
-    if not len(word):
+            shared, times = np.unique(every[first, 1:], return_counts=True)
+            word.append(np.concatenate([own, shared[(times >= 2) & (shared != 0)]]))
+            near.append(own[0] if len(own) else np.uint64(0))
+    size = np.array([len(u) for u in word])
+    if not size.sum():
         return none
-    _, near = np.unique(np.concatenate(group), return_inverse=True)
-    lexicon = telling_words(word, near, np.concatenate(label))
-    del word, group, label, near
+    _, group = np.unique(np.array(near, np.uint64), return_inverse=True)
+    lexicon = telling_words(np.concatenate(word), np.repeat(group, size), np.repeat(y_doc, size))
+    del word
 
     def pick(wanted: int, tagged: bool, every: int = 1):
         """Chains with (or without) a toxic token: hashes, shapes, tags, chain, place."""
@@ -228,7 +228,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-          max_train: int = 12_000) -> dict:
+          max_train: int = 6_000) -> dict:
     """Fit on at most ``max_train`` labelled texts (those of lowest id hash; toxic ones take a third
     of the room at most, clean ones the rest)."""
     known = (labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__y"))
