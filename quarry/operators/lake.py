@@ -6,7 +6,7 @@ category and key attached; gold = per-category aggregates.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import category_of
@@ -15,17 +15,15 @@ from ..functions.text import chunk_count
 
 def silver_documents(docs: DataFrame, allowed=None) -> DataFrame:
     """Exact duplicates (same content hash) removed with a deterministic
-    winner (smallest id) — an aggregate, so a hot duplicate group is combined
-    map-side; category from the path."""
-    h = F.sha2(F.coalesce(F.col("content"), F.lit("")), 256)
-    cols = [c for c in docs.columns if c != "id"]
-    win = (docs.withColumn("content_hash", h)
-           .groupBy("content_hash")
-           .agg(F.min_by(F.struct("id", *cols), F.col("id")).alias("_w"),
-                F.count(F.lit(1)).alias("copies")))
-    return win.select(F.col("_w.id").alias("id"), *[F.col(f"_w.{c}").alias(c) for c in cols],
-                      "content_hash", "copies",
-                      category_of(F.col("_w.file_path"), allowed).alias("category"))
+    winner (smallest id) and the number of copies; category from the path.
+
+    The winners are picked on (hash, id) alone, combined map-side, and joined
+    back: no aggregate holds a text.  Ids are keys of the index (unique)."""
+    hashed = docs.withColumn("content_hash", F.sha2(F.coalesce(F.col("content"), F.lit("")), 256))
+    win = hashed.groupBy("content_hash").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    return (hashed.join(win, ["id", "content_hash"])
+            .select(*docs.columns, "content_hash", "copies")
+            .withColumn("category", category_of(F.col("file_path"), allowed)))
 
 
 def gold_summary(silver: DataFrame) -> DataFrame:
@@ -70,11 +68,24 @@ def scope_partition(layer: DataFrame, category: str | None, part_col: str = "cat
     return layer if category is None else layer.where(F.col(part_col) == F.lit(category))
 
 
+def newest_rows(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """One row of largest ``order`` per ``key``.  The largest values are found by one aggregate over
+    key and order columns and the rows by a join on them, so no aggregate holds the payload and
+    rows that lost are not sorted; of rows equal in all of ``order`` one stays."""
+    top = rows.groupBy(F.col(key).alias("_key")).agg(F.max(F.struct(*order)).alias("_top"))
+    best = rows.join(top, (F.col(key) == F.col("_key")) & (F.struct(*order) == F.col("_top")))
+    w = Window.partitionBy("_key").orderBy(*[F.col(c).desc() for c in order])
+    return best.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_key", "_top", "_n")
+
+
 def upsert_index(old: DataFrame, new: DataFrame, key: str = "id", version: str = "last_modified") -> DataFrame:
     """Merge keyed on ``key``; the newest ``version`` wins, on a tie the new
-    row wins.  An aggregate (max_by), not a window over the key."""
-    cols = [c for c in old.columns if c != key]
-    both = old.withColumn("_src", F.lit(0)).unionByName(new.select(*old.columns).withColumn("_src", F.lit(1)))
-    return (both.groupBy(key)
-            .agg(F.max_by(F.struct(*cols), F.struct(version, "_src")).alias("_w"))
-            .select(key, *[F.col(f"_w.{c}").alias(c) for c in cols]))
+    row wins.  Rows of ``old`` whose key the delta lacks pass by an anti join
+    on the delta's keys; only keys on both sides are compared, by version."""
+    new = newest_rows(new.select(*old.columns), key, [version])
+    keys = new.select(F.col(key).alias("_key"), F.col(version).alias("_version"))
+    joined = old.join(keys, F.col(key) == F.col("_key"), "left")
+    stays = joined.where(F.col("_key").isNull() | (F.col(version) > F.col("_version"))).drop("_key", "_version")
+    newer = old.select(F.col(key).alias("_key"), F.col(version).alias("_version"))
+    comes = new.join(newer, (F.col(key) == F.col("_key")) & (F.col(version) < F.col("_version")), "left_anti")
+    return stays.unionByName(comes)

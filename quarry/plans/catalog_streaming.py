@@ -1,19 +1,21 @@
 """Registered queries: Structured Streaming jobs.
 
-Each query drives its stream over the driver table read as a file stream
-(``availableNow``: drain, then stop), writes to a fresh folder under the
-shared checkpoint folder, and returns the final state read back from the
-sink.  Final states equal the batch operators, so the batch SQL is their
-oracle.  The stalled-run job judges runs against the largest event time seen,
-which for a drained stream is the batch definition written in its SQL."""
+Each query writes its driver table as files in several waves (events by time, some of them a wave
+late), drains them as a file stream of at least four micro-batches (``availableNow``) into a fresh
+folder under the shared checkpoint folder, and returns what its reader makes of the sink.  That
+equals the batch operators, so the batch SQL is the oracle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formats import TELEMETRY_WORKSPACE_FIELD
 from ..operators import index as ix
+from ..operators import runs as rn
+from ..session import scratch_path
 from ..streaming import jobs as sj
 from . import fixtures as fx
 from . import catalog_lake  # noqa: F401  (registers upsert_index, whose SQL is reused)
@@ -21,21 +23,41 @@ from .catalog_runs import LATEST_SQL
 from .registry import oracle_for, register
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """A driver table read as a file stream (schema taken from the file)."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    r = spark.readStream.schema(spark.read.parquet(path).schema)
-    if files_per_batch:
-        r = r.option("maxFilesPerTrigger", files_per_batch)
-    # a file stream watches a folder or a glob; the bracket glob matches this file only
-    return r.parquet(f"{sf_dir.rstrip('/')}/{name[0]}[{name[1]}]{name[2:]}.parquet")
+WAVES = 4
+
+
+def waves_of(df: DataFrame, wave: Column, name: str) -> DataFrame:
+    """A file stream over ``df``, delivered in at least ``WAVES`` micro-batches: the rows of each
+    wave (0 to WAVES - 1) are written after one another, and a batch takes a share of the files."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"waves-{name}-{uuid.uuid4().hex[:12]}")
+    for k in range(WAVES):
+        df.where(wave == k).write.mode("append").parquet(path)
+    files = len(spark.read.parquet(path).inputFiles())
+    return (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, files // WAVES)).parquet(path))
+
+
+def event_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in the order of their times, in four equal spans of time; every 17th event comes
+    one wave late."""
+    e = fx.table(spark, sf_dir, "events")
+    lo, hi = (e.select(f(F.unix_micros(F.col("ts").cast("timestamp")))).scalar() for f in (F.min, F.max))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = F.floor((at - lo) * WAVES / (hi - lo + 1)).cast("int")
+    wave = F.least(F.lit(WAVES - 1), span + F.when(F.col("event_id") % 17 == 0, 1).otherwise(0))
+    return waves_of(e, wave, "events")
+
+
+def table_waves(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A driver table in four deliveries by key."""
+    return waves_of(fx.table(spark, sf_dir, name), (F.col(key) % WAVES).cast("int"), name)
 
 
 @register("stream_latest_state", f"""WITH {LATEST_SQL}
 SELECT *, state IN ('Succeeded', 'Failed', 'Cancelled') AS terminal FROM latest""")
 def q_stream_latest_state(spark, sf):
     sink, ckpt = sj.run_folder(spark, "latest-state")
-    q = sj.stream_latest_state(fx.status_events_from(stream_table(spark, sf, "events")), sink, ckpt)
+    q = sj.stream_latest_state(fx.status_events_from(event_waves(spark, sf)), sink, ckpt)
     q.awaitTermination()
     return sj.read_latest_state(spark, sink)
 
@@ -46,24 +68,22 @@ FROM telemetry""")
 def q_stream_telemetry(spark, sf):
     sink, ckpt = sj.run_folder(spark, "telemetry")
 
-    def records():
-        t = fx.telemetry_from(stream_table(spark, sf, "events"))
-        return t.withColumn("Timestamp", F.coalesce(F.col("Timestamp"), fx.now_lit()).cast("timestamp"))
-
-    # the same deliveries arrive twice; the watermark dedup keeps one copy
-    q = sj.stream_telemetry(records().unionByName(records()), sink, ckpt)
+    # the same deliveries arrive twice; the dedup keeps one copy.  Missing event times stay missing
+    # in the stream and are filled when read
+    once, again = (fx.telemetry_from(event_waves(spark, sf)) for _ in range(2))
+    q = sj.stream_telemetry(once.unionByName(again), sink, ckpt)
     q.awaitTermination()
-    return spark.read.parquet(sink).withColumn("Timestamp", F.col("Timestamp").cast("timestamp_ntz"))
+    return rn.fill_timestamp(sj.read_telemetry(spark, sink), fx.now_lit())
 
 
 @register("stream_ingest", oracle_for("upsert_index"))
 def q_stream_ingest(spark, sf):
     sink, ckpt = sj.run_folder(spark, "ingest")
-    docs = ix.map_fields(fx.doc_files_from(stream_table(spark, sf, "documents")))
+    docs = ix.map_fields(fx.doc_files_from(table_waves(spark, sf, "documents", "doc_id")))
     changed = docs.where(F.substring(F.col("id"), -1, 1).isin("A", "Q", "g", "w")).select(
         "id", F.concat(F.col("content"), F.lit(" (revised)")).alias("content"), "title", "file_name",
         "file_path", F.timestamp_add("DAY", F.lit(1), F.col("last_modified")).alias("last_modified"), "file_size")
-    pages = ix.map_fields(fx.page_files_from(stream_table(spark, sf, "pages")))
+    pages = ix.map_fields(fx.page_files_from(table_waves(spark, sf, "pages", "page_id")))
     q = sj.stream_ingest(docs.unionByName(changed).unionByName(pages), sink, ckpt, map_fn=lambda b: b)
     q.awaitTermination()
     cur = sj.read_current_index(spark, sink)
@@ -77,8 +97,7 @@ WHERE state NOT IN ('Succeeded', 'Failed', 'Cancelled')
   AND first_ts + INTERVAL 900 SECOND < (SELECT max(ts) FROM status_events WHERE coalesce(status, runStatus) IS NOT NULL)""")
 def q_stream_stalled_runs(spark, sf):
     sink, ckpt = sj.run_folder(spark, "stalled")
-    q = sj.stream_stalled_runs(fx.status_events_from(stream_table(spark, sf, "events")), sink, ckpt,
-                               limit_s=900)
+    q = sj.stream_stalled_runs(fx.status_events_from(event_waves(spark, sf)), sink, ckpt)
     q.awaitTermination()
-    return sj.read_stalled_runs(spark, sink)
+    return sj.read_stalled_runs(spark, sink, limit_s=900)
 

@@ -1,10 +1,10 @@
 """Structured Streaming variants of the batch jobs.
 
-All sinks are idempotent per micro-batch (a batch writes its own
-``batch_id=<n>`` folder with overwrite), checkpoints live in the shared
-checkpoint folder, and every job can run with ``availableNow`` (drain and
-stop) or a processing-time trigger.  Final state read back from the sink
-equals the batch operator over the same input.
+Per-run state lives in Spark's own streaming aggregation; sinks append one folder per
+micro-batch (``batch_id=<n>``, overwritten when a batch is retried) and readers take the newest
+row per key.  Checkpoints live in the shared checkpoint folder, and every job can run with
+``availableNow`` (drain and stop) or a processing-time trigger.  The state read back from a sink
+equals the batch operator over the same input, whatever the micro-batches and their order.
 """
 
 from __future__ import annotations
@@ -13,11 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 
-from ..operators.lake import upsert_index
+from ..operators.lake import newest_rows
 from ..operators.runs import STALL_LIMIT_S, TERMINAL_STATES, status_of
 from ..session import scratch_path
 
@@ -37,118 +34,51 @@ def _start(writer, trigger: str | None):
     return writer.start()
 
 
-# --------------------------------------------------------------- ingest
-def stream_ingest(files: DataFrame, index_root: str, checkpoint: str, map_fn,
-                  trigger: str | None = None):
-    """Index documents as they arrive, merge-on-read: each micro-batch maps
-    its files to index rows, keeps the newest row per key within the batch,
-    and writes only those rows to ``<index_root>/changes/batch_id=<n>`` — a
-    batch costs O(batch), never a rewrite of the index, and a retried batch
-    overwrites its own folder.  :func:`read_current_index` merges snapshot
-    and changes; :func:`compact_index` folds changes into a new snapshot."""
+def _append_batches(stream: DataFrame, sink: str, checkpoint: str, trigger: str | None, mode: str = "append"):
+    """Write every micro-batch to its own folder.  The sink is created empty first, so that a
+    reader finds its schema before the first batch and an unreadable sink is an error."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(f"{sink}/batch_id=-1")
+
     def step(batch: DataFrame, batch_id: int) -> None:
-        rows = map_fn(batch)
-        upsert_index(rows.limit(0), rows).write.mode("overwrite") \
-            .parquet(f"{index_root}/changes/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
-    w = files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return _start(w, trigger)
+    return _start(stream.writeStream.outputMode(mode).foreachBatch(step)
+                  .option("checkpointLocation", checkpoint), trigger)
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+# --------------------------------------------------------------- ingest
+def stream_ingest(files: DataFrame, index_root: str, checkpoint: str, map_fn,
+                  trigger: str | None = None):
+    """Index documents as they arrive, merge-on-read: a micro-batch writes only its own rows, and
+    :func:`read_current_index` takes the newest row per key over all of them."""
+    return _append_batches(map_fn(files), index_root, checkpoint, trigger)
 
 
 def read_current_index(spark: SparkSession, index_root: str, key: str = "id",
-                       version: str = "last_modified") -> DataFrame | None:
-    """Current index: the newest snapshot plus every later change, newest
-    ``version`` per key (a later batch wins a tie) — one aggregate."""
-    snap = _read_or_none(spark, f"{index_root}/snapshot")
-    changes = _read_or_none(spark, f"{index_root}/changes")
-    parts = []
-    if snap is not None:
-        newest = snap.agg(F.max("v")).first()[0]
-        parts.append(snap.where(F.col("v") == newest).drop("v").withColumn("batch_id", F.lit(newest)))
-        if changes is not None:
-            changes = changes.where(F.col("batch_id") > newest)
-    if changes is not None:
-        parts.append(changes)
-    if not parts:
-        return None
-    allrows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    cols = [c for c in allrows.columns if c not in (key, "batch_id")]
-    return (allrows.groupBy(key)
-            .agg(F.max_by(F.struct(*cols), F.struct(version, "batch_id")).alias("_w"))
-            .select(key, *[F.col(f"_w.{c}").alias(c) for c in cols]))
-
-
-def compact_index(spark: SparkSession, index_root: str) -> None:
-    """Fold the changes into snapshot ``v=<last batch>``; readers switch to it
-    once it is complete, and earlier folders can then be removed."""
-    changes = _read_or_none(spark, f"{index_root}/changes")
-    if changes is None:
-        return
-    last = changes.agg(F.max("batch_id")).first()[0]
-    read_current_index(spark, index_root).write.mode("overwrite") \
-        .parquet(f"{index_root}/snapshot/v={last}")
-
-
-# --------------------------------------------------------------- latest state
-def _read_version(spark: SparkSession, root: str, before: int) -> DataFrame | None:
-    try:
-        versions = spark.read.parquet(root)
-    except AnalysisException:
-        return None
-    versions = versions.where(F.col("v") < before)
-    newest = versions.agg(F.max("v")).first()[0]
-    return None if newest is None else versions.where(F.col("v") == newest).drop("v")
-
-
-def _merge_runs(batch: DataFrame, prev: DataFrame | None) -> DataFrame:
-    """Per run: first event time and latest (ts, event_id, state) over the
-    micro-batch merged with the open runs carried from earlier batches."""
+                       version: str = "last_modified") -> DataFrame:
+    """Current index: the newest ``version`` per key (a later batch wins a tie)."""
+    return newest_rows(spark.read.parquet(index_root), key, [version, "batch_id"]).drop("batch_id")
+
+
+# --------------------------------------------------------------- run state
+def run_states(events: DataFrame) -> DataFrame:
+    """Per run: its first event time and its latest (ts, event_id, state), as one aggregate (a
+    streaming one on a streaming input, kept in Spark's state store)."""
     st = status_of(F.col("status"), F.col("runStatus"))
-    ev = batch.where(st.isNotNull()).select("run_id", "event_id", "ts", st.alias("state"))
-    cur = ev.groupBy("run_id").agg(F.min("ts").alias("first_ts"),
-                                   F.max(F.struct("ts", "event_id", "state")).alias("last"))
-    if prev is None:
-        return cur
-    return (prev.withColumnRenamed("first_ts", "p_first").withColumnRenamed("last", "p_last")
-            .join(cur, "run_id", "full")
-            .select("run_id", F.least("p_first", "first_ts").alias("first_ts"),
-                    F.greatest("p_last", "last").alias("last")))
+    ev = events.where(st.isNotNull()).select("run_id", "event_id", "ts", st.alias("state"))
+    return ev.groupBy("run_id").agg(F.min("ts").alias("first_ts"),
+                                    F.max(F.struct("ts", "event_id", "state")).alias("last"))
 
 
 def stream_latest_state(events: DataFrame, sink: str, checkpoint: str, trigger: str | None = None):
-    """Live current state per run.  Each micro-batch is reduced per run with
-    one aggregate, merged with the runs still open (a versioned state table:
-    terminal runs leave it, so state stays bounded by the open runs), and the
-    merged rows of the runs it touched are appended to ``sink/batch_id=<n>``."""
-    state_root = f"{sink}_state"
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)   # two outputs from one micro-batch
-        try:
-            merged = _merge_runs(batch, _read_version(spark, state_root, batch_id))
-            touched = batch.select("run_id").distinct()
-            (merged.join(touched, "run_id", "left_semi")
-             .write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}"))
-            (merged.where(~F.col("last.state").isin(TERMINAL_STATES))
-             .write.mode("overwrite").parquet(f"{state_root}/v={batch_id}"))
-        finally:
-            batch.unpersist()
-
-    w = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return _start(w, trigger)
+    """Live current state per run: the streaming aggregate's updated rows, a micro-batch at a time."""
+    return _append_batches(run_states(events), sink, checkpoint, trigger, mode="update")
 
 
 def read_latest_state(spark: SparkSession, sink: str) -> DataFrame:
-    """Final state per run over all changes: the latest (ts, event_id) row
-    and the earliest event time."""
+    """Current state per run over all updates: the latest (ts, event_id) row and the earliest
+    event time.  Late events can only add earlier rows, so the newest row stays."""
     ch = spark.read.parquet(sink)
     return (ch.groupBy("run_id").agg(F.max("last").alias("last"), F.min("first_ts").alias("first_ts"))
             .select("run_id", F.col("last.state").alias("state"), "first_ts", F.col("last.ts").alias("last_ts"))
@@ -156,62 +86,32 @@ def read_latest_state(spark: SparkSession, sink: str) -> DataFrame:
 
 
 # --------------------------------------------------------------- telemetry
-def stream_telemetry(records: DataFrame, sink: str, checkpoint: str, event_time: str = "Timestamp",
-                     delay: str = "1 hour", keys=("RunId", "Workflow"), trigger: str | None = None):
-    """Append telemetry by event time, dropping re-sent records (same run id
-    and workflow) that arrive within the watermark delay."""
-    deduped = records.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
-    w = (deduped.writeStream.outputMode("append").format("parquet")
-         .option("path", sink).option("checkpointLocation", checkpoint))
-    return _start(w, trigger)
+def stream_telemetry(records: DataFrame, sink: str, checkpoint: str, delay: str = "1 hour",
+                     keys=("RunId", "Workflow"), trigger: str | None = None):
+    """Append telemetry, dropping records (same run id and workflow) re-sent within ``delay`` of
+    their first arrival.  The watermark is on the time of arrival, which only grows: records with
+    a late or missing event time are neither dropped nor able to make others late."""
+    arrived = records.withColumn("_arrived", F.current_timestamp())
+    deduped = arrived.withWatermark("_arrived", delay).dropDuplicatesWithinWatermark(list(keys)).drop("_arrived")
+    return _append_batches(deduped, sink, checkpoint, trigger)
 
 
-# --------------------------------------------------------------- stalled runs
-def stream_stalled_runs(events: DataFrame, sink: str, checkpoint: str, limit_s: int = STALL_LIMIT_S,
-                        delay_s: int = 0, trigger: str | None = None):
-    """Runs whose latest state is not terminal ``limit_s`` seconds (event
-    time) after their first event, judged against the largest event time
-    seen so far minus ``delay_s``.
-
-    Each micro-batch is reduced per run with one aggregate (first time and
-    latest (ts, event_id, state)), merged with the open runs of the previous
-    batch (a versioned state table in the shared folder), and split into
-    closed (terminal, dropped), stalled (emitted to ``sink/batch_id=<n>`` and
-    dropped) and still open (written as state version ``<n>``).  JVM only; a
-    retried batch rewrites its own folders."""
-    state_root, clock_root = f"{sink}_state", f"{sink}_clock"
-    st_col = status_of(F.col("status"), F.col("runStatus"))
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)   # three outputs from one micro-batch
-        try:
-            _stall_step(spark, batch, batch_id)
-        finally:
-            batch.unpersist()
-
-    def _stall_step(spark, batch: DataFrame, batch_id: int) -> None:
-        ev = batch.where(st_col.isNotNull())
-        merged = _merge_runs(batch, _read_version(spark, state_root, batch_id))
-        clock_prev = _read_version(spark, clock_root, batch_id)
-        seen = ev.select(F.max("ts").alias("max_ts"))
-        if clock_prev is not None:
-            seen = seen.unionByName(clock_prev).agg(F.max("max_ts").alias("max_ts"))
-        seen.write.mode("overwrite").parquet(f"{clock_root}/v={batch_id}")
-        watermark = F.timestamp_add("SECOND", F.lit(-delay_s),
-                                    spark.read.parquet(f"{clock_root}/v={batch_id}").select(F.max("max_ts")).scalar())
-        terminal = F.col("last.state").isin(TERMINAL_STATES)
-        due = F.timestamp_add("SECOND", F.lit(limit_s), F.col("first_ts")) < watermark
-        labelled = merged.withColumn("_terminal", terminal).withColumn("_due", due)
-        (labelled.where(~F.col("_terminal") & F.col("_due"))
-         .select("run_id", F.col("last.state").alias("state"), "first_ts", F.col("last.ts").alias("last_ts"))
-         .write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}"))
-        (labelled.where(~F.col("_terminal") & ~F.col("_due")).select("run_id", "first_ts", "last")
-         .write.mode("overwrite").parquet(f"{state_root}/v={batch_id}"))
-
-    w = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return _start(w, trigger)
-
-
-def read_stalled_runs(spark: SparkSession, sink: str) -> DataFrame:
+def read_telemetry(spark: SparkSession, sink: str) -> DataFrame:
     return spark.read.parquet(sink).drop("batch_id")
+
+
+# --------------------------------------------------------------- stalled runs
+def stream_stalled_runs(events: DataFrame, sink: str, checkpoint: str, trigger: str | None = None):
+    """Keep what the stalled-run alarm needs: the streaming aggregate of :func:`run_states`.  A run is
+    judged when the alarm is read, against the largest event time then seen, so a run that closes
+    later, or whose late events were still on the way, is never reported as stalled."""
+    return _append_batches(run_states(events), sink, checkpoint, trigger, mode="update")
+
+
+def read_stalled_runs(spark: SparkSession, sink: str, limit_s: int = STALL_LIMIT_S, delay_s: int = 0) -> DataFrame:
+    """One row per run whose latest state is not terminal ``limit_s`` seconds (event time) after its
+    first event, against the largest event time seen minus ``delay_s``."""
+    runs = read_latest_state(spark, sink)
+    now = F.timestamp_add("SECOND", F.lit(-delay_s), runs.select(F.max("last_ts")).scalar())
+    due = F.timestamp_add("SECOND", F.lit(limit_s), F.col("first_ts")) < now
+    return runs.where(~F.col("terminal") & due).drop("terminal")
