@@ -88,9 +88,8 @@ def compose_id(fmt: str, *parts) -> Column:
     return F.when(ok, F.format_string(fmt, *cols))
 
 
-# Document folder categories of the two scripts.
+# Document folder categories.
 CATEGORIES_LAKEHOUSE = ["contracts", "reports", "policies", "manuals"]
-CATEGORIES_FOLDERS = ["contracts", "reports", "presentations"]
 CATEGORY_PATTERN = r"Files/documents/([^/]+)/"
 
 

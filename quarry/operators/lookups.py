@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formats import DATASOURCE_KIND, OWN_DATASOURCE_PREFIX
-from ..plans.sizing import small_or_shuffle
 
 
 def _fold(c: Column, case_sensitive: bool) -> Column:
@@ -41,7 +40,7 @@ def resolve_by_name(names: DataFrame, listing: DataFrame, name_col: str = "name"
     """names ⋈ listing where displayName OR name matches — as a union of
     aliases and one equi join, never an OR join condition.  Unresolved names
     are kept with a null id.  (name, id, resolved)."""
-    aliases = small_or_shuffle(listing_aliases(listing, alias_cols, case_sensitive=case_sensitive))
+    aliases = listing_aliases(listing, alias_cols, case_sensitive=case_sensitive)
     keyed = names.select(F.col(name_col).alias("name"),
                          _fold(F.col(name_col), case_sensitive).alias("alias_key"))
     return (keyed.join(aliases, "alias_key", "left")
@@ -59,7 +58,7 @@ def resolve_with_fallback(names: DataFrame, primary: DataFrame, secondary: DataF
         .withColumnRenamed("id", "s_id")
     keyed = names.select(F.col(name_col).alias("name"),
                          _fold(F.col(name_col), case_sensitive).alias("alias_key"))
-    j = keyed.join(small_or_shuffle(p), "alias_key", "left").join(small_or_shuffle(s), "alias_key", "left")
+    j = keyed.join(p, "alias_key", "left").join(s, "alias_key", "left")
     return j.select(
         "name",
         F.coalesce("p_id", "s_id").alias("id"),
@@ -71,26 +70,27 @@ def pick_by_priority(requests: DataFrame, candidates: DataFrame, account: str,
                      request_col: str = "workspace_id", prefix: str = OWN_DATASOURCE_PREFIX,
                      kind: str = DATASOURCE_KIND) -> DataFrame:
     """Datasource choice per request: the request's own datasource, else the
-    first root-level one of ``kind`` (no collection or the account
+    first root-level one of ``kind`` (no or an empty collection, or the account
     collection), else the first of ``kind`` anywhere, else create the own
-    one.  "First" is by name (the listing order is not defined).
+    one.  Names, kinds and collections compare without letter case; "first" is
+    by name (the listing order is not defined).
 
     The global fallbacks are single values (scalar subqueries), so requests
     are never paired with candidates beyond one equi join on the own name.
     (request, datasource, choice)."""
     own_name = F.concat(F.lit(prefix), F.col(request_col).cast("string"))
     req = requests.select(F.col(request_col).alias("request"), own_name.alias("own_name"))
-    own = candidates.select(F.col("name").alias("own_name"), F.lit(True).alias("_own")).distinct()
-    of_kind = candidates.where(F.col("kind") == F.lit(kind))
-    root_level = F.col("collection").isNull() | (F.col("collection") == F.lit(account))
+    own = (candidates.groupBy(F.lower("name").alias("_key")).agg(F.min("name").alias("_own"))
+           .where(F.col("_key").isNotNull()))
+    of_kind = candidates.where(F.lower("kind") == F.lit(kind.lower()))
+    root_level = F.coalesce(F.col("collection"), F.lit("")).isin("") | (F.lower("collection") == F.lit(account.lower()))
     root_first = of_kind.where(root_level).select(F.min("name")).scalar()
     any_first = of_kind.select(F.min("name")).scalar()
-    j = req.join(own, "own_name", "left")
+    j = req.join(own, F.lower("own_name") == F.col("_key"), "left")
     return j.select(
         "request",
-        F.when(F.col("_own"), F.col("own_name"))
-        .otherwise(F.coalesce(root_first, any_first, F.col("own_name"))).alias("datasource"),
-        F.when(F.col("_own"), F.lit("own"))
+        F.coalesce("_own", root_first, any_first, "own_name").alias("datasource"),
+        F.when(F.col("_own").isNotNull(), F.lit("own"))
         .when(root_first.isNotNull(), F.lit("root"))
         .when(any_first.isNotNull(), F.lit("any"))
         .otherwise(F.lit("create")).alias("choice"))
@@ -102,7 +102,7 @@ def lookup_active(workspaces: DataFrame, capacities: DataFrame, cap_col: str = "
     name, ``Inactive Capacity (<id>)`` or ``None``."""
     active = capacities.where(F.lower("state") == F.lit(active_state.lower())) \
         .select(F.col("id").alias("_cap_id"), F.col("displayName").alias("_cap_name"))
-    j = workspaces.join(small_or_shuffle(active), F.col(cap_col) == F.col("_cap_id"), "left")
+    j = workspaces.join(active, F.col(cap_col) == F.col("_cap_id"), "left")
     label = (F.when(F.col(cap_col).isNull(), F.lit("None"))
              .when(F.col("_cap_id").isNotNull(), F.col("_cap_name"))
              .otherwise(F.concat(F.lit("Inactive Capacity ("), F.col(cap_col).cast("string"), F.lit(")"))))
@@ -115,7 +115,6 @@ def exclude_named(df: DataFrame, names: DataFrame, df_col: str = "displayName",
                   names_col: str = "name", case_sensitive: bool = False) -> DataFrame:
     """Drop rows whose name is listed (anti join; null-safe unlike NOT IN)."""
     ex = names.select(_fold(F.col(names_col), case_sensitive).alias("_ex")).distinct()
-    ex = small_or_shuffle(ex)
     return df.join(ex, _fold(F.col(df_col), case_sensitive) == F.col("_ex"), "left_anti")
 
 
@@ -123,7 +122,7 @@ def dependents_of(refs: DataFrame, targets: DataFrame, ref_col: str = "dataSourc
                   target_col: str = "name") -> DataFrame:
     """Rows of ``refs`` that reference one of the targets (semi join)."""
     t = targets.select(F.col(target_col).alias("_t")).distinct()
-    return refs.join(small_or_shuffle(t), F.col(ref_col) == F.col("_t"), "left_semi")
+    return refs.join(t, F.col(ref_col) == F.col("_t"), "left_semi")
 
 
 def scope_filter(assets: DataFrame, scope: DataFrame, workspaces: DataFrame,
@@ -132,7 +131,6 @@ def scope_filter(assets: DataFrame, scope: DataFrame, workspaces: DataFrame,
     allowed = (workspaces.where(~F.coalesce(F.col("type") == F.lit(personal_type), F.lit(False)))
                .select(F.col("id").alias("_ws"))
                .join(scope.select(F.col("workspace_id").alias("_ws")), "_ws", "left_semi"))
-    allowed = small_or_shuffle(allowed)
     return assets.join(allowed, F.col(asset_ws_col) == F.col("_ws"), "left_semi")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.formats import PAIR_PREFIX_WORKSPACE
+from ..functions.formats import PAIR_PREFIX_LAKEHOUSE
 from ..operators import index as ix
 from ..operators import lake as lk
 from ..sources import files as sf_files
@@ -103,36 +103,59 @@ def q_upsert_index(spark, sf):
                          F.octet_length("content").cast("bigint").alias("content_bytes"))
 
 
-@register("scan_pairs", f"""WITH {fx.PAIR_LINES_SQL},
-m AS (SELECT line_no, trim(regexp_extract(line, '^(.+?)=(.*)$', 1)) AS key,
-             regexp_replace(trim(regexp_extract(line, '^(.+?)=(.*)$', 2)), '^"(.*)"$', '\\1') AS value
-      FROM pair_lines WHERE regexp_matches(line, '^(.+?)=(.*)$'))
-SELECT key, arg_max(value, line_no) AS value, max(line_no) AS line_no FROM m GROUP BY key""")
+def _pairs_sql(pick: str) -> str:
+    return f"""WITH {fx.PAIR_LINES_SQL},
+m AS (SELECT file, line_no, trim(regexp_extract(line, '{sf_files.PAIR_PATTERN}', 1)) AS key,
+             trim(trim(regexp_extract(line, '{sf_files.PAIR_PATTERN}', 2)), '"') AS value
+      FROM pair_lines WHERE regexp_matches(line, '{sf_files.PAIR_PATTERN}'))
+SELECT file, key, {pick}(value, line_no) AS value FROM m GROUP BY file, key"""
+
+
+def _scan_pairs(spark, sf, keep):
+    """The lines written as eight files, read back by the file scan."""
+    path = _scratch(spark, "pair-files")
+    (fx.pair_lines(spark, sf).repartition(8, "file").sortWithinPartitions("file", "line_no")
+     .select("line", "file").write.partitionBy("file").text(path))
+    found = sf_files.scan_pairs(spark, path, keep=keep)
+    return found.withColumn("file", F.regexp_extract("file", "/file=([0-9]+)/", 1).cast("long"))
+
+
+@register("scan_pairs", _pairs_sql("arg_max"))
 def q_scan_pairs(spark, sf):
-    return sf_files.parse_pairs(fx.pair_lines(spark, sf), keep="last")
+    return _scan_pairs(spark, sf, "last")
 
 
-@register("scan_pairs_first", f"""WITH {fx.PAIR_LINES_SQL},
-m AS (SELECT line_no, trim(regexp_extract(line, '^(.+?)=(.*)$', 1)) AS key,
-             regexp_replace(trim(regexp_extract(line, '^(.+?)=(.*)$', 2)), '^"(.*)"$', '\\1') AS value
-      FROM pair_lines WHERE regexp_matches(line, '^(.+?)=(.*)$'))
-SELECT key, arg_min(value, line_no) AS value, min(line_no) AS line_no FROM m GROUP BY key""")
+@register("scan_pairs_first", _pairs_sql("arg_min"))
 def q_scan_pairs_first(spark, sf):
-    return sf_files.parse_pairs(fx.pair_lines(spark, sf), keep="first")
+    return _scan_pairs(spark, sf, "first")
 
 
-@register("scan_listing", """SELECT l_orderkey AS page, CAST(l_linenumber AS VARCHAR) AS id,
+@register("scan_listing", """SELECT CAST(l_linenumber AS VARCHAR) AS id,
        'part-' || CAST(l_partkey AS VARCHAR) AS displayName FROM lineitem""")
 def q_scan_listing(spark, sf):
-    env = fx.listing_envelopes(spark, sf)
-    return sf_files.parse_listing(env, "json", "value", keep_cols=("page",))
+    """Listing documents written as JSON lines, read back by the file scan."""
+    path = _scratch(spark, "listings")
+    fx.listing_envelopes(spark, sf).select("json").write.text(path)
+    return sf_files.scan_listing(spark, path, wholetext=False)
+
+
+# the first supplier stands for the default layer
+LAKEHOUSE_DEFAULT = "bronze"
+EXPORT_SQL = f"""lakehouses AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey = 1 THEN '{LAKEHOUSE_DEFAULT}' ELSE s_name END AS name
+                FROM supplier),
+pairs AS (SELECT '{PAIR_PREFIX_LAKEHOUSE}_' || name || '_ID=' || CAST(id AS VARCHAR) AS line FROM lakehouses
+          UNION ALL SELECT '{PAIR_PREFIX_LAKEHOUSE}_ID=' || CAST(id AS VARCHAR) FROM lakehouses WHERE name = '{LAKEHOUSE_DEFAULT}')"""
+
+
+def _lakehouses(spark, sf):
+    s = fx.table(spark, sf, "supplier")
+    return s.select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") == 1, F.lit(LAKEHOUSE_DEFAULT))
+                    .otherwise(F.col("s_name")).alias("name"))
 
 
-@register("export_pairs", f"""WITH {fx.WORKSPACES_SQL}
-SELECT '{PAIR_PREFIX_WORKSPACE}_' || upper(regexp_replace(displayName, '[^A-Za-z0-9]', '_', 'g')) || '_ID=' || CAST(id AS VARCHAR) AS line
-FROM workspaces""")
+@register("export_pairs", f"WITH {EXPORT_SQL} SELECT line FROM pairs")
 def q_export_pairs(spark, sf):
-    return sinks.pair_lines(fx.workspaces(spark, sf), PAIR_PREFIX_WORKSPACE, "displayName", "id")
+    return sinks.pair_lines(_lakehouses(spark, sf), PAIR_PREFIX_LAKEHOUSE, "name", "id", LAKEHOUSE_DEFAULT)
 
 
 # ------------------------------------------------------------ SQL functions
@@ -179,12 +202,10 @@ def q_write_layers(spark, sf):
     return gold.select("category", "documents", "characters", "bytes", "chunks")
 
 
-@register("export_pairs_file", f"""WITH {fx.WORKSPACES_SQL}
-SELECT '{PAIR_PREFIX_WORKSPACE}_' || upper(regexp_replace(displayName, '[^A-Za-z0-9]', '_', 'g')) || '_ID=' || CAST(id AS VARCHAR) AS value
-FROM workspaces""")
+@register("export_pairs_file", f"WITH {EXPORT_SQL} SELECT line AS value FROM pairs")
 def q_export_pairs_file(spark, sf):
     path = _scratch(spark, "pairs")
-    sinks.export_pairs(fx.workspaces(spark, sf), path, PAIR_PREFIX_WORKSPACE, "displayName", "id")
+    sinks.export_pairs(_lakehouses(spark, sf), path, PAIR_PREFIX_LAKEHOUSE, "name", "id", default=LAKEHOUSE_DEFAULT)
     return spark.read.text(path)
 
 

@@ -36,16 +36,17 @@ def extension_filter(path_col, include=INCLUDE_EXTENSIONS, exclude=EXCLUDE_EXTEN
 
 
 def scan_documents(spark: SparkSession, root: str, include=INCLUDE_EXTENSIONS,
-                   exclude=EXCLUDE_EXTENSIONS, as_text: bool = True) -> DataFrame:
+                   exclude=EXCLUDE_EXTENSIONS, as_text: bool = False) -> DataFrame:
     """Recursive scan → source-file rows (content + metadata_* fields).
 
-    ``pathGlobFilter`` prunes by extension at listing time when only
-    inclusions are given; the predicate on ``_metadata.file_path`` applies
-    the full include/exclude rule."""
+    ``pathGlobFilter`` prunes by extension, in any letter case, at listing
+    time when inclusions are given; the predicate on the path applies the
+    full include/exclude rule.  ``content`` is the raw bytes, or with
+    ``as_text`` their UTF-8 text."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if include:
-        globs = ",".join(sorted({e.lstrip(".").lower() for e in include} |
-                                {e.lstrip(".").upper() for e in include}))
+        globs = ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e.lstrip("."))
+                         for e in sorted(include))
         reader = reader.option("pathGlobFilter", f"*.{{{globs}}}")
     raw = reader.load(root)
     keep = extension_filter(F.col("path"), include, exclude)
@@ -78,13 +79,13 @@ PAIR_PATTERN = r"^(.+?)=(.*)$"
 def parse_pairs(lines: DataFrame, keep: str = "last", line_col: str = "line",
                 order_col: str = "line_no", group_cols=()) -> DataFrame:
     """KEY=VALUE lines → (key, value, line_no): blank and key-less lines are
-    dropped, surrounding double quotes stripped, duplicates resolved by
+    dropped, double quotes at either end stripped, duplicates resolved by
     ``keep`` = "last" | "first" with an aggregate (max_by / min_by)."""
     line = F.col(line_col)
     m = lines.where(line.rlike(PAIR_PATTERN)).select(
         *group_cols, F.col(order_col).alias("line_no"),
         F.trim(F.regexp_extract(line, PAIR_PATTERN, 1)).alias("key"),
-        F.regexp_replace(F.trim(F.regexp_extract(line, PAIR_PATTERN, 2)), r'^"(.*)"$', "$1").alias("value"))
+        F.btrim(F.trim(F.regexp_extract(line, PAIR_PATTERN, 2)), F.lit('"')).alias("value"))
     pick = F.max_by if keep == "last" else F.min_by
     return (m.groupBy(*group_cols, "key")
             .agg(pick(F.struct("value", "line_no"), F.col("line_no")).alias("_p"))
@@ -110,6 +111,7 @@ def parse_listing(docs: DataFrame, json_col: str = "json", envelope: str = "valu
 
 
 def scan_listing(spark: SparkSession, path: str, envelope: str = "value",
-                 item_schema: T.StructType = LISTING_ITEM) -> DataFrame:
-    raw = spark.read.text(path, wholetext=True).select(F.col("value").alias("json"))
+                 item_schema: T.StructType = LISTING_ITEM, wholetext: bool = True) -> DataFrame:
+    """Items of the listing documents under ``path``: one a file, or one a line."""
+    raw = spark.read.text(path, wholetext=wholetext).select(F.col("value").alias("json"))
     return parse_listing(raw, "json", envelope, item_schema)
