@@ -114,16 +114,24 @@ def field_stats(docs: DataFrame, fields=SEARCHABLE) -> DataFrame:
                                    F.avg("dl").alias("avg_dl"))
 
 
-def field_stats_from_postings(postings: DataFrame, docs: DataFrame, fields=SEARCHABLE) -> DataFrame:
+def term_counts(postings: DataFrame) -> DataFrame:
+    """(field, term, df, cf): documents and occurrences of each term.  The filter keeps every row; it
+    keeps both counts in every plan that reads either, so that Spark reuses the one exchange and
+    tokenizes once."""
+    return (postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+            .where((F.col("df") > 0) & (F.col("cf") > 0)))
+
+
+def field_stats_from_terms(terms: DataFrame, docs: DataFrame, fields=SEARCHABLE) -> DataFrame:
     """Field statistics without tokenizing again: a field's total length is
-    the sum of its postings' tf; documents and non-null values are plain
+    the sum of its terms' cf; documents and non-null values are plain
     counts.  Equal to :func:`field_stats` (average over non-null values)."""
     fields = list(fields)
     counts = docs.agg(F.count(F.lit(1)).alias("n_docs"),
                       *[F.count(F.col(f)).alias(f) for f in fields])
     args = ", ".join(f"'{f}', `{f}`" for f in fields)
     per_field = counts.select("n_docs", F.expr(f"stack({len(fields)}, {args}) AS (field, present)"))
-    lengths = postings.groupBy("field").agg(F.sum("tf").alias("_len"))
+    lengths = terms.groupBy("field").agg(F.sum("cf").alias("_len"))
     return (per_field.join(lengths, "field", "left")          # ≤ one row per field on each side
             .select("field", "n_docs",
                     F.when(F.col("present") > 0, F.coalesce(F.col("_len"), F.lit(0)) / F.col("present"))
@@ -133,6 +141,6 @@ def field_stats_from_postings(postings: DataFrame, docs: DataFrame, fields=SEARC
 def corpus_stats(docs: DataFrame, postings: DataFrame | None = None, fields=SEARCHABLE) -> DataFrame:
     """(field, term, df, n_docs, avg_dl) — inputs of BM25 per term."""
     postings = postings if postings is not None else build_postings(docs, fields)
-    dfreq = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    terms = term_counts(postings)
     # one row per field (proven bound: number of fields)
-    return dfreq.join(F.broadcast(field_stats_from_postings(postings, docs, fields)), "field")
+    return terms.drop("cf").join(F.broadcast(field_stats_from_terms(terms, docs, fields)), "field")

@@ -2,18 +2,18 @@
 
 Single query (``bm25_search``, ``filtered_search``, ``match_count``):
 
-  documents ─stack fields─ tokenize ─ filter each token array by the constant
-  query-term array ─ explode ─ partial agg (field, term, id, dl) → tf ─ shuffle
+  documents ─stack fields─ tokenize ─ filter each token array by the set of
+  query terms ─ explode ─ partial agg (field, term, id, dl) → tf ─ shuffle
   (matching tokens only) ─ ⋈ df per query term (≤ terms × fields rows, reused
   exchange) ⋈ field stats (one row per field) ─ Σ per doc ─ TakeOrderedAndProject.
 
 Many queries (``retrieve_batch``):
 
-  documents ─ tokenize ─ shuffle by id (once) ─ stats, df and tf from that one
-  exchange ─ weight per posting ─ Σ over fields per (term, doc) ─ ⋈ (query,
-  term) ─ Σ per (query, doc) ─ partial WindowGroupLimit ─ shuffle by query ─ top k.
-  Every aggregate after the id exchange is keyed by a superset of id, so the
-  queries × documents fan-out never crosses the network.
+  documents ─ tokenize ─ drop tokens of no query in the map task ─ shuffle the
+  matching ones by id ─ tf ─ written once ─ df and weight per posting ─ shuffle by
+  id ─ Σ over fields per (term, doc) ─ ⋈ (query, term) ─ Σ per (query, doc) ─
+  partial WindowGroupLimit ─ shuffle by query ─ top k.
+  The queries × documents fan-out never crosses the network.
 
 Persisted index (``write_search_index``, ``search_index``, ``retrieve_index``):
 postings partitioned by field and clustered by term; searches read only their
@@ -22,29 +22,25 @@ terms' postings.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BM25_B, BM25_K1, tokens
-from ..plans.sizing import bounded_broadcast
+from ..session import scratch_path
 from ..sources.sinks import write_postings
-from .index import FACETABLE, INDEX_FIELDS, SEARCHABLE, build_postings, field_stats, field_stats_from_postings
+from .index import (FACETABLE, INDEX_FIELDS, SEARCHABLE, build_postings, field_stats, field_stats_from_terms,
+                    term_counts)
 
 SCORE_DIGITS = 6
-# a literal query of at most this many characters has a proven small term set
-MAX_LITERAL_QUERY_CHARS = 1_000_000
-
 
-def _literal_terms(spark: SparkSession, query: str) -> DataFrame:
-    """Distinct terms of a literal query (query_id 0).  Rows ≤ len(query)."""
-    return (spark.range(1)
-            .select(F.lit(0).cast("bigint").alias("query_id"),
-                    F.explode(F.array_distinct(tokens(F.lit(query)))).alias("term")))
 
-
-def _literal_array(query: str) -> Column:
-    """Distinct query terms as an expression Catalyst folds to a constant array."""
-    return F.array_distinct(tokens(F.lit(query)))
+def query_term_list(spark: SparkSession, query: str) -> list[str]:
+    """Distinct analysed terms of one query string (a parameter, bounded by
+    its length) — computed by the same JVM tokenizer as the index."""
+    rows = spark.range(1).select(F.explode(F.array_distinct(tokens(F.lit(query)))).alias("t")).collect()
+    return sorted(r.t for r in rows)
 
 
 def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
@@ -64,29 +60,27 @@ def _field_tokens(docs: DataFrame, fields, keep: Column | None) -> DataFrame:
                       F.when(F.col("toks").isNotNull(), F.size("toks")).alias("dl"), "toks")
 
 
-def _postings_of(tok: DataFrame, terms: DataFrame | None, literal_terms: Column | None) -> DataFrame:
+def _postings_of(tok: DataFrame, terms: DataFrame | list[str]) -> DataFrame:
     """(field, term, id, dl, _keep, tf) for the query terms only.
 
-    With ``literal_terms`` (a constant array) each token array is filtered
-    before it is exploded, so only matching tokens become rows; otherwise
-    tokens are semi-joined with ``terms``.  ``explode_outer`` plus a null
-    filter keeps the optimizer from re-running the tokenizer in an inferred
-    non-empty-array filter."""
+    The terms of a literal query (a list) filter each token array by a hash
+    set before it is exploded, so only matching tokens become rows; a table of
+    terms is semi-joined with the tokens in the map tasks.  ``explode_outer``
+    plus a null filter keeps the optimizer from re-running the tokenizer in an
+    inferred non-empty-array filter."""
     toks = F.col("toks")
-    if literal_terms is not None:
-        toks = F.filter("toks", lambda t: F.array_contains(literal_terms, t))
+    if isinstance(terms, list):
+        toks = F.filter("toks", lambda t: t.isin(terms) if terms else F.lit(False))
     occ = tok.select("id", "_keep", "field", "dl", F.explode_outer(toks).alias("term")) \
         .where(F.col("term").isNotNull())
-    if literal_terms is None:
-        occ = occ.join(terms, "term", "left_semi")
+    if isinstance(terms, list):
+        return occ.groupBy("field", "term", "id", "dl", "_keep").agg(F.count(F.lit(1)).alias("tf"))
+    # many queries: what matches moves once, by document, and every later aggregate is keyed by a
+    # superset of it
+    occ = occ.join(terms, "term", "left_semi").repartition("id")
     return occ.groupBy("field", "term", "id", "dl", "_keep").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _matched_postings(docs: DataFrame, terms: DataFrame | None, fields, keep: Column | None,
-                      literal_terms: Column | None = None) -> DataFrame:
-    return _postings_of(_field_tokens(docs, fields, keep), terms, literal_terms)
-
-
 def _bm25(tf: Column, dl: Column, df_: Column, n: Column, avg_dl: Column,
           k1: float = BM25_K1, b: float = BM25_B) -> Column:
     idf = F.log(F.lit(1.0) + (n - df_ + F.lit(0.5)) / (df_ + F.lit(0.5)))
@@ -94,42 +88,15 @@ def _bm25(tf: Column, dl: Column, df_: Column, n: Column, avg_dl: Column,
     return idf * tf * F.lit(k1 + 1.0) / norm
 
 
-def score_hits(docs: DataFrame, qterms: DataFrame, fields=SEARCHABLE, keep: Column | None = None,
-               terms_broadcast: bool | None = None, max_terms: int = 2_000_000,
-               literal_terms: Column | None = None, colocate: bool = False) -> DataFrame:
-    """(query_id, id, score) for every document sharing a term with a query.
-
-    ``qterms`` is (query_id, term).  Statistics (N, avg length, df) are global
-    over ``docs``; ``keep`` only restricts which documents are scored.
-
-    ``colocate`` (for many queries): documents are tokenized once and the
-    token rows hash-partitioned by ``id``.  The field statistics, the
-    document frequencies and the postings all read that one exchange (reused),
-    and every later aggregate is keyed by a superset of ``id`` — (field, term,
-    id, …) for tf and (query_id, id) for the score — so both run without a
-    shuffle: the query fan-out (queries × documents sharing common terms)
-    never crosses the network, only the top-k survivors do.  A single query
-    skips it: it moves only its matching tokens and counts lengths with
-    ``regexp_count`` in a second scan.
-    """
+def score_hits(docs: DataFrame, terms: list[str], fields=SEARCHABLE, keep: Column | None = None) -> DataFrame:
+    """(id, score) for every document sharing a term with one query.
+
+    Statistics (N, avg length, df) are global over ``docs``; ``keep`` only
+    restricts which documents are scored.  Only matching tokens move; lengths
+    are counted with ``regexp_count`` in a second scan."""
     fields = list(fields)
-    if literal_terms is not None or terms_broadcast:
-        small = True
-    elif terms_broadcast is None:
-        # (query, term) rows bound the distinct terms and the df table as well
-        _, small = bounded_broadcast(qterms, max_terms)
-    else:
-        small = False
-    distinct_terms = qterms.select("term").distinct()
-    distinct_terms = F.broadcast(distinct_terms) if small else distinct_terms
-    tok = _field_tokens(docs, fields, keep)
-    if colocate:
-        tok = tok.repartition("id")
-        stats = tok.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    else:
-        stats = field_stats(docs, fields)
-    stats = F.broadcast(stats)                                   # one row per field
-    mp = _postings_of(tok, distinct_terms, literal_terms)
+    stats = F.broadcast(field_stats(docs, fields))               # one row per field
+    mp = _postings_of(_field_tokens(docs, fields, keep), terms)
     # df and the collection frequency cf; using cf (every posting has tf >= 1,
     # so the filter keeps all rows) keeps tf from being pruned in this branch,
     # which makes its postings exchange identical to the scoring branch's and
@@ -137,24 +104,45 @@ def score_hits(docs: DataFrame, qterms: DataFrame, fields=SEARCHABLE, keep: Colu
     dfreq = (mp.groupBy("field", "term")
              .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
              .where(F.col("cf") > 0).drop("cf"))
-    # one row per (field, term) of the query terms: bounded like the terms
-    dfreq = F.broadcast(dfreq) if small else dfreq
-    qt = F.broadcast(qterms) if small else qterms
-    # weight of each posting before the fan-out to queries (one row per
-    # posting, not per posting × query)
-    w = (mp.where(F.col("_keep"))
-         .join(dfreq, ["field", "term"])
-         .join(stats, "field")
-         .select("term", "id", _bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"),
-                                     F.col("avg_dl")).alias("w")))
-    if colocate:
-        # rows are partitioned by id, so summing the fields per (term, id) needs no shuffle
-        w = w.groupBy("term", "id").agg(F.sum("w").alias("w"))
-    contrib = w.join(qt, "term").select("query_id", "id", "w")
-    return (contrib.groupBy("query_id", "id")
+    # one row per (field, term) of the query: bounded by its length
+    return (_weighted(mp.where(F.col("_keep")), F.broadcast(dfreq), stats)
+            .groupBy("id").agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score")))
+
+
+def _weighted(postings: DataFrame, dfreq: DataFrame, stats: DataFrame) -> DataFrame:
+    """(term, id, w): the BM25 weight of every posting."""
+    return (postings.join(dfreq, ["field", "term"]).join(stats, "field")
+            .select("term", "id", _bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"),
+                                        F.col("avg_dl")).alias("w")))
+
+
+def _fan_out(weights: DataFrame, qterms: DataFrame) -> DataFrame:
+    """(query_id, id, score).  ``weights`` are partitioned by document here, so summing the fields per
+    (term, document) and the terms per (query, document) happens inside tasks: the fan-out to the
+    queries never crosses the network."""
+    per_term = weights.repartition("id").groupBy("term", "id").agg(F.sum("w").alias("w"))
+    return (per_term.join(qterms, "term").groupBy("query_id", "id")
             .agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score")))
 
 
+def batch_hits(docs: DataFrame, queries: DataFrame, fields=SEARCHABLE, keep: Column | None = None) -> DataFrame:
+    """(query_id, id, score) for every document sharing a term with a query of a batch.
+
+    Documents are tokenized once; tokens of no query are dropped in the map
+    task, and the matching postings are written once: document frequencies and
+    scores read that copy.  The batch's terms carry no hint, so a batch within
+    the session's broadcast threshold is broadcast and a larger one shuffled."""
+    fields, spark = list(fields), docs.sparkSession
+    qterms = query_terms(queries)
+    path = scratch_path(spark, f"batch-postings-{uuid.uuid4().hex[:12]}")
+    mp = _postings_of(_field_tokens(docs, fields, keep), qterms.select("term").distinct())
+    mp.write.parquet(path)
+    mp = spark.read.schema(mp.schema).parquet(path)
+    dfreq = mp.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    stats = F.broadcast(field_stats(docs, fields))               # one row per field
+    return _fan_out(_weighted(mp.where(F.col("_keep")), dfreq, stats), qterms)
+
+
 def top_k_per_query(hits: DataFrame, k: int = 5, group: str = "query_id",
                     score: str = "score", tie: str = "id") -> DataFrame:
     """Best k rows per group; Spark plans a partial WindowGroupLimit before the
@@ -175,13 +163,8 @@ def bm25_search(docs: DataFrame, query: str, k: int = 5, fields=SEARCHABLE,
                 where: Column | None = None) -> DataFrame:
     """Ranked search for one query: any term matches, per-field BM25 summed
     over fields, ties on id.  (rank, id, score)."""
-    spark = docs.sparkSession
-    qt = _literal_terms(spark, query)
-    small = len(query) <= MAX_LITERAL_QUERY_CHARS
-    hits = score_hits(docs, qt, fields, keep=where, terms_broadcast=small,
-                      literal_terms=_literal_array(query) if small else None)
-    return top_k(hits.select("id", "score"), k, [F.col("score").desc(), F.col("id").asc()]) \
-        .select("rank", "id", "score")
+    hits = score_hits(docs, query_term_list(docs.sparkSession, query), fields, keep=where)
+    return top_k(hits, k, [F.col("score").desc(), F.col("id").asc()]).select("rank", "id", "score")
 
 
 def filtered_search(docs: DataFrame, query: str, where: Column, k: int = 5) -> DataFrame:
@@ -192,11 +175,7 @@ def filtered_search(docs: DataFrame, query: str, where: Column, k: int = 5) -> D
 
 def match_count(docs: DataFrame, query: str, fields=SEARCHABLE) -> DataFrame:
     """Number of documents matching any term of the query."""
-    spark = docs.sparkSession
-    if len(query) <= MAX_LITERAL_QUERY_CHARS:
-        mp = _matched_postings(docs, None, list(fields), None, _literal_array(query))
-    else:
-        mp = _matched_postings(docs, _literal_terms(spark, query).select("term"), list(fields), None)
+    mp = _postings_of(_field_tokens(docs, list(fields), None), query_term_list(docs.sparkSession, query))
     return mp.agg(F.count_distinct("id").alias("matches"))
 
 
@@ -211,22 +190,28 @@ def retrieve_batch(queries: DataFrame, docs: DataFrame, k: int = 5, min_score: f
                    fields=SEARCHABLE, where: Column | None = None) -> DataFrame:
     """Many questions at once: top-k passages per question, optional score
     floor.  (query_id, rank, id, score)."""
-    hits = score_hits(docs, query_terms(queries), fields, keep=where, colocate=True)
+    hits = batch_hits(docs, queries, fields, keep=where)
     if min_score is not None:
         hits = hits.where(F.col("score") >= F.lit(min_score))
     return top_k_per_query(hits, k).select("query_id", "rank", "id", "score")
 
 
-def citation_counts(hits: DataFrame) -> DataFrame:
-    """Retrieved passages per query."""
-    return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("passages"))
+def citation_counts(hits: DataFrame, queries: DataFrame | None = None, id_col: str = "query_id") -> DataFrame:
+    """Retrieved passages per query; with ``queries`` also those without any (0)."""
+    counts = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("passages"))
+    if queries is None:
+        return counts
+    return (queries.select(F.col(id_col).alias("query_id")).join(counts, "query_id", "left")
+            .select("query_id", F.coalesce("passages", F.lit(0).cast("long")).alias("passages")))
 
 
 def facets(docs: DataFrame, fields=None, top: int = 10) -> DataFrame:
     """Value counts of facetable fields with one scan (unpivot), top values per
-    field by count then value.  (field, value, count, rank)."""
-    fields = fields or [f for f in FACETABLE if f not in ("content",)]
-    args = ", ".join(f"'{f}', CAST(`{f}` AS STRING)" for f in fields)
+    field by count then value; ``content`` counts by its SHA-256, so that no
+    text is shuffled.  (field, value, count, rank)."""
+    fields = fields or FACETABLE
+    args = ", ".join(f"'{f}', " + ("sha2(`content`, 256)" if f == "content" else f"CAST(`{f}` AS STRING)")
+                     for f in fields)
     kv = docs.select(F.expr(f"stack({len(fields)}, {args}) AS (field, value)"))
     counts = kv.groupBy("field", "value").agg(F.count(F.lit(1)).alias("count"))
     w = Window.partitionBy("field").orderBy(F.col("count").desc(), F.col("value").asc_nulls_first())
@@ -276,20 +261,15 @@ def sort_by_field(docs: DataFrame, field: str) -> DataFrame:
 # ------------------------------------------------------------ persisted index
 def write_search_index(docs: DataFrame, root: str, fields=SEARCHABLE, partitions: int | None = None) -> None:
     """Build once: postings partitioned by field and range-clustered by term
-    (so ``term IN (...)`` skips row groups by min/max statistics), plus the
-    per-field statistics."""
-    fields = list(fields)
+    and document, the documents and occurrences of every term, and the
+    per-field statistics.  Everything after the postings is counted from the
+    written copy, so the tokenizer runs once."""
+    fields, spark = list(fields), docs.sparkSession
     write_postings(build_postings(docs, fields), f"{root}/postings", partitions)
-    # statistics from the written postings: no second pass of the tokenizer
-    written = docs.sparkSession.read.parquet(f"{root}/postings")
-    field_stats_from_postings(written, docs, fields).write.mode("overwrite").parquet(f"{root}/stats")
-
-
-def query_term_list(spark: SparkSession, query: str) -> list[str]:
-    """Distinct analysed terms of one query string (a parameter, bounded by
-    its length) — computed by the same JVM tokenizer as the index."""
-    rows = spark.range(1).select(F.explode(_literal_array(query)).alias("t")).collect()
-    return sorted(r.t for r in rows)
+    term_counts(spark.read.parquet(f"{root}/postings")).sortWithinPartitions("field", "term") \
+        .write.mode("overwrite").parquet(f"{root}/terms")
+    field_stats_from_terms(spark.read.parquet(f"{root}/terms"), docs, fields).write.mode("overwrite") \
+        .parquet(f"{root}/stats")
 
 
 def search_index(spark: SparkSession, root: str, query: str, k: int = 5, fields=SEARCHABLE,
@@ -300,7 +280,7 @@ def search_index(spark: SparkSession, root: str, query: str, k: int = 5, fields=
     terms = query_term_list(spark, query)
     post = (spark.read.parquet(f"{root}/postings")
             .where(F.col("field").isin(list(fields)) & F.col("term").isin(terms)))
-    dfreq = post.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    dfreq = spark.read.parquet(f"{root}/terms").where(F.col("term").isin(terms)).select("field", "term", "df")
     stats = spark.read.parquet(f"{root}/stats")
     hits = post if where_ids is None else post.join(where_ids.select("id"), "id", "left_semi")
     contrib = (hits.join(F.broadcast(dfreq), ["field", "term"])     # ≤ terms × fields rows
@@ -312,33 +292,18 @@ def search_index(spark: SparkSession, root: str, query: str, k: int = 5, fields=
 
 
 def retrieve_index(spark: SparkSession, root: str, queries: DataFrame, k: int = 5,
-                   min_score: float | None = None, fields=SEARCHABLE, max_terms: int = 2_000_000) -> DataFrame:
-    """Batch retrieval against a persisted index: the stored postings are
-    semi-joined with the batch's terms (broadcast after a bounded count),
-    weighted once per posting, fanned out to the queries and reduced to the
-    top k per query.  Same results as :func:`retrieve_batch`.
-
-    The stored postings are clustered by term (for single-query pruning);
-    the batch's matching postings are re-partitioned by document id once, so
-    the queries × documents fan-out stays inside tasks, as in the in-memory
-    batch path."""
+                   min_score: float | None = None, fields=SEARCHABLE) -> DataFrame:
+    """Batch retrieval against a persisted index: the stored postings of the
+    batch's terms, weighted by the stored document frequencies, move once by
+    document and are fanned out to the queries inside tasks.  Same results as
+    :func:`retrieve_batch`."""
     qterms = query_terms(queries)
-    _, small = bounded_broadcast(qterms, max_terms)
     terms = qterms.select("term").distinct()
-    # the batch's postings (not the fan-out) move once, by document id; the
-    # per-(term, doc) and per-(query, doc) sums then need no shuffle
     post = (spark.read.parquet(f"{root}/postings").where(F.col("field").isin(list(fields)))
-            .join(F.broadcast(terms) if small else terms, "term", "left_semi")
-            .repartition("id"))
-    dfreq = post.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    stats = spark.read.parquet(f"{root}/stats")
-    w = (post.join(F.broadcast(dfreq) if small else dfreq, ["field", "term"])
-         .join(F.broadcast(stats), "field")
-         .select("term", "id", _bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"),
-                                     F.col("avg_dl")).alias("w"))
-         .groupBy("term", "id").agg(F.sum("w").alias("w")))
-    hits = (w.join(F.broadcast(qterms) if small else qterms, "term")
-            .groupBy("query_id", "id").agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score")))
+            .join(terms, "term", "left_semi"))
+    dfreq = spark.read.parquet(f"{root}/terms").join(terms, "term", "left_semi").select("field", "term", "df")
+    stats = F.broadcast(spark.read.parquet(f"{root}/stats"))     # one row per field
+    hits = _fan_out(_weighted(post, dfreq, stats), qterms)
     if min_score is not None:
         hits = hits.where(F.col("score") >= F.lit(min_score))
     return top_k_per_query(hits, k).select("query_id", "rank", "id", "score")

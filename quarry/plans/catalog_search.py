@@ -130,11 +130,11 @@ def q_top_k_per_query(spark, sf):
 
 
 @register("citation_counts", _batch_sql(5, MIN_SCORE,
-                                        "SELECT query_id, count(*) AS passages FROM ranked GROUP BY query_id"))
+                                        "SELECT q.query_id, count(r.id) AS passages FROM queries q LEFT JOIN ranked r USING (query_id) GROUP BY q.query_id"))
 def q_citation_counts(spark, sf):
     hits = se.retrieve_batch(fx.queries_table(spark, sf), fx.docs(spark, sf), k=5,
                              min_score=MIN_SCORE)
-    return se.citation_counts(hits)
+    return se.citation_counts(hits, fx.queries_table(spark, sf))
 
 
 @register("chunk_text", f"""WITH {fx.DOCS_SQL},
@@ -175,11 +175,11 @@ def q_map_fields(spark, sf):
     return ix.map_fields(fx.page_files(spark, sf))
 
 
-_FACET_FIELDS = ["id", "title", "file_name", "file_path", "last_modified", "file_size"]
+_FACET_FIELDS = ["content", "id", "title", "file_name", "file_path", "last_modified", "file_size"]
 
 
 def _facets_sql() -> str:
-    unions = " UNION ALL ".join(f"SELECT '{f}' AS field, CAST({f} AS VARCHAR) AS value FROM docs"
+    unions = " UNION ALL ".join(f"SELECT '{f}' AS field, {'sha256(content)' if f == 'content' else f'CAST({f} AS VARCHAR)'} AS value FROM docs"
                                 for f in _FACET_FIELDS)
     return f"""WITH {fx.DOCS_SQL}, kv AS ({unions}),
 c AS (SELECT field, value, count(*) AS count FROM kv GROUP BY ALL)
