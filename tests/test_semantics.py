@@ -171,8 +171,8 @@ def test_tokens_python_equivalence(spark):
     assert got == regex.findall(r"[\p{L}\p{N}]+", text.lower())
 
 
-def test_field_stats_from_postings_equal_direct(spark):
+def test_field_stats_from_terms_equal_direct(spark):
     d = _docs(spark, [("a", "x y x", None, "a.pdf"), ("b", "", "T", "b.pdf"), ("c", "!!!", "t t", None)])
     direct = {r.field: (r.n_docs, r.avg_dl) for r in ix.field_stats(d).collect()}
-    derived = {r.field: (r.n_docs, r.avg_dl) for r in ix.field_stats_from_postings(ix.build_postings(d), d).collect()}
+    derived = {r.field: (r.n_docs, r.avg_dl) for r in ix.field_stats_from_terms(ix.term_counts(ix.build_postings(d)), d).collect()}
     assert derived == direct
