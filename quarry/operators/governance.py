@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import old_enough, usable
-from ..plans.sizing import small_or_shuffle
 from .lookups import lookup_active, scope_filter
 
 
@@ -18,7 +17,7 @@ def orphan_candidates(workspaces: DataFrame, capacities: DataFrame, excluded: Da
     """Every workspace with its exclusion flag, age check and capacity label —
     one plan (two lookups, no per-row calls)."""
     ex = excluded.select(F.lower("name").alias("_ex")).distinct()
-    flagged = (workspaces.join(small_or_shuffle(ex), F.lower("displayName") == F.col("_ex"), "left")
+    flagged = (workspaces.join(ex, F.lower("displayName") == F.col("_ex"), "left")
                .withColumn("excluded", F.col("_ex").isNotNull()).drop("_ex"))
     labelled = lookup_active(flagged, capacities)
     return labelled.withColumn("old_enough", old_enough(F.col("createdDate"), now, max_age_days)) \
@@ -54,18 +53,23 @@ _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.D
 
 def profile_table(df: DataFrame, table_name: str, approx: bool = True) -> DataFrame:
     """One aggregate pass over a table → one row per column: type, rows,
-    nulls, (approximate) distinct values, min and max."""
-    cols = [f for f in df.schema.fields
-            if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
+    nulls, (approximate) distinct values, min and max.  Nested and binary
+    columns have no min and max; maps no distinct count either."""
+    nested = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
+    cols = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(cols):
         c = F.col(f"`{f.name}`")
         aggs.append(F.count_if(c.isNull()).alias(f"n{i}"))
         if approx:
-            aggs.append(F.approx_count_distinct(c).alias(f"d{i}"))
+            known = F.lit(None).cast("bigint") if isinstance(f.dataType, T.MapType) else F.approx_count_distinct(c)
+            aggs.append(known.alias(f"d{i}"))
         if isinstance(f.dataType, _NUMERIC):
             aggs += [F.min(c).cast("double").alias(f"lo{i}"), F.max(c).cast("double").alias(f"hi{i}"),
                      F.lit(None).cast("string").alias(f"ls{i}"), F.lit(None).cast("string").alias(f"hs{i}")]
+        elif isinstance(f.dataType, nested):
+            aggs += [F.lit(None).cast("double").alias(f"lo{i}"), F.lit(None).cast("double").alias(f"hi{i}"),
+                     F.lit(None).cast("string").alias(f"ls{i}"), F.lit(None).cast("string").alias(f"hs{i}")]
         else:
             aggs += [F.lit(None).cast("double").alias(f"lo{i}"), F.lit(None).cast("double").alias(f"hi{i}"),
                      F.min(c).cast("string").alias(f"ls{i}"), F.max(c).cast("string").alias(f"hs{i}")]

@@ -74,7 +74,8 @@ def attempt_log(attempts: DataFrame, cap: int = 6, item_col: str = "item",
                 order=("ts", "event_id")) -> DataFrame:
     """Replay a retry loop per item: number the attempts, keep the first
     ``cap`` (partial group limit before the shuffle), classify each, and stop
-    at the first terminal outcome.  (item, outcome, attempts_used, attempts_seen)."""
+    at the first terminal outcome.  ``attempts_seen`` counts all attempts, also those
+    past the cap.  (item, outcome, attempts_used, attempts_seen)."""
     from pyspark.sql import Window
     w = Window.partitionBy(item_col).orderBy(*[F.col(c).asc() for c in order])
     numbered = attempts.withColumn("attempt", F.row_number().over(w)).where(F.col("attempt") <= cap)
@@ -83,11 +84,13 @@ def attempt_log(attempts: DataFrame, cap: int = 6, item_col: str = "item",
     g = cls.groupBy(item_col).agg(
         F.min_by(F.col("class"), F.when(terminal, F.col("attempt"))).alias("_first_terminal"),
         F.min(F.when(terminal, F.col("attempt"))).alias("_first_attempt"),
-        F.count(F.lit(1)).alias("attempts_seen"))
+        F.count(F.lit(1)).alias("_tried"))
+    seen = attempts.groupBy(item_col).agg(F.count(F.lit(1)).alias("attempts_seen"))
+    g = g.join(seen, item_col)
     outcome = (F.when(F.col("_first_terminal").isNotNull(), F.col("_first_terminal"))
-               .when(F.col("attempts_seen") >= cap, F.lit("exhausted"))
+               .when(F.col("_tried") >= cap, F.lit("exhausted"))
                .otherwise(F.lit("pending")))
-    used = F.coalesce(F.col("_first_attempt"), F.col("attempts_seen"))
+    used = F.coalesce(F.col("_first_attempt"), F.col("_tried"))
     return g.select(item_col, outcome.alias("outcome"), used.cast("int").alias("attempts_used"),
                     F.col("attempts_seen").cast("int").alias("attempts_seen"))
 

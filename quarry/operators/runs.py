@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 
 # Terminal run states.
 TERMINAL_STATES = ["Succeeded", "Failed", "Cancelled"]
-# Resume timeout and poll interval in seconds.
+# Fixed value: resume timeout in seconds.
 STALL_LIMIT_S = 900
-POLL_S = 20
 
 
 def run_report(runs: DataFrame, key: str = "indexer") -> DataFrame:
     """Per indexer: the last run (status, processed, failed, start, end,
-    error) and totals over all runs."""
-    last = F.max_by(F.struct("status", "itemsProcessed", "itemsFailed", "start", "end", "errorMessage"),
+    error, its errors and warnings as text) and totals over all runs."""
+    last = F.max_by(F.struct("status", "itemsProcessed", "itemsFailed", "start", "end", "errorMessage",
+                             messages("errors").alias("errors"), messages("warnings").alias("warnings")),
                     F.struct("start", "run_id"))
     g = runs.groupBy(key).agg(
         last.alias("_l"),
@@ -29,6 +29,8 @@ def run_report(runs: DataFrame, key: str = "indexer") -> DataFrame:
         F.sum("itemsProcessed").alias("total_processed"),
         F.sum("itemsFailed").alias("total_failed"),
         F.count_if(F.col("status") != F.lit("success")).alias("unsuccessful_runs"),
+        F.sum(F.size("errors")).alias("total_errors"),
+        F.sum(F.size("warnings")).alias("total_warnings"),
         F.max_by("errorMessage", F.when(F.col("errorMessage").isNotNull(), F.struct("start", "run_id")))
         .alias("last_error"))
     return g.select(key,
@@ -38,7 +40,15 @@ def run_report(runs: DataFrame, key: str = "indexer") -> DataFrame:
                     F.col("_l.start").alias("last_start"),
                     F.col("_l.end").alias("last_end"),
                     F.col("_l.errorMessage").alias("last_error_message"),
-                    "runs", "total_processed", "total_failed", "unsuccessful_runs", "last_error")
+                    F.col("_l.errors").alias("last_errors"),
+                    F.col("_l.warnings").alias("last_warnings"),
+                    "runs", "total_processed", "total_failed", "unsuccessful_runs", "total_errors",
+                    "total_warnings", "last_error")
+
+
+def messages(col: str, sep: str = "; ") -> Column:
+    """``key: message`` of every entry of an array of (key, message) structs."""
+    return F.array_join(F.transform(col, lambda m: F.concat_ws(": ", m["key"], m["message"])), sep)
 
 
 def last_n_runs(runs: DataFrame, n: int = 3, key: str = "indexer") -> DataFrame:

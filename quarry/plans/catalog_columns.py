@@ -214,10 +214,10 @@ def q_first_present(spark, sf):
 
 
 @register("age_days", f"""WITH {fx.WORKSPACES_SQL}
-SELECT id, date_sub('day', createdDate, {NOW_SQL}) AS age_days FROM workspaces WHERE createdDate IS NOT NULL""")
+SELECT id, date_sub('day', createdDate, {NOW_SQL}) AS age_days FROM workspaces""")
 def q_age_days(spark, sf):
-    """Whole elapsed days where the creation date is known (undefined otherwise)."""
-    w = fx.workspaces(spark, sf).where(F.col("createdDate").isNotNull())
+    """Whole elapsed days; null where the creation date is unknown."""
+    w = fx.workspaces(spark, sf)
     return w.select("id", vl.age_days("createdDate", fx.now_lit()).alias("age_days"))
 
 

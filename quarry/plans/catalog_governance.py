@@ -71,7 +71,8 @@ def _priority_candidates(spark, sf):
     s = fx.table(spark, sf, "supplier")
     ds = fx.datasources(spark, sf)
     own = s.where(F.col("s_suppkey") % 5 == 0).select(
-        F.concat(F.lit(OWN_DATASOURCE_PREFIX), (F.col("s_suppkey") * 3).cast("string")).alias("name"),
+        F.concat(F.when(F.col("s_suppkey") % 2 == 0, F.lit(OWN_DATASOURCE_PREFIX.upper())).otherwise(F.lit(OWN_DATASOURCE_PREFIX)),
+                 (F.col("s_suppkey") * 3).cast("string")).alias("name"),
         F.lit(DATASOURCE_KIND).alias("kind"), F.concat(F.lit("collection-"), F.col("s_nationkey").cast("string"))
         .alias("collection"), F.col("s_nationkey").alias("workspace"))
     return ds.unionByName(own)
@@ -79,22 +80,21 @@ def _priority_candidates(spark, sf):
 
 PRIORITY_SQL = f"""{fx.DATASOURCES_SQL},
 cands AS (SELECT name, kind, collection FROM datasources
-          UNION ALL SELECT '{OWN_DATASOURCE_PREFIX}' || CAST(s_suppkey * 3 AS VARCHAR), '{DATASOURCE_KIND}',
+          UNION ALL SELECT CASE WHEN s_suppkey % 2 = 0 THEN '{OWN_DATASOURCE_PREFIX.upper()}' ELSE '{OWN_DATASOURCE_PREFIX}' END || CAST(s_suppkey * 3 AS VARCHAR), '{DATASOURCE_KIND}',
                            'collection-' || CAST(s_nationkey AS VARCHAR) FROM supplier WHERE s_suppkey % 5 = 0),
-rootf AS (SELECT min(name) AS n FROM cands WHERE kind = '{DATASOURCE_KIND}' AND (collection IS NULL OR collection = '{fx.ACCOUNT_COLLECTION}')),
-anyf AS (SELECT min(name) AS n FROM cands WHERE kind = '{DATASOURCE_KIND}'),
+rootf AS (SELECT min(name) AS n FROM cands WHERE lower(kind) = lower('{DATASOURCE_KIND}') AND (coalesce(collection, '') = '' OR lower(collection) = lower('{fx.ACCOUNT_COLLECTION}'))),
+anyf AS (SELECT min(name) AS n FROM cands WHERE lower(kind) = lower('{DATASOURCE_KIND}')),
 req AS (SELECT c_custkey AS request, '{OWN_DATASOURCE_PREFIX}' || CAST(c_custkey AS VARCHAR) AS own_name FROM customer),
-own AS (SELECT DISTINCT name AS own_name FROM cands)"""
+own AS (SELECT lower(name) AS key, min(name) AS own FROM cands GROUP BY 1)"""
 
 
 @register("pick_by_priority", f"""WITH {PRIORITY_SQL}
 SELECT request,
-       CASE WHEN own.own_name IS NOT NULL THEN req.own_name
-            ELSE coalesce((SELECT n FROM rootf), (SELECT n FROM anyf), req.own_name) END AS datasource,
-       CASE WHEN own.own_name IS NOT NULL THEN 'own'
+       coalesce(own.own, (SELECT n FROM rootf), (SELECT n FROM anyf), req.own_name) AS datasource,
+       CASE WHEN own.own IS NOT NULL THEN 'own'
             WHEN (SELECT n FROM rootf) IS NOT NULL THEN 'root'
             WHEN (SELECT n FROM anyf) IS NOT NULL THEN 'any' ELSE 'create' END AS choice
-FROM req LEFT JOIN own USING (own_name)""")
+FROM req LEFT JOIN own ON lower(req.own_name) = own.key""")
 def q_pick_by_priority(spark, sf):
     req = fx.table(spark, sf, "customer").select(F.col("c_custkey").alias("workspace_id"))
     return lk.pick_by_priority(req, _priority_candidates(spark, sf), fx.ACCOUNT_COLLECTION)
@@ -218,10 +218,7 @@ def q_orphan_totals(spark, sf):
 
 
 # ------------------------------------------------------------ catalog profile
-PROFILE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
-
-
-# Driver table schemas profiled by the catalog scan.
+# the driver's tables and their types, for the twin SQL
 PROFILE_SCHEMAS = {
     "region": [("r_regionkey", "int"), ("r_name", "string")],
     "nation": [("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int")],
@@ -236,7 +233,17 @@ PROFILE_SCHEMAS = {
                  ("l_linenumber", "int"), ("l_quantity", "double"), ("l_extendedprice", "double"),
                  ("l_discount", "double"), ("l_tax", "double"), ("l_returnflag", "string"),
                  ("l_linestatus", "string"), ("l_shipdate", "timestamp_ntz")],
+    "events": [("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"), ("event_type", "string"),
+               ("value", "double"), ("props", "string")],
+    "documents": [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"),
+                  ("n_chars", "bigint")],
+    "embeddings": [("vec_id", "bigint"), ("embedding", "array<float>"), ("label", "int")],
+    "pages": [("page_id", "bigint"), ("url", "string"), ("html", "string")],
+    "benchmark": [("item_id", "bigint"), ("text", "string")],
+    "labels": [("doc_id", "bigint"), ("quality", "int"), ("toxic", "int")],
+    "conversations": [("conv_id", "bigint"), ("turn", "bigint"), ("role", "string"), ("text", "string")],
 }
+PROFILE_TABLES = list(PROFILE_SCHEMAS)
 
 
 def _profile_sql() -> str:
@@ -249,8 +256,9 @@ def _profile_sql() -> str:
             num = typ in ("int", "bigint", "double")
             lo = f"CAST(min({c}) AS DOUBLE)" if num else "CAST(NULL AS DOUBLE)"
             hi = f"CAST(max({c}) AS DOUBLE)" if num else "CAST(NULL AS DOUBLE)"
-            ls = "CAST(NULL AS VARCHAR)" if num else f"CAST(min({c}) AS VARCHAR)"
-            hs = "CAST(NULL AS VARCHAR)" if num else f"CAST(max({c}) AS VARCHAR)"
+            plain = num or typ.startswith("array")
+            ls = "CAST(NULL AS VARCHAR)" if plain else f"CAST(min({c}) AS VARCHAR)"
+            hs = "CAST(NULL AS VARCHAR)" if plain else f"CAST(max({c}) AS VARCHAR)"
             parts.append(f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", '{typ}' AS type, count(*) AS \"rows\", "
                          f"CAST(count_if({c} IS NULL) AS BIGINT) AS nulls, {lo} AS min_num, {hi} AS max_num, "
                          f"{ls} AS min_str, {hs} AS max_str FROM {src} AS s")
@@ -258,11 +266,7 @@ def _profile_sql() -> str:
 
 
 def _profile_inputs(spark, sf):
-    # profiling is CPU-bound (dozens of aggregates per table): spread the large
-    # one-row-group files; the small dimension tables are read as they are
-    large = {"customer", "part", "orders", "lineitem"}
-    return dict(tables={t: fx.text_table(spark, sf, t) if t in large else fx.table(spark, sf, t)
-                        for t in PROFILE_TABLES},
+    return dict(tables={t: fx.table(spark, sf, t) for t in PROFILE_TABLES},
                 scope=fx.scope(spark, sf), workspaces=fx.workspaces(spark, sf),
                 workspace_cols={"orders": "o_custkey"})
 

@@ -29,6 +29,8 @@ SELECT indexer,
        CAST(sum(itemsProcessed) AS BIGINT) AS total_processed,
        CAST(sum(itemsFailed) AS BIGINT) AS total_failed,
        CAST(count_if(status <> 'success') AS BIGINT) AS unsuccessful_runs,
+       arg_max(errors, (start, run_id)) AS last_errors, arg_max(warnings, (start, run_id)) AS last_warnings,
+       CAST(sum(n_errors) AS BIGINT) AS total_errors, CAST(sum(n_warnings) AS BIGINT) AS total_warnings,
        arg_max(errorMessage, CASE WHEN errorMessage IS NOT NULL THEN (start, run_id) END) AS last_error
 FROM runs GROUP BY indexer""")
 def q_run_report(spark, sf):
@@ -36,10 +38,11 @@ def q_run_report(spark, sf):
 
 
 @register("last_n_runs", f"""WITH {fx.RUNS_SQL}
-SELECT *, CAST(row_number() OVER (PARTITION BY indexer ORDER BY start DESC, run_id DESC) AS INTEGER) AS recency
+SELECT * EXCLUDE (n_errors, n_warnings), CAST(row_number() OVER (PARTITION BY indexer ORDER BY start DESC, run_id DESC) AS INTEGER) AS recency
 FROM runs QUALIFY recency <= 3""")
 def q_last_n_runs(spark, sf):
-    return rn.last_n_runs(fx.runs(spark, sf), 3)
+    last = rn.last_n_runs(fx.runs(spark, sf), 3)
+    return last.withColumns({c: rn.messages(c) for c in ("errors", "warnings")})
 
 
 LATEST_SQL = f"""{fx.STATUS_SQL},
@@ -64,10 +67,11 @@ def q_stalled_runs(spark, sf):
 ATTEMPT_LOG_SQL = f"""{fx.ATTEMPTS_SQL},
 numbered AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY ts, event_id) AS attempt FROM attempts QUALIFY attempt <= 6),
 cls AS (SELECT *, {CLASSIFY_SQL} AS class FROM numbered),
+total AS (SELECT item, count(*) AS every FROM attempts GROUP BY item),
 g AS (SELECT item, arg_min(class, CASE WHEN class <> 'retry' THEN attempt END) AS ft,
              min(CASE WHEN class <> 'retry' THEN attempt END) AS fa, count(*) AS seen FROM cls GROUP BY item),
 alog AS (SELECT item, CASE WHEN ft IS NOT NULL THEN ft WHEN seen >= 6 THEN 'exhausted' ELSE 'pending' END AS outcome,
-                CAST(coalesce(fa, seen) AS INTEGER) AS attempts_used, CAST(seen AS INTEGER) AS attempts_seen FROM g)"""
+                CAST(coalesce(fa, seen) AS INTEGER) AS attempts_used, CAST(every AS INTEGER) AS attempts_seen FROM g JOIN total USING (item))"""
 
 
 @register("attempt_log", f"WITH {ATTEMPT_LOG_SQL} SELECT * FROM alog")
@@ -76,17 +80,18 @@ def q_attempt_log(spark, sf):
 
 
 @register("outcome_summary", f"""WITH {ATTEMPT_LOG_SQL}, {RECONCILE_SQL},
-u AS (SELECT 'skipped' AS outcome FROM plan WHERE action = 'skip' UNION ALL SELECT outcome FROM alog)
-SELECT CAST(count_if(outcome IN ('created', 'present')) AS BIGINT) AS created,
+u AS (SELECT 'plan' AS step, CASE WHEN action = 'skip' THEN 'skipped' ELSE 'pending' END AS outcome FROM plan
+      UNION ALL SELECT 'attempts', outcome FROM alog)
+SELECT step, CAST(count_if(outcome IN ('created', 'present')) AS BIGINT) AS created,
        CAST(count_if(outcome IN ('skip', 'skipped')) AS BIGINT) AS skipped,
        CAST(count_if(outcome IN ('failed', 'unsupported', 'exhausted')) AS BIGINT) AS failed,
        CAST(count_if(outcome NOT IN ('created', 'present', 'skip', 'skipped', 'failed', 'unsupported', 'exhausted')) AS BIGINT) AS pending
-FROM u""")
+FROM u GROUP BY step""")
 def q_outcome_summary(spark, sf):
     plan = rc.reconcile(fx.desired_items(spark, sf), fx.existing_items(spark, sf))
-    skipped = rc.plan_outcomes(plan.where(F.col("action") == "skip")).select("outcome")
-    alog = rc.attempt_log(fx.attempts(spark, sf), cap=6).select("outcome")
-    return rc.outcome_summary(skipped.unionByName(alog), [])
+    planned = rc.plan_outcomes(plan).select(F.lit("plan").alias("step"), "outcome")
+    alog = rc.attempt_log(fx.attempts(spark, sf), cap=6).select(F.lit("attempts").alias("step"), "outcome")
+    return rc.outcome_summary(planned.unionByName(alog), ["step"])
 
 
 @register("telemetry_by_run", f"""WITH {fx.TELEMETRY_SQL} SELECT * FROM telemetry WHERE RunId = 'run-4242'""")

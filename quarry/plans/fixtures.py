@@ -32,22 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows feed CPU-heavy work (tokenizing, HTML, profiling)."""
-    return spread_scan(table(spark, sf_dir, name))
+SCAN_PARTITIONS = "quarry.scan.textPartitions"
 
 
-def spread_scan(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than there are task
-    slots (a small file stored as one row group is read by one task).  On
-    large inputs the scan already has more splits than slots and this is a
-    no-op, so no extra shuffle appears at scale."""
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access (e.g. Spark Connect): leave the scan as is
-        return df
-    return df.repartition(slots) if parts < slots else df
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows feed CPU-heavy work (tokenizing, HTML).  A session that reads a table kept as
+    one row group may set ``quarry.scan.textPartitions`` to deal its rows out; unset, the scan's own
+    splits stand."""
+    n = spark.conf.get(SCAN_PARTITIONS, None)
+    df = table(spark, sf_dir, name)
+    return df.repartition(int(n)) if n else df
 
 
 def _rotate(col, values):
@@ -67,10 +61,9 @@ def _sql_rotate(col: str, values) -> str:
 # documents → source files → index rows
 # --------------------------------------------------------------------------
 
-def doc_files(spark, sf_dir, spread: bool = True) -> DataFrame:
+def doc_files(spark, sf_dir) -> DataFrame:
     """Source-file view of ``documents`` (content + metadata_* fields)."""
-    src = text_table(spark, sf_dir, "documents") if spread else table(spark, sf_dir, "documents")
-    return doc_files_from(src)
+    return doc_files_from(text_table(spark, sf_dir, "documents"))
 
 
 def doc_files_from(d: DataFrame) -> DataFrame:
@@ -126,9 +119,9 @@ SELECT url AS metadata_storage_path,
 FROM pages"""
 
 
-def docs(spark, sf_dir, spread: bool = True) -> DataFrame:
+def docs(spark, sf_dir) -> DataFrame:
     """Index rows (the seven declared fields) for ``documents``."""
-    return map_fields(doc_files(spark, sf_dir, spread))
+    return map_fields(doc_files(spark, sf_dir))
 
 
 # SQL twin of map_fields over a files CTE named ``files``.
@@ -224,9 +217,10 @@ def datasources(spark, sf_dir) -> DataFrame:
     k = F.col("s_suppkey")
     return s.select(
         F.col("s_name").alias("name"),
-        F.when(k % 2 == 0, F.lit(DATASOURCE_KIND)).otherwise(F.lit("AdlsGen2")).alias("kind"),
-        F.when(k % 6 == 0, F.lit(None).cast("string"))
-        .when(k % 6 == 2, F.lit(ACCOUNT_COLLECTION))
+        F.when(k % 4 == 0, F.lit(DATASOURCE_KIND.lower())).when(k % 2 == 0, F.lit(DATASOURCE_KIND))
+        .otherwise(F.lit("AdlsGen2")).alias("kind"),
+        F.when(k % 12 == 0, F.lit(None).cast("string")).when(k % 12 == 6, F.lit(""))
+        .when(k % 6 == 2, F.lit(ACCOUNT_COLLECTION.upper()))
         .otherwise(F.concat(F.lit("collection-"), F.col("s_nationkey").cast("string"))).alias("collection"),
         F.col("s_nationkey").alias("workspace"),
     )
@@ -234,8 +228,10 @@ def datasources(spark, sf_dir) -> DataFrame:
 
 DATASOURCES_SQL = f"""datasources AS (
 SELECT s_name AS name,
-       CASE WHEN s_suppkey % 2 = 0 THEN '{DATASOURCE_KIND}' ELSE 'AdlsGen2' END AS kind,
-       CASE WHEN s_suppkey % 6 = 0 THEN NULL WHEN s_suppkey % 6 = 2 THEN '{ACCOUNT_COLLECTION}'
+       CASE WHEN s_suppkey % 4 = 0 THEN '{DATASOURCE_KIND.lower()}' WHEN s_suppkey % 2 = 0 THEN '{DATASOURCE_KIND}'
+            ELSE 'AdlsGen2' END AS kind,
+       CASE WHEN s_suppkey % 12 = 0 THEN NULL WHEN s_suppkey % 12 = 6 THEN ''
+            WHEN s_suppkey % 6 = 2 THEN '{ACCOUNT_COLLECTION.upper()}'
             ELSE 'collection-' || CAST(s_nationkey AS VARCHAR) END AS collection,
        s_nationkey AS workspace
 FROM supplier)"""
@@ -333,6 +329,14 @@ def runs_from(e: DataFrame) -> DataFrame:
         (_k(F.col("props")) % 3).cast("int").alias("itemsFailed"),
         F.when(et == "error", F.concat(F.lit("error in run "), F.col("event_id").cast("string")))
         .alias("errorMessage"),
+        # one entry a failed item; a run that failed transiently warns
+        F.transform(F.filter(F.sequence(F.lit(1), F.lit(2)), lambda i: i <= _k(F.col("props")) % 3), lambda i: F.struct(
+            F.concat(F.lit("item-"), i.cast("string")).alias("key"),
+            F.concat(F.lit("failed in run "), F.col("event_id").cast("string")).alias("message"))).alias("errors"),
+        F.filter(F.array(F.when(et == "click", F.struct(
+            F.lit("run").alias("key"),
+            F.concat(F.lit("transient in run "), F.col("event_id").cast("string")).alias("message")))),
+            lambda w: w.isNotNull()).alias("warnings"),
     )
 
 
@@ -343,7 +347,12 @@ SELECT user_id AS indexer, event_id AS run_id,
        ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT)) AS "end",
        CAST(floor(value) AS INTEGER) AS itemsProcessed,
        CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 AS INTEGER) AS itemsFailed,
-       CASE WHEN event_type = 'error' THEN 'error in run ' || CAST(event_id AS VARCHAR) END AS errorMessage
+       CASE WHEN event_type = 'error' THEN 'error in run ' || CAST(event_id AS VARCHAR) END AS errorMessage,
+       array_to_string(list_transform(range(1, CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 + 1),
+                                      lambda i: 'item-' || i || ': failed in run ' || event_id), '; ') AS errors,
+       CASE WHEN event_type = 'click' THEN 'run: transient in run ' || event_id ELSE '' END AS warnings,
+       CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 AS n_errors,
+       CAST(event_type = 'click' AS BIGINT) AS n_warnings
 FROM events)"""
 
 
@@ -494,17 +503,20 @@ FROM customer)"""
 
 
 def pair_lines(spark, sf_dir) -> DataFrame:
-    """KEY="value" lines (each key twice, values containing '='), numbered."""
+    """KEY="value" lines (keys repeated, values containing '=', every fifth without its closing
+    quote), numbered, in eight files."""
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     key = F.concat(F.lit(PAIR_PREFIX_LAKEHOUSE + "_"), (k % 97).cast("string"), F.lit("_ID"))
-    line = F.concat(key, F.lit('="'), F.col("c_name"), F.lit("=v"), k.cast("string"), F.lit('"'))
-    return c.select((k * 2).alias("line_no"), line.alias("line"))
+    line = F.concat(key, F.lit('="'), F.col("c_name"), F.lit("=v"), k.cast("string"),
+                    F.when(k % 5 == 0, F.lit("")).otherwise(F.lit('"')))
+    return c.select((k * 2).alias("line_no"), line.alias("line"), (k % 8).alias("file"))
 
 
 PAIR_LINES_SQL = f"""pair_lines AS (
 SELECT c_custkey * 2 AS line_no,
-       '{PAIR_PREFIX_LAKEHOUSE}_' || CAST(c_custkey % 97 AS VARCHAR) || '_ID="' || c_name || '=v' || CAST(c_custkey AS VARCHAR) || '"' AS line
+       '{PAIR_PREFIX_LAKEHOUSE}_' || CAST(c_custkey % 97 AS VARCHAR) || '_ID="' || c_name || '=v' || CAST(c_custkey AS VARCHAR)
+       || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '"' END AS line, c_custkey % 8 AS file
 FROM customer)"""
 
 

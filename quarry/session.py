@@ -47,10 +47,13 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the configured checkpoint folder; only when none is set (local tests)
-    create a scratch one."""
+    """Use the configured checkpoint folder; only when none is set and the master is
+    local (tests) create a scratch one.  On a cluster executors could not see it."""
     d = checkpoint_dir(spark)
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, d)
     try:
