@@ -4,10 +4,11 @@ column names, Arrow types, order-insensitive values); the rest run."""
 import pytest
 
 import __spark_entry__ as E
+from quarry.plans import registry
 from tests.conftest import SF_CHECK
 from tests.oracle import compare
 
-NAMES = sorted(E.queries())
+NAMES = sorted(registry.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -21,7 +22,7 @@ def test_query_matches_oracle(spark, name):
 
 
 def test_every_query_but_non_sql_has_oracle():
-    no_oracle = set(E.queries()) - set(E.oracle_sql())
+    no_oracle = set(registry.queries()) - set(E.oracle_sql())
     assert no_oracle <= {"catalog_scan", "extract_text"}
 
 
