@@ -171,11 +171,13 @@ def q_category_of(spark, sf):
 
 
 @register("extract_fields", r"""SELECT url, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title,
+       trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'),
+                                          '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text,
        CAST(octet_length(encode(html)) AS BIGINT) AS file_size FROM pages""")
 def q_extract_fields(spark, sf):
-    """Title (entities as in the page) and UTF-8 size of every page."""
+    """Title and visible text (entities as in the page) and UTF-8 size of every page."""
     p = tx.extract_fields(fx.text_table(spark, sf, "pages"), decode=False)
-    return p.select("url", "title", F.col("size").alias("file_size"))
+    return p.select("url", "title", "text", F.col("size").alias("file_size"))
 
 
 @register("extract_text")
