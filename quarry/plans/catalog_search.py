@@ -11,7 +11,7 @@ from ..operators import search as se
 from . import fixtures as fx
 from .registry import register
 
-# The search probes used by the registered queries.
+# Chosen here: the search probe of the registered queries.
 SEARCH_QUERY = "The équechier Ungßach thwhwhly report doc pdf 42"
 TOKEN_RE = r"'[\p{L}\p{N}]+'"
 
@@ -119,7 +119,7 @@ def q_retrieve_index(spark, sf):
     return se.retrieve_index(spark, root, fx.queries_table(spark, sf), k=5)
 
 
-# Retrieval depth 5 and our score floor for the strictness knob.
+# Retrieval depth 5 is fixed; the score floor for the strictness knob is chosen here.
 MIN_SCORE = 25.0
 
 

@@ -16,7 +16,7 @@ from ..functions.names import url_leaf, utf8_size
 from ..functions.text import html_title
 from ..operators.index import map_fields
 
-# Reference instant, category and extension rotations.
+# Chosen here: reference instant, category and extension rotations.
 NOW = "2024-02-01 00:00:00"
 CATEGORIES = ["contracts", "reports", "policies", "manuals", "presentations"]
 EXTENSIONS = ["pdf", "docx", "png", "txt"]
