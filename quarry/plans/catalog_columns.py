@@ -124,7 +124,7 @@ def q_json_path(spark, sf):
 
 
 @register("redact_tokens", f"""WITH {fx.MESSAGES_SQL}
-SELECT id, regexp_replace(text, '(?i)Bearer [A-Za-z0-9\\-._~+/]+=*', 'Bearer [REDACTED]', 'g') AS text FROM messages""")
+SELECT id, regexp_replace(text, '{vl.BEARER_PATTERN}', '{vl.BEARER_MARKER}', 'g') AS text FROM messages""")
 def q_redact_tokens(spark, sf):
     m = fx.messages(spark, sf)
     return m.select("id", vl.redact_tokens("text").alias("text"))
