@@ -57,25 +57,29 @@ def quantise(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, np.sqrt(np.einsum("ij,ij->i", residue, residue)) * (1 + SLACK) + SLACK
 
 
-def linked(ua: np.ndarray, ub: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs of unit rows have a cosine of at least ``threshold``."""
+def linked(ua: np.ndarray, ub: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) of unit rows with a cosine of at least ``threshold``."""
     (qa, sa, ea), (qb, sb, eb) = quantise(ua), quantise(ub)
     dot = np.zeros((len(ua), len(ub)), np.float64 if ua.shape[1] > SLICE else np.float32)
     for d in range(0, ua.shape[1], SLICE):
         dot += qa[:, d:d + SLICE].astype(np.float32) @ qb[:, d:d + SLICE].astype(np.float32).T
-    out = np.zeros(dot.shape, bool)
-    for i in range(0, len(ua), 256):  # bounds in double precision, a strip at a time
-        strip = slice(i, i + 256)
-        near = dot[strip].astype(np.float64) * sa[strip, None] * sb[None, :]
-        bound = ea[strip, None] + eb[None, :] + ea[strip, None] * eb[None, :]
+    # screen: a row's least product that the bounds allow to reach the threshold, in the precision of
+    # the products with their rounding on the safe side
+    screen = dot
+    screen *= sb.astype(dot.dtype)[None, :]
+    least = (threshold - ea - eb.max() * (1 + ea)) / sa - 1e-5 * np.abs(threshold / sa)
+    p, q = np.nonzero(screen >= least.astype(dot.dtype)[:, None])
+    good = np.zeros(len(p), bool)
+    for k in range(0, len(p), 1 << 16):
+        i, j = p[k:k + (1 << 16)], q[k:k + (1 << 16)]
+        # the same products once more, exactly, for their bounds in double precision
+        near = np.einsum("ij,ij->i", qa[i], qb[j], dtype=np.int64) * sa[i] * sb[j]
+        bound = ea[i] + eb[j] + ea[i] * eb[j]
         sure = near - bound >= threshold
-        out[strip] = sure
-        p, q = np.nonzero((near + bound >= threshold) & ~sure)
-        for k in range(0, len(p), 1 << 16):
-            pk, qk = p[k:k + (1 << 16)], q[k:k + (1 << 16)]
-            exact = np.einsum("ij,ij->i", ua[i + pk], ub[qk])
-            out[i + pk, qk] = exact >= threshold
-    return out
+        open_ = np.flatnonzero(~sure & (near + bound >= threshold))
+        sure[open_] = np.einsum("ij,ij->i", ua[i[open_]], ub[j[open_]]) >= threshold
+        good[k:k + (1 << 16)] = sure
+    return p[good], q[good]
 
 
 def _distinct(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -122,17 +126,15 @@ def _tile(threshold: float):
                 same = batch.column(0)[k].as_py() == batch.column(1)[k].as_py()
                 ia, oka, na, ua = members(batch.column(2), k)
                 ib, okb, nb, ub = (ia, oka, na, ua) if same else members(batch.column(3), k)
-                link = linked(ua, ub, threshold)
-                p, q = np.nonzero(link)
+                p, q = linked(ua, ub, threshold)
                 if same:
-                    one = p < q  # each pair once, no vector with itself
-                    own = link.copy()
-                    np.fill_diagonal(own, False)
-                    count, keys = own @ nb, [(ia, oka)]
-                    counts = [count]
-                    p, q, ids, ok = p[one], q[one], ia, oka
+                    p, q = p[p != q], q[p != q]  # no vector with itself
+                    counts, keys = [np.bincount(p, weights=nb[q], minlength=len(ia))], [(ia, oka)]
+                    ids, ok = ia, oka
                 else:
-                    counts, keys = [link @ nb, na @ link], [(ia, oka), (ib, okb)]
+                    counts = [np.bincount(p, weights=nb[q], minlength=len(ia)),
+                              np.bincount(q, weights=na[p], minlength=len(ib))]
+                    keys = [(ia, oka), (ib, okb)]
                     q, ids, ok = q + len(ia), np.concatenate([ia, ib]), np.concatenate([oka, okb])
                 node, root = stars(p, q, len(ids))
                 good = ok[node] & ok[root]
