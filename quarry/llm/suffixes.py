@@ -3,20 +3,24 @@
 A byte goes if a ``length``-byte string over it also starts somewhere else in the corpus.  Texts
 are first sampled: of every window of ``length`` bytes the ``anchor``-byte string of smallest hash
 is an anchor, so equal windows hold an anchor of one hash, and the context of an anchor (all
-windows that hold it) tells everything about them.  Equal contexts are counted, map-side
-combined: one that occurs twice is repeated from end to end.  Contexts that share an anchor and
-differ otherwise are compared in bounded groups of anchors: their texts (one copy of every
-context, overlapping ones of a document joined) go into a run-length index - the Burrows-Wheeler
-transform in runs, with the suffixes at the ends of runs sampled.  The longest common prefixes
-at these ends, streamed along the text (one less at every step), are the matching statistics of
-all positions, and those of at least ``length`` mark repeated strings.
-
-Anchors with more than ``hot`` different contexts are compared without gathering them: every
-window of their contexts is hashed and counted, map-side combined, by exact position.
+windows that hold it) tells everything about them.  Anchors that occur once are done with.  Equal
+contexts are counted, map-side combined: one that occurs twice is repeated from end to end.
+Contexts that share an anchor and differ otherwise may still share windows: the windows are taken
+in ``STEPS`` groups of near places, and what all windows of a group have in common is hashed; a
+context none of whose groups is met elsewhere is done with too.  The others are compared in
+bounded sets of anchors: their texts (one copy of every context, overlapping ones of a document
+joined) go into a run-length index - the Burrows-Wheeler transform in runs, with the suffixes at
+the ends of runs sampled.  The longest common prefixes at these ends, streamed along the text (one
+less at every step), are the matching statistics of all positions, and those of at least
+``length`` mark repeated strings.
+
+Anchors that still have more than ``hot`` different contexts are compared without gathering them:
+every window of the groups that are met is hashed and counted, map-side combined, by exact place.
 
 Defined results: null text is empty; texts shorter than ``length`` stay whole; repeated rows
 repeat one another; null ids are ordinary values; an empty table gives an empty result; other
-columns pass through ``clean`` unless they bear a result's name.
+columns pass through ``clean`` unless they bear a result's name.  A text is known by a 64-bit hash
+of its id and itself.
 """
 
 from __future__ import annotations
@@ -25,13 +29,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import _text as X
 from quarry.llm._io import written
 
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 19
+STEPS = 8  # groups of a context's windows
+SIEVE_BITS = 1 << 22
 FIRST = 7  # symbols packed into the first ranks
 
 
@@ -72,13 +78,13 @@ class RunLengthIndex:
             k = key[order]
             new = np.ones(n, bool)
             new[1:] = (k[1:] != k[:-1]) | (self.rest[order[1:]] < depth) | (self.rest[order[:-1]] < depth)
-            rank = np.empty(n, np.int64)
+            rank = np.empty(n, np.int32)
             rank[order] = np.cumsum(new) - 1
             out.append((depth, rank))
             if new.all():
                 return out
             far = np.minimum(np.arange(n) + depth, n - 1)
-            key = rank * n + np.where(self.rest >= depth, rank[far], 0)
+            key = rank.astype(np.int64) * n + np.where(self.rest >= depth, rank[far], 0)
             depth *= 2
 
     def _common(self, ranks, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -142,12 +148,15 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, k: int):
     return pick, g[pick]
 
 
-_OCCURRENCE = "id {id}, t long, pos int, lo int, hi int, a long, c long"
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(d, text): ``d`` stands for a text and its id."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.xxhash64(F.col(id_col), text).alias("d"), text.alias("text"))
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str, length: int, k: int) -> DataFrame:
-    """Every anchor: its text (id and hash ``t``), place, context [lo, hi), and the hashes of the
-    anchor and of the context with the anchor's place in it."""
+def occurrences(texts: DataFrame, length: int, k: int) -> DataFrame:
+    """Every anchor: its text, place and the end of its context, and the hashes of the anchor and of
+    the context with the anchor's place in it."""
     def run(batches):
         for batch in batches:
             for i, _, data, off in X.chunks(batch.column(1), 1 << 19):
@@ -160,32 +169,49 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, length: int, k: int
                 with np.errstate(over="ignore"):
                     c = X.mix(X.span_hash(data, lo, hi) + (pos - lo).astype(np.uint64) * X.GRAM_KEY[0])
                 base = off[doc]
-                take = pa.array(doc + i)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(2).take(take)]
-                    + [pa.array((x - base).astype(np.int32)) for x in (pos, lo, hi)]
-                    + [pa.array(a.view(np.int64)), pa.array(c.view(np.int64))],
-                    names=["id", "t", "pos", "lo", "hi", "a", "c"])
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
-                       F.xxhash64(F.col(text_col).cast("string")).alias("t"))
-    return rows.mapInArrow(run, _OCCURRENCE.format(id=dict(rows.dtypes)["id"]))
-
-
-def _cutter(batches):
-    """Rows (contexts of one text, its text) -> (a, c, id, t, lo, bytes)."""
-    for batch in batches:
-        wanted, (data, off) = batch.column(2), X.string_buffer(batch.column(3))
-        raw = data.tobytes()
-        flat = wanted.flatten()
-        row = np.repeat(np.arange(batch.num_rows), np.asarray(wanted.value_lengths()))
-        lo, hi = np.asarray(flat.field("lo")), np.asarray(flat.field("hi"))
-        base = off[row]
-        cut = [raw[x:y] for x, y in zip((base + lo).tolist(), (base + hi).tolist(), strict=True)]
-        take = pa.array(row)
-        yield pa.RecordBatch.from_arrays(
-            [flat.field("a"), flat.field("c"), batch.column(0).take(take), batch.column(1).take(take),
-             flat.field("pos"), flat.field("lo"), pa.array(cut, pa.binary())],
-            names=["a", "c", "id", "t", "pos", "lo", "bytes"])
+                    [batch.column(0).take(pa.array(doc + i))] + [pa.array((x - base).astype(np.int32)) for x in (pos, hi)]
+                    + [pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], names=["d", "pos", "hi", "a", "c"])
+    return texts.mapInArrow(run, "d long, pos int, hi int, a long, c long")
+
+
+def _steps(length: int, k: int) -> list[tuple[int, int]]:
+    """Groups of the windows that hold an anchor, by the anchor's place in them: (first, last)."""
+    edge = np.linspace(0, length - k + 1, STEPS + 1).round().astype(int)
+    return [(int(x), int(y) - 1) for x, y in zip(edge[:-1], edge[1:], strict=True) if y > x]
+
+
+def _cutter(length: int, k: int):
+    """Rows (text, its wanted contexts) -> (a, c, d, pos, lo, bytes, cores): the cores are hashes of
+    what the windows of each group have in common (null: no window of the group is inside)."""
+    groups = _steps(length, k)
+
+    def run(batches):
+        for batch in batches:
+            wanted, (data, off) = batch.column(1), X.string_buffer(batch.column(2))
+            flat = wanted.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(wanted.value_lengths()))
+            pos, hi = np.asarray(flat.field("pos")).astype(np.int64), np.asarray(flat.field("hi")).astype(np.int64)
+            lo = np.maximum(pos - (length - k), 0)
+            pre = X.prefix_hash(data)
+            first, last = np.maximum(0, length - (hi - pos)), np.minimum(length - k, pos - lo)
+            cores = np.zeros((len(row), len(groups)), np.uint64)
+            there = np.zeros(cores.shape, bool)
+            for g, (x, y) in enumerate(groups):
+                ok = np.flatnonzero((first <= y) & (last >= x))
+                there[ok, g] = True
+                begin = off[row[ok]] + pos[ok] - x
+                with np.errstate(over="ignore"):
+                    cores[ok, g] = X.mix(X.span_hash(data, begin, begin + length - (y - x), pre) + X.GRAM_KEY[g])
+            raw, base = data.tobytes(), off[row]
+            cut = [raw[x:y] for x, y in zip((base + lo).tolist(), (base + hi).tolist(), strict=True)]
+            edges = np.arange(0, cores.size + 1, len(groups), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [flat.field("a"), flat.field("c"), batch.column(0).take(pa.array(row)), flat.field("pos"),
+                 pa.array(lo.astype(np.int32)), pa.array(cut, pa.binary()),
+                 pa.ListArray.from_arrays(edges, pa.array(cores.view(np.int64).ravel(), mask=~there.ravel()))],
+                names=["a", "c", "d", "pos", "lo", "bytes", "cores"])
+    return run
 
 
 def _marks(a, c, begin, end):
@@ -199,12 +225,12 @@ def _indexed(length: int):
     ``INDEX_BYTES`` of them that never parts an anchor's contexts."""
     def solve(rows: list):
         # one copy of each stretch of a text: overlapping contexts are joined
-        rows.sort(key=lambda r: (str(r[2]), r[3], r[4]))
+        rows.sort(key=lambda r: (r[2], r[3]))
         regions, where, key, upto = [], [], None, 0
-        for _, _, i, t, lo, raw in rows:
-            if key != (i, t) or lo > upto:
+        for _, _, d, lo, raw in rows:
+            if key != d or lo > upto:
                 regions.append([raw])
-                key, begin, upto = (i, t), lo, lo + len(raw)
+                key, begin, upto = d, lo, lo + len(raw)
             elif lo + len(raw) > upto:
                 regions[-1].append(raw[upto - lo:])
                 upto = lo + len(raw)
@@ -212,7 +238,7 @@ def _indexed(length: int):
         index = RunLengthIndex([np.frombuffer(b"".join(r), np.uint8) for r in regions])
         starts = index.matching_statistics() >= length
         out = []
-        for (a, c, _, _, _, raw), (r, o) in zip(rows, where, strict=True):
+        for (a, c, _, _, raw), (r, o) in zip(rows, where, strict=True):
             at = int(index.start[r]) + o
             hit = np.flatnonzero(starts[at:at + len(raw) - length + 1])
             if len(hit):
@@ -224,7 +250,7 @@ def _indexed(length: int):
     def run(batches):
         rows, size = [], 0
         for batch in batches:
-            cols = [batch.column(j).to_pylist() for j in (0, 1, 2, 3, 5, 6)]
+            cols = [c.to_pylist() for c in batch.columns]
             for row in zip(*cols, strict=True):
                 if size >= INDEX_BYTES and row[0] != rows[-1][0]:
                     got = solve(rows)
@@ -232,7 +258,7 @@ def _indexed(length: int):
                         yield got
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[5])
+                size += len(row[4])
         if rows:
             got = solve(rows)
             if got is not None:
@@ -240,64 +266,99 @@ def _indexed(length: int):
     return run
 
 
-def _windows(length: int):
-    """Contexts -> every window: (hash, text and place, a, c, place in the context)."""
+def _windows(length: int, k: int):
+    """Contexts with groups that are met -> every window of these: (hash, text and place, a, c, place
+    in the context)."""
+    groups = _steps(length, k)
+
     def run(batches):
         for batch in batches:
-            a, c, ids, t, lo = (batch.column(j) for j in (0, 1, 2, 3, 5))
-            off = np.concatenate([[0], np.cumsum([len(x) for x in batch.column(6).to_pylist()])]).astype(np.int64)
-            data = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8)
-            count = np.maximum(np.diff(off) - length + 1, 0)
-            row = np.repeat(np.arange(batch.num_rows), count)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            s = off[row] + place
-            h = X.span_hash(data, s, s + length)
-            take = pa.array(row)
+            a, c, d, pos, lo, raw, met = batch.columns
+            raw = raw.to_pylist()
+            off = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(met.value_lengths()))
+            ends = np.array(groups)[np.asarray(met.flatten())] if len(row) else np.zeros((0, 2), int)
+            place = (np.asarray(pos) - np.asarray(lo))[row].astype(np.int64)  # of the anchor
+            size = np.diff(off)[row]
+            first = np.maximum(ends[:, 0], length - (size - place))
+            last = np.minimum(ends[:, 1], place)
+            count = np.maximum(last - first + 1, 0)
+            each = np.repeat(np.arange(len(row)), count)
+            begin = place[each] - (first[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count))
+            s = off[row[each]] + begin
+            h, take = X.span_hash(data, s, s + length), pa.array(row[each])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), ids.take(take), t.take(take),
-                 pa.array((np.asarray(lo)[row] + place).astype(np.int32)), a.take(take), c.take(take),
-                 pa.array(place.astype(np.int32))], names=["h", "id", "t", "at", "a", "c", "begin"])
+                [pa.array(h.view(np.int64)), d.take(take), pa.array((np.asarray(lo)[row[each]] + begin).astype(np.int32)),
+                 a.take(take), c.take(take), pa.array(begin.astype(np.int32))], names=["h", "d", "at", "a", "c", "begin"])
     return run
 
 
+def _sieve(keys: DataFrame) -> np.ndarray:
+    """Which remainders the hashes ``d`` of a table leave: ``SIEVE_BITS`` bits, whatever its size."""
+    bit = F.pmod(F.col("d"), F.lit(SIEVE_BITS)) + 1
+    rows = (keys.groupBy(F.bitmap_bucket_number(bit).alias("b"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).collect())
+    out = np.zeros(SIEVE_BITS, bool)
+    for r in rows:
+        bits = np.unpackbits(np.frombuffer(bytes(r["m"]), np.uint8), bitorder="little")
+        at = (r["b"] - 1) * 32768
+        n = min(len(bits), SIEVE_BITS - at)
+        out[at:at + n] = bits[:n]
+    return np.packbits(out)
+
+
+def _perhaps(sieve: np.ndarray, key: Column) -> Column:
+    """Whether a text may be in the sieved table; only such texts need to move to meet it."""
+    @F.arrow_udf("boolean")
+    def of(d: pa.Array) -> pa.Array:
+        at = np.asarray(d) % SIEVE_BITS
+        return pa.array((sieve[at >> 3] >> (7 - (at & 7))) & 1 == 1)
+    return of(key)
+
+
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400,
              anchor: int = 200, hot: int = 1000) -> DataFrame:
-    """(id, t, runs): the repeated runs [start, end) in bytes (they may overlap) of every text that
-    has any; ``t`` is xxhash64 of the text."""
-    found = written(occurrences(docs, id_col, text_col, length, anchor), "suffix-anchors")
-    kind = dict(found.dtypes)["id"]
-    contexts = (found.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "t", "pos", "lo", "hi")).alias("one")))
-    contexts = written(contexts, "suffix-contexts")
-    several = contexts.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    full = contexts.where("n > 1").select("a", "c", F.lit(0).alias("begin"),
-                                          (F.col("one.hi") - F.col("one.lo")).alias("end"))
+    """(d, runs): the repeated runs [start, end) in bytes (they may overlap) of every text that has
+    any; ``d`` is xxhash64 of id and text."""
+    texts = _texts(docs, id_col, text_col)
+    found = written(occurrences(texts, length, anchor), "suffix-anchors")
+    again = found.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+    live = written(found.join(again, "a", "left_semi"), "suffix-repeated")
+    contexts = written(live.groupBy("a", "c").agg(
+        F.count(F.lit(1)).alias("n"), *[F.first(x).alias(x) for x in ("d", "pos", "hi")]), "suffix-contexts")
+    lo = F.greatest(F.col("pos") - (length - anchor), F.lit(0))
+    full = contexts.where("n > 1").select("a", "c", F.lit(0).alias("begin"), (F.col("hi") - lo).alias("end"))
     # the text of one occurrence of every context whose anchor has others (repeated from end to end
     # or not: it may be another's only match)
-    one = contexts.join(several, "a").select("a", "c", "kinds", "one.*")
-    wanted = one.groupBy("id", "t").agg(F.collect_list(F.struct("a", "c", "pos", "lo", "hi")).alias("wanted"))
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("t"),
-                        F.col(text_col).cast("string").alias("text"))
-    w, x = wanted.alias("w"), texts.alias("x")
-    same = F.col("w.id").eqNullSafe(F.col("x.id")) & (F.col("w.t") == F.col("x.t"))
-    cut = (w.join(x, same).select("w.id", "w.t", "w.wanted", "x.text")
-           .mapInArrow(_cutter, f"a long, c long, id {kind}, t long, pos int, lo int, bytes binary"))
+    several = contexts.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("a")
+    wanted = (contexts.join(several, "a", "left_semi")
+              .groupBy("d").agg(F.collect_list(F.struct("a", "c", "pos", "hi")).alias("wanted")))
+    wanted = written(wanted, "suffix-wanted")
+    held = texts.where(_perhaps(_sieve(wanted.select("d")), F.col("d")))
+    cut = (wanted.join(held, "d").select("d", "wanted", "text")
+           .mapInArrow(_cutter(length, anchor), "a long, c long, d long, pos int, lo int, bytes binary, cores array<long>"))
     cut = written(cut, "suffix-texts")
-    sizes = several.select("a", (F.col("kinds") > hot).alias("hot"))
-    few = cut.join(sizes.where("not hot").select("a"), "a", "left_semi")
+    core = cut.select("a", "c", F.posexplode("cores").alias("g", "h")).where("h is not null")
+    shared = core.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    met = written(core.join(shared, "h", "left_semi").groupBy("a", "c").agg(F.collect_set("g").alias("met")), "suffix-met")
+    kinds = written(met.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")), "suffix-kinds")
+    rest = cut.drop("cores").join(met, ["a", "c"])
+    few = rest.join(kinds.where(F.col("kinds") <= hot).select("a"), "a", "left_semi").select("a", "c", "d", "lo", "bytes")
     indexed = (few.repartition("a").sortWithinPartitions("a")
                .mapInArrow(_indexed(length), "a long, c long, begin int, end int"))
-    many = cut.join(sizes.where("hot").select("a"), "a", "left_semi")
-    windows = written(many.mapInArrow(_windows(length), f"h long, id {kind}, t long, at int, a long, c long, begin int"),
-                      "suffix-windows")
-    place = F.struct("id", "t", "at")
+    many = rest.join(kinds.where(F.col("kinds") > hot).select("a"), "a", "left_semi")
+    windows = written(many.select("a", "c", "d", "pos", "lo", "bytes", "met").mapInArrow(
+        _windows(length, anchor), "h long, d long, at int, a long, c long, begin int"), "suffix-windows")
+    place = F.struct("d", "at")
     twice = windows.groupBy("h").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x != y").select("h")
     counted = (windows.join(twice, "h", "left_semi")
                .select("a", "c", "begin", (F.col("begin") + length).alias("end")))
     marks = full.unionByName(indexed).unionByName(counted).groupBy("a", "c").agg(
         F.collect_set(F.struct("begin", "end")).alias("marks"))  # at most a context's windows
-    runs = (found.join(marks, ["a", "c"]).select("id", "t", F.transform("marks", lambda m: F.struct(
-        (m["begin"] + F.col("lo")).alias("start"), (m["end"] + F.col("lo")).alias("end"))).alias("runs")))
-    return runs.groupBy("id", "t").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    runs = (live.join(marks, ["a", "c"]).select("d", F.transform("marks", lambda m: F.struct(
+        (m["begin"] + lo).alias("start"), (m["end"] + lo).alias("end"))).alias("runs")))
+    return runs.groupBy("d").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 _CLEANED = "n_bytes long, n_removed long, n_spans long, kept binary"
@@ -306,11 +367,13 @@ _CLEANED = "n_bytes long, n_removed long, n_spans long, kept binary"
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, **options) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs), ``kept`` (what
     is left of the text, as bytes) and ``kept_sha256``."""
-    runs = repeated(docs, id_col, text_col, length, **options).alias("r")
-    d = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256").withColumn(
-        "__t", F.xxhash64(F.col(text_col).cast("string"))).alias("d")
-    joined = d.join(runs, F.col(f"d.{id_col}").eqNullSafe(F.col("r.id")) & (F.col("d.__t") == F.col("r.t")), "left")
-    joined = joined.select("d.*", F.col("r.runs").alias("__runs"))
+    runs = written(repeated(docs, id_col, text_col, length, **options), "suffix-runs")
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+    keyed = (docs.drop("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
+             .withColumn("__d", F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))))
+    perhaps = _perhaps(_sieve(runs.select("d")), F.col("__d"))
+    marked = keyed.where(perhaps).join(runs.select(F.col("d").alias("__d"), F.col("runs").alias("__runs")), "__d", "left")
+    joined = marked.unionByName(keyed.where(~perhaps).withColumn("__runs", empty))
 
     @F.arrow_udf(_CLEANED)
     def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
@@ -335,6 +398,5 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         return pa.StructArray.from_arrays([pa.array(size), pa.array(removed, pa.int64()), pa.array(number, pa.int64()),
                                            pa.array(kept, pa.binary())], names=["n_bytes", "n_removed", "n_spans", "kept"])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    return (joined.withColumn("__cut", cut(text, F.coalesce("__runs", empty))).drop("__t", "__runs")
+    return (joined.withColumn("__cut", cut(text, F.coalesce("__runs", empty))).drop("__d", "__runs")
             .select("*", "__cut.*").drop("__cut").withColumn("kept_sha256", F.sha2("kept", 256)))
