@@ -188,29 +188,32 @@ def _cutter(length: int, k: int):
 
     def run(batches):
         for batch in batches:
-            wanted, (data, off) = batch.column(1), X.string_buffer(batch.column(2))
-            flat = wanted.flatten()
-            row = np.repeat(np.arange(batch.num_rows), np.asarray(wanted.value_lengths()))
-            pos, hi = np.asarray(flat.field("pos")).astype(np.int64), np.asarray(flat.field("hi")).astype(np.int64)
-            lo = np.maximum(pos - (length - k), 0)
-            pre = X.prefix_hash(data)
-            first, last = np.maximum(0, length - (hi - pos)), np.minimum(length - k, pos - lo)
-            cores = np.zeros((len(row), len(groups)), np.uint64)
-            there = np.zeros(cores.shape, bool)
-            for g, (x, y) in enumerate(groups):
-                ok = np.flatnonzero((first <= y) & (last >= x))
-                there[ok, g] = True
-                begin = off[row[ok]] + pos[ok] - x
-                with np.errstate(over="ignore"):
-                    cores[ok, g] = X.mix(X.span_hash(data, begin, begin + length - (y - x), pre) + X.GRAM_KEY[g])
-            raw, base = data.tobytes(), off[row]
-            cut = [raw[x:y] for x, y in zip((base + lo).tolist(), (base + hi).tolist(), strict=True)]
-            edges = np.arange(0, cores.size + 1, len(groups), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [flat.field("a"), flat.field("c"), batch.column(0).take(pa.array(row)), flat.field("pos"),
-                 pa.array(lo.astype(np.int32)), pa.array(cut, pa.binary()),
-                 pa.ListArray.from_arrays(edges, pa.array(cores.view(np.int64).ravel(), mask=~there.ravel()))],
-                names=["a", "c", "d", "pos", "lo", "bytes", "cores"])
+            for i, j, data, off in X.chunks(batch.column(2), 1 << 18):
+                yield chunk(batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), data, off)
+
+    def chunk(d: pa.Array, wanted: pa.Array, data: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
+        flat = wanted.flatten()
+        row = np.repeat(np.arange(len(d)), np.asarray(wanted.value_lengths()))
+        pos, hi = np.asarray(flat.field("pos")).astype(np.int64), np.asarray(flat.field("hi")).astype(np.int64)
+        lo = np.maximum(pos - (length - k), 0)
+        pre = X.prefix_hash(data)
+        first, last = np.maximum(0, length - (hi - pos)), np.minimum(length - k, pos - lo)
+        cores = np.zeros((len(row), len(groups)), np.uint64)
+        there = np.zeros(cores.shape, bool)
+        for g, (x, y) in enumerate(groups):
+            ok = np.flatnonzero((first <= y) & (last >= x))
+            there[ok, g] = True
+            begin = off[row[ok]] + pos[ok] - x
+            with np.errstate(over="ignore"):
+                cores[ok, g] = X.mix(X.span_hash(data, begin, begin + length - (y - x), pre) + X.GRAM_KEY[g])
+        raw, base = data.tobytes(), off[row]
+        cut = [raw[x:y] for x, y in zip((base + lo).tolist(), (base + hi).tolist(), strict=True)]
+        edges = np.arange(0, cores.size + 1, len(groups), dtype=np.int32)
+        return pa.RecordBatch.from_arrays(
+            [flat.field("a"), flat.field("c"), d.take(pa.array(row)), flat.field("pos"), pa.array(lo.astype(np.int32)),
+             pa.array(cut, pa.binary()),
+             pa.ListArray.from_arrays(edges, pa.array(cores.view(np.int64).ravel(), mask=~there.ravel()))],
+            names=["a", "c", "d", "pos", "lo", "bytes", "cores"])
     return run
 
 
@@ -272,25 +275,29 @@ def _windows(length: int, k: int):
     groups = _steps(length, k)
 
     def run(batches):
-        for batch in batches:
-            a, c, d, pos, lo, raw, met = batch.columns
-            raw = raw.to_pylist()
-            off = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-            data = np.frombuffer(b"".join(raw), np.uint8)
-            row = np.repeat(np.arange(batch.num_rows), np.asarray(met.value_lengths()))
-            ends = np.array(groups)[np.asarray(met.flatten())] if len(row) else np.zeros((0, 2), int)
-            place = (np.asarray(pos) - np.asarray(lo))[row].astype(np.int64)  # of the anchor
-            size = np.diff(off)[row]
-            first = np.maximum(ends[:, 0], length - (size - place))
-            last = np.minimum(ends[:, 1], place)
-            count = np.maximum(last - first + 1, 0)
-            each = np.repeat(np.arange(len(row)), count)
-            begin = place[each] - (first[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count))
-            s = off[row[each]] + begin
-            h, take = X.span_hash(data, s, s + length), pa.array(row[each])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), d.take(take), pa.array((np.asarray(lo)[row[each]] + begin).astype(np.int32)),
-                 a.take(take), c.take(take), pa.array(begin.astype(np.int32))], names=["h", "d", "at", "a", "c", "begin"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                yield part(whole.slice(at, 512))
+
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, c, d, pos, lo, raw, met = batch.columns
+        raw = raw.to_pylist()
+        off = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        row = np.repeat(np.arange(batch.num_rows), np.asarray(met.value_lengths()))
+        ends = np.array(groups)[np.asarray(met.flatten())] if len(row) else np.zeros((0, 2), int)
+        place = (np.asarray(pos) - np.asarray(lo))[row].astype(np.int64)  # of the anchor
+        size = np.diff(off)[row]
+        first = np.maximum(ends[:, 0], length - (size - place))
+        last = np.minimum(ends[:, 1], place)
+        count = np.maximum(last - first + 1, 0)
+        each = np.repeat(np.arange(len(row)), count)
+        begin = place[each] - (first[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count))
+        s = off[row[each]] + begin
+        h, take = X.span_hash(data, s, s + length), pa.array(row[each])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(h.view(np.int64)), d.take(take), pa.array((np.asarray(lo)[row[each]] + begin).astype(np.int32)),
+             a.take(take), c.take(take), pa.array(begin.astype(np.int32))], names=["h", "d", "at", "a", "c", "begin"])
     return run
 
 
