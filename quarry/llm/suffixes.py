@@ -15,7 +15,8 @@ less at every step), are the matching statistics of all positions, and those of
 ``length`` mark repeated strings.
 
 Anchors that still have more than ``hot`` different contexts are compared without gathering them:
-every window of the groups that are met is hashed and counted, map-side combined, by exact place.
+a group of windows that another context has as a whole is repeated as a whole, and the windows of
+the others are hashed and counted one by one, map-side combined, by exact place.
 
 Defined results: null text is empty; texts shorter than ``length`` stay whole; repeated rows
 repeat one another; null ids are ordinary values; an empty table gives an empty result; other
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from quarry.llm import _text as X
 from quarry.llm._io import written
 
-INDEX_BYTES = 1 << 19
+INDEX_BYTES = 1 << 18
 STEPS = 8  # groups of a context's windows
 SIEVE_BITS = 1 << 22
 FIRST = 7  # symbols packed into the first ranks
@@ -159,7 +160,7 @@ def occurrences(texts: DataFrame, length: int, k: int) -> DataFrame:
     the context with the anchor's place in it."""
     def run(batches):
         for batch in batches:
-            for i, _, data, off in X.chunks(batch.column(1), 1 << 19):
+            for i, _, data, off in X.chunks(batch.column(1), 1 << 18):
                 pos, a = anchors(data, off, length, k)
                 if not len(pos):
                     continue
@@ -182,8 +183,9 @@ def _steps(length: int, k: int) -> list[tuple[int, int]]:
 
 
 def _cutter(length: int, k: int):
-    """Rows (text, its wanted contexts) -> (a, c, d, pos, lo, bytes, cores): the cores are hashes of
-    what the windows of each group have in common (null: no window of the group is inside)."""
+    """Rows (text, its wanted contexts) -> (a, c, d, pos, lo, bytes, cores, hulls): hashes of what the
+    windows of each group have in common (null: none of them is inside the text), and of all they
+    cover (null: some are not inside)."""
     groups = _steps(length, k)
 
     def run(batches):
@@ -198,22 +200,28 @@ def _cutter(length: int, k: int):
         lo = np.maximum(pos - (length - k), 0)
         pre = X.prefix_hash(data)
         first, last = np.maximum(0, length - (hi - pos)), np.minimum(length - k, pos - lo)
-        cores = np.zeros((len(row), len(groups)), np.uint64)
-        there = np.zeros(cores.shape, bool)
+        cores, hulls = np.zeros((2, len(row), len(groups)), np.uint64)
+        there, all_there = np.zeros((2, *cores.shape), bool)
         for g, (x, y) in enumerate(groups):
             ok = np.flatnonzero((first <= y) & (last >= x))
             there[ok, g] = True
             begin = off[row[ok]] + pos[ok] - x
             with np.errstate(over="ignore"):
                 cores[ok, g] = X.mix(X.span_hash(data, begin, begin + length - (y - x), pre) + X.GRAM_KEY[g])
+            ok = np.flatnonzero((first <= x) & (last >= y))
+            all_there[ok, g] = True
+            begin = off[row[ok]] + pos[ok] - y
+            with np.errstate(over="ignore"):
+                hulls[ok, g] = X.mix(X.span_hash(data, begin, begin + length + (y - x), pre) + X.GRAM_KEY[g])
         raw, base = data.tobytes(), off[row]
         cut = [raw[x:y] for x, y in zip((base + lo).tolist(), (base + hi).tolist(), strict=True)]
         edges = np.arange(0, cores.size + 1, len(groups), dtype=np.int32)
         return pa.RecordBatch.from_arrays(
             [flat.field("a"), flat.field("c"), d.take(pa.array(row)), flat.field("pos"), pa.array(lo.astype(np.int32)),
              pa.array(cut, pa.binary()),
-             pa.ListArray.from_arrays(edges, pa.array(cores.view(np.int64).ravel(), mask=~there.ravel()))],
-            names=["a", "c", "d", "pos", "lo", "bytes", "cores"])
+             *[pa.ListArray.from_arrays(edges, pa.array(x.view(np.int64).ravel(), mask=~ok.ravel()))
+               for x, ok in ((cores, there), (hulls, all_there))]],
+            names=["a", "c", "d", "pos", "lo", "bytes", "cores", "hulls"])
     return run
 
 
@@ -325,12 +333,13 @@ def _perhaps(sieve: np.ndarray, key: Column) -> Column:
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400,
-             anchor: int = 200, hot: int = 1000) -> DataFrame:
+             anchor: int = 200, hot: int = 400) -> DataFrame:
     """(d, runs): the repeated runs [start, end) in bytes (they may overlap) of every text that has
     any; ``d`` is xxhash64 of id and text."""
     texts = _texts(docs, id_col, text_col)
     found = written(occurrences(texts, length, anchor), "suffix-anchors")
-    again = found.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+    # written, so that the join below is one of two plain exchanges and splits a hot anchor
+    again = written(found.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"), "suffix-again")
     live = written(found.join(again, "a", "left_semi"), "suffix-repeated")
     contexts = written(live.groupBy("a", "c").agg(
         F.count(F.lit(1)).alias("n"), *[F.first(x).alias(x) for x in ("d", "pos", "hi")]), "suffix-contexts")
@@ -344,23 +353,39 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     wanted = written(wanted, "suffix-wanted")
     held = texts.where(_perhaps(_sieve(wanted.select("d")), F.col("d")))
     cut = (wanted.join(held, "d").select("d", "wanted", "text")
-           .mapInArrow(_cutter(length, anchor), "a long, c long, d long, pos int, lo int, bytes binary, cores array<long>"))
+           .mapInArrow(_cutter(length, anchor), "a long, c long, d long, pos int, lo int, bytes binary, "
+                       "cores array<long>, hulls array<long>"))
     cut = written(cut, "suffix-texts")
-    core = cut.select("a", "c", F.posexplode("cores").alias("g", "h")).where("h is not null")
+    core = (cut.select("a", "c", (F.col("pos") - F.col("lo")).alias("r"),
+                       F.posexplode(F.arrays_zip("cores", "hulls")).alias("g", "x"))
+            .where("x.cores is not null")
+            .select("a", "c", "r", "g", F.col("x.cores").alias("h"),
+                    F.coalesce("x.hulls", F.xxhash64("a", "c", "g")).alias("u")))
     shared = core.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    met = written(core.join(shared, "h", "left_semi").groupBy("a", "c").agg(F.collect_set("g").alias("met")), "suffix-met")
-    kinds = written(met.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")), "suffix-kinds")
-    rest = cut.drop("cores").join(met, ["a", "c"])
-    few = rest.join(kinds.where(F.col("kinds") <= hot).select("a"), "a", "left_semi").select("a", "c", "d", "lo", "bytes")
+    met = written(core.join(shared, "h", "left_semi").drop("h"), "suffix-met")
+    kinds = written(met.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("a")
+                    .agg(F.count(F.lit(1)).alias("kinds")), "suffix-kinds")
+    few = (cut.drop("cores", "hulls").join(kinds.where(F.col("kinds") <= hot).select("a"), "a", "left_semi")
+           .join(met.select("a", "c").distinct(), ["a", "c"], "left_semi").select("a", "c", "d", "lo", "bytes"))
     indexed = (few.repartition("a").sortWithinPartitions("a")
                .mapInArrow(_indexed(length), "a long, c long, begin int, end int"))
-    many = rest.join(kinds.where(F.col("kinds") > hot).select("a"), "a", "left_semi")
-    windows = written(many.select("a", "c", "d", "pos", "lo", "bytes", "met").mapInArrow(
-        _windows(length, anchor), "h long, d long, at int, a long, c long, begin int"), "suffix-windows")
+    # hot anchors: a group all of whose windows are met together is repeated as a whole, and one copy
+    # of it stands for the others where the windows of the remaining groups are counted one by one
+    many = written(met.join(kinds.where(F.col("kinds") > hot).select("a"), "a", "left_semi"), "suffix-many")
+    hulls = written(many.groupBy("u").agg(F.count(F.lit(1)).alias("n"), *[F.first(x).alias(x) for x in ("a", "c", "g")]),
+                    "suffix-hulls")
+    first, last = (F.array(*[F.lit(x[j]) for x in _steps(length, anchor)]) for j in (0, 1))
+    whole = (many.join(hulls.where("n > 1").select("u"), "u", "left_semi")
+             .select("a", "c", (F.col("r") - F.get(last, F.col("g"))).alias("begin"),
+                     (F.col("r") - F.get(first, F.col("g")) + length).alias("end")))
+    open_ = hulls.groupBy("a", "c").agg(F.collect_set("g").alias("met"))
+    windows = written(cut.drop("cores", "hulls").join(open_, ["a", "c"]).select("a", "c", "d", "pos", "lo", "bytes", "met")
+                      .mapInArrow(_windows(length, anchor), "h long, d long, at int, a long, c long, begin int"),
+                      "suffix-windows")
     place = F.struct("d", "at")
     twice = windows.groupBy("h").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x != y").select("h")
     counted = (windows.join(twice, "h", "left_semi")
-               .select("a", "c", "begin", (F.col("begin") + length).alias("end")))
+               .select("a", "c", "begin", (F.col("begin") + length).alias("end")).unionByName(whole))
     marks = full.unionByName(indexed).unionByName(counted).groupBy("a", "c").agg(
         F.collect_set(F.struct("begin", "end")).alias("marks"))  # at most a context's windows
     runs = (live.join(marks, ["a", "c"]).select("d", F.transform("marks", lambda m: F.struct(
