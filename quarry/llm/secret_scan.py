@@ -1,11 +1,18 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-Candidates are runs of at least 16 characters of ``[A-Za-z0-9+/_=-]`` with a digit.  Features:
-length, character transitions, distinct characters, share covered by dictionary words (the
-corpus's most frequent words, counted over all documents), path signs and the words beside the
-candidate.  The forest (built-in ML, DataFrame API) is trained on labelled findings: the
-caller's, or else findings of a bounded sample labelled by how they are introduced (assigned to
-a credential name: 1; anything else: 0).  Its trees become column expressions, so the scan is
+Candidates are, in this order: values of four characters or more that a credential name and a
+separator introduce (``password=...``, ``"api_key": "..."``, ``?token=...``), with or without
+digits, up to the closing quote or the end of the word; credentials after ``Bearer`` or
+``Basic``; passwords of URLs (``://user:...@``); keys of well-known formats (``FORMATS``); and
+runs of at least 16 characters of ``[A-Za-z0-9+/_-]`` with a digit.  An equals sign belongs to a
+run only as its padding, so a name never joins its value.  Features: length, character
+transitions, distinct characters, share covered by dictionary words (the corpus's most frequent
+words, counted over all documents), path signs, the words beside the candidate and its format.
+The forest (built-in ML, DataFrame API) is trained on labelled findings: the caller's, or else
+findings of a bounded sample labelled by how they are introduced or formed (assigned to a
+credential name, password of a URL or of a well-known format: 1; anything else, also plain words
+after a blank and placeholders: 0).  Findings that these rules label 1 are secrets whatever the
+sample held; the forest judges the others.  Its trees become column expressions, so the scan is
 one pass of built-in functions without a shuffle.
 
 Defined results: null or empty text has no candidates; repeated documents give equal results;
@@ -24,15 +31,52 @@ from pyspark.sql import functions as F
 
 from quarry.llm._spans import with_matches
 
-CANDIDATE = "(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
 # names a credential is assigned to, and names of harmless values
 _CREDENTIAL = ("(?i)(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|"
                "auth(?:orization)?|bearer|credential|client[_-]?secret)")
 _HARMLESS = "(?i)(?:sha-?[0-9]*|md5|commit|checksum|hash|digest|uuid|guid|version|isbn|example|sample|test|dummy)"
-_ASSIGNED = _CREDENTIAL + "[A-Za-z0-9_-]*[\"']?\\s*(?::=|=>|[:=]|\\s)\\s*[\"']?$"
+_ASSIGNED = _CREDENTIAL + "[A-Za-z0-9_-]*[\"']?\\s*(?::=|=>|[:=]|\\s)\\s*[\"'`]?$"
+_BASIC = "(?i)(?<![A-Za-z0-9])basic\\s+$"
+_USERINFO = "://[^\\s/:@\"'<>]{0,64}:$"
+# words that stand where a credential would
+_PLAIN = "^[A-Za-z][a-z]+$"
+_PLACEHOLDER = "(?i)^(?:null|none|nil|true|false|undefined|string|bearer|basic)$"
+FORMATS = ("(?:AKIA|ASIA)[0-9A-Z]{16}", "gh[pousr]_[A-Za-z0-9]{36,255}", "github_pat_[A-Za-z0-9_]{22,255}",
+           "glpat-[A-Za-z0-9_-]{20,64}", "xox[abeoprs]-[A-Za-z0-9-]{10,255}", "AIza[A-Za-z0-9_-]{35}",
+           "[sr]k_(?:live|test)_[A-Za-z0-9]{16,255}", "sk-[A-Za-z0-9_-]{32,255}", "npm_[A-Za-z0-9]{36}",
+           "hf_[A-Za-z0-9]{30,64}", "SG\\.[A-Za-z0-9_-]{16,64}\\.[A-Za-z0-9_-]{16,64}",
+           "eyJ[A-Za-z0-9_-]{8,}+\\.[A-Za-z0-9_-]{8,}+(?:\\.[A-Za-z0-9_-]++)?")
+_FORMAT = "(?:" + "|".join(FORMATS) + ")(?![A-Za-z0-9_-])"
+_SEPARATOR = "[\"']?[ \\t]{0,4}(?::=|=>|[:=])[ \\t]{0,4}"
+_NAME = _CREDENTIAL.replace("(?i)(?:", "(?i:", 1) + "[A-Za-z0-9_-]{0,24}"
+# the short look back comes first: the long one is tried only after a separator
+_INTRODUCED = (f"(?<=[:=>][ \\t]{{0,4}}[\"'`]?)(?<={_NAME}{_SEPARATOR}[\"'`]?)(?!(?i:bearer|basic)[ \\t])"
+               "(?:(?<=[\"'`])[^\\s\"'`]{4,}+(?=[\"'`])|[^\\s\"'`<>,;&(){}\\[\\]|=:>][^\\s\"'`<>,;&(){}\\[\\]|]{2,}"
+               "[^\\s\"'`<>,;&(){}\\[\\]|.:?](?![(\\[]))")
+_BEARER = ("(?<=[ \\t])(?<=(?i:bearer|(?<![A-Za-z0-9])basic)[ \\t]{1,4})"
+           "(?=[a-z]*+[A-Z0-9._~+/=-])[A-Za-z0-9_~+/-][A-Za-z0-9._~+/-]{6,}[A-Za-z0-9_~+/-]={0,2}")
+_PASSWORD = "(?<=:)(?<=://[^\\s/:@\"'<>]{0,64}:)[^\\s/@\"'<>]++(?=@)"
+_RUN = (f"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?![A-Za-z0-9_-]{{0,40}}{_NAME}{_SEPARATOR}[\"'`]?[^\\s\"'`=])"
+        "[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+CANDIDATE = f"{_INTRODUCED}|{_BEARER}|{_PASSWORD}|(?<![A-Za-z0-9+/_-]){_FORMAT}|{_RUN}"
+# every text with a candidate passes
+_HELD = f"[0-9]|://|{_CREDENTIAL}|(?i:basic)|(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox|AIza|[sr]k[_-]|npm_|hf_|SG\\.|eyJ)"
 FEATURES = ("length", "digit_share", "upper_share", "letter_digit_turns", "case_turns", "distinct_share",
             "dictionary_share", "slashes", "path_before", "quoted", "assigned", "credential_word",
-            "harmless_word", "hex_only", "digits_only")
+            "harmless_word", "hex_only", "digits_only", "known_format", "userinfo")
+
+
+def _certain(c: Column) -> Column:
+    """Whether a candidate's introduction or format alone makes it a secret."""
+    v, left = c["value"], c["left"]
+    word = F.rlike(v, F.lit(_PLAIN)) & F.rlike(left, F.lit("\\s$"))
+    assigned = F.rlike(left, F.lit(_ASSIGNED)) | F.rlike(left, F.lit(_BASIC))
+    return ((assigned & ~word & ~F.rlike(v, F.lit(_PLACEHOLDER))) | _formed(v)
+            | (F.rlike(left, F.lit(_USERINFO)) & F.rlike(c["right"], F.lit("^@"))))
+
+
+def _formed(v: Column) -> Column:
+    return F.rlike(v, F.lit(f"^{_FORMAT}$"))
 
 
 def _gone(v: Column, pattern: str) -> Column:
@@ -54,13 +98,14 @@ def _features(c: Column, words: list[str]) -> list[Column]:
             (F.rlike(left, F.lit("[\"'`]$")) & F.rlike(right, F.lit("^[\"'`]"))).cast("double"),
             F.rlike(left, F.lit("[:=]\\s*[\"']?$")).cast("double"),
             F.rlike(left, F.lit(_CREDENTIAL)).cast("double"), F.rlike(left, F.lit(_HARMLESS)).cast("double"),
-            (~F.rlike(v, F.lit("[^0-9A-Fa-f]"))).cast("double"), (~F.rlike(v, F.lit("[^0-9]"))).cast("double")]
+            (~F.rlike(v, F.lit("[^0-9A-Fa-f]"))).cast("double"), (~F.rlike(v, F.lit("[^0-9]"))).cast("double"),
+            _formed(v).cast("double"), F.rlike(left, F.lit(_USERINFO)).cast("double")]
 
 
 def with_candidates(docs: DataFrame, text_col: str, name: str = "__c") -> DataFrame:
-    """Add ``name``: array<struct<start, end, value, left, right>>, the candidate runs with a digit."""
+    """Add ``name``: array<struct<start, end, value, left, right>>, the candidates."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return with_matches(docs, name, text, CANDIDATE, F.rlike(text, F.lit("[0-9]")))
+    return with_matches(docs, name, text, CANDIDATE, F.rlike(text, F.lit(_HELD)), before=80)
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", size: int = 2000) -> list[str]:
@@ -71,11 +116,12 @@ def dictionary(docs: DataFrame, text_col: str = "text", size: int = 2000) -> lis
 
 
 def weak_findings(docs: DataFrame, text_col: str = "text", max_train: int = 20_000) -> DataFrame:
-    """At most ``max_train`` distinct findings (lowest hashes) labelled by their introduction."""
+    """At most ``max_train`` distinct findings (lowest hashes) labelled by their introduction or format."""
     # explode_outer: a plain explode would make the optimizer repeat the search in a filter
     c = (with_candidates(docs.select(text_col), text_col).select(F.explode_outer("__c").alias("c"))
          .where("c.value is not null").select("c.value", "c.left", "c.right").distinct())
-    return (c.withColumn("label", F.rlike("left", F.lit(_ASSIGNED)).cast("int"))
+    c = c.withColumn("c", F.struct("value", "left", "right"))
+    return (c.withColumn("label", _certain(F.col("c")).cast("int")).drop("c")
             .orderBy(F.xxhash64("value", "left", "right"), "value", "left", "right").limit(max_train))
 
 
@@ -97,7 +143,7 @@ def train(docs: DataFrame, findings: DataFrame | None = None, text_col: str = "t
                                 F.coalesce("right", F.lit("")).alias("right")).alias("c"), "label")
     cols = [x.alias(n) for n, x in zip(FEATURES, _features(F.col("c"), words), strict=True)]
     rows = rows.select(F.col("label").cast("double").alias("label"), *cols)
-    model = {"words": words, "threshold": threshold, "forest": None, "prior": 0.0}
+    model = {"words": words, "threshold": threshold, "forest": None, "prior": 0.0, "rules": findings is None}
     rows = rows.cache()
     try:
         counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
@@ -127,10 +173,11 @@ def scan(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
 
     with_features = F.transform(F.col("__c"), lambda c: F.struct(
         c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"),
+        (_certain(c) if model["rules"] else F.lit(False)).alias("certain"),
         *[x.alias(n) for n, x in zip(FEATURES, _features(c, model["words"]), strict=True)]))
     judged = F.transform(F.col("__f"), lambda c: F.struct(
         c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"),
-        votes([c[n] for n in FEATURES]).alias("score")))
+        F.when(c["certain"], 1.0).otherwise(votes([c[n] for n in FEATURES])).alias("score")))
     final = F.transform(F.col("__s"), lambda c: F.struct(
         c["start"], c["end"], c["value"], c["score"], (c["score"] >= model["threshold"]).alias("secret")))
     return (with_candidates(docs, text_col)
