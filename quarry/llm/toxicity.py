@@ -2,7 +2,8 @@
 
 Labelled tokens come from labelled documents: words that occur in toxic texts far beyond chance,
 and beginnings of words that several different words of a text share far beyond chance
-(likelihood ratio against the base rate, counted over texts that are not near copies), are
+(likelihood ratio against the base rate, counted over texts that are not near copies: word sets
+that MinHash bands bring together and whose exact Jaccard is at least ``NEAR``), are
 tagged in toxic texts, every other token is clean.  The field has word, beginning, capital and
 length features and a transition matrix, trained by maximum likelihood (forward-backward
 gradients) on chains of ``CHAIN`` words.  Scoring runs forward-backward over every chain of every
@@ -31,8 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm import _text as X
+from quarry.llm.paragraphs import _jaccard, _signatures, tune
 
 CHAIN = 32
+NEAR = 0.8
 SHAPES = 4  # bias, all capitals, short, long
 BEGINNINGS = (5, 7)
 _CAPITAL = (np.arange(256) >= 65) & (np.arange(256) <= 90)
@@ -125,6 +128,21 @@ def telling_words(word: np.ndarray, group: np.ndarray, toxic: np.ndarray) -> np.
     return words[(q >= 0.8) & (ratio >= np.log(tried) + 2)]
 
 
+def near_copies(sets: list[np.ndarray], threshold: float = NEAR) -> np.ndarray:
+    """A group per text, from the sorted distinct word hashes of each: a text joins the first text of
+    a group that it shares a MinHash band with if their Jaccard is at least the threshold."""
+    bands, rows = tune(threshold)
+    group, first = np.zeros(len(sets), np.int64), {}
+    for i, u in enumerate(sets):
+        keys = list(enumerate(_signatures(u, np.array([0, len(u)]), bands, rows)[0].tolist())) if len(u) else [None]
+        others = sorted({j for k in keys for j in first.get(k, ())})
+        group[i] = next((j for j in others if not len(u) or _jaccard(u, sets[j], threshold)), i)
+        if group[i] == i:
+            for k in keys:
+                first.setdefault(k, []).append(i)
+    return group
+
+
 def fit_field(texts: list[str], toxic: np.ndarray, chains: int = 6_000, rounds: int = 100, l2: float = 1e-4) -> dict:
     """Maximum likelihood on the chains with toxic tokens and an even sample of the others, at most
     ``chains`` in all, by Adam on the full gradient.  Texts are read a chunk at a time."""
@@ -133,7 +151,7 @@ def fit_field(texts: list[str], toxic: np.ndarray, chains: int = 6_000, rounds:
     col, y_doc = pa.array([texts[i] for i in order], pa.string()), toxic[order]
     if not len(order) or y_doc.min() == y_doc.max():
         return none
-    word, near = [], []
+    word, near = [], []  # of each text: its words and shared beginnings, its words alone
     for i, _, data, off in X.chunks(col):
         h, _, _, w_off, _ = _tokens(data, off)
         for d in range(len(w_off) - 1):
@@ -142,13 +160,13 @@ def fit_field(texts: list[str], toxic: np.ndarray, chains: int = 6_000, rounds:
             # a beginning tells only where different words share it
             shared, times = np.unique(every[first, 1:], return_counts=True)
             word.append(np.concatenate([own, shared[(times >= 2) & (shared != 0)]]))
-            near.append(own[0] if len(own) else np.uint64(0))
+            near.append(own)
     size = np.array([len(u) for u in word])
     if not size.sum():
         return none
-    _, group = np.unique(np.array(near, np.uint64), return_inverse=True)
+    _, group = np.unique(near_copies(near), return_inverse=True)
     lexicon = telling_words(np.concatenate(word), np.repeat(group, size), np.repeat(y_doc, size))
-    del word
+    del word, near
 
     def pick(wanted: int, tagged: bool, every: int = 1):
         """Chains with (or without) a toxic token: hashes, shapes, tags, chain, place."""
