@@ -19,8 +19,9 @@ lengths are powers of two, so nothing is padded.
 
 Defined results: null or empty text is one end token; null sources form a queue of their own;
 repeated documents are packed once per row; ties need no order (queues are in file order); an
-empty table gives no pieces; other columns are ignored.  More than ``max_queues`` sources share
-``max_queues`` queues by hash, so that the plan of quanta stays of bounded size.
+empty table gives no pieces; other columns are ignored.  Every source is a queue of its own.  Up to
+``max_queues`` their plan is a list on the driver; of more it is a table of what each window
+serves of each source, whose prefix sums in the order of windows and sources are the places.
 """
 
 from __future__ import annotations
@@ -253,6 +254,137 @@ class Rounds:
         return lo
 
 
+class Shares:
+    """What each window serves of one source, from the source's tokens ``n`` and weight ``w`` alone."""
+
+    def __init__(self, total: int, window_tokens: int, named: list[tuple[int, float]] | None = None):
+        self.progress = None
+        if named is None:
+            self.windows = max(1, round(total / window_tokens))
+            return
+        # sources without a target weigh as their share, hence end together: one queue for the progress
+        rest = total - sum(n for n, _ in named)
+        queues = named + [(rest, rest / total)] * (rest > 0)
+        rounds = Rounds([n for n, _ in queues], window_tokens, [w for _, w in queues])
+        self.windows = rounds.windows
+        self.progress = np.interp(np.arange(self.windows + 1) * window_tokens, rounds.served_at, rounds.knots)
+
+    def served(self, k: np.ndarray, n: int, w: float) -> np.ndarray:
+        """Tokens of the source in the first ``k`` windows."""
+        if self.progress is None:
+            return k * (n // self.windows) + k * (n % self.windows) // self.windows
+        return np.where(k >= self.windows, n, np.minimum(n, np.floor(w * self.progress[k]).astype(np.int64)))
+
+    def window_of(self, x: np.ndarray, n: int, w: float) -> np.ndarray:
+        """The windows that serve tokens ``x``: the last ones with at most ``x`` served before."""
+        lo, hi = np.zeros(len(x), np.int64), np.full(len(x), self.windows - 1)
+        while (lo < hi).any():
+            mid = (lo + hi + 1) // 2
+            ok = self.served(mid, n, w) <= x
+            lo, hi = np.where(ok, mid, lo), np.where(ok, hi, mid - 1)
+        return lo
+
+    def pieces(self, x: int, m: int, n: int, w: float) -> list[tuple[int, int, int, int]]:
+        """(window, served of the source before it, start, end) of tokens ``x`` to ``x + m``."""
+        first, last = self.window_of(np.array([x, x + m - 1]), n, w).tolist()
+        if m < last - first:
+            k = np.unique(self.window_of(np.arange(x, x + m), n, w))
+        else:
+            k = np.arange(first, last + 1)
+        before = self.served(k, n, w)
+        a, b = np.maximum(before, x), np.minimum(self.served(k + 1, n, w), x + m)
+        return [p for p in zip(k.tolist(), before.tolist(), a.tolist(), b.tolist(), strict=True) if p[3] > p[2]]
+
+
+def _pack_by_table(rows: DataFrame, sums: DataFrame, by_source: DataFrame, total: int, max_tokens: int, window: int,
+                   targets: dict[str, float] | None, names: list[str], with_ids: bool) -> DataFrame:
+    """The pieces where the sources are too many for a list on the driver."""
+    spark, kind = rows.sparkSession, dict(rows.dtypes)["doc_id"]
+    named = None
+    if targets is not None:
+        wanted = F.col("source").isin([s for s in targets if s is not None])
+        if None in targets:
+            wanted = wanted | F.col("source").isNull()
+        named = [(r["n"], float(targets[r["source"]])) for r in by_source.where(wanted).collect()]  # the caller's targets
+        named = sorted(named)
+    shares = Shares(total, window * max_tokens, named)
+
+    def weight(source, n):
+        return 0.0 if targets is None else float(targets.get(source, n / total))
+
+    def serve(batches):
+        for batch in batches:
+            for source, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                got = shares.pieces(0, n, n, weight(source, n))
+                for i in range(0, len(got), 10_000):
+                    some = got[i:i + 10_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([source] * len(some), pa.string()), pa.array([p[0] for p in some], pa.int64()),
+                         pa.array([p[3] - p[2] for p in some], pa.int64())], names=["source", "k", "c"])
+
+    def add_up(batches):
+        part, done = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            c = batch.column(2).to_numpy()
+            before = done + np.cumsum(c) - c
+            done += int(c.sum())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(before),
+                                              pa.array([part] * len(c), pa.int32())], names=["source", "k", "c", "before", "part"])
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    turns = written(by_source.select("source", "n").mapInArrow(serve, "source string, k long, c long"), "packing-turns")
+    turns = turns.repartitionByRange(tasks, "k", "source").sortWithinPartitions("k", "source")
+    turns = written(turns.mapInArrow(add_up, "source string, k long, c long, before long, part int"), "packing-places")
+    ends = sorted(turns.groupBy("part").agg(F.sum("c").alias("c")).collect())  # one row a task
+    upto = np.cumsum([0] + [r["c"] for r in ends]).tolist()
+    offsets = spark.createDataFrame([(r["part"], b) for r, b in zip(ends, upto)], "part int, offset long")
+    places = turns.join(F.broadcast(offsets), "part").select("source", "k", (F.col("before") + F.col("offset")).alias("g"))
+    w = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("source", "part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("base"))
+    placed = rows.join(base, rows["source"].eqNullSafe(base["source"]) & (rows["part"] == base["part"])).select(
+        "doc_id", rows["source"].alias("source"), (F.col("base") + F.col("before")).alias("x"), "n", "ids")
+    whole = by_source.select(F.col("source").alias("s"), F.col("n").alias("all"))
+    placed = placed.join(whole, placed["source"].eqNullSafe(whole["s"])).select("doc_id", "source", "x", "n", "all", "ids")
+
+    def split(batches):
+        for batch in batches:
+            which, cols = [], ([], [], [], [])
+            source, x, n, every, ids = (batch.column(i).to_pylist() for i in range(1, 6))
+            for i in range(batch.num_rows):
+                for k, before, a, b in shares.pieces(x[i], n[i], every[i], weight(source[i], every[i])):
+                    which.append(i)
+                    for c, v in zip(cols, (k, a - before, a - x[i], ids[i][4 * (a - x[i]):4 * (b - x[i])]), strict=True):
+                        c.append(v)
+            pick = pa.array(which, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(j).take(pick) for j in (0, 1, 3)] + [pa.array(c, pa.int64()) for c in cols[:3]]
+                + [pa.array(cols[3], pa.binary())], names=["doc_id", "source", "n", "k", "into", "start", "ids"])
+    parts = placed.mapInArrow(split, f"doc_id {kind}, source string, n long, k long, into long, start long, ids binary")
+    parts = parts.join(places, parts["source"].eqNullSafe(places["source"]) & (parts["k"] == places["k"])).select(
+        "doc_id", parts["source"].alias("source"), "n", parts["k"].alias("k"), (F.col("g") + F.col("into")).alias("g"), "start", "ids")
+
+    def cut(batches):
+        for batch in batches:
+            which, got, bits = [], {n: [] for n in names[2:]}, []
+            ns, ks, gs, starts, ids = (batch.column(j).to_pylist() for j in range(2, 7))
+            for i in range(batch.num_rows):
+                done, upto = 0, len(ids[i]) // 4
+                while done < upto:
+                    seq, offset, room = sequence_of(gs[i] + done, total, max_tokens)
+                    length = min(room, upto - done)
+                    piece = ids[i][4 * done:4 * (done + length)]
+                    which.append(i)
+                    bits.append(piece)
+                    for name, v in zip(names[2:], (starts[i] + done, length, zlib.crc32(piece), ns[i], seq, offset, ks[i]), strict=True):
+                        got[name].append(v)
+                    done += length
+            pick = pa.array(which, pa.int64())
+            cols = [batch.column(0).take(pick), batch.column(1).take(pick)]
+            cols += [pa.array(got[n], pa.int64()) for n in names[2:]]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(bits, pa.binary())] * with_ids, names=names + ["ids"] * with_ids)
+    schema = f"doc_id {kind}, source string, " + ", ".join(f"{n} long" for n in names[2:]) + ", ids binary" * with_ids
+    return parts.mapInArrow(cut, schema)
+
+
 def sequence_of(g: int, total: int, size: int) -> tuple[int, int, int]:
     """(sequence, offset there, ids until its end) of the ``g``-th id of all."""
     full = total // size
@@ -276,12 +408,12 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, window: int =
     sums = rows.groupBy("source", "part").agg(F.sum("n").alias("n"))
     sums = written(sums, "packing-sums")
     by_source = sums.groupBy("source").agg(F.sum("n").alias("n"))
-    if by_source.count() > max_queues:
-        queue = F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("string")
-    else:
-        queue = F.col("source")
-    plan = (by_source.select(queue.alias("queue"), "source", "n").groupBy("queue")
-            .agg(F.sum("n").alias("n"), F.min("source").alias("source")).collect())  # <= max_queues rows
+    names = ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window_id"]
+    size = by_source.agg(F.count(F.lit(1)).alias("sources"), F.sum("n").alias("n")).first()
+    if size["sources"] > max_queues:
+        return _pack_by_table(rows, sums, by_source, size["n"], max_tokens, window, targets, names, with_ids)
+    queue = F.col("source")
+    plan = by_source.select(queue.alias("queue"), "n").collect()  # <= max_queues rows
     plan = sorted(plan, key=lambda r: (r["queue"] is not None, r["queue"]))
     total = sum(r["n"] for r in plan)
     weights = None if targets is None else [float(targets.get(r["queue"], r["n"] / max(1, total))) for r in plan]
@@ -293,7 +425,6 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, window: int =
     placed = rows.join(base, rows["source"].eqNullSafe(base["source"]) & (rows["part"] == base["part"]))
     placed = placed.select("doc_id", rows["source"].alias("source"), "queue",
                            (F.col("base") + F.col("before")).alias("x"), "n", "ids")
-    names = ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window_id"]
 
     def cut(batches):
         for batch in batches:
