@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (decontaminate, embeddings, packing, paragraphs, pii, quality, secret_scan, simhash, suffixes,
-                        toxicity)
+from quarry.llm import (decontaminate, embeddings, mixing, packing, paragraphs, pii, quality, secret_scan, simhash,
+                        suffixes, toxicity)
 from quarry.llm._io import crc_mod, prepare, read
 
 QUERIES: dict = {}
@@ -147,3 +147,45 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return suffixes.clean(docs, length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP11_SQL = """WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size
+  FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_rows, row_number() OVER (ORDER BY source NULLS LAST) AS place
+       FROM d GROUP BY source),
+s1 AS (SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight,
+              source_size::DOUBLE * 2 AS most, 1 + (source_size + n_rows) // 65536 AS shards FROM s0),
+s2 AS (SELECT *, coalesce(sum(source_size * 2) OVER o, 0)::DOUBLE AS held, sum(weight) OVER (ORDER BY most / weight, place
+              ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(source_size) OVER ()::DOUBLE AS total
+       FROM s1 WINDOW o AS (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+u AS (SELECT arg_max((1.5::DOUBLE * total - held) / rest, rest)
+               FILTER (WHERE NOT most < weight * ((1.5::DOUBLE * total - held) / rest)) AS unit FROM s2),
+s AS (SELECT source, place, source_size, shards, CASE WHEN most < weight * unit THEN most ELSE weight * unit END AS target
+      FROM s1, u),
+g AS (SELECT d.*, place, source_size, target, substr(m, 9, 24) AS turn, ('0x' || substr(m, 1, 8))::BIGINT % shards AS shard
+      FROM (SELECT *, md5('11:' || coalesce(doc_id::VARCHAR, '')) AS m FROM d) d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+p AS (SELECT place, shard, sum(size)::BIGINT AS words, any_value(target) AS target, any_value(source_size) AS source_size
+      FROM g GROUP BY place, shard),
+p2 AS (SELECT *, (words + 15) // 16 AS blocks, CASE WHEN words > 0 THEN target * words / source_size ELSE 0 END AS weight FROM p),
+quotients AS (SELECT place, shard, weight / (2 * k + 1)::DOUBLE AS q, k FROM p2, unnest(range(2 * blocks)) AS r(k) WHERE weight > 0),
+served AS (SELECT place, shard, count(*) AS quota FROM
+  (SELECT * FROM quotients QUALIFY row_number() OVER (ORDER BY q DESC, place, shard, k)
+     <= (SELECT round(1.5::DOUBLE * sum(words) / 16) FROM p)) GROUP BY place, shard),
+q AS (SELECT p2.place, p2.shard, words, blocks, coalesce(quota, 0) // greatest(blocks, 1) AS whole,
+             coalesce(quota, 0) % greatest(blocks, 1) AS extra,
+             ('0x' || substr(md5('12:' || p2.place || ':' || p2.shard), 1, 8))::BIGINT % greatest(blocks, 1) AS first
+      FROM p2 LEFT JOIN served USING (place, shard)),
+e AS (SELECT place, shard, whole, first * words // greatest(blocks, 1) AS from1,
+             least(first + extra, blocks) * words // greatest(blocks, 1) AS to1,
+             greatest(first + extra - blocks, 0) * words // greatest(blocks, 1) AS to2 FROM q),
+placed AS (SELECT *, sum(size) OVER (PARTITION BY place, shard ORDER BY turn, doc_id ROWS UNBOUNDED PRECEDING) - size AS x FROM g)
+SELECT doc_id, size, source_size, target,
+       (whole * size + greatest(least(x + size, to1) - greatest(x, from1), 0) + greatest(least(x + size, to2) - x, 0))::BIGINT AS taken
+FROM placed JOIN e USING (place, shard)"""
+
+
+@register("op11_source_mixing", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its size, its source's words and target, and the words that the mix takes of it."""
+    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
