@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (decontaminate, embeddings, mixing, packing, paragraphs, pii, quality, secret_scan, simhash,
-                        suffixes, toxicity)
+from quarry.llm import (collocations, decontaminate, embeddings, mixing, packing, paragraphs, pii, prefix_trie, quality,
+                        secret_scan, simhash, suffixes, toxicity)
 from quarry.llm._io import crc_mod, prepare, read
 
 QUERIES: dict = {}
@@ -189,3 +189,61 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its size, its source's words and target, and the words that the mix takes of it."""
     mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP12_SQL = """WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM d),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM p, (VALUES (1), (2), (3), (4)) t(k) WHERE len(w) >= k) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k AS words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND f >= 30),
+parts AS (SELECT c.*, t.k, array_to_string(w[1:t.k], ' ') AS x, array_to_string(w[t.k + 1:], ' ') AS y
+  FROM c JOIN (VALUES (1), (2), (3)) t(k) ON t.k < words),
+cuts AS (SELECT p.lang, p.phrase, a, p.k, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f::HUGEINT + y.f::HUGEINT))::BIGINT AS score
+  FROM parts p JOIN f x ON x.lang = p.lang AND x.phrase = p.x JOIN f y ON y.lang = p.lang AND y.phrase = p.y),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, phrase, max(a) AS most FROM (SELECT lang, a, array_to_string(w[i:i + s - 1], ' ') AS phrase
+  FROM c, (VALUES (2), (3)) t(s), (VALUES (1), (2), (3)) u(i) WHERE s < words AND i + s - 1 <= words) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best JOIN n USING (lang) LEFT JOIN inside USING (lang, phrase)
+WHERE most IS NULL OR 100 * most::HUGEINT < 80 * a::HUGEINT QUALIFY rank <= 2000"""
+
+
+@register("op12_collocations", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of every language."""
+    return collocations.mine(read(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP13_SQL = """WITH t AS (SELECT conv_id, turn, md5(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS dg,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, dg) AS pos FROM t),
+ids AS (SELECT DISTINCT conv_id, xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda a, i: xor(a >> 1, 3988292384::BIGINT * (a & 1))))) % 4 AS h
+  FROM t),
+r AS (SELECT ids.conv_id, 0 AS part, pos, dg, words FROM ids JOIN o ON o.conv_id = ids.conv_id - ids.conv_id % 20 AND pos <= h
+      UNION ALL SELECT ids.conv_id, 1, pos, dg, words FROM ids JOIN o ON o.conv_id = ids.conv_id AND pos > h),
+s AS (SELECT conv_id, words, row_number() OVER w AS depth, string_agg(dg, '') OVER w AS path FROM r
+      WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT conv_id, depth, path, words FROM s UNION ALL SELECT conv_id, 0, '', 0 FROM ids),
+n AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved FROM m GROUP BY ALL),
+parent AS (SELECT n.*, p.conv_id AS parent_conv_id, p.path AS up FROM n LEFT JOIN n p
+           ON p.depth = n.depth - 1 AND p.path = substr(n.path, 1, 32 * (n.depth - 1))),
+c AS (SELECT up AS path, count(*) AS n_children FROM parent WHERE depth > 0 GROUP BY up),
+sums AS (SELECT m.path, sum(CASE WHEN c.path IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum(n.saved)::BIGINT AS saved_tokens
+  FROM n LEFT JOIN c USING (path) JOIN m ON m.conv_id = n.conv_id AND m.depth <= n.depth GROUP BY m.path),
+ends AS (SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS e
+  FROM (SELECT conv_id, arg_max(path, depth) AS path FROM m GROUP BY conv_id) GROUP BY path)
+SELECT conv_id, depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens,
+       sha256(coalesce(e, '')) AS ends_sha256
+FROM parent LEFT JOIN c USING (path) JOIN sums USING (path) LEFT JOIN ends USING (path)"""
+
+
+@register("op13_prefix_trie", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per node of the trie of the rebuilt conversations."""
+    return prefix_trie.trie(prefix_trie.rebuilt(read(spark, sf_dir, "conversations")))
