@@ -26,26 +26,26 @@ from .registry import oracle_for, register
 WAVES = 4
 
 
-def waves_of(df: DataFrame, wave: Column, name: str) -> DataFrame:
-    """A file stream over ``df``, delivered in at least ``WAVES`` micro-batches: the rows of each
-    wave (0 to WAVES - 1) are written after one another, and a batch takes a share of the files."""
+def waves_of(df: DataFrame, wave: Column, name: str, waves: int = WAVES) -> DataFrame:
+    """A file stream over ``df``, delivered in at least ``waves`` micro-batches: the rows of each
+    wave (0 to waves - 1) are written after one another, and a batch takes a share of the files."""
     spark = df.sparkSession
     path = scratch_path(spark, f"waves-{name}-{uuid.uuid4().hex[:12]}")
-    for k in range(WAVES):
+    for k in range(waves):
         df.where(wave == k).write.mode("append").parquet(path)
     files = len(spark.read.parquet(path).inputFiles())
-    return (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, files // WAVES)).parquet(path))
+    return (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, files // waves)).parquet(path))
 
 
-def event_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events in the order of their times, in four equal spans of time; every 17th event comes
-    one wave late."""
+def event_waves(spark: SparkSession, sf_dir: str, waves: int = WAVES) -> DataFrame:
+    """The events in the order of their times, in equal spans of time; every 17th event comes one wave
+    late."""
     e = fx.table(spark, sf_dir, "events")
     lo, hi = (e.select(f(F.unix_micros(F.col("ts").cast("timestamp")))).scalar() for f in (F.min, F.max))
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    span = F.floor((at - lo) * WAVES / (hi - lo + 1)).cast("int")
-    wave = F.least(F.lit(WAVES - 1), span + F.when(F.col("event_id") % 17 == 0, 1).otherwise(0))
-    return waves_of(e, wave, "events")
+    span = F.floor((at - lo) * waves / (hi - lo + 1)).cast("int")
+    wave = F.least(F.lit(waves - 1), span + F.when(F.col("event_id") % 17 == 0, 1).otherwise(0))
+    return waves_of(e, wave, "events", waves)
 
 
 def table_waves(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
@@ -101,3 +101,28 @@ def q_stream_stalled_runs(spark, sf):
     q.awaitTermination()
     return sj.read_stalled_runs(spark, sink, limit_s=900)
 
+
+# Chosen here: the alarm's query delivers the events in this many waves and waits for two of them.
+ALARM_WAVES = 8
+_WAIT_MS = f"(SELECT 2 * ((epoch_us(max(ts)) - epoch_us(min(ts))) // {ALARM_WAVES} // 1000 + 1) FROM events)"
+
+
+@register("stream_run_alarm", f"""WITH {fx.STATUS_SQL},
+e AS (SELECT run_id, ts, coalesce(status, runStatus) AS state FROM status_events WHERE coalesce(status, runStatus) IS NOT NULL),
+runs AS (SELECT run_id, min(ts) AS first_ts,
+                min(ts) FILTER (WHERE state IN ('Succeeded', 'Failed', 'Cancelled')) AS closed FROM e GROUP BY run_id)
+SELECT run_id, first_ts, first_ts + INTERVAL 900 SECOND AS due_ts FROM runs
+WHERE (closed IS NULL OR closed > first_ts + INTERVAL 900 SECOND)
+  AND epoch_us(first_ts) // 1000 + 900000 < (SELECT epoch_us(max(ts)) // 1000 FROM e) - {_WAIT_MS}""")
+def q_stream_run_alarm(spark, sf):
+    """Alarms that come out of the stream while it runs: the events arrive in eight waves, some a wave
+    late, and the watermark waits for two waves."""
+    e = fx.table(spark, sf, "events")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    ends = e.agg(F.min(us).alias("lo"), F.max(us).alias("hi")).first()  # two numbers
+    wait = ((ends["hi"] or 0) - (ends["lo"] or 0)) // ALARM_WAVES // 1000
+    sink, ckpt = sj.run_folder(spark, "run-alarm")
+    q = sj.stream_run_alarm(fx.status_events_from(event_waves(spark, sf, ALARM_WAVES)), sink, ckpt,
+                            delay=f"{2 * (wait + 1)} milliseconds")
+    q.awaitTermination()
+    return sj.read_run_alarm(spark, sink)

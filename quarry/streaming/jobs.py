@@ -115,3 +115,72 @@ def read_stalled_runs(spark: SparkSession, sink: str, limit_s: int = STALL_LIMIT
     now = F.timestamp_add("SECOND", F.lit(-delay_s), runs.select(F.max("last_ts")).scalar())
     due = F.timestamp_add("SECOND", F.lit(limit_s), F.col("first_ts")) < now
     return runs.where(~F.col("terminal") & due).drop("terminal")
+
+
+# --------------------------------------------------------------- stalled-run alarm
+def _alarm(limit_ms: int, keep_ms: int | None):
+    """The state function of :func:`stalled_run_alarm`: (first event, first closing, judged) in
+    microseconds, and one event-time timer a run."""
+    import pandas as pd
+
+    def due(first: int) -> int:
+        return first // 1000 + limit_ms
+
+    def judge(key, parts, state):
+        first, closed, judged = state.get if state.exists else (None, None, False)
+        if state.hasTimedOut:
+            if judged:
+                state.remove()  # silent for ``keep``
+                return
+            late = closed is None or closed > first + limit_ms * 1000
+            state.update((first, closed, True))
+            if keep_ms is not None:
+                state.setTimeoutTimestamp(max(due(first) + keep_ms, state.getCurrentWatermarkMs() + 1))
+            if late:
+                yield pd.DataFrame({"run_id": [key[0]], "first_us": [first]})
+            return
+        for part in parts:
+            first = int(min(part["us"].min(), first if first is not None else part["us"].min()))
+            ends = part.loc[part["terminal"], "us"]
+            if len(ends):
+                closed = int(min(ends.min(), closed if closed is not None else ends.min()))
+        state.update((first, closed, judged))
+        if not judged:
+            state.setTimeoutTimestamp(max(due(first), state.getCurrentWatermarkMs() + 1))
+        elif keep_ms is not None:
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + keep_ms + 1)
+    return judge
+
+
+def stalled_run_alarm(events: DataFrame, delay: str, limit_s: int = STALL_LIMIT_S, keep_s: int | None = None) -> DataFrame:
+    """(run_id, first_ts, due_ts) of every run without a terminal state ``limit_s`` seconds after its first
+    event, as a stream: a run's row comes out by itself, once, when the watermark (largest event time minus
+    ``delay``) passes its due time.
+
+    An event-time timer a run; its state is two times and a flag, whatever the number of its events, so
+    events may come in any order within ``delay``: an earlier first event moves the due time, a late
+    closing at or before it takes the alarm back.  A judged run is remembered (later events of it raise no
+    second alarm) for ``keep_s`` seconds of event time without events, by default for good.  Events without
+    a time, run or state are ignored."""
+    st = status_of(F.col("status"), F.col("runStatus"))
+    ev = (events.where(st.isNotNull() & F.col("ts").isNotNull() & F.col("run_id").isNotNull())
+          .select("run_id", F.col("ts").cast("timestamp").alias("at"), st.isin(TERMINAL_STATES).alias("terminal"))
+          .withWatermark("at", delay).select("run_id", "at", "terminal", F.unix_micros("at").alias("us")))
+    kind = dict(events.dtypes)["run_id"]
+    fired = ev.groupBy("run_id").applyInPandasWithState(
+        _alarm(limit_s * 1000, None if keep_s is None else keep_s * 1000), f"run_id {kind}, first_us long",
+        "first long, closed long, judged boolean", "append", "EventTimeTimeout")
+    ts = dict(events.dtypes)["ts"]
+    first = F.timestamp_micros("first_us")
+    return fired.select("run_id", first.cast(ts).alias("first_ts"),
+                        F.timestamp_add("SECOND", F.lit(limit_s), first).cast(ts).alias("due_ts"))
+
+
+def stream_run_alarm(events: DataFrame, sink: str, checkpoint: str, delay: str, limit_s: int = STALL_LIMIT_S,
+                     keep_s: int | None = None, trigger: str | None = None):
+    """Append the alarms of :func:`stalled_run_alarm` to ``sink``, a folder a micro-batch."""
+    return _append_batches(stalled_run_alarm(events, delay, limit_s, keep_s), sink, checkpoint, trigger)
+
+
+def read_run_alarm(spark: SparkSession, sink: str) -> DataFrame:
+    return spark.read.parquet(sink).drop("batch_id")
