@@ -11,10 +11,13 @@ exact comparison of the bash variants).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formats import DATASOURCE_KIND, OWN_DATASOURCE_PREFIX
+from ..session import scratch_path
 
 
 def _fold(c: Column, case_sensitive: bool) -> Column:
@@ -125,6 +128,44 @@ def dependents_of(refs: DataFrame, targets: DataFrame, ref_col: str = "dataSourc
     return refs.join(t, F.col(ref_col) == F.col("_t"), "left_semi")
 
 
+def dependent_closure(refs: DataFrame, targets: DataFrame, ref_col: str = "uses", name_col: str = "name",
+                      target_col: str = "name", max_depth: int = 64) -> DataFrame:
+    """Everything that depends on a target through any number of references: (target, name, depth, path),
+    ``depth`` the fewest references and ``path`` the first of the shortest paths (element by element).
+
+    ``refs`` has a row (name, uses) for each reference.  A breadth-first frontier: each round joins the
+    names found last with the references to them, keeps one path per (target, name) combined map-side and
+    drops what was found before, so cycles end and each name is expanded once a target.  Rounds are
+    written, so no plan grows; a round's row count is all the driver sees.  A target is not its own
+    dependant; null names and references are ignored."""
+    spark = refs.sparkSession
+    edges = (refs.select(F.col(ref_col).alias("_from"), F.col(name_col).alias("_to"))
+             .where(F.col("_from").isNotNull() & F.col("_to").isNotNull()).distinct())
+    root = scratch_path(spark, f"closure-{uuid.uuid4().hex[:12]}")
+    edges.write.parquet(f"{root}/edges")
+    edges = spark.read.schema(edges.schema).parquet(f"{root}/edges")
+    start = targets.where(F.col(target_col).isNotNull()).select(
+        F.col(target_col).alias("target"), F.col(target_col).alias("name"), F.array(F.col(target_col)).alias("path"),
+        F.lit(0).alias("depth")).distinct()
+    start.write.parquet(f"{root}/found/round=0")
+    for depth in range(1, max_depth + 1):
+        # each read lists only the rounds written so far
+        found = spark.read.schema(start.schema).parquet(*[f"{root}/found/round={d}" for d in range(depth)])
+        last = spark.read.schema(start.schema).parquet(f"{root}/found/round={depth - 1}")
+        step = (last.join(edges, F.col("name") == F.col("_from"))
+                .select("target", F.col("_to").alias("name"), F.array_append("path", F.col("_to")).alias("path"))
+                .groupBy("target", "name").agg(F.min("path").alias("path"))
+                .join(found.select("target", "name"), ["target", "name"], "left_anti")
+                .select("target", "name", "path", F.lit(depth).alias("depth")))
+        step.write.parquet(f"{root}/found/round={depth}")
+        if spark.read.schema(start.schema).parquet(f"{root}/found/round={depth}").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"references are deeper than {max_depth}")
+    done = spark.read.schema(start.schema).parquet(*[f"{root}/found/round={d}" for d in range(depth)])
+    return done.where("depth > 0").select("target", "name", "depth", F.array_join("path", " > ").alias("path"))
+
+
 def scope_filter(assets: DataFrame, scope: DataFrame, workspaces: DataFrame,
                  asset_ws_col: str = "workspace_id", personal_type: str = "Personal") -> DataFrame:
     """Assets of the scoped workspaces, personal workspaces excluded."""

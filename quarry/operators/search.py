@@ -10,10 +10,13 @@ Single query (``bm25_search``, ``filtered_search``, ``match_count``):
 Many queries (``retrieve_batch``):
 
   documents ─ tokenize ─ drop tokens of no query in the map task ─ shuffle the
-  matching ones by id ─ tf ─ written once ─ df and weight per posting ─ shuffle by
-  id ─ Σ over fields per (term, doc) ─ ⋈ (query, term) ─ Σ per (query, doc) ─
-  partial WindowGroupLimit ─ shuffle by query ─ top k.
-  The queries × documents fan-out never crosses the network.
+  matching ones by id ─ tf ─ written once ─ df and weight per posting ─ top k per
+  query by block bounds (``pruned_top_k``):
+  floor    the documents of each query's rarest terms, the best of them scored
+           whole: the k-th best score is a floor
+  bounds   Σ over the query's terms of the largest weight in a range of documents;
+           ranges whose bound is below the floor are dropped
+  scores   only the documents of the ranges that are left, then top k.
 
 Persisted index (``write_search_index``, ``search_index``, ``retrieve_index``):
 postings partitioned by field and clustered by term; searches read only their
@@ -110,9 +113,9 @@ def score_hits(docs: DataFrame, terms: list[str], fields=SEARCHABLE, keep: Colum
 
 
 def _weighted(postings: DataFrame, dfreq: DataFrame, stats: DataFrame) -> DataFrame:
-    """(term, id, w): the BM25 weight of every posting."""
+    """(field, term, id, w): the BM25 weight of every posting."""
     return (postings.join(dfreq, ["field", "term"]).join(stats, "field")
-            .select("term", "id", _bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"),
+            .select("field", "term", "id", _bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"),
                                         F.col("avg_dl")).alias("w")))
 
 
@@ -125,22 +128,25 @@ def _fan_out(weights: DataFrame, qterms: DataFrame) -> DataFrame:
             .agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score")))
 
 
-def batch_hits(docs: DataFrame, queries: DataFrame, fields=SEARCHABLE, keep: Column | None = None) -> DataFrame:
-    """(query_id, id, score) for every document sharing a term with a query of a batch.
+def batch_weights(docs: DataFrame, qterms: DataFrame, fields=SEARCHABLE, keep: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(weights, field statistics): (field, term, id, w) of every posting of a batch's terms, written once.
 
     Documents are tokenized once; tokens of no query are dropped in the map
-    task, and the matching postings are written once: document frequencies and
-    scores read that copy.  The batch's terms carry no hint, so a batch within
-    the session's broadcast threshold is broadcast and a larger one shuffled."""
-    fields, spark = list(fields), docs.sparkSession
-    qterms = query_terms(queries)
-    path = scratch_path(spark, f"batch-postings-{uuid.uuid4().hex[:12]}")
-    mp = _postings_of(_field_tokens(docs, fields, keep), qterms.select("term").distinct())
-    mp.write.parquet(path)
-    mp = spark.read.schema(mp.schema).parquet(path)
+    task, and the matching postings are written: document frequencies read
+    that copy.  The batch's terms carry no hint, so a batch within the
+    session's broadcast threshold is broadcast and a larger one shuffled."""
+    fields = list(fields)
+    mp = _materialised(_postings_of(_field_tokens(docs, fields, keep), qterms.select("term").distinct()), "batch-postings")
     dfreq = mp.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    stats = F.broadcast(field_stats(docs, fields))               # one row per field
-    return _fan_out(_weighted(mp.where(F.col("_keep")), dfreq, stats), qterms)
+    stats = _materialised(field_stats(docs, fields), "batch-stats")
+    return _materialised(_weighted(mp.where(F.col("_keep")), dfreq, F.broadcast(stats)), "batch-weights"), stats  # one row per field
+
+
+def batch_hits(docs: DataFrame, queries: DataFrame, fields=SEARCHABLE, keep: Column | None = None) -> DataFrame:
+    """(query_id, id, score) for every document sharing a term with a query of a batch: queries times
+    documents, for those who want all of them."""
+    qterms = query_terms(queries)
+    return _fan_out(batch_weights(docs, qterms, fields, keep)[0], qterms)
 
 
 def top_k_per_query(hits: DataFrame, k: int = 5, group: str = "query_id",
@@ -186,13 +192,88 @@ def match_all(docs: DataFrame, k: int = 3) -> DataFrame:
     return first.select("rank", "id", "file_name", total.alias("total"))
 
 
+# Chosen here: documents of a range, documents of the rarest terms that give a floor, and how far a sum of
+# weights may fall below the same sum rounded.
+BLOCK_DOCS = 16
+SEED_DOCS = 64
+ROUNDING = 2e-6
+
+
+def block_of(id_col: Column, n_docs: int) -> Column:
+    """The range of a document: ``BLOCK_DOCS`` documents on average, by hash."""
+    return F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-n_docs // BLOCK_DOCS))))
+
+
+def block_bounds(weights: DataFrame, n_docs: int) -> DataFrame:
+    """(term, block, bound): an upper bound of the weight of a term in any document of a range."""
+    return weights.groupBy("term", block_of(F.col("id"), n_docs).alias("block"), "field").agg(F.max("w").alias("w")) \
+        .groupBy("term", "block").agg(F.sum("w").alias("bound"))
+
+
+def _materialised(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def score_floors(weights: DataFrame, qterms: DataFrame, k: int) -> DataFrame:
+    """(query_id, floor): the k-th best score among the documents of each query's rarest terms, in whole
+    scores; no row for a query whose rarest terms have fewer than k documents."""
+    df = weights.groupBy("term").agg(F.count_distinct("id").alias("df"))
+    before = F.sum("df").over(Window.partitionBy("query_id").orderBy("df", "term")
+                              .rowsBetween(Window.unboundedPreceding, -1))  # a query's own terms
+    rare = (qterms.join(df, "term").withColumn("before", F.coalesce(before, F.lit(0)))
+            .where(F.col("before") < SEED_DOCS).select("query_id", "term"))
+    partial = weights.join(rare, "term").groupBy("query_id", "id").agg(F.sum("w").alias("score"))
+    best = top_k_per_query(partial, 2 * k).select("query_id", "id")
+    whole = (best.join(qterms, "query_id").join(weights, ["id", "term"]).groupBy("query_id", "id")
+             .agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score")))
+    return (top_k_per_query(whole, k).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor"))
+            .where(F.col("n") >= k).select("query_id", "floor"))
+
+
+def open_blocks(bounds: DataFrame, qterms: DataFrame, floors: DataFrame, min_score: float | None = None) -> DataFrame:
+    """(query_id, block) of the ranges that may hold one of a query's best documents.  ``bounds`` are
+    dealt out by range, so that the sums over terms stay inside tasks."""
+    least = F.coalesce(F.col("floor"), F.lit(float("-inf")))
+    if min_score is not None:
+        least = F.greatest(least, F.lit(float(min_score)))
+    summed = (bounds.repartition("block").join(qterms, "term").groupBy("query_id", "block").agg(F.sum("bound").alias("bound")))
+    return (summed.join(floors, "query_id", "left").where(F.col("bound") >= least - F.lit(ROUNDING))
+            .select("query_id", "block"))
+
+
+def pruned_hits(weights: DataFrame, bounds: DataFrame, qterms: DataFrame, n_docs: int, k: int,
+                min_score: float | None = None) -> DataFrame:
+    """(query_id, id, score) of every document of a range that may hold one of a query's k best: all of
+    these are among the rows, with their whole scores."""
+    floors = score_floors(weights, qterms, k)
+    blocks = _materialised(open_blocks(bounds, qterms, floors, min_score), "open-blocks")
+    wanted = blocks.join(qterms, "query_id")
+    hits = (weights.withColumn("block", block_of(F.col("id"), n_docs)).join(wanted, ["block", "term"])
+            .groupBy("query_id", "id").agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score")))
+    return hits if min_score is None else hits.where(F.col("score") >= F.lit(min_score))
+
+
+def _docs_of(stats: DataFrame) -> int:
+    """Documents of the index, from the field statistics (one number)."""
+    return stats.agg(F.max("n_docs")).first()[0] or 0
+
+
+def retrieve_hits(queries: DataFrame, docs: DataFrame, k: int = 5, min_score: float | None = None, fields=SEARCHABLE,
+                  where: Column | None = None) -> DataFrame:
+    """(query_id, id, score): the documents that :func:`retrieve_batch` scores whole."""
+    qterms = query_terms(queries)
+    weights, stats = batch_weights(docs, qterms, fields, where)
+    n_docs = _docs_of(stats)
+    return pruned_hits(weights, block_bounds(weights, n_docs), qterms, n_docs, k, min_score)
+
+
 def retrieve_batch(queries: DataFrame, docs: DataFrame, k: int = 5, min_score: float | None = None,
                    fields=SEARCHABLE, where: Column | None = None) -> DataFrame:
     """Many questions at once: top-k passages per question, optional score
     floor.  (query_id, rank, id, score)."""
-    hits = batch_hits(docs, queries, fields, keep=where)
-    if min_score is not None:
-        hits = hits.where(F.col("score") >= F.lit(min_score))
+    hits = retrieve_hits(queries, docs, k, min_score, fields, where)
     return top_k_per_query(hits, k).select("query_id", "rank", "id", "score")
 
 
@@ -218,6 +299,34 @@ def facets(docs: DataFrame, fields=None, top: int = 10) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
+# Chosen here: values that a sketch tracks per field.  Its map then has 4,096 places, and no value it lost
+# occurs more than 3.5 / 4,096 of the time.
+TRACKED = 3072
+TRACKED_ERROR = 3.5 / 4096
+
+
+def heavy_facets(docs: DataFrame, fields=None, top: int = 10) -> DataFrame:
+    """Top values of fields that may have a value per document, without a shuffle by value:
+    (field, value, count, rank) of the values whose counts are above the error bound of a frequent-items
+    sketch, which are exactly the most frequent ones.  A value too rare to be told from the others is not
+    listed, missing values are not counted; ``content`` counts by its SHA-256.
+
+    One sketch per field and task finds the candidates (at most ``TRACKED`` a field), a second pass counts
+    only these, combined in the map tasks."""
+    fields = fields or FACETABLE
+    args = ", ".join(f"'{f}', " + ("sha2(`content`, 256)" if f == "content" else f"CAST(`{f}` AS STRING)")
+                     for f in fields)
+    kv = docs.select(F.expr(f"stack({len(fields)}, {args}) AS (field, value)")).where(F.col("value").isNotNull())
+    sketches = kv.groupBy("field").agg(F.expr(f"approx_top_k_accumulate(value, {TRACKED})").alias("s"), F.count(F.lit(1)).alias("n"))
+    found = _materialised(sketches.select("field", "n", F.explode(F.expr(f"approx_top_k_estimate(s, {TRACKED})")).alias("t"))
+                          .select("field", F.col("t.item").alias("value"), "n"), "facet-candidates")
+    counts = kv.join(F.broadcast(found), ["field", "value"]).groupBy("field", "value").agg(   # ≤ TRACKED rows per field
+        F.count(F.lit(1)).alias("count"), F.first("n").alias("n"))
+    w = Window.partitionBy("field").orderBy(F.col("count").desc(), F.col("value"))
+    return (counts.where(F.col("count") > F.lit(TRACKED_ERROR) * F.col("n")).withColumn("rank", F.row_number().over(w))
+            .where(F.col("rank") <= top).select("field", "value", "count", "rank"))
+
+
 # Fields the search-configuration check requires.
 REQUIRED_FIELDS = ["content", "title", "file_name", "file_path"]
 
@@ -259,13 +368,16 @@ def sort_by_field(docs: DataFrame, field: str) -> DataFrame:
 
 
 # ------------------------------------------------------------ persisted index
-def write_search_index(docs: DataFrame, root: str, fields=SEARCHABLE, partitions: int | None = None) -> None:
+def write_search_index(docs: DataFrame, root: str, fields=SEARCHABLE, partitions: int | None = None,
+                       numbers: DataFrame | None = None) -> None:
     """Build once: postings partitioned by field and range-clustered by term
     and document, the documents and occurrences of every term, and the
     per-field statistics.  Everything after the postings is counted from the
-    written copy, so the tokenizer runs once."""
+    written copy, so the tokenizer runs once.  ``numbers`` (id, ord) adds the
+    documents' numbers to the postings."""
     fields, spark = list(fields), docs.sparkSession
-    write_postings(build_postings(docs, fields), f"{root}/postings", partitions)
+    postings = build_postings(docs, fields)
+    write_postings(postings if numbers is None else postings.join(numbers, "id"), f"{root}/postings", partitions)
     term_counts(spark.read.parquet(f"{root}/postings")).sortWithinPartitions("field", "term") \
         .write.mode("overwrite").parquet(f"{root}/terms")
     field_stats_from_terms(spark.read.parquet(f"{root}/terms"), docs, fields).write.mode("overwrite") \
@@ -283,7 +395,13 @@ def search_index(spark: SparkSession, root: str, query: str, k: int = 5, fields=
     dfreq = spark.read.parquet(f"{root}/terms").where(F.col("term").isin(terms)).select("field", "term", "df")
     stats = spark.read.parquet(f"{root}/stats")
     hits = post if where_ids is None else post.join(where_ids.select("id"), "id", "left_semi")
-    contrib = (hits.join(F.broadcast(dfreq), ["field", "term"])     # ≤ terms × fields rows
+    return rank_postings(hits, dfreq, stats, k)
+
+
+def rank_postings(post: DataFrame, dfreq: DataFrame, stats: DataFrame, k: int) -> DataFrame:
+    """(rank, id, score): the best documents of one query's postings (field, term, id, dl, tf), given the
+    document frequencies of its terms and the field statistics."""
+    contrib = (post.join(F.broadcast(dfreq), ["field", "term"])     # ≤ terms × fields rows
                .join(F.broadcast(stats), "field")                    # one row per field
                .select("id", _bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"),
                                    F.col("avg_dl")).alias("w")))
@@ -291,19 +409,34 @@ def search_index(spark: SparkSession, root: str, query: str, k: int = 5, fields=
     return top_k(scored, k, [F.col("score").desc(), F.col("id").asc()]).select("rank", "id", "score")
 
 
-def retrieve_index(spark: SparkSession, root: str, queries: DataFrame, k: int = 5,
-                   min_score: float | None = None, fields=SEARCHABLE) -> DataFrame:
-    """Batch retrieval against a persisted index: the stored postings of the
-    batch's terms, weighted by the stored document frequencies, move once by
-    document and are fanned out to the queries inside tasks.  Same results as
-    :func:`retrieve_batch`."""
+def write_block_bounds(spark: SparkSession, root: str) -> None:
+    """Add to a written index the largest weight of every term in every range of documents, for
+    :func:`retrieve_index`; clustered by term like the postings."""
+    stats = spark.read.parquet(f"{root}/stats")
+    terms = spark.read.parquet(f"{root}/terms").select("field", "term", "df")
+    weights = _weighted(spark.read.parquet(f"{root}/postings"), terms, F.broadcast(stats))  # one row per field
+    bounds = block_bounds(weights, _docs_of(stats))
+    bounds.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{root}/bounds")
+
+
+def index_hits(spark: SparkSession, root: str, queries: DataFrame, k: int = 5, min_score: float | None = None,
+               fields=SEARCHABLE) -> DataFrame:
+    """(query_id, id, score): the documents that :func:`retrieve_index` scores whole."""
     qterms = query_terms(queries)
     terms = qterms.select("term").distinct()
     post = (spark.read.parquet(f"{root}/postings").where(F.col("field").isin(list(fields)))
             .join(terms, "term", "left_semi"))
     dfreq = spark.read.parquet(f"{root}/terms").join(terms, "term", "left_semi").select("field", "term", "df")
-    stats = F.broadcast(spark.read.parquet(f"{root}/stats"))     # one row per field
-    hits = _fan_out(_weighted(post, dfreq, stats), qterms)
-    if min_score is not None:
-        hits = hits.where(F.col("score") >= F.lit(min_score))
+    stats = spark.read.parquet(f"{root}/stats")
+    weights = _materialised(_weighted(post, dfreq, F.broadcast(stats)), "batch-weights")  # one row per field
+    bounds = spark.read.parquet(f"{root}/bounds").join(terms, "term", "left_semi")
+    return pruned_hits(weights, bounds, qterms, _docs_of(stats), k, min_score)
+
+
+def retrieve_index(spark: SparkSession, root: str, queries: DataFrame, k: int = 5,
+                   min_score: float | None = None, fields=SEARCHABLE) -> DataFrame:
+    """Batch retrieval against a persisted index with block bounds: the stored postings of the batch's
+    terms, weighted by the stored document frequencies, in the ranges that the stored bounds leave
+    open.  Same results as :func:`retrieve_batch`."""
+    hits = index_hits(spark, root, queries, k, min_score, fields)
     return top_k_per_query(hits, k).select("query_id", "rank", "id", "score")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.formats import DATASOURCE_KIND, OWN_DATASOURCE_PREFIX
 from ..operators import governance as gv
 from ..operators import lookups as lk
+from ..operators import profiles as pf
 from ..operators import reconcile as rc
 from . import fixtures as fx
 from .registry import register
@@ -129,6 +130,24 @@ def q_dependents_of(spark, sf):
     return lk.dependents_of(fx.indexers(spark, sf), targets)
 
 
+def _closure_sql(levels: int = 16) -> str:
+    """Breadth-first levels written out; more than the references of the tables need."""
+    ctes = ["l0 AS (SELECT DISTINCT s_name AS target, s_name AS name, [s_name] AS path FROM supplier WHERE s_suppkey % 5 = 0)"]
+    for k in range(1, levels + 1):
+        seen = " UNION ALL ".join(f"SELECT target, name FROM l{j}" for j in range(k))
+        ctes.append(f"l{k} AS MATERIALIZED (SELECT target, e.name, min(list_append(path, e.name)) AS path FROM l{k - 1} p JOIN edges e "
+                    f"ON e.uses = p.name WHERE (target, e.name) NOT IN ({seen}) GROUP BY target, e.name)")
+    rows = " UNION ALL ".join(f"SELECT target, name, {k} AS depth, array_to_string(path, ' > ') AS path FROM l{k}" for k in range(1, levels + 1))
+    return f"WITH {fx.REFERENCES_SQL}, edges AS (SELECT DISTINCT name, uses FROM refs), {', '.join(ctes)} {rows}"
+
+
+@register("dependent_closure", _closure_sql())
+def q_dependent_closure(spark, sf):
+    """All that a replaced data source reaches: indexers, indexes, agents, and round again."""
+    targets = fx.table(spark, sf, "supplier").where(F.col("s_suppkey") % 5 == 0).select(F.col("s_name").alias("name"))
+    return lk.dependent_closure(fx.references(spark, sf), targets)
+
+
 @register("scope_filter", f"""WITH {fx.WORKSPACES_SQL}, {fx.SCOPE_SQL}
 SELECT o_orderkey AS asset_id, o_custkey AS workspace_id, o_orderstatus AS status FROM orders
 WHERE o_custkey IN (SELECT id FROM workspaces WHERE coalesce(type <> 'Personal', TRUE)
@@ -282,6 +301,44 @@ def q_catalog_profile(spark, sf):
     return gv.catalog_scan(**_profile_inputs(spark, sf), approx=False)
 
 
+# Chosen here: partition of each profiled table, and the partitions of the merged scope.
+STATE_PARTS = {"orders": ("o_orderpriority", ("1-URGENT", "3-MEDIUM", "5-LOW")), "customer": ("c_mktsegment", ("BUILDING", "MACHINERY")),
+               "events": ("event_type", ("click", "view", "error"))}
+
+
+def _states_sql() -> str:
+    parts = []
+    for t, (part, scope) in STATE_PARTS.items():
+        src = f"(SELECT * FROM {t} WHERE {part} IN ({', '.join(repr(v) for v in scope)}))"
+        for c, typ in PROFILE_SCHEMAS[t]:
+            num = typ in ("int", "bigint", "double")
+            plain = num or typ.startswith("array")
+            lo, hi = (f"CAST({f}({c}) AS DOUBLE)" if num else "CAST(NULL AS DOUBLE)" for f in ("min", "max"))
+            ls, hs = ("CAST(NULL AS VARCHAR)" if plain else f"CAST({f}({c}) AS VARCHAR)" for f in ("min", "max"))
+            parts.append(f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", '{typ}' AS type, count(*) AS \"rows\", "
+                         f"CAST(count_if({c} IS NULL) AS BIGINT) AS nulls, {lo} AS min_num, {hi} AS max_num, {ls} AS min_str, "
+                         f"{hs} AS max_str, TRUE AS distinct_ok, {'TRUE' if num else 'CAST(NULL AS BOOLEAN)'} AS quartiles_ok FROM {src} AS s")
+    return " UNION ALL ".join(parts)
+
+
+@register("catalog_states", _states_sql())
+def q_catalog_states(spark, sf):
+    """Profiles stored per partition, merged for a scope of partitions, their estimates held against the
+    exact figures of the scope."""
+    import uuid
+    from ..session import scratch_path
+    root = scratch_path(spark, f"profile-states-{uuid.uuid4().hex[:12]}")
+    tables, chosen, scoped = {}, F.lit(False), {}
+    for t, (part, scope) in STATE_PARTS.items():
+        tables[t] = fx.table(spark, sf, t)
+        pf.write_states(pf.profile_states(tables[t], t, F.col(part)), root)
+        chosen = chosen | ((F.col("table") == t) & F.col("part").isin(list(scope)))
+        scoped[t] = tables[t].where(F.col(part).isin(list(scope)))
+    merged = pf.merge_states(pf.read_states(spark, root).where(chosen))
+    return pf.with_accuracy(merged, scoped).select("table", "column", "type", "rows", "nulls", "min_num", "max_num", "min_str",
+                                                   "max_str", "distinct_ok", "quartiles_ok")
+
+
 # ------------------------------------------------------------ config layers
 @register("resolve_config", f"""WITH {fx.CONFIG_SQL},
 u AS (SELECT *, CASE WHEN nullif(nullif(value, ''), 'null') IS NOT NULL

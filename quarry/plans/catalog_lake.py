@@ -139,6 +139,14 @@ def q_scan_listing(spark, sf):
     return sf_files.scan_listing(spark, path, wholetext=False)
 
 
+@register("scan_variants", f"""WITH {fx.MIXED_LISTINGS_SQL} SELECT page, position, id, name, broken FROM listed""")
+def q_scan_variants(spark, sf):
+    """Listings of five shapes, some cut short: parsed once, stored, read by path."""
+    path = _scratch(spark, "variants")
+    sf_files.parse_variants(fx.mixed_listings(spark, sf)).write.parquet(path)
+    return sf_files.variant_items(spark.read.parquet(path), keep_cols=["page"])
+
+
 # the first supplier stands for the default layer
 LAKEHOUSE_DEFAULT = "bronze"
 EXPORT_SQL = f"""lakehouses AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey = 1 THEN '{LAKEHOUSE_DEFAULT}' ELSE s_name END AS name

@@ -6,7 +6,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import bitmaps as bm
 from ..operators import index as ix
+from ..operators import paging as pg
 from ..operators import search as se
 from . import fixtures as fx
 from .registry import register
@@ -34,8 +36,8 @@ BM25_W_SQL = ("ln(1.0::DOUBLE + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)
               " / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avg_dl))")
 
 
-def _search_sql(query: str, k: int, keep_sql: str = "TRUE") -> str:
-    return f"""WITH {fx.DOCS_SQL}, {FIELDS_SQL}, {TOK_SQL}, {_qterms_sql(query)},
+def search_sql(query: str, k: int, keep_sql: str = "TRUE", docs_sql: str = fx.DOCS_SQL) -> str:
+    return f"""WITH {docs_sql}, {FIELDS_SQL}, {TOK_SQL}, {_qterms_sql(query)},
 mp AS (SELECT o.field, o.term, o.id, o.dl, count(*) AS tf FROM occ o
        WHERE o.term IN (SELECT term FROM qterms) GROUP BY ALL),
 dfreq AS (SELECT field, term, count(*) AS df FROM mp GROUP BY ALL),
@@ -48,7 +50,7 @@ FROM hits QUALIFY rank <= {k}"""
 
 
 # ---------------------------------------------------------------- queries
-@register("bm25_search", _search_sql(SEARCH_QUERY, 5))
+@register("bm25_search", search_sql(SEARCH_QUERY, 5))
 def q_bm25_search(spark, sf):
     return se.bm25_search(fx.docs(spark, sf), SEARCH_QUERY, k=5)
 
@@ -57,7 +59,7 @@ _FILTER_SQL = ("(lower(file_name) LIKE '%.pdf' OR lower(file_name) LIKE '%.docx'
                "AND last_modified >= TIMESTAMP '2024-01-01 02:00:00'")
 
 
-@register("search_index", _search_sql(SEARCH_QUERY, 5))
+@register("search_index", search_sql(SEARCH_QUERY, 5))
 def q_search_index(spark, sf):
     """Build the index once into the shared folder, then search it: the
     search reads only the postings of the query terms."""
@@ -68,13 +70,48 @@ def q_search_index(spark, sf):
     return se.search_index(spark, root, SEARCH_QUERY, k=5)
 
 
-@register("filtered_search", _search_sql(SEARCH_QUERY, 10, _FILTER_SQL))
+@register("filtered_search", search_sql(SEARCH_QUERY, 10, _FILTER_SQL))
 def q_filtered_search(spark, sf):
     where = ((F.lower("file_name").like("%.pdf") | F.lower("file_name").like("%.docx"))
              & (F.col("last_modified") >= F.lit("2024-01-01 02:00:00").cast("timestamp_ntz")))
     return se.filtered_search(fx.docs(spark, sf), SEARCH_QUERY, where, k=10)
 
 
+# and, or, not over three fields: extension, folder, hour
+_CONDITION_SQL = ("((lower(file_name) LIKE '%.pdf' OR lower(file_name) LIKE '%.docx') AND last_modified >= TIMESTAMP '2024-01-01 02:00:00'"
+                  " OR split_part(file_path, '/', 3) = 'reports') AND NOT (split_part(file_path, '/', 3) = 'manuals'"
+                  " OR lower(file_name) LIKE '%.png' AND last_modified < TIMESTAMP '2024-01-01 09:00:00')")
+
+
+def filtered_index(spark, sf) -> str:
+    import uuid
+    from ..session import scratch_path
+    root = scratch_path(spark, f"filtered-index-{uuid.uuid4().hex[:12]}")
+    bm.write_filtered_index(fx.docs(spark, sf), root, {
+        "extension": F.lower(F.substring_index("file_name", ".", -1)), "folder": F.split("file_path", "/")[2],
+        "hour": F.date_format("last_modified", "yyyy-MM-dd HH")})
+    return root
+
+
+def condition():
+    v = F.col("value")
+    office, late = bm.Has("extension", v.isin("pdf", "docx")), bm.Has("hour", v >= "2024-01-01 02")
+    early_picture = bm.Both((bm.Has("extension", v == "png"), bm.Has("hour", v < "2024-01-01 09")))
+    return bm.Both((bm.Either((bm.Both((office, late)), bm.Has("folder", v == "reports"))),
+                    ~bm.Either((bm.Has("folder", v == "manuals"), early_picture))))
+
+
+@register("filtered_search_bitmaps", search_sql(SEARCH_QUERY, 10, _CONDITION_SQL))
+def q_filtered_search_bitmaps(spark, sf):
+    """Filter by bitmaps over document numbers: the search reads bitmaps and the query terms' postings."""
+    return bm.search_matching(spark, filtered_index(spark, sf), SEARCH_QUERY, condition(), k=10)
+
+
+@register("count_matching", f"""WITH {fx.DOCS_SQL} SELECT count(*) AS documents FROM docs WHERE {_CONDITION_SQL}""")
+def q_count_matching(spark, sf):
+    return bm.count_matching(spark, filtered_index(spark, sf), condition())
+
+
 @register("match_count", f"""WITH {fx.DOCS_SQL}, {FIELDS_SQL}, {TOK_SQL}, {_qterms_sql(SEARCH_QUERY)}
 SELECT count(DISTINCT id) AS matches FROM occ WHERE term IN (SELECT term FROM qterms)""")
 def q_match_count(spark, sf):
@@ -111,11 +148,12 @@ def q_retrieve_batch(spark, sf):
 
 @register("retrieve_index", _batch_sql(5, None, "SELECT * FROM ranked"))
 def q_retrieve_index(spark, sf):
-    """Build the index once, then answer the whole batch from its postings."""
+    """Build the index and its block bounds once, then answer the whole batch from its postings."""
     import uuid
     from ..session import scratch_path
     root = scratch_path(spark, f"search-index-{uuid.uuid4().hex[:12]}")
     se.write_search_index(fx.docs(spark, sf), root)
+    se.write_block_bounds(spark, root)
     return se.retrieve_index(spark, root, fx.queries_table(spark, sf), k=5)
 
 
@@ -162,9 +200,13 @@ def q_build_postings(spark, sf):
     return ix.build_postings(fx.docs(spark, sf))
 
 
-@register("corpus_stats", f"""WITH {fx.DOCS_SQL}, {FIELDS_SQL}, {TOK_SQL},
+def corpus_stats_sql(docs_sql: str = fx.DOCS_SQL) -> str:
+    return f"""WITH {docs_sql}, {FIELDS_SQL}, {TOK_SQL},
 dfreq AS (SELECT field, term, count(DISTINCT id) AS df FROM occ GROUP BY ALL)
-SELECT field, term, df, n_docs, round(avg_dl, 6) AS avg_dl FROM dfreq JOIN stats USING (field)""")
+SELECT field, term, df, n_docs, round(avg_dl, 6) AS avg_dl FROM dfreq JOIN stats USING (field)"""
+
+
+@register("corpus_stats", corpus_stats_sql())
 def q_corpus_stats(spark, sf):
     cs = ix.corpus_stats(fx.docs(spark, sf))
     return cs.select("field", "term", "df", "n_docs", F.round("avg_dl", 6).alias("avg_dl"))
@@ -192,6 +234,21 @@ def q_facets(spark, sf):
     return se.facets(fx.docs(spark, sf), _FACET_FIELDS, top=10)
 
 
+def _heavy_sql() -> str:
+    unions = " UNION ALL ".join(f"SELECT '{f}' AS field, {'sha256(content)' if f == 'content' else f'CAST({f} AS VARCHAR)'} AS value FROM docs"
+                                for f in _FACET_FIELDS)
+    return f"""WITH {fx.DOCS_SQL}, kv AS ({unions}),
+n AS (SELECT field, count(value) AS n FROM kv GROUP BY field),
+c AS (SELECT field, value, count(*) AS count FROM kv WHERE value IS NOT NULL GROUP BY ALL)
+SELECT field, value, count, CAST(row_number() OVER (PARTITION BY field ORDER BY count DESC, value) AS INTEGER) AS rank
+FROM c JOIN n USING (field) WHERE count > {se.TRACKED_ERROR}::DOUBLE * n QUALIFY rank <= 10"""
+
+
+@register("facets_heavy", _heavy_sql())
+def q_facets_heavy(spark, sf):
+    return se.heavy_facets(fx.docs(spark, sf), _FACET_FIELDS, top=10)
+
+
 @register("index_coverage", f"""WITH {fx.PAGES_SQL},
 req(field, searchable) AS (VALUES ('content', TRUE), ('title', TRUE), ('file_name', TRUE), ('file_path', FALSE)),
 agg AS (SELECT count(*) AS n,
@@ -218,3 +275,27 @@ SELECT id, file_size, CAST(row_number() OVER (ORDER BY file_size DESC, id) AS IN
 def q_top_k(spark, sf):
     d = fx.docs(spark, sf).select("id", "file_size")
     return se.top_k(d, 200, [F.col("file_size").desc(), F.col("id").asc()])
+
+
+PAGE_SIZE = 200
+
+
+@register("page_after", f"""WITH {fx.DOCS_SQL},
+ranked AS (SELECT id, file_size, row_number() OVER (ORDER BY file_size ASC NULLS FIRST, id) AS r FROM docs)
+SELECT CAST((r - 1) // {PAGE_SIZE} AS INTEGER) AS page, CAST((r - 1) % {PAGE_SIZE} + 1 AS INTEGER) AS position, id, file_size
+FROM ranked WHERE r <= 3 * {PAGE_SIZE}""")
+def q_page_after(spark, sf):
+    """The first three pages by size, each fetched by the last row of the one before."""
+    import uuid
+    from ..session import scratch_path
+    root = scratch_path(spark, f"sorted-{uuid.uuid4().hex[:12]}")
+    pg.write_sorted(fx.docs(spark, sf).select("id", "file_size"), root, "file_size")
+    out, last = None, None
+    for k in range(3):
+        page = pg.page_after(spark, root, "file_size", PAGE_SIZE, last).withColumn("page", F.lit(k))
+        out = page if out is None else out.unionByName(page)
+        end = page.orderBy(F.desc("position")).first()  # one row
+        if end is None:
+            break
+        last = (end["file_size"], end["id"])
+    return out.select("page", "position", "id", "file_size")

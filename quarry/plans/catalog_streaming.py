@@ -16,10 +16,14 @@ from ..functions.formats import TELEMETRY_WORKSPACE_FIELD
 from ..operators import index as ix
 from ..operators import runs as rn
 from ..session import scratch_path
+from ..sources import reports as rp
+from ..sources.sinks import write_index
+from ..streaming import index as si
 from ..streaming import jobs as sj
 from . import fixtures as fx
 from . import catalog_lake  # noqa: F401  (registers upsert_index, whose SQL is reused)
 from .catalog_runs import LATEST_SQL
+from .catalog_search import SEARCH_QUERY, corpus_stats_sql, search_sql
 from .registry import oracle_for, register
 
 
@@ -126,3 +130,70 @@ def q_stream_run_alarm(spark, sf):
                             delay=f"{2 * (wait + 1)} milliseconds")
     q.awaitTermination()
     return sj.read_run_alarm(spark, sink)
+
+
+# ------------------------------------------------------------ an index that follows the stream
+# Every third document comes twice: as it is and, a day newer, revised.  Some revisions come a wave before
+# the document they revise, which must then change nothing.
+REVISION = " (revised report 42)"
+REVISED_SQL = f"""files AS ({fx.DOC_FILES_SQL}),
+old AS ({fx.MAP_FIELDS_SQL}),
+docs AS (SELECT id, CASE WHEN r THEN content || '{REVISION}' ELSE content END AS content, title, file_name, file_path,
+                CASE WHEN r THEN last_modified + INTERVAL 1 DAY ELSE last_modified END AS last_modified, file_size
+         FROM (SELECT *, file_size % 3 = 0 AS r FROM old))"""
+
+
+def revised_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fx.docs(spark, sf_dir).withColumn("_wave", (F.col("file_size") % WAVES).cast("int"))
+    late = docs.where(F.col("file_size") % 3 == 0).select(
+        "id", F.concat(F.col("content"), F.lit(REVISION)).alias("content"), "title", "file_name", "file_path",
+        F.timestamp_add("DAY", F.lit(1), F.col("last_modified")).alias("last_modified"), "file_size",
+        F.when(F.col("_wave") == WAVES - 1, F.col("_wave") - 1).otherwise(F.col("_wave") + 1).alias("_wave"))
+    return waves_of(docs.unionByName(late), F.col("_wave"), "revised").drop("_wave")
+
+
+def _streamed_index(spark: SparkSession, sf_dir: str) -> str:
+    root, ckpt = sj.run_folder(spark, "stream-index")
+    si.stream_index(revised_waves(spark, sf_dir), root, ckpt).awaitTermination()
+    return root
+
+
+@register("stream_index_search", search_sql(SEARCH_QUERY, 10, docs_sql=REVISED_SQL))
+def q_stream_index_search(spark, sf):
+    """Search an index that four waves of documents and revisions have built by signed deltas."""
+    return si.search_deltas(spark, _streamed_index(spark, sf), SEARCH_QUERY, k=10)
+
+
+@register("stream_index_stats", corpus_stats_sql(REVISED_SQL))
+def q_stream_index_stats(spark, sf):
+    """Document frequencies and lengths as sums over the same deltas."""
+    stats = si.delta_corpus_stats(spark, _streamed_index(spark, sf))
+    return stats.select("field", "term", "df", "n_docs", F.round("avg_dl", 6).alias("avg_dl"))
+
+
+# ------------------------------------------------------------ reports of the library's own runs
+_OWN_RUNS_SQL = f"""WITH {fx.DOCS_SQL}, {fx.PAGES_SQL.replace('files AS', 'page_files AS').replace('FROM files', 'FROM page_files')},
+kept AS (SELECT *, lower(file_name) LIKE '%.png' AS bad FROM docs)
+SELECT 'index' AS indexer, 'success' AS last_status, CAST(1 AS BIGINT) AS runs, CAST(count_if(NOT bad) AS BIGINT) AS total_processed,
+       CAST(count_if(bad) AS BIGINT) AS total_failed, CAST(coalesce(sum(file_size) FILTER (NOT bad), 0) AS BIGINT) AS total_bytes FROM kept
+UNION ALL SELECT 'pages', 'success', CAST({WAVES} AS BIGINT), count(*), CAST(0 AS BIGINT), CAST(coalesce(sum(file_size), 0) AS BIGINT) FROM pagedocs"""
+
+
+@register("run_report_own", _OWN_RUNS_SQL)
+def q_run_report_own(spark, sf):
+    """Reports of a batch write that rejects pictures and of a stream of pages, counted while they wrote."""
+    base = scratch_path(spark, f"own-runs-{uuid.uuid4().hex[:12]}")
+    rp.reported(fx.docs(spark, sf), lambda d: write_index(d, f"{base}/index"), "index", f"{base}/runs",
+                rejected=F.lower("file_name").like("%.png"), size=F.col("file_size"))
+    pages = fx.table(spark, sf, "pages")
+    # one file a wave, one batch a file
+    for k in range(WAVES):
+        pages.where(F.col("page_id") % WAVES == k).coalesce(1).write.mode("append").parquet(f"{base}/pages")
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/pages")
+    rp.stream_reported(ix.map_fields(fx.page_files_from(stream)), f"{base}/sink", f"{base}/checkpoint", "pages", f"{base}/runs",
+                       size=F.col("file_size")).awaitTermination()
+    runs = rp.read_runs(spark, f"{base}/runs")
+    total = runs.groupBy("indexer").agg(F.sum("bytes").alias("total_bytes"))
+    report = rn.run_report(runs).select("indexer", "last_status", "runs", "total_processed", "total_failed")
+    return report.join(total, "indexer")
+

@@ -254,6 +254,28 @@ SELECT 'indexer-' || CAST(p_partkey AS VARCHAR) AS name,
 FROM part)"""
 
 
+def references(spark, sf_dir) -> DataFrame:
+    """What uses what: indexers use data sources, indexes indexers, agents indexes, and the indexes of
+    large parts agents again (cycles)."""
+    p = table(spark, sf_dir, "part")
+    indexer = F.concat(F.lit("indexer-"), F.col("p_partkey").cast("string"))
+    index = F.concat(F.lit("index-"), F.lower("p_brand"))
+    agent = F.concat(F.lit("agent-"), F.lower("p_type"))
+    pairs = F.array(
+        F.struct(indexer.alias("name"), F.concat(F.lit("Supplier#"), F.lpad((F.col("p_partkey") % 100 + 1).cast("string"), 9, "0")).alias("uses")),
+        F.struct(index.alias("name"), F.when(F.col("p_partkey") % 40 == 0, indexer).alias("uses")),
+        F.struct(agent.alias("name"), F.when(F.col("p_partkey") % 9 == 0, index).alias("uses")),
+        F.struct(index.alias("name"), F.when(F.col("p_size") == 50, agent).alias("uses")))
+    return p.select(F.inline(pairs)).where("uses is not null")
+
+
+REFERENCES_SQL = """refs AS (
+SELECT 'indexer-' || p_partkey AS name, 'Supplier#' || lpad(CAST(p_partkey % 100 + 1 AS VARCHAR), 9, '0') AS uses FROM part
+UNION ALL SELECT 'index-' || lower(p_brand), 'indexer-' || p_partkey FROM part WHERE p_partkey % 40 = 0
+UNION ALL SELECT 'agent-' || lower(p_type), 'index-' || lower(p_brand) FROM part WHERE p_partkey % 9 = 0
+UNION ALL SELECT 'index-' || lower(p_brand), 'agent-' || lower(p_type) FROM part WHERE p_size = 50)"""
+
+
 def desired_items(spark, sf_dir) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("name"))
@@ -549,3 +571,29 @@ def listing_envelopes(spark, sf_dir) -> DataFrame:
                     F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("displayName"))
     return (li.groupBy(F.col("l_orderkey").alias("page"))
             .agg(F.to_json(F.struct(F.sort_array(F.collect_list(item)).alias("value"))).alias("json")))
+
+
+def mixed_listings(spark, sf_dir) -> DataFrame:
+    """(page, json): listings of the line items of an order, in an envelope that differs from order to order
+    (value, data, items, a bare array, a single object); every 23rd is cut short."""
+    li = table(spark, sf_dir, "lineitem")
+    n, part = F.col("l_linenumber").cast("string"), F.concat(F.lit("part-"), F.col("l_partkey").cast("string"))
+    odd = F.col("l_linenumber") % 2 == 1
+    item = F.struct(F.when(odd, n).alias("id"), F.when(~odd, n).alias("objectId"), F.when(odd, part).alias("displayName"),
+                    F.when(~odd, part).alias("name"))
+    pages = li.groupBy(F.col("l_orderkey").alias("page")).agg(F.array_sort(F.collect_list(F.struct(
+        F.col("l_linenumber").alias("k"), F.col("l_partkey").alias("part"), item.alias("item")))).alias("all"))  # at most seven a page
+    items = F.transform("all", lambda x: x["item"])
+    shape = F.col("page") % 5
+    body = (F.when(shape == 0, F.to_json(F.struct(items.alias("value")))).when(shape == 1, F.to_json(F.struct(items.alias("data"))))
+            .when(shape == 2, F.to_json(F.struct(F.lit("page").alias("kind"), items.alias("items"))))
+            .when(shape == 3, F.to_json(items)).otherwise(F.to_json(items[0])))
+    return pages.select("page", F.when(F.col("page") % 23 == 0, F.expr("'{\"value\": [{\"id\"'")).otherwise(body).alias("json"))
+
+
+MIXED_LISTINGS_SQL = """placed AS (
+SELECT l_orderkey AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS INTEGER) AS position,
+       CAST(l_linenumber AS VARCHAR) AS id, 'part-' || l_partkey AS name FROM lineitem),
+listed AS (
+SELECT page, position, id, name, FALSE AS broken FROM placed WHERE page % 23 <> 0 AND (page % 5 <> 4 OR position = 0)
+UNION ALL SELECT DISTINCT l_orderkey, CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), TRUE FROM lineitem WHERE l_orderkey % 23 = 0)"""

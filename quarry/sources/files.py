@@ -7,7 +7,7 @@ plain predicates so they can prune files before reading content.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,3 +115,42 @@ def scan_listing(spark: SparkSession, path: str, envelope: str = "value",
     """Items of the listing documents under ``path``: one a file, or one a line."""
     raw = spark.read.text(path, wholetext=wholetext).select(F.col("value").alias("json"))
     return parse_listing(raw, "json", envelope, item_schema)
+
+
+# ------------------------------------------------------------ listings of any shape
+# The names under which listings hold their items, in order of preference, and an item's id and name.
+ENVELOPES = ("value", "data", "items")
+ID_NAMES = ("id", "objectId")
+DISPLAY_NAMES = ("displayName", "name")
+
+
+def parse_variants(raw: DataFrame, json_col: str = "json") -> DataFrame:
+    """``raw`` with ``doc`` (a VARIANT, parsed once) in place of the text, and ``broken``: whether there was
+    text that is no JSON.  Written as Parquet, it is read by path without parsing again."""
+    text = F.col(json_col)
+    doc = F.try_parse_json(text)
+    return raw.withColumn("doc", doc).withColumn("broken", F.col("doc").isNull() & text.isNotNull()).drop(json_col)
+
+
+def variant_field(v: Column, names) -> Column:
+    """The first of some fields that an item has, as text."""
+    return F.coalesce(*[F.try_variant_get(v, f"$.{n}", "string") for n in names])
+
+
+def variant_items(parsed: DataFrame, keep_cols=(), envelopes=ENVELOPES) -> DataFrame:
+    """(keep_cols, position, id, name, broken): one row per item of every listing, whatever holds the items:
+    an object with one of the ``envelopes``, a bare array, or a single object that has an id.  A listing
+    without items gives no row, a broken document one row without an item."""
+    bare = F.try_variant_get("doc", "$", "array<variant>")
+    held = [F.try_variant_get("doc", f"$.{e}", "array<variant>") for e in envelopes]
+    single = F.when(variant_field(F.col("doc"), ID_NAMES).isNotNull(), F.array(F.col("doc")))
+    items = F.coalesce(bare, *held, single, F.when(F.col("broken"), F.array(F.lit(None).cast("variant"))))
+    out = parsed.select(*keep_cols, "broken", F.posexplode(items).alias("position", "item"))
+    return out.select(*keep_cols, F.when(~F.col("broken"), F.col("position")).alias("position"),
+                      variant_field(F.col("item"), ID_NAMES).alias("id"), variant_field(F.col("item"), DISPLAY_NAMES).alias("name"), "broken")
+
+
+def variant_schema(parsed: DataFrame) -> DataFrame:
+    """(documents, broken, schema): what the listings hold, as one merged schema."""
+    return parsed.agg(F.count(F.lit(1)).alias("documents"), F.count_if("broken").alias("broken"),
+                      F.schema_of_variant_agg("doc").alias("schema"))
