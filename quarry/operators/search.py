@@ -11,11 +11,11 @@ Many queries (``retrieve_batch``):
 
   documents ─ tokenize ─ drop tokens of no query in the map task ─ shuffle the
   matching ones by id ─ tf ─ written once ─ df and weight per posting ─ top k per
-  query by block bounds (``pruned_top_k``):
+  query by block bounds (``pruned_hits``):
   floor    the documents of each query's rarest terms, the best of them scored
            whole: the k-th best score is a floor
-  bounds   Σ over the query's terms of the largest weight in a range of documents;
-           ranges whose bound is below the floor are dropped
+  bounds   Σ over the query's terms of the largest weight in a range of documents of
+           like length; ranges whose sum is below the floor are dropped
   scores   only the documents of the ranges that are left, then top k.
 
 Persisted index (``write_search_index``, ``search_index``, ``retrieve_index``):
@@ -52,14 +52,15 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "q
                           F.explode(F.array_distinct(tokens(text_col))).alias("term"))
 
 
-def _field_tokens(docs: DataFrame, fields, keep: Column | None) -> DataFrame:
-    """(id, _keep, field, dl, toks): one row per document field."""
+def _field_tokens(docs: DataFrame, fields, keep: Column | None, block: Column | None = None) -> DataFrame:
+    """(id, _keep, field, dl, toks): one row per document field; ``block`` is kept if given."""
+    extra = [] if block is None else ["block"]
     base = docs.select("id", (keep if keep is not None else F.lit(True)).alias("_keep"),
-                       *[F.col(f) for f in fields])
+                       *([] if block is None else [block.alias("block")]), *[F.col(f) for f in fields])
     args = ", ".join(f"'{f}', `{f}`" for f in fields)
-    fv = base.select("id", "_keep", F.expr(f"stack({len(fields)}, {args}) AS (field, value)"))
-    tok = fv.select("id", "_keep", "field", tokens("value").alias("toks"))
-    return tok.select("id", "_keep", "field",
+    fv = base.select("id", "_keep", *extra, F.expr(f"stack({len(fields)}, {args}) AS (field, value)"))
+    tok = fv.select("id", "_keep", *extra, "field", tokens("value").alias("toks"))
+    return tok.select("id", "_keep", *extra, "field",
                       F.when(F.col("toks").isNotNull(), F.size("toks")).alias("dl"), "toks")
 
 
@@ -74,14 +75,14 @@ def _postings_of(tok: DataFrame, terms: DataFrame | list[str]) -> DataFrame:
     toks = F.col("toks")
     if isinstance(terms, list):
         toks = F.filter("toks", lambda t: t.isin(terms) if terms else F.lit(False))
-    occ = tok.select("id", "_keep", "field", "dl", F.explode_outer(toks).alias("term")) \
-        .where(F.col("term").isNotNull())
+    keys = ["id", "_keep", "field", "dl", *[c for c in ("block",) if c in tok.columns]]
+    occ = tok.select(*keys, F.explode_outer(toks).alias("term")).where(F.col("term").isNotNull())
     if isinstance(terms, list):
-        return occ.groupBy("field", "term", "id", "dl", "_keep").agg(F.count(F.lit(1)).alias("tf"))
+        return occ.groupBy("term", *keys).agg(F.count(F.lit(1)).alias("tf"))
     # many queries: what matches moves once, by document, and every later aggregate is keyed by a
     # superset of it
     occ = occ.join(terms, "term", "left_semi").repartition("id")
-    return occ.groupBy("field", "term", "id", "dl", "_keep").agg(F.count(F.lit(1)).alias("tf"))
+    return occ.groupBy("term", *keys).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def _bm25(tf: Column, dl: Column, df_: Column, n: Column, avg_dl: Column,
@@ -112,10 +113,10 @@ def score_hits(docs: DataFrame, terms: list[str], fields=SEARCHABLE, keep: Colum
             .groupBy("id").agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score")))
 
 
-def _weighted(postings: DataFrame, dfreq: DataFrame, stats: DataFrame) -> DataFrame:
-    """(field, term, id, w): the BM25 weight of every posting."""
+def _weighted(postings: DataFrame, dfreq: DataFrame, stats: DataFrame, keep=()) -> DataFrame:
+    """(term, id, w): the BM25 weight of every posting."""
     return (postings.join(dfreq, ["field", "term"]).join(stats, "field")
-            .select("field", "term", "id", _bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"),
+            .select("term", "id", *keep, _bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"),
                                         F.col("avg_dl")).alias("w")))
 
 
@@ -128,25 +129,62 @@ def _fan_out(weights: DataFrame, qterms: DataFrame) -> DataFrame:
             .agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score")))
 
 
-def batch_weights(docs: DataFrame, qterms: DataFrame, fields=SEARCHABLE, keep: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(weights, field statistics): (field, term, id, w) of every posting of a batch's terms, written once.
+# Chosen here: documents of a range, steps of a document's length in which ranges are alike and how many of them
+# most documents fall into, documents of a query's rarest terms that give a floor and how many of the best are
+# scored whole for it, and how far a sum of weights may lie from the same sum rounded.
+BLOCK_DOCS = 4
+LENGTH_STEPS = 8
+USUAL_STEPS = 32
+SEED_DOCS = 256
+SEED_BEST = 20
+ROUNDING = 2e-6
+
+
+def block_of(id_col: Column, length: Column, n_docs: int) -> Column:
+    """The range of a document: some ``BLOCK_DOCS`` documents of nearly the same length, whose largest
+    weights are close to their own."""
+    blocks = max(1, n_docs // (BLOCK_DOCS * USUAL_STEPS))
+    alike = F.floor(F.log2(F.greatest(length, F.lit(0)) + 1) * LENGTH_STEPS)
+    return alike.cast("long") * F.lit(blocks) + F.pmod(F.xxhash64(id_col), F.lit(blocks))
+
+
+def document_weights(postings: DataFrame, dfreq: DataFrame, stats: DataFrame) -> DataFrame:
+    """(term, id, block, w): the weight of a term in a document over all fields; ``postings`` bring the
+    documents' ranges."""
+    return _weighted(postings, dfreq, stats, keep=["block"]).groupBy("id", "term", "block").agg(F.sum("w").alias("w"))
 
-    Documents are tokenized once; tokens of no query are dropped in the map
-    task, and the matching postings are written: document frequencies read
-    that copy.  The batch's terms carry no hint, so a batch within the
+
+def block_bounds(weights: DataFrame) -> DataFrame:
+    """(term, block, bound): the largest weight of a term in any document of a range."""
+    return weights.groupBy("term", "block").agg(F.max("w").alias("bound"))
+
+
+def batch_weights(docs: DataFrame, qterms: DataFrame, fields=SEARCHABLE, keep: Column | None = None) -> DataFrame:
+    """:func:`document_weights` of a batch's terms, written once.
+
+    Documents are tokenized once (document frequencies and weights reuse one exchange); tokens of no query
+    are dropped in the map task.  The batch's terms carry no hint, so a batch within the
     session's broadcast threshold is broadcast and a larger one shuffled."""
     fields = list(fields)
-    mp = _materialised(_postings_of(_field_tokens(docs, fields, keep), qterms.select("term").distinct()), "batch-postings")
+    length = F.length(F.concat_ws(" ", *fields))
+    tok = _field_tokens(docs, fields, keep, block_of(F.col("id"), length, docs.count()))
+    mp = _postings_of(tok, qterms.select("term").distinct())
     dfreq = mp.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    stats = _materialised(field_stats(docs, fields), "batch-stats")
-    return _materialised(_weighted(mp.where(F.col("_keep")), dfreq, F.broadcast(stats)), "batch-weights"), stats  # one row per field
+    stats = F.broadcast(field_stats(docs, fields))               # one row per field
+    return _materialised(document_weights(mp.where(F.col("_keep")), dfreq, stats), "batch-weights")
+
+
+def _materialised(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def batch_hits(docs: DataFrame, queries: DataFrame, fields=SEARCHABLE, keep: Column | None = None) -> DataFrame:
     """(query_id, id, score) for every document sharing a term with a query of a batch: queries times
     documents, for those who want all of them."""
     qterms = query_terms(queries)
-    return _fan_out(batch_weights(docs, qterms, fields, keep)[0], qterms)
+    return _fan_out(batch_weights(docs, qterms, fields, keep), qterms)
 
 
 def top_k_per_query(hits: DataFrame, k: int = 5, group: str = "query_id",
@@ -192,81 +230,54 @@ def match_all(docs: DataFrame, k: int = 3) -> DataFrame:
     return first.select("rank", "id", "file_name", total.alias("total"))
 
 
-# Chosen here: documents of a range, documents of the rarest terms that give a floor, and how far a sum of
-# weights may fall below the same sum rounded.
-BLOCK_DOCS = 16
-SEED_DOCS = 64
-ROUNDING = 2e-6
-
-
-def block_of(id_col: Column, n_docs: int) -> Column:
-    """The range of a document: ``BLOCK_DOCS`` documents on average, by hash."""
-    return F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-n_docs // BLOCK_DOCS))))
-
-
-def block_bounds(weights: DataFrame, n_docs: int) -> DataFrame:
-    """(term, block, bound): an upper bound of the weight of a term in any document of a range."""
-    return weights.groupBy("term", block_of(F.col("id"), n_docs).alias("block"), "field").agg(F.max("w").alias("w")) \
-        .groupBy("term", "block").agg(F.sum("w").alias("bound"))
-
-
-def _materialised(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def score_floors(weights: DataFrame, qterms: DataFrame, k: int) -> DataFrame:
     """(query_id, floor): the k-th best score among the documents of each query's rarest terms, in whole
     scores; no row for a query whose rarest terms have fewer than k documents."""
-    df = weights.groupBy("term").agg(F.count_distinct("id").alias("df"))
+    df = weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     before = F.sum("df").over(Window.partitionBy("query_id").orderBy("df", "term")
                               .rowsBetween(Window.unboundedPreceding, -1))  # a query's own terms
     rare = (qterms.join(df, "term").withColumn("before", F.coalesce(before, F.lit(0)))
             .where(F.col("before") < SEED_DOCS).select("query_id", "term"))
     partial = weights.join(rare, "term").groupBy("query_id", "id").agg(F.sum("w").alias("score"))
-    best = top_k_per_query(partial, 2 * k).select("query_id", "id")
-    whole = (best.join(qterms, "query_id").join(weights, ["id", "term"]).groupBy("query_id", "id")
-             .agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score")))
+    best = top_k_per_query(partial, max(SEED_BEST, 2 * k)).select("query_id", "id")
+    whole = _whole_scores(best, weights, qterms)
     return (top_k_per_query(whole, k).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor"))
             .where(F.col("n") >= k).select("query_id", "floor"))
 
 
-def open_blocks(bounds: DataFrame, qterms: DataFrame, floors: DataFrame, min_score: float | None = None) -> DataFrame:
-    """(query_id, block) of the ranges that may hold one of a query's best documents.  ``bounds`` are
-    dealt out by range, so that the sums over terms stay inside tasks."""
+def _whole_scores(pairs: DataFrame, weights: DataFrame, qterms: DataFrame) -> DataFrame:
+    """(query_id, id, score) of some pairs of query and document."""
+    return (pairs.join(qterms, "query_id").join(weights.select("id", "term", "w"), ["id", "term"]).groupBy("query_id", "id")
+            .agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score")))
+
+
+def open_blocks(weights: DataFrame, bounds: DataFrame, qterms: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
+    """(query_id, block): the ranges that may hold one of a query's k best documents, those whose bounds over
+    the query's terms add up to its floor at least.  Bounds are dealt out by range once, so that the sums
+    stay inside tasks."""
     least = F.coalesce(F.col("floor"), F.lit(float("-inf")))
     if min_score is not None:
         least = F.greatest(least, F.lit(float(min_score)))
-    summed = (bounds.repartition("block").join(qterms, "term").groupBy("query_id", "block").agg(F.sum("bound").alias("bound")))
-    return (summed.join(floors, "query_id", "left").where(F.col("bound") >= least - F.lit(ROUNDING))
+    sums = bounds.repartition("block").join(qterms, "term").groupBy("block", "query_id").agg(F.sum("bound").alias("sum"))
+    return (sums.join(score_floors(weights, qterms, k), "query_id", "left").where(F.col("sum") >= least - F.lit(ROUNDING))
             .select("query_id", "block"))
 
 
-def pruned_hits(weights: DataFrame, bounds: DataFrame, qterms: DataFrame, n_docs: int, k: int,
-                min_score: float | None = None) -> DataFrame:
-    """(query_id, id, score) of every document of a range that may hold one of a query's k best: all of
-    these are among the rows, with their whole scores."""
-    floors = score_floors(weights, qterms, k)
-    blocks = _materialised(open_blocks(bounds, qterms, floors, min_score), "open-blocks")
-    wanted = blocks.join(qterms, "query_id")
-    hits = (weights.withColumn("block", block_of(F.col("id"), n_docs)).join(wanted, ["block", "term"])
-            .groupBy("query_id", "id").agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score")))
+def pruned_hits(weights: DataFrame, bounds: DataFrame, qterms: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
+    """(query_id, id, score) of the documents of a query's open ranges, in whole scores: every one of its k best
+    is a row."""
+    blocks = _materialised(open_blocks(weights, bounds, qterms, k, min_score), "open-blocks")
+    hits = (weights.join(blocks.join(qterms, "query_id"), ["block", "term"]).groupBy("query_id", "id")
+            .agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score")))
     return hits if min_score is None else hits.where(F.col("score") >= F.lit(min_score))
 
 
-def _docs_of(stats: DataFrame) -> int:
-    """Documents of the index, from the field statistics (one number)."""
-    return stats.agg(F.max("n_docs")).first()[0] or 0
-
-
 def retrieve_hits(queries: DataFrame, docs: DataFrame, k: int = 5, min_score: float | None = None, fields=SEARCHABLE,
                   where: Column | None = None) -> DataFrame:
     """(query_id, id, score): the documents that :func:`retrieve_batch` scores whole."""
     qterms = query_terms(queries)
-    weights, stats = batch_weights(docs, qterms, fields, where)
-    n_docs = _docs_of(stats)
-    return pruned_hits(weights, block_bounds(weights, n_docs), qterms, n_docs, k, min_score)
+    weights = batch_weights(docs, qterms, fields, where)
+    return pruned_hits(weights, block_bounds(weights), qterms, k, min_score)
 
 
 def retrieve_batch(queries: DataFrame, docs: DataFrame, k: int = 5, min_score: float | None = None,
@@ -409,34 +420,32 @@ def rank_postings(post: DataFrame, dfreq: DataFrame, stats: DataFrame, k: int) -
     return top_k(scored, k, [F.col("score").desc(), F.col("id").asc()]).select("rank", "id", "score")
 
 
-def write_block_bounds(spark: SparkSession, root: str) -> None:
-    """Add to a written index the largest weight of every term in every range of documents, for
-    :func:`retrieve_index`; clustered by term like the postings."""
-    stats = spark.read.parquet(f"{root}/stats")
+def write_impacts(spark: SparkSession, root: str, fields=SEARCHABLE) -> None:
+    """Add to a written index, for :func:`retrieve_index`, the weight of every term in every document
+    (``impacts``) and its largest weight in every range of documents (``bounds``), both clustered by term."""
+    post = spark.read.parquet(f"{root}/postings").where(F.col("field").isin(list(fields)))
     terms = spark.read.parquet(f"{root}/terms").select("field", "term", "df")
-    weights = _weighted(spark.read.parquet(f"{root}/postings"), terms, F.broadcast(stats))  # one row per field
-    bounds = block_bounds(weights, _docs_of(stats))
+    stats = spark.read.parquet(f"{root}/stats")
+    n_docs = stats.agg(F.max("n_docs")).first()[0] or 0  # one number
+    length = F.max("dl").over(Window.partitionBy("id"))  # a document's postings
+    post = post.withColumn("block", block_of(F.col("id"), length, n_docs))
+    weights = document_weights(post, terms, F.broadcast(stats))  # one row per field
+    weights.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{root}/impacts")
+    bounds = block_bounds(spark.read.parquet(f"{root}/impacts"))
     bounds.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{root}/bounds")
 
 
-def index_hits(spark: SparkSession, root: str, queries: DataFrame, k: int = 5, min_score: float | None = None,
-               fields=SEARCHABLE) -> DataFrame:
+def index_hits(spark: SparkSession, root: str, queries: DataFrame, k: int = 5, min_score: float | None = None) -> DataFrame:
     """(query_id, id, score): the documents that :func:`retrieve_index` scores whole."""
     qterms = query_terms(queries)
     terms = qterms.select("term").distinct()
-    post = (spark.read.parquet(f"{root}/postings").where(F.col("field").isin(list(fields)))
-            .join(terms, "term", "left_semi"))
-    dfreq = spark.read.parquet(f"{root}/terms").join(terms, "term", "left_semi").select("field", "term", "df")
-    stats = spark.read.parquet(f"{root}/stats")
-    weights = _materialised(_weighted(post, dfreq, F.broadcast(stats)), "batch-weights")  # one row per field
-    bounds = spark.read.parquet(f"{root}/bounds").join(terms, "term", "left_semi")
-    return pruned_hits(weights, bounds, qterms, _docs_of(stats), k, min_score)
+    weights, bounds = (spark.read.parquet(f"{root}/{t}").join(terms, "term", "left_semi") for t in ("impacts", "bounds"))
+    return pruned_hits(_materialised(weights, "batch-weights"), bounds, qterms, k, min_score)
 
 
 def retrieve_index(spark: SparkSession, root: str, queries: DataFrame, k: int = 5,
-                   min_score: float | None = None, fields=SEARCHABLE) -> DataFrame:
-    """Batch retrieval against a persisted index with block bounds: the stored postings of the batch's
-    terms, weighted by the stored document frequencies, in the ranges that the stored bounds leave
-    open.  Same results as :func:`retrieve_batch`."""
-    hits = index_hits(spark, root, queries, k, min_score, fields)
+                   min_score: float | None = None) -> DataFrame:
+    """Batch retrieval against a persisted index with impacts: only the stored weights and bounds of the
+    batch's terms are read.  Same results as :func:`retrieve_batch`."""
+    hits = index_hits(spark, root, queries, k, min_score)
     return top_k_per_query(hits, k).select("query_id", "rank", "id", "score")

@@ -148,12 +148,12 @@ def q_retrieve_batch(spark, sf):
 
 @register("retrieve_index", _batch_sql(5, None, "SELECT * FROM ranked"))
 def q_retrieve_index(spark, sf):
-    """Build the index and its block bounds once, then answer the whole batch from its postings."""
+    """Build the index, its impacts and block bounds once, then answer the whole batch from its postings."""
     import uuid
     from ..session import scratch_path
     root = scratch_path(spark, f"search-index-{uuid.uuid4().hex[:12]}")
     se.write_search_index(fx.docs(spark, sf), root)
-    se.write_block_bounds(spark, root)
+    se.write_impacts(spark, root)
     return se.retrieve_index(spark, root, fx.queries_table(spark, sf), k=5)
 
 

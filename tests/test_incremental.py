@@ -102,7 +102,7 @@ def test_pruned_retrieval_gives_all_best_rows(spark, k, floor):
     assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
     if k == 5:
         scored = se.retrieve_hits(queries, docs, k=k).count()
-        assert scored < 0.5 * every.count()
+        assert scored < 0.4 * every.count()  # 0.25 of all pairs at ten times the documents
     every.unpersist()
 
 
