@@ -142,10 +142,10 @@ def multikey_sort(keys: list[np.ndarray], weight: np.ndarray, least: int):
     """Three-way quicksort of pointers to suffixes, ``keys[d]`` being word d of every suffix (0: none).
     Returns (depth, pointer, weight): for every prefix of total weight ``least`` or more one suffix that
     begins with it."""
-    order = np.arange(len(weight))
+    if not len(weight):
+        return (np.zeros(0, np.int64),) * 3
+    order, table, found = np.arange(len(weight)), np.stack(keys), []
     start, size, depth = np.array([0]), np.array([len(weight)]), np.array([0])
-    table = np.stack(keys) if len(weight) else np.zeros((len(keys), 0), np.uint64)
-    found = []
     while len(start):
         first = np.concatenate([[0], np.cumsum(size)])
         seg = np.repeat(np.arange(len(size)), size)
@@ -167,7 +167,7 @@ def multikey_sort(keys: list[np.ndarray], weight: np.ndarray, least: int):
             base = np.concatenate([[0], run])[first[:-1]]
             rank[inside] = (run - 1 - base[seg])[inside]
         order[begin.ravel()[cell] + rank] = own
-        begin, sizes, heavy = begin.ravel(), sizes, heavy
+        begin = begin.ravel()
         deeper = np.tile([0, 1, 0], len(size))
         level = np.repeat(depth, 3) + deeper
         worth = (sizes > 0) & (heavy >= least) & ((deeper == 0) | (np.repeat(pivot, 3) != 0))
@@ -175,8 +175,6 @@ def multikey_sort(keys: list[np.ndarray], weight: np.ndarray, least: int):
         found.append((level[hit], order[begin[hit]], heavy[hit]))
         go = np.flatnonzero(worth & (level < len(keys)))
         start, size, depth = begin[go], sizes[go], level[go]
-    if not found:
-        return (np.zeros(0, np.int64),) * 3
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
