@@ -1,6 +1,6 @@
 """A search index that follows arriving documents: postings as signed deltas.
 
-Every micro-batch appends to three folders, one sub-folder a batch (``batch_id=<n>``):
+Every micro-batch appends to four folders, one sub-folder a batch (``batch_id=<n>``):
 
   rows      the index rows it accepted (newest version per key; a tie goes to the later batch), with the
             batch of the row that each replaces and the names of its fields that have a value
@@ -10,8 +10,9 @@ Every micro-batch appends to three folders, one sub-folder a batch (``batch_id=<
   stats     the changes of documents, values and length of every field
 
 Document frequencies, lengths and averages are sums over deltas; a posting counts where its signs sum to
-one.  A batch reads only batches before it and overwrites its own folders, so a batch that is delivered
-again changes nothing.  ``compact_index`` folds all deltas into the layout of a built index.
+one.  A batch reads only batches before it (keys and versions of all, postings of those that hold a replaced
+row) and overwrites its own folders, so a batch that is delivered again changes nothing.  ``compact_index``
+folds all deltas into the layout of a built index.
 """
 
 from __future__ import annotations
@@ -59,14 +60,16 @@ def _write_batch(batch: DataFrame, batch_id: int, root: str, fields: list[str])
     accepted.write.mode("overwrite").parquet(f"{root}/rows/{here}")
     accepted = spark.read.schema(accepted.schema).parquet(f"{root}/rows/{here}")
     gone = accepted.where("replaces is not null").select(_KEY, F.col("replaces").alias("batch_id"))
+    held_in = [r["batch_id"] for r in gone.select("batch_id").distinct().collect()]  # a number a folder: only these are read
     plus = build_postings(accepted, fields).withColumn("sign", F.lit(1))
-    minus = (_before(spark.read.parquet(f"{root}/postings"), batch_id).where("sign = 1").join(gone, [_KEY, "batch_id"], "left_semi")
+    stored = spark.read.parquet(f"{root}/postings").where(F.col("batch_id").isin(held_in))
+    minus = (stored.where("sign = 1").join(gone, [_KEY, "batch_id"], "left_semi")
              .select(*plus.columns).withColumn("sign", F.lit(-1)))
     plus.unionByName(minus).sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{root}/postings/{here}")
     postings = spark.read.schema(plus.schema).parquet(f"{root}/postings/{here}")
     terms = postings.groupBy("field", "term").agg(F.sum("sign").alias("df"), F.sum(F.col("sign") * F.col("tf")).alias("cf"))
     terms.write.mode("overwrite").parquet(f"{root}/terms/{here}")
-    old = prior.join(gone, [_KEY, "batch_id"], "left_semi").select("held").withColumn("sign", F.lit(-1))
+    old = prior.where(F.col("batch_id").isin(held_in)).join(gone, [_KEY, "batch_id"], "left_semi").select("held").withColumn("sign", F.lit(-1))
     rows = accepted.select("held").withColumn("sign", F.lit(1)).unionByName(old)
     # one row a field: its documents, those with a value, and its length
     counts = rows.agg(F.sum("sign").alias("n_docs"), *[F.sum(F.col("sign") * F.array_contains("held", f).cast("int")).alias(f)

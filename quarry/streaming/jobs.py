@@ -90,7 +90,8 @@ def stream_telemetry(records: DataFrame, sink: str, checkpoint: str, delay: str
                      keys=("RunId", "Workflow"), trigger: str | None = None):
     """Append telemetry, dropping records (same run id and workflow) re-sent within ``delay`` of
     their first arrival.  The watermark is on the time of arrival, which only grows: records with
-    a late or missing event time are neither dropped nor able to make others late."""
+    a late or missing event time are neither dropped nor able to make others late; one that is sent
+    again later than ``delay`` is kept twice."""
     arrived = records.withColumn("_arrived", F.current_timestamp())
     deduped = arrived.withWatermark("_arrived", delay).dropDuplicatesWithinWatermark(list(keys)).drop("_arrived")
     return _append_batches(deduped, sink, checkpoint, trigger)
