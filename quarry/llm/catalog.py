@@ -123,23 +123,22 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op5_paragraph_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: its paragraphs, those removed, and their bytes and places; lines of
-    fewer than 20 words are counted apart (``n_short...``) and removed like the others."""
+    """One row per document: its paragraphs, those removed, and their bytes and places; those of fewer
+    than 20 words are counted apart (``n_short...``) and stay."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = paragraphs.duplicates(docs)
     gone = F.when(F.col("removed"), F.struct("place", "start", "end", "cluster"))
     full = F.col("words") >= 20
 
-    def counted(which, paragraphs, repeated, removed):
-        return [F.count(F.when(which, 1)).alias(paragraphs), F.count(F.when(which & (F.col("size") > 1), 1)).alias(repeated),
-                F.count(F.when(which & F.col("removed"), 1)).alias(removed)]
+    def counted(which, name):
+        return F.count(F.when(which, 1)).alias(name)
     per_doc = found.groupBy("doc_id").agg(
-        *counted(full, "n_paragraphs", "n_repeated", "n_removed"),
-        *counted(~full, "n_short", "n_short_repeated", "n_short_removed"),
+        counted(full, "n_paragraphs"), counted(full & (F.col("size") > 1), "n_repeated"), counted(F.col("removed"), "n_removed"),
+        counted(~full, "n_short"), counted(~full & (F.col("size") > 1), "n_short_repeated"),
         F.sum(F.when(F.col("removed"), F.col("end") - F.col("start")).otherwise(0)).alias("removed_bytes"),
         F.sort_array(F.collect_list(gone)).alias("removed"))  # a document's own paragraphs
     counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in
-              ("n_paragraphs", "n_repeated", "n_removed", "n_short", "n_short_repeated", "n_short_removed", "removed_bytes")]
+              ("n_paragraphs", "n_repeated", "n_removed", "n_short", "n_short_repeated", "removed_bytes")]
     return docs.select("doc_id").join(per_doc, "doc_id", "left").select("doc_id", *counts, "removed")
 
 

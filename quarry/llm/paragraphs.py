@@ -1,9 +1,11 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs are lines of at least ``shingle`` words (lower-cased runs of letters and digits);
-those of fewer than ``min_words`` words are copies of each other where their words are equal,
-the others where they are similar, found as follows.
-Bands of MinHash values over their word shingles are tuned for a recall (``tune``).  Equal
+Paragraphs are cut by the text alone, in bytes: a line of at least ``min_words`` words (lower-cased
+runs of letters and digits) is cut at its sentence ends into pieces of at least that many words, what
+would be shorter staying with the piece before it; consecutive shorter lines are joined until they
+have that many words or a line without words follows.  What stays shorter is reported (``size`` counts
+equal ones) but never removed.
+Bands of MinHash values over word shingles are tuned for a recall (``tune``).  Equal
 paragraphs are merged by a 64-bit hash of their words; of each group that shares a band the
 member of smallest hash is paired with the others, the pairs of all bands are made distinct and
 verified by exact Jaccard on shingle sets.  Groups whose members are not all connected then are
@@ -12,8 +14,8 @@ already connected; so no group meets in one task and no group's pairs are writte
 Components cluster the paragraphs, and all but the first occurrence (id, then place) of each
 cluster are removed.
 
-Defined results: null or empty texts and shorter lines have no paragraphs; rows that repeat an
-id are one document; paragraphs of null ids come first; ties between occurrences go by id and
+Defined results: null or empty texts and those of fewer than ``shingle`` words have no paragraphs; rows that
+repeat an id are one document; paragraphs of null ids come first; ties between occurrences go by id and
 place; an empty table gives an empty result; other columns pass through ``remove``.
 """
 
@@ -31,18 +33,18 @@ from quarry.llm._graph import components
 from quarry.llm._io import written
 
 BLOCK = 128
-_LINE = np.arange(256) != 10
+_END = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
 _rng = np.random.default_rng(11)
 _FACTOR = _rng.integers(1, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSET = _rng.integers(0, 2**63, 512, dtype=np.uint64)
 
 
 def tune(threshold: float, recall: float = 0.999, most: int = 256) -> tuple[int, int]:
-    """(bands, rows): the longest bands that find a pair at the threshold with this probability,
-    with at most 64 MinHash values if ``rows`` <= 4 suffice, ``most`` otherwise."""
-    for rows in (4, 3, 2, 1):
+    """(bands, rows): the fewest bands of three rows or more that find a pair at the threshold with this
+    probability; shorter rows where that takes more than ``most`` MinHash values."""
+    for rows in (3, 2, 1):
         bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold ** rows))
-        if bands * rows <= (64 if rows == 4 else most):
+        if bands * rows <= most:
             return bands, rows
     return most, 1
 
@@ -71,21 +73,68 @@ def _signatures(grams: np.ndarray, off: np.ndarray, bands: int, rows: int) -> np
     return X.mix(out)
 
 
+def _cut(data: np.ndarray, off: np.ndarray, ws: np.ndarray, we: np.ndarray, w_off: np.ndarray, min_words: int):
+    """(first word, end word, start, end) of the paragraphs of some texts, offsets in their buffer."""
+    stop = np.flatnonzero(data == 10)
+    mark = _END[data]
+    mark[:-1] &= X.SPACE[data[1:]] | np.isin(np.arange(1, len(data)), off)
+    mark = np.flatnonzero(mark)
+    last = np.zeros(len(ws), bool)
+    last[w_off[1:][w_off[1:] > w_off[:-1]] - 1] = True
+    after = np.append(ws[1:], len(data))  # where the next word begins
+    lines = np.searchsorted(stop, after) - np.searchsorted(stop, we)
+    line_end = last | (lines > 0)
+    closes = (last | (lines > 1)).tolist()
+    sentence = np.flatnonzero(~line_end & (np.searchsorted(mark, after) > np.searchsorted(mark, we))) + 1
+    ends = np.flatnonzero(line_end) + 1
+    begins = np.concatenate([[0], ends[:-1]])
+    lo, hi = np.searchsorted(sentence, begins, "right").tolist(), np.searchsorted(sentence, ends).tolist()
+    sentence, first, end, pending = sentence.tolist(), [], [], -1
+    for a, b, i, j in zip(begins.tolist(), ends.tolist(), lo, hi, strict=True):
+        if b - a < min_words:
+            pending = a if pending < 0 else pending
+            if b - pending >= min_words or closes[b - 1]:
+                first.append(pending)
+                end.append(b)
+                pending = -1
+            continue
+        if pending >= 0:
+            first.append(pending)
+            end.append(a)
+            pending = -1
+        for c in sentence[i:j] if b - a >= 2 * min_words else ():
+            if c - a >= min_words and b - c >= min_words:
+                first.append(a)
+                end.append(c)
+                a = c
+        first.append(a)
+        end.append(b)
+    first, end = np.array(first, np.int64), np.array(end, np.int64)
+    # whole lines from their first to their last byte, pieces from one sentence mark to the next
+    text = np.searchsorted(off, ws[first], "right") - 1
+    line_from = np.maximum(np.append(stop, 0)[np.searchsorted(stop, ws[first]) - 1] + 1, off[text])
+    line_from = np.where(np.searchsorted(stop, ws[first]) == 0, off[text], line_from)
+    line_to = np.minimum(np.append(stop, len(data))[np.searchsorted(stop, we[end - 1])], off[text + 1])
+    before, at = np.concatenate([[True], line_end])[first], np.append(mark, 0)
+    start = np.where(before, line_from, at[np.searchsorted(mark, ws[first]) - 1] + 1)
+    stop_at = np.where(line_end[end - 1], line_to, at[np.searchsorted(mark, after[end - 1]) - 1] + 1)
+    return first, end, start, stop_at
+
+
 def find(docs: DataFrame, id_col: str, text_col: str, shingle: int, min_words: int, bands: int, rows: int) -> DataFrame:
     """(doc, place, start, end, words, h, bands, text) of every paragraph; offsets in bytes.
-    Lines of fewer than ``min_words`` words have no bands and no text."""
+    Those of fewer than ``min_words`` words have no bands and no text."""
     def run(batches):
         for batch in batches:
             for i, _, data, off in X.chunks(batch.column(1)):
-                s, e, l_off = X.word_spans(data, off, _LINE)
-                if not len(s):
-                    continue
-                doc = np.repeat(np.arange(len(l_off) - 1), np.diff(l_off))
-                place = np.arange(len(s)) - l_off[:-1][doc]
                 low = X.lower_bytes(data)
-                ws, we, _ = X.word_spans(low, off)
-                first, last = np.searchsorted(ws, s), np.searchsorted(ws, e)
+                ws, we, w_off = X.word_spans(low, off)
+                if not len(ws):
+                    continue
+                first, last, s, e = _cut(data, off, ws, we, w_off, min_words)
                 n = last - first
+                doc = np.searchsorted(w_off, first, "right") - 1
+                place = np.arange(len(first)) - np.searchsorted(doc, doc)
                 ok = np.flatnonzero(n >= shingle)
                 if not len(ok):
                     continue
@@ -178,10 +227,10 @@ def clusters(paragraphs: DataFrame, shingle: int, threshold: float) -> DataFrame
     smallest hash."""
     paragraphs = paragraphs.where(F.size("bands") > 0)
     distinct = paragraphs.groupBy("h").agg(F.first("bands").alias("bands"))
-    keyed = distinct.select("h", F.posexplode("bands").alias("band", "key"))
+    keyed = distinct.select("h", F.explode("bands").alias("key"))  # each band has hash functions of its own
     # a paragraph whose band nobody shares leaves here; the counts are combined map-side
-    groups = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).where("n > 1")
-    members = written(keyed.join(groups, ["band", "key"]), "paragraph-groups")
+    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).where("n > 1")
+    members = written(keyed.join(groups, "key"), "paragraph-groups")
     pairs = members.where("h != least").select(F.col("least").alias("a"), F.col("h").alias("b")).distinct()
     pairs = written(pairs, "paragraph-pairs")
     wanted = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
@@ -193,19 +242,19 @@ def clusters(paragraphs: DataFrame, shingle: int, threshold: float) -> DataFrame
     group = written(components(verified, name="paragraph-components"), "paragraph-stars")
     # groups whose members are not all connected yet
     placed = (members.join(group, members["h"] == group["node"], "left")
-              .select("band", "key", "n", "h", F.coalesce("component", "h").alias("c")))
-    open_ = placed.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi")
-    rest = placed.join(open_.select("band", "key"), ["band", "key"], "left_semi").join(texts, "h")
+              .select("key", "n", "h", F.coalesce("component", "h").alias("c")))
+    open_ = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi")
+    rest = placed.join(open_.select("key"), "key", "left_semi").join(texts, "h")
     rest = rest.where("n > 2")  # two members were compared above
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("h"), blocks).cast("int")).withColumn("blocks", blocks)
-    packed = written(rest.groupBy("band", "key", "blocks", "block")
+    packed = written(rest.groupBy("key", "blocks", "block")
                      .agg(F.sort_array(F.collect_list(F.struct("h", "c", "text"))).alias("m")), "paragraph-blocks")
-    x = packed.select("band", "key", F.col("block").alias("i"), F.col("m").alias("x"),
+    x = packed.select("key", F.col("block").alias("i"), F.col("m").alias("x"),
                       F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
-    y = packed.select("band", "key", F.col("block").alias("j"), F.col("m").alias("y"),
+    y = packed.select("key", F.col("block").alias("j"), F.col("m").alias("y"),
                       F.explode(F.sequence(F.lit(0), "block")).alias("i"))
-    tiles = x.join(y, ["band", "key", "i", "j"]).select((F.col("i") == F.col("j")).alias("same"), "x", "y")
+    tiles = x.join(y, ["key", "i", "j"]).select((F.col("i") == F.col("j")).alias("same"), "x", "y")
     more = tiles.mapInArrow(_compare(shingle, threshold), "a long, b long")
     links = verified.unionByName(more)
     return components(links, name="paragraph-components").select(F.col("node").alias("h"), F.col("component").alias("cluster"))
@@ -228,16 +277,29 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return (paragraphs.drop("bands", "text").join(repeated, "h", "left")
             .select(F.col("doc").alias(id_col), "place", "start", "end", "words", F.coalesce("cluster", "h").alias("cluster"),
                     F.coalesce("size", F.lit(1).cast("long")).alias("size"),
-                    F.coalesce(F.col("size").isNotNull() & ~place.eqNullSafe(F.col("first")), F.lit(False)).alias("removed")))
+                    F.coalesce(F.col("size").isNotNull() & ~place.eqNullSafe(F.col("first")) & (F.col("words") >= min_words),
+                               F.lit(False)).alias("removed")))
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the removed paragraphs' lines cut out of the text."""
+    """``docs`` with the removed paragraphs cut out of the text by their bytes; whole lines go with their
+    line break."""
     gone = (duplicates(docs, id_col, text_col, **options).where("removed")
-            .groupBy(F.col(id_col).alias("__id")).agg(F.collect_set("place").alias("__gone")))
-    lines = F.filter(F.split(text_col, "\n"), lambda x: F.length(x) > 0)
-    kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("__gone", i.cast("long")), x)),
-                    lambda x: x.isNotNull())
+            .groupBy(F.col(id_col).alias("__id")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__gone")))
+    raw = F.encode(F.col(text_col), "UTF-8")
+    size, zero = F.octet_length(raw).cast("long"), F.lit(0).cast("long")
+
+    def lines(p):
+        a, b = p["start"], p["end"]
+        breaks = [F.substring(raw, x.cast("int"), F.lit(1)) == F.lit(b"\n") for x in (a, b + 1)]
+        whole = ((a == 0) | breaks[0]) & ((b == size) | breaks[1])
+        return F.struct(F.when(whole & (b == size) & (a > 0), a - 1).otherwise(a).alias("start"),
+                        F.when(whole & (b < size), b + 1).otherwise(b).alias("end"))
+    cut = F.transform("__gone", lines)
+    starts = F.concat(F.array(zero), F.transform(cut, lambda p: p["end"]))
+    ends = F.concat(F.transform(cut, lambda p: p["start"]), F.array(size))
+    kept = F.zip_with(starts, ends, lambda a, b: F.decode(
+        F.substring(raw, (a + 1).cast("int"), F.greatest(b - a, zero).cast("int")), "UTF-8"))
     return (docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left")
-            .withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+            .withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "")))
             .select(*docs.columns))

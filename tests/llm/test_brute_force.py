@@ -13,6 +13,7 @@ import __spark_entry__ as E
 from quarry.llm import suffixes
 from quarry.llm.packing import _Words
 from tests.conftest import SF_SMALL
+from tests.llm.test_paragraph_cut import plain as plain_paragraphs
 
 
 def run(spark, name, sf=SF_SMALL):
@@ -142,8 +143,7 @@ def test_op5(spark, tables):
     texts = sorted((r["doc_id"], r["text"] or "") for r in tables("documents"))
     found, where, root = [], {}, []
     for i, t in texts:
-        for line in t.split("\n"):
-            w = re.findall(r"[^\W_]+", line.lower())
+        for w in plain_paragraphs(t):
             if len(w) >= 20:
                 found.append((i, frozenset(tuple(w[j:j + 5]) for j in range(len(w) - 4))))
     root = list(range(len(found)))
