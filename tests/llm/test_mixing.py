@@ -52,7 +52,8 @@ def test_mix(spark):
         assert sum(r["size"] for r in mine) == mine[0]["source_size"]
         assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 0.02 * mine[0]["target"] + 8
     assert all(r["taken"] <= 2 * r["size"] for r in rows)
-    assert abs(sum(r["taken"] for r in rows) - 1.5 * sum(r["size"] for r in rows)) <= 16
+    # a shard's blocks are a little shorter than four words where these do not divide its words
+    assert abs(sum(r["taken"] for r in rows) / (1.5 * sum(r["size"] for r in rows)) - 1) <= 0.005
     again = mixing.mix(docs.repartition(7, "text"), shard_words=512, block=4)
     assert sorted(map(str, again.collect())) == sorted(map(str, rows))
     # the texts of the mix are the words that its pieces name
