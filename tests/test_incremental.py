@@ -135,7 +135,7 @@ def test_bitmap_conditions(spark, scratch):
     buf = io.StringIO()
     with redirect_stdout(buf):
         bm.search_matching(spark, scratch, "word", bm.Both((day, ~odd))).explain("formatted")
-    assert "content" not in buf.getvalue() and "/bitmaps" in buf.getvalue()
+    assert "content:string" not in buf.getvalue() and "/bitmaps" in buf.getvalue()
 
 
 def test_profiles_of_changed_partitions(spark, scratch):
