@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 64
+MARK = "\ue000"  # a private code point
 
 
 def _running(values: Column, start: Column) -> Column:
@@ -35,16 +36,26 @@ SPAN = "array<struct<start:bigint,end:bigint,value:string,left:string,right:stri
 
 
 def with_matches(df: DataFrame, name: str, text: Column, pattern: str, only_if: Column | None = None,
-                 before: int = 40, after: int = 20) -> DataFrame:
+                 before: int = 40, after: int = 20, searched_once: bool = False) -> DataFrame:
     """Add ``name``: array<struct<start, end, value, left, right>> of the matches, with the text
     right before and after each, up to the neighbouring matches.  ``only_if`` is a cheap test
     that every text with a match passes.  Each step is a column of its own, so that none is
-    evaluated again for every element."""
+    evaluated again for every element.  ``searched_once``: one search marks the matches in the text, which is
+    cut at the marks (texts that hold the mark itself are searched twice)."""
     g, m, n, at = (f"__{name}_{x}" for x in ("gaps", "found", "len", "at"))
     empty = F.array().cast(SPAN)
     held = F.lit(True) if only_if is None else only_if
-    df = df.withColumn(m, F.when(held, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
-    df = df.withColumn(g, F.when(F.size(m) > 0, F.split(text, pattern, -1)))
+    if searched_once:
+        marked, plain = f"__{name}_marked", ~F.contains(text, F.lit(MARK))
+        df = df.withColumn(marked, F.when(held & plain, F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)))
+
+        def every_second(first):
+            return F.filter(marked, lambda v, i: i % 2 == first)
+        df = df.withColumn(m, F.when(held & plain, every_second(1)).when(held, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
+        df = df.withColumn(g, F.when(F.size(m) > 0, F.when(plain, every_second(0)).otherwise(F.split(text, pattern, -1)))).drop(marked)
+    else:
+        df = df.withColumn(m, F.when(held, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
+        df = df.withColumn(g, F.when(F.size(m) > 0, F.split(text, pattern, -1)))
     df = df.withColumn(n, F.zip_with(m, F.slice(g, F.lit(1), F.size(m)),
                                      lambda v, gap: (F.length(v) + F.length(gap)).cast("long")))
     df = df.withColumn(at, F.when(F.size(m) > 0, starts(F.col(n))))

@@ -19,7 +19,7 @@ PLAIN = ["commit 3f786850e387550fdab836ed7e6dc881de23001b done", "password: requ
 
 @pytest.fixture(scope="module")
 def judged(spark):
-    """The forms among many findings of one other form."""
+    """The forms beside many findings of one other form."""
     common = [f'token = "{i:040x}"' for i in range(10**30, 10**30 + 60)] + [f"commit {i:040x}" for i in range(60)]
     docs = spark.createDataFrame(list(enumerate([f for f, _ in FORMS] + PLAIN + common)), "doc_id long, text string")
     model = secret_scan.train(docs)
