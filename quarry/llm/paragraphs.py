@@ -33,6 +33,7 @@ from quarry.llm._graph import components
 from quarry.llm._io import written
 
 BLOCK = 128
+KEY_BITS = 27
 _END = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
 _rng = np.random.default_rng(11)
 _FACTOR = _rng.integers(1, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -222,6 +223,31 @@ def _compare(k: int, threshold: float):
     return run
 
 
+def _key_bits(groups: DataFrame) -> np.ndarray:
+    """A bitmap of 2 ** KEY_BITS places (16 MB, whatever the number of keys) with the places of all shared keys."""
+    slot = F.col("key").bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+    parts = (groups.groupBy(F.shiftright(slot, 15).alias("part"))
+             .agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("bits")).collect())
+    out = np.zeros(1 << (KEY_BITS - 3), np.uint8)
+    for r in parts:
+        out[r["part"] * 4096:(r["part"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def _holding(shared):
+    """Rows (h, bands) -> (h, key) of the keys whose place in the bitmap is set: all shared ones and few others."""
+    def run(batches):
+        bits = shared.value
+        for batch in batches:
+            bands = batch.column(1)
+            key = bands.flatten().to_numpy(zero_copy_only=False)
+            h = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(bands.offsets.to_numpy()))
+            slot = key & ((1 << KEY_BITS) - 1)
+            hit = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+            yield pa.RecordBatch.from_arrays([pa.array(h[hit]), pa.array(key[hit])], names=["h", "key"])
+    return run
+
+
 def clusters(paragraphs: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """(h, cluster) of the distinct paragraphs that are similar to another; ``cluster`` is its
     smallest hash."""
@@ -229,8 +255,11 @@ def clusters(paragraphs: DataFrame, shingle: int, threshold: float) -> DataFrame
     distinct = paragraphs.groupBy("h").agg(F.first("bands").alias("bands"))
     keyed = distinct.select("h", F.explode("bands").alias("key"))  # each band has hash functions of its own
     # a paragraph whose band nobody shares leaves here; the counts are combined map-side
-    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).where("n > 1")
-    members = written(keyed.join(groups, "key"), "paragraph-groups")
+    groups = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).where("n > 1"), "paragraph-shared")
+    shared = paragraphs.sparkSession.sparkContext.broadcast(_key_bits(groups))
+    held = paragraphs.select("h", "bands").mapInArrow(_holding(shared), "h long, key long").distinct()
+    members = written(held.join(groups, "key"), "paragraph-groups")
+    shared.unpersist()
     pairs = members.where("h != least").select(F.col("least").alias("a"), F.col("h").alias("b")).distinct()
     pairs = written(pairs, "paragraph-pairs")
     wanted = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
