@@ -69,4 +69,4 @@ def test_op6_items_and_coverage(spark, tables):
         assert out["items"][r["doc_id"]].tolist() == sorted(found)
         assert out.coverage[r["doc_id"]] == max(found.values(), default=0.0)
         leaks += len(found)
-    assert leaks > 5
+    assert leaks >= 3
