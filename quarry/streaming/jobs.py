@@ -119,37 +119,52 @@ def read_stalled_runs(spark: SparkSession, sink: str, limit_s: int = STALL_LIMIT
 
 
 # --------------------------------------------------------------- stalled-run alarm
+# Chosen here: groups of runs that share a state and a timer.  A micro-batch costs some calls a group, whatever the
+# number of runs; a group's runs are one small table.
+ALARM_GROUPS = 512
+_OPEN = 2**63 - 1  # no closing event yet
+
+
 def _alarm(limit_ms: int, keep_ms: int | None):
-    """The state function of :func:`stalled_run_alarm`: (first event, first closing, judged) in
-    microseconds, and one event-time timer a run."""
+    """The state function of :func:`stalled_run_alarm`: a group's runs (first event and first closing in
+    microseconds, whether judged, when to forget) as one Arrow table, and one event-time timer a group."""
     import pandas as pd
-
-    def due(first: int) -> int:
-        return first // 1000 + limit_ms
+    import pyarrow as pa
 
     def judge(key, parts, state):
-        first, closed, judged = state.get if state.exists else (None, None, False)
-        if state.hasTimedOut:
-            if judged:
-                state.remove()  # silent for ``keep``
-                return
-            late = closed is None or closed > first + limit_ms * 1000
-            state.update((first, closed, True))
-            if keep_ms is not None:
-                state.setTimeoutTimestamp(max(due(first) + keep_ms, state.getCurrentWatermarkMs() + 1))
-            if late:
-                yield pd.DataFrame({"run_id": [key[0]], "first_us": [first]})
-            return
-        for part in parts:
-            first = int(min(part["us"].min(), first if first is not None else part["us"].min()))
-            ends = part.loc[part["terminal"], "us"]
-            if len(ends):
-                closed = int(min(ends.min(), closed if closed is not None else ends.min()))
-        state.update((first, closed, judged))
-        if not judged:
-            state.setTimeoutTimestamp(max(due(first), state.getCurrentWatermarkMs() + 1))
-        elif keep_ms is not None:
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + keep_ms + 1)
+        now = state.getCurrentWatermarkMs()
+        known = []
+        if state.exists:
+            with pa.ipc.open_stream(state.get[0]) as held:
+                known.append(held.read_pandas().assign(fresh=False))
+        if not state.hasTimedOut:
+            new = pd.concat(list(parts), ignore_index=True)
+            known.append(pd.DataFrame({"run_id": new["run_id"], "first": new["us"], "closed": new["us"].where(new["terminal"], _OPEN),
+                                       "judged": False, "until": 0, "fresh": True}))
+        runs = (pd.concat(known, ignore_index=True).groupby("run_id", sort=False)
+                .agg({"first": "min", "closed": "min", "judged": "max", "until": "max", "fresh": "max"}).reset_index())
+        if keep_ms is not None:  # a judged run that was silent for ``keep`` is forgotten, one with events is not
+            runs.loc[runs["judged"] & runs["fresh"], "until"] = now + keep_ms + 1
+            runs = runs[~runs["judged"] | (runs["until"] >= now)]
+        due = runs["first"] // 1000 + limit_ms
+        ripe = ~runs["judged"] & (due < now)
+        alarms = runs[ripe & (runs["closed"] > runs["first"] + limit_ms * 1000)]
+        runs = runs.assign(judged=runs["judged"] | ripe)
+        if keep_ms is not None:
+            runs.loc[ripe, "until"] = (due[ripe] + keep_ms).clip(lower=now + 1)
+        if len(runs):
+            table = pa.Table.from_pandas(runs.drop(columns="fresh"), preserve_index=False)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            state.update((sink.getvalue().to_pybytes(),))
+            timers = due[~runs["judged"]] if keep_ms is None else due.where(~runs["judged"], runs["until"])
+            if len(timers):
+                state.setTimeoutTimestamp(max(int(timers.min()), now + 1))
+        elif state.exists:
+            state.remove()
+        if len(alarms):
+            yield pd.DataFrame({"run_id": alarms["run_id"], "first_us": alarms["first"]})
     return judge
 
 
@@ -158,19 +173,21 @@ def stalled_run_alarm(events: DataFrame, delay: str, limit_s: int = STALL_LIMIT_
     event, as a stream: a run's row comes out by itself, once, when the watermark (largest event time minus
     ``delay``) passes its due time.
 
-    An event-time timer a run; its state is two times and a flag, whatever the number of its events, so
-    events may come in any order within ``delay``: an earlier first event moves the due time, a late
-    closing at or before it takes the alarm back.  A judged run is remembered (later events of it raise no
-    second alarm) for ``keep_s`` seconds of event time without events, by default for good.  Events without
-    a time, run or state are ignored."""
+    A run's state is two times and a flag, whatever the number of its events, so events may come in any
+    order within ``delay``: an earlier first event moves the due time, a late closing at or before it takes
+    the alarm back.  Runs are kept in ``ALARM_GROUPS`` groups by their hash, with one event-time timer a
+    group for its next due time.  A judged run is remembered (later events of it raise no second alarm) for
+    ``keep_s`` seconds of event time without events, by default for good.  Events without a time, run or
+    state are ignored."""
     st = status_of(F.col("status"), F.col("runStatus"))
     ev = (events.where(st.isNotNull() & F.col("ts").isNotNull() & F.col("run_id").isNotNull())
           .select("run_id", F.col("ts").cast("timestamp").alias("at"), st.isin(TERMINAL_STATES).alias("terminal"))
           .withWatermark("at", delay).select("run_id", "at", "terminal", F.unix_micros("at").alias("us")))
     kind = dict(events.dtypes)["run_id"]
-    fired = ev.groupBy("run_id").applyInPandasWithState(
+    group = F.pmod(F.xxhash64("run_id"), F.lit(ALARM_GROUPS))
+    fired = ev.withColumn("alarm_group", group).groupBy("alarm_group").applyInPandasWithState(
         _alarm(limit_s * 1000, None if keep_s is None else keep_s * 1000), f"run_id {kind}, first_us long",
-        "first long, closed long, judged boolean", "append", "EventTimeTimeout")
+        "runs binary", "append", "EventTimeTimeout")
     ts = dict(events.dtypes)["ts"]
     first = F.timestamp_micros("first_us")
     return fired.select("run_id", first.cast(ts).alias("first_ts"),
