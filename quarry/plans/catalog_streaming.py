@@ -186,12 +186,11 @@ def q_run_report_own(spark, sf):
     rp.reported(fx.docs(spark, sf), lambda d: write_index(d, f"{base}/index"), "index", f"{base}/runs",
                 rejected=F.lower("file_name").like("%.png"), size=F.col("file_size"))
     pages = fx.table(spark, sf, "pages")
-    # one file a wave, one batch a file
+    # a wave, in as many files as it has, is drained before the next: one batch a wave
     for k in range(WAVES):
-        pages.where(F.col("page_id") % WAVES == k).coalesce(1).write.mode("append").parquet(f"{base}/pages")
-    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/pages")
-    rp.stream_reported(ix.map_fields(fx.page_files_from(stream)), f"{base}/sink", f"{base}/checkpoint", "pages", f"{base}/runs",
-                       size=F.col("file_size")).awaitTermination()
+        pages.where(F.col("page_id") % WAVES == k).write.mode("append").parquet(f"{base}/pages")
+        stream = ix.map_fields(fx.page_files_from(spark.readStream.schema(pages.schema).parquet(f"{base}/pages")))
+        rp.stream_reported(stream, f"{base}/sink", f"{base}/checkpoint", "pages", f"{base}/runs", size=F.col("file_size")).awaitTermination()
     runs = rp.read_runs(spark, f"{base}/runs")
     total = runs.groupBy("indexer").agg(F.sum("bytes").alias("total_bytes"))
     report = rn.run_report(runs).select("indexer", "last_status", "runs", "total_processed", "total_failed")

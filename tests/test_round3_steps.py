@@ -44,3 +44,40 @@ def test_an_index_replaces_the_one_before(spark, scratch):
     post = spark.read.parquet(f"{scratch}/i/postings")
     assert {(r["field"], r["term"], r["id"]) for r in post.collect()} == {
         ("content", "new", "b"), ("content", "words", "b"), ("file_name", "b", "b"), ("file_name", "txt", "b")}
+
+
+def test_alarm_calls_a_group_once_a_batch(spark, scratch):
+    import datetime as dt
+
+    from quarry.streaming import jobs as sj
+    n = 20_000
+    rows = spark.range(n).select(F.concat(F.lit("r"), F.col("id")).alias("run_id"), F.lit(dt.datetime(2024, 1, 1)).alias("ts"),
+                                 F.when(F.col("id") % 5 == 0, "Failed").otherwise("Running").alias("status"),
+                                 F.lit(None).cast("string").alias("runStatus"), F.col("id").alias("event_id"))
+    last = rows.where("run_id = 'r0'").withColumn("ts", F.lit(dt.datetime(2024, 1, 2)))
+    for k, part in enumerate((rows, last)):
+        part.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(f"{scratch}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{scratch}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch}/in")
+    q = sj.stream_run_alarm(stream, f"{scratch}/sink", f"{scratch}/ckpt", "1 minute", keep_s=3600)
+    q.awaitTermination()
+    got = sj.read_run_alarm(spark, f"{scratch}/sink")
+    assert got.count() == got.select("run_id").distinct().count() == n - n // 5
+    # a state of its own for every run would be n rows
+    assert max(p.stateOperators[0].numRowsTotal for p in q.recentProgress) <= sj.ALARM_GROUPS
+
+
+def test_config_layers_are_dealt_out_before_they_grow(spark):
+    from quarry.operators import governance as gv
+    layers = fx.config_layers(spark, SF_SMALL)
+    assert layers.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # the table is one file
+    assert _plan(gv.resolve_config(layers)).count("Exchange") == 1
+
+
+def test_own_runs_write_pages_by_many_tasks(spark, scratch, monkeypatch):
+    from quarry.plans import catalog_streaming as cs
+    for t in ("documents", "pages"):
+        fx.table(spark, SF_SMALL, t).repartition(6).write.parquet(f"{scratch}/in/{t}.parquet")
+    monkeypatch.setattr(cs, "scratch_path", lambda spark, name: f"{scratch}/own")
+    report = {r["indexer"]: r for r in cs.q_run_report_own(spark, f"{scratch}/in").collect()}
+    assert report["pages"]["runs"] == cs.WAVES and report["pages"]["total_processed"] == fx.table(spark, SF_SMALL, "pages").count()
+    assert len(spark.read.parquet(f"{scratch}/own/pages").inputFiles()) > cs.WAVES  # one task a wave read the whole table before
