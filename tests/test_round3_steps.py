@@ -81,3 +81,17 @@ def test_own_runs_write_pages_by_many_tasks(spark, scratch, monkeypatch):
     report = {r["indexer"]: r for r in cs.q_run_report_own(spark, f"{scratch}/in").collect()}
     assert report["pages"]["runs"] == cs.WAVES and report["pages"]["total_processed"] == fx.table(spark, SF_SMALL, "pages").count()
     assert len(spark.read.parquet(f"{scratch}/own/pages").inputFiles()) > cs.WAVES  # one task a wave read the whole table before
+
+
+def test_impacts_move_postings_once_and_answer_alike(spark, scratch):
+    docs = _docs(spark, [(f"d{i:02d}", f"red fox {'dog ' * (i % 4)}w{i}", "red" if i % 3 else None) for i in range(60)])
+    queries = spark.createDataFrame([(1, "red dog"), (2, "fox w7"), (3, "none")], "query_id int, query string")
+    for name, rows in (("once", docs), ("again", docs.unionByName(docs.limit(5)))):
+        se.write_search_index(rows, f"{scratch}/{name}", blocks=True)
+        plain = sorted(map(tuple, se.retrieve_index(spark, f"{scratch}/{name}", queries, 3).collect()))
+        weights = se._impact_weights(spark, f"{scratch}/{name}", se.SEARCHABLE)
+        se.write_impacts(spark, f"{scratch}/{name}")
+        assert sorted(map(tuple, se.retrieve_index(spark, f"{scratch}/{name}", queries, 3).collect())) == plain
+        assert plain == sorted(map(tuple, se.retrieve_batch(queries, rows, 3).collect()))
+        if name == "once":
+            assert "Window" not in _plan(weights)  # lengths are not looked up among all postings
