@@ -95,3 +95,20 @@ def test_impacts_move_postings_once_and_answer_alike(spark, scratch):
         assert plain == sorted(map(tuple, se.retrieve_batch(queries, rows, 3).collect()))
         if name == "once":
             assert "Window" not in _plan(weights)  # lengths are not looked up among all postings
+
+
+def test_streamed_postings_are_not_shuffled(spark, scratch, monkeypatch):
+    from quarry.streaming import index as si
+    plans = []
+    build = si.build_postings
+
+    def seen(docs, fields, **how):
+        out = build(docs, fields, **how)
+        plans.append(_plan(out))
+        return out
+    monkeypatch.setattr(si, "build_postings", seen)
+    docs = fx.docs(spark, SF_SMALL)
+    docs.write.parquet(f"{scratch}/in")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{scratch}/in")
+    si.stream_index(stream, f"{scratch}/i", f"{scratch}/ckpt").awaitTermination()
+    assert len(plans) == 2 and not any("Exchange" in p for p in plans)
