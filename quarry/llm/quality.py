@@ -7,8 +7,12 @@ the latent scores of the training rows (by default the share of label 0), and th
 score is the logistic of the distance to that quantile, placed so that ``threshold`` is the
 published score at the quantile.
 
-Scale: fitting reads a bounded sample (``max_train`` labelled rows, lowest id hashes, and
-``max_pairs`` pairs); scoring is one narrow pass, no shuffle.
+Scale: fitting takes every labelled row and every pair of a label-1 and a label-0 row.  Texts become
+features once, in the tasks that read them; these meet the labels and are written.  A pair's loss depends
+on two scores alone, so a Newton step deals each row out to the two places of a grid next to its score
+(``GRID`` places a unit, the loss linear between them) and sums the rows of a place: two aggregates over
+the features, whose results have a row a place.  The quantile is the exact order statistic of all rows.
+Scoring is one narrow pass, no shuffle.
 
 Defined results: null or empty text has all features at their empty value (0) and gets a
 score like any other row; null ids are scored (``held_out`` is null for them in the query);
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm import _text as X
+from quarry.llm._io import written
 
 FEATURES = ("log_bytes", "upper", "digit", "symbol", "newline", "space", "word_length", "symbol_end",
             "symbol_only", "same_as_previous", "repeated_words", "repeated_grams", "long_words",
@@ -94,55 +99,112 @@ def _feature_column(text: Column) -> Column:
     return of(text)
 
 
-def fit_bradley_terry(x: np.ndarray, y: np.ndarray, max_pairs: int = 200_000, l2: float = 1e-3,
-                      steps: int = 60) -> dict:
-    """Newton iterations on the pairwise logistic loss.  Each row of the smaller class meets
-    equally many rows of the other, at most ``max_pairs`` pairs; one class only: no model."""
-    up, down = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(up) or not len(down):
+GRID = 16  # places a unit of score
+DIGITS = 6  # of the model: sums that Spark adds up in another order give the same one
+BUCKETS = 4096  # counted at a time to find an order statistic
+
+
+def _standard(mean: np.ndarray, scale: np.ndarray) -> list[Column]:
+    return [(F.col("x")[i] - F.lit(float(m))) / F.lit(float(s)) for i, (m, s) in enumerate(zip(mean, scale, strict=True))]
+
+
+def _latent(z: list[Column], w: np.ndarray) -> Column:
+    return sum((c * F.lit(float(v)) for c, v in zip(z, w, strict=True)), F.lit(0.0))
+
+
+def _places(rows: DataFrame, z: list[Column], w: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per label: the places of the grid that rows are next to, the rows dealt to each, and the sums of their
+    features.  A row a place comes back, whatever the number of rows."""
+    at = rows.select("y", *[c.alias(f"z{i}") for i, c in enumerate(z)], (_latent(z, w) * GRID).alias("s"))
+    low = F.floor("s")
+    near = at.withColumn("p", F.explode(F.array(
+        F.struct(low.alias("at"), (1 - (F.col("s") - low)).alias("share")),
+        F.struct((low + 1).alias("at"), (F.col("s") - low).alias("share")))))
+    sums = near.groupBy("y", F.col("p.at").alias("at")).agg(
+        F.sum("p.share").alias("n"), *[F.sum(F.col("p.share") * F.col(f"z{i}")).alias(f"z{i}") for i in range(len(z))])
+    found = np.array(sorted(tuple(r) for r in sums.collect()))
+    return [(t[:, 1] / GRID, t[:, 2], t[:, 3:]) for t in (found[found[:, 0] == label] for label in (0, 1))]
+
+
+def _curvature(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, w: np.ndarray, weights) -> np.ndarray:
+    """Sum of z z' over the rows, each weighted by its label's weights (places, values) at its score."""
+    def run(batches):
+        total = np.zeros((len(w), len(w)))
+        for batch in batches:
+            z = (np.asarray(batch.column(1).flatten()).reshape(-1, len(w)) - mean) / scale
+            y, s = np.asarray(batch.column(0)), z @ w
+            c = np.where(y == 1, np.interp(s, *weights[1]), np.interp(s, *weights[0]))
+            total += (z * c[:, None]).T @ z
+        yield pa.RecordBatch.from_arrays([pa.array(range(total.size), pa.int32()), pa.array(total.ravel())], names=["k", "v"])
+    sums = rows.select("y", "x").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v"))
+    return np.array([v for _, v in sorted(tuple(r) for r in sums.collect())]).reshape(len(w), len(w))
+
+
+def fit_bradley_terry(rows: DataFrame, l2: float = 1e-3, steps: int = 60) -> dict:
+    """Newton iterations on the pairwise logistic loss over all pairs of rows (y, x) of different
+    classes; one class only: no model."""
+    k = len(FEATURES)
+    of = rows.agg(F.count_if(F.col("y") == 0).alias("down"), F.count_if(F.col("y") == 1).alias("up"),
+                  *[F.avg(F.col("x")[i]) for i in range(k)], *[F.stddev_pop(F.col("x")[i]) for i in range(k)]).first()
+    if not of["up"] or not of["down"]:
         return {"w": None}
-    mean, scale = x.mean(0), x.std(0)
-    scale = np.where(scale < 1e-9, 1.0, scale)
-    z = (x - mean) / scale
-    each = max(1, min(max(len(up), len(down)), max_pairs // min(len(up), len(down))))
-    rng = np.random.default_rng(7)
-    few, many = (down, up) if len(down) <= len(up) else (up, down)
-    a = np.repeat(few[:max_pairs], each)
-    b = many[(rng.integers(0, len(many), len(few[:max_pairs]))[:, None] + np.arange(each)) % len(many)].ravel()
-    d = (z[b] - z[a]) if few is down else (z[a] - z[b])
-    w = np.zeros(z.shape[1])
+    mean, scale = np.round(of[2:2 + k], 12), np.array(of[2 + k:])
+    scale = np.where(scale < 1e-9, 1.0, np.round(scale, 12))
+    z, w, pairs = _standard(mean, scale), np.zeros(k), float(of["up"]) * of["down"]
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-        grad = d.T @ (1 - p) / len(d) - l2 * w
-        hess = (d * (p * (1 - p))[:, None]).T @ d / len(d) + l2 * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
+        (t0, n0, z0), (t1, n1, z1) = _places(rows, z, w)
+        grad, cross, c0, c1 = np.zeros(k), np.zeros((k, k)), np.zeros(len(t0)), np.zeros(len(t1))
+        for i in range(0, len(t1), 256):
+            part = slice(i, i + 256)
+            q = 1 / (1 + np.exp(np.clip(t1[part, None] - t0, -30, 30)))
+            v = q * (1 - q)
+            grad += (q @ n0) @ z1[part] - (n1[part] @ q) @ z0
+            cross += z1[part].T @ (v @ z0)
+            c1[part], c0 = v @ n0, c0 + n1[part] @ v
+        hess = (_curvature(rows, mean, scale, w, ((t0, c0), (t1, c1))) - cross - cross.T) / pairs + l2 * np.eye(k)
+        step = np.linalg.solve(hess, grad / pairs - l2 * w)
         w = w + step * min(1.0, 3.0 / max(1e-12, np.abs(step).max()))
-        if np.abs(step).max() < 1e-7:
+        if np.abs(step).max() < 1e-5:
             break
-    return {"w": w, "mean": mean, "scale": scale, "latent": z @ w}
+    return {"w": np.round(w, DIGITS), "mean": mean, "scale": scale}
+
+
+def _around(values: DataFrame, k: int) -> tuple[float, float]:
+    """The k-th smallest (from 1) of a table's numbers ``s`` and the one after it (itself if last): buckets
+    are counted, then the buckets of the one that holds it, until it holds one value only."""
+    low, high = values.agg(F.min("s"), F.max("s")).first()
+    below, after = 0, None
+    while True:
+        width = (high - low) / BUCKETS
+        bucket = F.least(F.floor((F.col("s") - low) / width), F.lit(BUCKETS - 1)) if width > 0 else F.lit(0)
+        found = sorted(tuple(r) for r in values.where(F.col("s").between(low, high)).groupBy(bucket.cast("long").alias("b")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("s"), F.max("s")).collect())  # at most BUCKETS rows
+        at = 0
+        while below + found[at][1] < k:
+            below, at = below + found[at][1], at + 1
+        after = found[at + 1][2] if at + 1 < len(found) else after
+        _, n, low, high = found[at]
+        if low == high:
+            return low, low if below + n > k or after is None else after
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id",
-          text_col: str = "text", max_train: int = 20_000, max_pairs: int = 200_000,
-          threshold: float = 0.3, quantile: float | None = None) -> dict:
-    """Fit on at most ``max_train`` labelled rows (those of lowest id hash).  ``quantile`` of
-    their latent scores is the acceptance threshold; None: the share of label 0."""
-    picked = (labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__y"))
-              .where(F.col("__y").isin(0, 1) & F.col("__id").isNotNull())
-              .orderBy(F.xxhash64("__id"), "__id", "__y").limit(max_train))
-    rows = (docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-            .join(F.broadcast(picked), "__id")  # at most max_train rows of two numbers
-            .select("__id", "__y", _feature_column(F.col("__text")).alias("x")).limit(2 * max_train))
-    data = sorted((r["__id"], r["__y"], tuple(r["x"])) for r in rows.collect())
-    x = np.array([r[2] for r in data]).reshape(len(data), len(FEATURES))
-    y = np.array([r[1] for r in data])
-    model = fit_bradley_terry(x, y, max_pairs)
+          text_col: str = "text", threshold: float = 0.3, quantile: float | None = None) -> dict:
+    """Fit on all labelled rows.  ``quantile`` of their latent scores is the acceptance threshold; None:
+    the share of label 0."""
+    marked = (labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("y"))
+              .where(F.col("y").isin(0, 1) & F.col("__id").isNotNull()))
+    # features are made before the join: no text is shuffled
+    rows = written(docs.where(F.col(id_col).isNotNull())
+                   .select(F.col(id_col).alias("__id"), _feature_column(F.col(text_col)).alias("x"))
+                   .join(marked, "__id").select("y", "x"), "quality-features")
+    model = fit_bradley_terry(rows)
     if model["w"] is not None:
-        latent = np.sort(model.pop("latent"))
-        q = float((y == 0).mean()) if quantile is None else quantile
-        k = min(len(latent) - 1, max(1, int(round(q * len(latent)))))
-        model["cut"] = float((latent[k - 1] + latent[k]) / 2)
-        model["spread"] = float(max(1e-6, np.std(latent)))
+        values = rows.select("y", _latent(_standard(model["mean"], model["scale"]), model["w"]).alias("s"))
+        n, down, spread = values.agg(F.count(F.lit(1)), F.count_if(F.col("y") == 0), F.stddev_pop("s")).first()
+        q = down / n if quantile is None else quantile
+        model["cut"] = round(sum(_around(values, min(n - 1, max(1, int(round(q * n)))))) / 2, 2 * DIGITS)
+        model["spread"] = round(max(1e-6, spread), DIGITS)
     model["threshold"] = threshold
     return model
 
