@@ -36,7 +36,7 @@ def waves_of(df: DataFrame, wave: Column, name: str, waves: int = WAVES) -> Data
     spark = df.sparkSession
     path = scratch_path(spark, f"waves-{name}-{uuid.uuid4().hex[:12]}")
     for k in range(waves):
-        df.where(wave == k).write.mode("append").parquet(path)
+        df.where(wave == k).write.mode("append").option("compression", "zstd").parquet(path)
     files = len(spark.read.parquet(path).inputFiles())
     return (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, files // waves)).parquet(path))
 
