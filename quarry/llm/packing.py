@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from quarry.llm import _text as X
 from quarry.llm._io import written
 
-KNOWN_PARTS = 2_000_000
+KNOWN_BYTES = 12 << 20  # of known parts, some 300,000; every Python worker of an executor keeps its own
+CHUNK_BYTES, ROWS = 1 << 19, 500
 _TOKENIZERS: dict = {}
 _CODES = np.arange(256)
 _OUT, _LETTER, _DIGIT, _OTHER, _WHOLE = range(5)
@@ -67,6 +68,9 @@ class _Words:
         self.hash = np.zeros(0, np.uint64)
         self.start, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def known_bytes(self) -> int:
+        return sum(x.nbytes for x in (self.hash, self.start, self.count, self.flat))
+
     def _encode(self, parts: list[bytes], single: np.ndarray) -> list[np.ndarray]:
         """Ids of each part; ``single`` ones are not split further, so many go in one call."""
         out: list = [None] * len(parts)
@@ -134,13 +138,8 @@ class _Words:
             return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
         u, first, back = np.unique(X.span_hash(low, s, e), return_index=True, return_inverse=True)
 
-        def unknown() -> np.ndarray:
-            at = np.searchsorted(self.hash, u)
-            return np.flatnonzero((at == len(self.hash)) | (np.append(self.hash, np.uint64(0))[at] != u))
-        new = unknown()
-        if len(self.hash) + len(new) > KNOWN_PARTS:
-            self.clear()
-            new = unknown()
+        at = np.searchsorted(self.hash, u)
+        new = np.flatnonzero((at == len(self.hash)) | (np.append(self.hash, np.uint64(0))[at] != u))
         if len(new):
             raw, k = low.tobytes(), kind[first[new]]
             parts = [raw[a:b] for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)]
@@ -149,12 +148,14 @@ class _Words:
         count = self.count[at]
         before = np.cumsum(count) - count
         ids = self.flat[np.repeat(self.start[at] - before, count) + np.arange(int(count.sum()))]
+        if self.known_bytes() > KNOWN_BYTES:
+            self.clear()
         return ids, X.segment_sum(count, np.searchsorted(s, off))
 
     def texts(self, col: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(32-bit ids of all texts, each followed by ``end_id``; ids per text)."""
         ids, counts = [], []
-        for _, _, data, off in X.chunks(col):
+        for _, _, data, off in X.chunks(col, CHUNK_BYTES):
             raw = data.tobytes()
             if any(m in raw for m in self.marks):
                 each = [self._text(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
@@ -189,7 +190,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "do
     tokens that its source has before it in that task.  Written, hence stable."""
     def run(batches):
         words, part, served = _words(tokenizer), TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             ids, n = words.texts(batch.column(1), end_id)
             before = []
             for s, k in zip(batch.column(2).to_pylist(), n.tolist(), strict=True):
