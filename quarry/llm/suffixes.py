@@ -324,7 +324,7 @@ def _sieve(keys: DataFrame) -> np.ndarray:
 
 
 def _perhaps(sieve: np.ndarray, key: Column) -> Column:
-    """Whether a text may be in the sieved table; only such texts need to move to meet it."""
+    """Whether a hash may be in the sieved table; only such rows need to move to meet it."""
     @F.arrow_udf("boolean")
     def of(d: pa.Array) -> pa.Array:
         at = np.asarray(d) % SIEVE_BITS
@@ -363,15 +363,17 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                     F.coalesce("x.hulls", F.xxhash64("a", "c", "g")).alias("u")))
     shared = core.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     met = written(core.join(shared, "h", "left_semi").drop("h"), "suffix-met")
-    kinds = written(met.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("a")
-                    .agg(F.count(F.lit(1)).alias("kinds")), "suffix-kinds")
-    few = (cut.drop("cores", "hulls").join(kinds.where(F.col("kinds") <= hot).select("a"), "a", "left_semi")
-           .join(met.select("a", "c").distinct(), ["a", "c"], "left_semi").select("a", "c", "d", "lo", "bytes"))
+    # contexts with a group that is met; texts move only to the contexts chosen by these narrow rows
+    alive = written(met.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n")).select("a", "c"), "suffix-alive")
+    kinds = written(alive.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")), "suffix-kinds")
+    chosen = alive.join(kinds.where(F.col("kinds") <= hot).select("a"), "a", "left_semi")
+    perhaps_hot = _perhaps(_sieve(kinds.where(F.col("kinds") > hot).select(F.col("a").alias("d"))), F.col("a"))
+    few = cut.select("a", "c", "d", "lo", "bytes").join(chosen, ["a", "c"], "left_semi")
     indexed = (few.repartition("a").sortWithinPartitions("a")
                .mapInArrow(_indexed(length), "a long, c long, begin int, end int"))
     # hot anchors: a group all of whose windows are met together is repeated as a whole, and one copy
     # of it stands for the others where the windows of the remaining groups are counted one by one
-    many = written(met.join(kinds.where(F.col("kinds") > hot).select("a"), "a", "left_semi"), "suffix-many")
+    many = written(met.where(perhaps_hot).join(kinds.where(F.col("kinds") > hot).select("a"), "a", "left_semi"), "suffix-many")
     hulls = written(many.groupBy("u").agg(F.count(F.lit(1)).alias("n"), *[F.first(x).alias(x) for x in ("a", "c", "g")]),
                     "suffix-hulls")
     first, last = (F.array(*[F.lit(x[j]) for x in _steps(length, anchor)]) for j in (0, 1))
@@ -379,7 +381,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
              .select("a", "c", (F.col("r") - F.get(last, F.col("g"))).alias("begin"),
                      (F.col("r") - F.get(first, F.col("g")) + length).alias("end")))
     open_ = hulls.groupBy("a", "c").agg(F.collect_set("g").alias("met"))
-    windows = written(cut.drop("cores", "hulls").join(open_, ["a", "c"]).select("a", "c", "d", "pos", "lo", "bytes", "met")
+    windows = written(cut.drop("cores", "hulls").where(perhaps_hot).join(open_, ["a", "c"])
+                      .select("a", "c", "d", "pos", "lo", "bytes", "met")
                       .mapInArrow(_windows(length, anchor), "h long, d long, at int, a long, c long, begin int"),
                       "suffix-windows")
     place = F.struct("d", "at")
