@@ -2,8 +2,8 @@
 
 A byte goes if a ``length``-byte string over it also starts somewhere else in the corpus.  Texts
 are first sampled: of every window of ``length`` bytes the ``anchor``-byte string of smallest hash
-is an anchor, so equal windows hold an anchor of one hash, and the context of an anchor (all
-windows that hold it) tells everything about them.  Anchors that occur once are done with.  Equal
+is an anchor, so equal windows have an anchor of one hash, and the context of an anchor (the
+windows that it is the smallest of) tells everything about them.  Anchors that occur once are done with.  Equal
 contexts are counted, map-side combined: one that occurs twice is repeated from end to end.
 Contexts that share an anchor and differ otherwise may still share windows: the windows are taken
 in ``STEPS`` groups of near places, and what all windows of a group have in common is hashed; a
@@ -39,7 +39,6 @@ from quarry.llm._io import written
 INDEX_BYTES = 1 << 18
 STEPS = 8  # groups of a context's windows
 SIEVE_BITS = 1 << 22
-FIRST = 7  # symbols packed into the first ranks
 
 
 class RunLengthIndex:
@@ -55,48 +54,63 @@ class RunLengthIndex:
         self.rest = np.repeat(end, size) - np.arange(n)  # symbols before the separator
         self.start = start
         self.symbols = symbol
-        ranks = self._sort(symbol, n)
-        order = np.empty(n, np.int64)
-        order[ranks[-1][1]] = np.arange(n)
+        order, ranks, first = self._sort(symbol, n)
         before = np.where(order > 0, symbol[order - 1], -1)
         before = np.where(before == 0, -2 - order, before)  # separators differ from one another
         head = np.flatnonzero(before[1:] != before[:-1]) + 1
         self.runs = before[np.concatenate([[0], head])]  # the transform, a symbol a run
         self.run_start = np.concatenate([[0], head])
         self.last, self.first = order[head - 1], order[head]  # sampled run ends
-        self.common = self._common(ranks, self.last, self.first)
-
-    def _sort(self, symbol: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
-        """(depth, rank of every suffix by that many symbols), doubled until all differ.  A suffix
-        whose separator comes sooner has a rank of its own."""
-        key = np.zeros(n, np.int64)
-        padded = np.concatenate([symbol, np.zeros(FIRST, np.int64)])
-        for j in range(FIRST):
-            key = key * 257 + np.where(self.rest >= j, padded[j:j + n], 0)
-        depth, out = FIRST, []
+        self.common = self._common(ranks, first, self.last, self.first)
+
+    def _sort(self, symbol: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray]], int]:
+        """The suffixes in order, (depth, how many of it the next depth has, rank of every suffix by that many
+        symbols) until all differ, and the first depth.  Only suffixes that share a rank are sorted
+        again.  A suffix whose separator comes sooner has a rank of its own."""
+        present = np.flatnonzero(np.bincount(symbol, minlength=257))
+        code = np.zeros(257, np.int64)
+        code[present] = np.arange(len(present))  # the separator, the smallest, stays 0
+        key, first = code[symbol], 1  # symbols packed into the first ranks: as many as fit
+        while 2 * first * np.log2(max(len(present), 2)) < 62:
+            far = np.append(key[first:], np.zeros(min(first, n), np.int64))
+            key = key * len(present) ** first + np.where(self.rest >= first, far, 0)
+            first *= 2
+        depth, out = first, []
+        parts = 3 if n < 1 << 21 else 2  # ranks that fit one key
+        order = np.argsort(key)
+        k = key[order]
+        new = np.ones(n, bool)
+        new[1:] = (k[1:] != k[:-1]) | (self.rest[order[1:]] < depth) | (self.rest[order[:-1]] < depth)
+        rank = np.empty(n, np.int32)
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         while True:
-            order = np.argsort(key, kind="stable")
-            k = key[order]
-            new = np.ones(n, bool)
-            new[1:] = (k[1:] != k[:-1]) | (self.rest[order[1:]] < depth) | (self.rest[order[:-1]] < depth)
-            rank = np.empty(n, np.int32)
-            rank[order] = np.cumsum(new) - 1
-            out.append((depth, rank))
-            if new.all():
-                return out
-            far = np.minimum(np.arange(n) + depth, n - 1)
-            key = rank.astype(np.int64) * n + np.where(self.rest >= depth, rank[far], 0)
-            depth *= 2
-
-    def _common(self, ranks, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            out.append((depth, parts, rank))
+            slot = np.flatnonzero(~(new & np.append(new[1:], True)))  # of those that share a rank
+            if not len(slot):
+                return order, out, first
+            at = order[slot]
+            key = rank[at].astype(np.int64)
+            for j in range(1, parts):
+                far = at + j * depth
+                key = key * n + np.where(self.rest[at] >= j * depth, rank[np.minimum(far, n - 1)], 0)
+            again = np.argsort(key)
+            order[slot] = at = at[again]
+            k = key[again]
+            new[slot[1:]] = k[1:] != k[:-1]
+            rank = rank.copy()
+            rank[at] = np.maximum.accumulate(np.where(new[slot], slot, 0))
+            depth *= parts
+
+    def _common(self, ranks, first: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes a and b, by the ranks of all depths."""
         common = np.zeros(len(a), np.int64)
-        for depth, rank in reversed(ranks):
-            ok = (self.rest[a] - common >= depth) & (self.rest[b] - common >= depth)
-            i, j = a + np.where(ok, common, 0), b + np.where(ok, common, 0)
-            common += np.where(ok & (rank[i] == rank[j]), depth, 0)
+        for depth, parts, rank in reversed(ranks):
+            for _ in range(parts - 1):
+                ok = (self.rest[a] - common >= depth) & (self.rest[b] - common >= depth)
+                i, j = a + np.where(ok, common, 0), b + np.where(ok, common, 0)
+                common += np.where(ok & (rank[i] == rank[j]), depth, 0)
         # less than the first depth is left: symbol by symbol
-        for _ in range(FIRST):
+        for _ in range(first):
             ok = (self.rest[a] > common) & (self.rest[b] > common)
             i, j = np.where(ok, a + common, 0), np.where(ok, b + common, 0)
             common += ok & (self.symbols[i] == self.symbols[j])
@@ -127,14 +141,14 @@ def _slide(x: np.ndarray, w: int, least: bool) -> np.ndarray:
     return op(back[:n], fore[w - 1:w - 1 + n])
 
 
-def anchors(data: np.ndarray, off: np.ndarray, length: int, k: int):
-    """(position, hash) of the anchors of some texts."""
+def anchors(data: np.ndarray, off: np.ndarray, length: int, k: int, pre: np.ndarray):
+    """(position, hash, first and last window) of the anchors of some texts, whose bytes' prefix sums are
+    ``pre``: the windows that an anchor is the least of are neighbours."""
     n = len(data)
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    none = np.zeros(0, np.int64)
     w = length - k + 1
     if n < length:
-        return none
-    pre = X.prefix_hash(data)
+        return none, none.astype(np.uint64), none, none
     at = np.arange(n - k + 1)
     with np.errstate(over="ignore"):
         g = X.mix((pre[at + k] - pre[at]) * X._powers(X.MULT_INV, n + 1)[at]) | np.uint64(1)
@@ -146,7 +160,27 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, k: int):
     least = np.where(inside, least, np.uint64(0))
     around = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)])
     pick = np.flatnonzero(_slide(around, w, False) == g)
-    return pick, g[pick]
+    # of the runs of windows with one least hash, the anchor's is the first of its hash that ends in reach
+    run = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+    last = np.append(run[1:], len(least)) - 1
+    kind, of = np.unique(least[run], return_inverse=True)
+    order = np.lexsort((last, of))
+    at = np.searchsorted((of * n + last)[order], np.searchsorted(kind, g[pick]) * n + np.maximum(pick - w + 1, 0))
+    mine = order[at]
+    return pick, g[pick], np.maximum(run[mine], pick - w + 1), np.minimum(last[mine], pick)
+
+
+def _shape(length: int, before, size):
+    """A context's size and its anchor's place in it as one number; ``_place`` and ``_size`` take it apart."""
+    return before * (2 * length) + size
+
+
+def _place(length: int, shape):
+    return shape // (2 * length)
+
+
+def _size(length: int, shape):
+    return shape % (2 * length)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -156,24 +190,24 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def occurrences(texts: DataFrame, length: int, k: int) -> DataFrame:
-    """Every anchor: its text, place and the end of its context, and the hashes of the anchor and of
+    """Every anchor: its text, the start and shape of its context, and the hashes of the anchor and of
     the context with the anchor's place in it."""
     def run(batches):
         for batch in batches:
             for i, _, data, off in X.chunks(batch.column(1), 1 << 18):
-                pos, a = anchors(data, off, length, k)
+                pre = X.prefix_hash(data)
+                pos, a, lo, last = anchors(data, off, length, k, pre)
                 if not len(pos):
                     continue
                 doc = np.searchsorted(off, pos, side="right") - 1
-                lo = np.maximum(off[doc], pos - (length - k))
-                hi = np.minimum(off[doc + 1], pos + length)
+                hi = last + length
                 with np.errstate(over="ignore"):
-                    c = X.mix(X.span_hash(data, lo, hi) + (pos - lo).astype(np.uint64) * X.GRAM_KEY[0])
-                base = off[doc]
+                    c = X.mix(X.span_hash(data, lo, hi, pre) + (pos - lo).astype(np.uint64) * X.GRAM_KEY[0])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(doc + i))] + [pa.array((x - base).astype(np.int32)) for x in (pos, hi)]
-                    + [pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], names=["d", "pos", "hi", "a", "c"])
-    return texts.mapInArrow(run, "d long, pos int, hi int, a long, c long")
+                    [batch.column(0).take(pa.array(doc + i)), pa.array((lo - off[doc]).astype(np.int32)),
+                     pa.array(_shape(length, pos - lo, hi - lo)), pa.array(a.view(np.int64)), pa.array(c.view(np.int64))],
+                    names=["d", "lo", "shape", "a", "c"])
+    return texts.mapInArrow(run, "d long, lo int, shape long, a long, c long")
 
 
 def _steps(length: int, k: int) -> list[tuple[int, int]]:
@@ -183,9 +217,9 @@ def _steps(length: int, k: int) -> list[tuple[int, int]]:
 
 
 def _cutter(length: int, k: int):
-    """Rows (text, its wanted contexts) -> (a, c, d, pos, lo, bytes, cores, hulls): hashes of what the
-    windows of each group have in common (null: none of them is inside the text), and of all they
-    cover (null: some are not inside)."""
+    """Rows (text, its wanted contexts) -> (a, c, d, lo, shape, bytes, cores, hulls): hashes of what the
+    windows of each group have in common (null: the context has none of them), and of all they cover
+    that the context has."""
     groups = _steps(length, k)
 
     def run(batches):
@@ -196,43 +230,38 @@ def _cutter(length: int, k: int):
     def chunk(d: pa.Array, wanted: pa.Array, data: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
         flat = wanted.flatten()
         row = np.repeat(np.arange(len(d)), np.asarray(wanted.value_lengths()))
-        pos, hi = np.asarray(flat.field("pos")).astype(np.int64), np.asarray(flat.field("hi")).astype(np.int64)
-        lo = np.maximum(pos - (length - k), 0)
+        lo, shape = np.asarray(flat.field("lo")).astype(np.int64), np.asarray(flat.field("shape"))
+        place, hi = _place(length, shape), lo + _size(length, shape)
+        pos = lo + place
         pre = X.prefix_hash(data)
-        first, last = np.maximum(0, length - (hi - pos)), np.minimum(length - k, pos - lo)
+        first, last = length - (hi - pos), place
         cores, hulls = np.zeros((2, len(row), len(groups)), np.uint64)
-        there, all_there = np.zeros((2, *cores.shape), bool)
+        there = np.zeros(cores.shape, bool)
         for g, (x, y) in enumerate(groups):
             ok = np.flatnonzero((first <= y) & (last >= x))
             there[ok, g] = True
             begin = off[row[ok]] + pos[ok] - x
             with np.errstate(over="ignore"):
                 cores[ok, g] = X.mix(X.span_hash(data, begin, begin + length - (y - x), pre) + X.GRAM_KEY[g])
-            ok = np.flatnonzero((first <= x) & (last >= y))
-            all_there[ok, g] = True
-            begin = off[row[ok]] + pos[ok] - y
+            near, far = np.maximum(first[ok], x), np.minimum(last[ok], y)
+            begin = off[row[ok]] + pos[ok]
             with np.errstate(over="ignore"):
-                hulls[ok, g] = X.mix(X.span_hash(data, begin, begin + length + (y - x), pre) + X.GRAM_KEY[g])
+                hulls[ok, g] = X.mix(X.span_hash(data, begin - far, begin - near + length, pre)
+                                     + near.astype(np.uint64) * X.GRAM_KEY[g])
         raw, base = data.tobytes(), off[row]
         cut = [raw[x:y] for x, y in zip((base + lo).tolist(), (base + hi).tolist(), strict=True)]
         edges = np.arange(0, cores.size + 1, len(groups), dtype=np.int32)
         return pa.RecordBatch.from_arrays(
-            [flat.field("a"), flat.field("c"), d.take(pa.array(row)), flat.field("pos"), pa.array(lo.astype(np.int32)),
+            [flat.field("a"), flat.field("c"), d.take(pa.array(row)), flat.field("lo"), flat.field("shape"),
              pa.array(cut, pa.binary()),
-             *[pa.ListArray.from_arrays(edges, pa.array(x.view(np.int64).ravel(), mask=~ok.ravel()))
-               for x, ok in ((cores, there), (hulls, all_there))]],
-            names=["a", "c", "d", "pos", "lo", "bytes", "cores", "hulls"])
+             *[pa.ListArray.from_arrays(edges, pa.array(x.view(np.int64).ravel(), mask=~there.ravel()))
+               for x in (cores, hulls)]],
+            names=["a", "c", "d", "lo", "shape", "bytes", "cores", "hulls"])
     return run
 
 
-def _marks(a, c, begin, end):
-    """Runs [begin, end) relative to the context of (a, c)."""
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(begin, pa.int32()),
-                                       pa.array(end, pa.int32())], names=["a", "c", "begin", "end"])
-
-
 def _indexed(length: int):
-    """Contexts sorted by anchor -> the repeated runs of each, by an index of up to
+    """Contexts sorted by anchor -> the repeated runs of their texts, by an index of up to
     ``INDEX_BYTES`` of them that never parts an anchor's contexts."""
     def solve(rows: list):
         # one copy of each stretch of a text: overlapping contexts are joined
@@ -248,15 +277,25 @@ def _indexed(length: int):
             where.append((len(regions) - 1, lo - begin))
         index = RunLengthIndex([np.frombuffer(b"".join(r), np.uint8) for r in regions])
         starts = index.matching_statistics() >= length
-        out = []
-        for (a, c, _, _, raw), (r, o) in zip(rows, where, strict=True):
-            at = int(index.start[r]) + o
-            hit = np.flatnonzero(starts[at:at + len(raw) - length + 1])
-            if len(hit):
-                new = np.concatenate([[0], np.flatnonzero(np.diff(hit) > length) + 1])
-                last = np.append(new[1:], len(hit)) - 1
-                out += [(a, c, int(x), int(y) + length) for x, y in zip(hit[new], hit[last], strict=True)]
-        return _marks(*map(list, zip(*out, strict=True))) if out else None
+        hit = np.flatnonzero(starts)
+        at = np.array([int(index.start[r]) + o for r, o in where])
+        low = np.searchsorted(hit, at)
+        high = np.searchsorted(hit, at + np.array([len(row[4]) for row in rows]) - length + 1) - 1
+        some = np.flatnonzero(high >= low)
+        if not len(some):
+            return None
+        far = np.flatnonzero(np.diff(hit) > length) + 1  # first hits of runs
+        run_first, run_last = np.append(0, far), np.append(far, len(hit)) - 1
+        x = np.searchsorted(far, low[some], side="right")
+        count = np.searchsorted(far, high[some], side="right") - x + 1
+        row = np.repeat(some, count)
+        one = np.arange(len(row)) - np.repeat(np.cumsum(count) - count - x, count)
+        d, lo = (np.array([r[j] for r in rows], np.int64) for j in (2, 3))
+        back = (lo - at)[row]
+        start = hit[np.maximum(run_first[one], low[row])] + back
+        end = hit[np.minimum(run_last[one], high[row])] + length + back
+        return pa.RecordBatch.from_arrays([pa.array(d[row]), *[pa.array(x.astype(np.int32)) for x in (start, end)]],
+                                          names=["d", "start", "end"])
 
     def run(batches):
         rows, size = [], 0
@@ -278,8 +317,7 @@ def _indexed(length: int):
 
 
 def _windows(length: int, k: int):
-    """Contexts with groups that are met -> every window of these: (hash, text and place, a, c, place
-    in the context)."""
+    """Contexts with groups that are met -> every window of these: (hash, text and place)."""
     groups = _steps(length, k)
 
     def run(batches):
@@ -288,13 +326,13 @@ def _windows(length: int, k: int):
                 yield part(whole.slice(at, 512))
 
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, c, d, pos, lo, raw, met = batch.columns
+        d, lo, shape, raw, met = batch.columns
         raw = raw.to_pylist()
         off = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
         data = np.frombuffer(b"".join(raw), np.uint8)
         row = np.repeat(np.arange(batch.num_rows), np.asarray(met.value_lengths()))
         ends = np.array(groups)[np.asarray(met.flatten())] if len(row) else np.zeros((0, 2), int)
-        place = (np.asarray(pos) - np.asarray(lo))[row].astype(np.int64)  # of the anchor
+        place = _place(length, np.asarray(shape))[row]  # of the anchor
         size = np.diff(off)[row]
         first = np.maximum(ends[:, 0], length - (size - place))
         last = np.minimum(ends[:, 1], place)
@@ -304,8 +342,8 @@ def _windows(length: int, k: int):
         s = off[row[each]] + begin
         h, take = X.span_hash(data, s, s + length), pa.array(row[each])
         return pa.RecordBatch.from_arrays(
-            [pa.array(h.view(np.int64)), d.take(take), pa.array((np.asarray(lo)[row[each]] + begin).astype(np.int32)),
-             a.take(take), c.take(take), pa.array(begin.astype(np.int32))], names=["h", "d", "at", "a", "c", "begin"])
+            [pa.array(h.view(np.int64)), d.take(take), pa.array((np.asarray(lo)[row[each]] + begin).astype(np.int32))],
+            names=["h", "d", "at"])
     return run
 
 
@@ -342,25 +380,27 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     again = written(found.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"), "suffix-again")
     live = written(found.join(again, "a", "left_semi"), "suffix-repeated")
     contexts = written(live.groupBy("a", "c").agg(
-        F.count(F.lit(1)).alias("n"), *[F.first(x).alias(x) for x in ("d", "pos", "hi")]), "suffix-contexts")
-    lo = F.greatest(F.col("pos") - (length - anchor), F.lit(0))
-    full = contexts.where("n > 1").select("a", "c", F.lit(0).alias("begin"), (F.col("hi") - lo).alias("end"))
+        F.count(F.lit(1)).alias("n"), *[F.first(x).alias(x) for x in ("d", "lo", "shape")]), "suffix-contexts")
+    lo, size, place = F.col("lo"), F.col("shape") % (2 * length), F.floor(F.col("shape") / (2 * length))
+
+    def runs_of(marked, start, end):
+        return marked.select("d", start.cast("int").alias("start"), end.cast("int").alias("end"))
+    # a context that occurs twice needs no more: its runs below are parts of these
+    full = runs_of(live.join(contexts.where("n > 1").select("a", "c"), ["a", "c"], "left_semi"), lo, lo + size)
     # the text of one occurrence of every context whose anchor has others (repeated from end to end
     # or not: it may be another's only match)
     several = contexts.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("a")
     wanted = (contexts.join(several, "a", "left_semi")
-              .groupBy("d").agg(F.collect_list(F.struct("a", "c", "pos", "hi")).alias("wanted")))
+              .groupBy("d").agg(F.collect_list(F.struct("a", "c", "lo", "shape")).alias("wanted")))
     wanted = written(wanted, "suffix-wanted")
     held = texts.where(_perhaps(_sieve(wanted.select("d")), F.col("d")))
     cut = (wanted.join(held, "d").select("d", "wanted", "text")
-           .mapInArrow(_cutter(length, anchor), "a long, c long, d long, pos int, lo int, bytes binary, "
+           .mapInArrow(_cutter(length, anchor), "a long, c long, d long, lo int, shape long, bytes binary, "
                        "cores array<long>, hulls array<long>"))
     cut = written(cut, "suffix-texts")
-    core = (cut.select("a", "c", (F.col("pos") - F.col("lo")).alias("r"),
-                       F.posexplode(F.arrays_zip("cores", "hulls")).alias("g", "x"))
+    core = (cut.select("a", "c", "shape", F.posexplode(F.arrays_zip("cores", "hulls")).alias("g", "x"))
             .where("x.cores is not null")
-            .select("a", "c", "r", "g", F.col("x.cores").alias("h"),
-                    F.coalesce("x.hulls", F.xxhash64("a", "c", "g")).alias("u")))
+            .select("a", "c", "shape", "g", F.col("x.cores").alias("h"), F.col("x.hulls").alias("u")))
     shared = core.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     met = written(core.join(shared, "h", "left_semi").drop("h"), "suffix-met")
     # contexts with a group that is met; texts move only to the contexts chosen by these narrow rows
@@ -370,30 +410,27 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     perhaps_hot = _perhaps(_sieve(kinds.where(F.col("kinds") > hot).select(F.col("a").alias("d"))), F.col("a"))
     few = cut.select("a", "c", "d", "lo", "bytes").join(chosen, ["a", "c"], "left_semi")
     indexed = (few.repartition("a").sortWithinPartitions("a")
-               .mapInArrow(_indexed(length), "a long, c long, begin int, end int"))
-    # hot anchors: a group all of whose windows are met together is repeated as a whole, and one copy
-    # of it stands for the others where the windows of the remaining groups are counted one by one
+               .mapInArrow(_indexed(length), "d long, start int, end int"))
+    # hot anchors: a group whose windows another context has as a whole is repeated as a whole, and one
+    # copy of it stands for the others where the windows of the remaining groups are counted one by one
     many = written(met.where(perhaps_hot).join(kinds.where(F.col("kinds") > hot).select("a"), "a", "left_semi"), "suffix-many")
     hulls = written(many.groupBy("u").agg(F.count(F.lit(1)).alias("n"), *[F.first(x).alias(x) for x in ("a", "c", "g")]),
                     "suffix-hulls")
     first, last = (F.array(*[F.lit(x[j]) for x in _steps(length, anchor)]) for j in (0, 1))
-    whole = (many.join(hulls.where("n > 1").select("u"), "u", "left_semi")
-             .select("a", "c", (F.col("r") - F.get(last, F.col("g"))).alias("begin"),
-                     (F.col("r") - F.get(first, F.col("g")) + length).alias("end")))
+    whole = (many.join(hulls.where("n > 1").select("u"), "u", "left_semi").drop("shape")
+             .join(contexts.where(perhaps_hot).select("a", "c", "d", "lo", "shape"), ["a", "c"]))
+    whole = runs_of(whole, lo + place - F.least(F.get(last, F.col("g")), place),
+                    lo + place - F.greatest(F.get(first, F.col("g")), length - size + place) + length)
     open_ = hulls.groupBy("a", "c").agg(F.collect_set("g").alias("met"))
     windows = written(cut.drop("cores", "hulls").where(perhaps_hot).join(open_, ["a", "c"])
-                      .select("a", "c", "d", "pos", "lo", "bytes", "met")
-                      .mapInArrow(_windows(length, anchor), "h long, d long, at int, a long, c long, begin int"),
+                      .select("d", "lo", "shape", "bytes", "met")
+                      .mapInArrow(_windows(length, anchor), "h long, d long, at int"),
                       "suffix-windows")
-    place = F.struct("d", "at")
-    twice = windows.groupBy("h").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x != y").select("h")
-    counted = (windows.join(twice, "h", "left_semi")
-               .select("a", "c", "begin", (F.col("begin") + length).alias("end")).unionByName(whole))
-    marks = full.unionByName(indexed).unionByName(counted).groupBy("a", "c").agg(
-        F.collect_set(F.struct("begin", "end")).alias("marks"))  # at most a context's windows
-    runs = (live.join(marks, ["a", "c"]).select("d", F.transform("marks", lambda m: F.struct(
-        (m["begin"] + lo).alias("start"), (m["end"] + lo).alias("end"))).alias("runs")))
-    return runs.groupBy("d").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    spot = F.struct("d", "at")
+    twice = windows.groupBy("h").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x != y").select("h")
+    counted = runs_of(windows.join(twice, "h", "left_semi"), F.col("at"), F.col("at") + length)
+    runs = full.unionByName(indexed).unionByName(counted).unionByName(whole)
+    return runs.groupBy("d").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
 
 
 _CLEANED = "n_bytes long, n_removed long, n_spans long, kept binary"
