@@ -145,7 +145,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_suffix_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffixes.clean(docs, length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffixes.clean(docs, length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared")
 
 
 OP11_SQL = """WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size

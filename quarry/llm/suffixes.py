@@ -18,6 +18,10 @@ Anchors that still have more than ``hot`` different contexts are compared withou
 a group of windows that another context has as a whole is repeated as a whole, and the windows of
 the others are hashed and counted one by one, map-side combined, by exact place.
 
+Passages are also sought by words, whatever bytes they take: of every window of ``words`` words the
+string of half of them (and one) with the smallest hash is taken, and those that another row has
+too are counted.  Nothing is removed for them.
+
 Defined results: null text is empty; texts shorter than ``length`` stay whole; repeated rows
 repeat one another; null ids are ordinary values; an empty table gives an empty result; other
 columns pass through ``clean`` unless they bear a result's name.  A text is known by a 64-bit hash
@@ -30,7 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import _text as X
@@ -39,6 +43,7 @@ from quarry.llm._io import written
 INDEX_BYTES = 1 << 18
 STEPS = 8  # groups of a context's windows
 SIEVE_BITS = 1 << 22
+COMMON = 4096  # contexts sent to all tasks at most
 
 
 class RunLengthIndex:
@@ -142,8 +147,8 @@ def _slide(x: np.ndarray, w: int, least: bool) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int, k: int, pre: np.ndarray):
-    """(position, hash, first and last window) of the anchors of some texts, whose bytes' prefix sums are
-    ``pre``: the windows that an anchor is the least of are neighbours."""
+    """(position, hash, first and last window) of the anchors of some texts (bytes or hashes of words),
+    whose prefix sums are ``pre``: the windows that an anchor is the least of are neighbours."""
     n = len(data)
     none = np.zeros(0, np.int64)
     w = length - k + 1
@@ -347,27 +352,17 @@ def _windows(length: int, k: int):
     return run
 
 
-def _sieve(keys: DataFrame) -> np.ndarray:
-    """Which remainders the hashes ``d`` of a table leave: ``SIEVE_BITS`` bits, whatever its size."""
-    bit = F.pmod(F.col("d"), F.lit(SIEVE_BITS)) + 1
-    rows = (keys.groupBy(F.bitmap_bucket_number(bit).alias("b"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).collect())
-    out = np.zeros(SIEVE_BITS, bool)
-    for r in rows:
-        bits = np.unpackbits(np.frombuffer(bytes(r["m"]), np.uint8), bitorder="little")
-        at = (r["b"] - 1) * 32768
-        n = min(len(bits), SIEVE_BITS - at)
-        out[at:at + n] = bits[:n]
-    return np.packbits(out)
-
-
-def _perhaps(sieve: np.ndarray, key: Column) -> Column:
-    """Whether a hash may be in the sieved table; only such rows need to move to meet it."""
-    @F.arrow_udf("boolean")
-    def of(d: pa.Array) -> pa.Array:
-        at = np.asarray(d) % SIEVE_BITS
-        return pa.array((sieve[at >> 3] >> (7 - (at & 7))) & 1 == 1)
-    return of(key)
+def _perhaps(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``__perhaps``: whether the hash ``key`` may be one of ``keys`` (its only column); only
+    such rows need to move to meet it.  Tasks get ``SIEVE_BITS`` bits, whatever the table's size."""
+    def bit(name):
+        return F.pmod(F.col(name), F.lit(SIEVE_BITS)) + 1
+    own, at = keys.columns[0], F.bitmap_bit_position(bit(key))
+    sieve = (keys.groupBy(F.bitmap_bucket_number(bit(own)).alias("__bucket"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit(own))).alias("__bits")))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return (rows.withColumn("__bucket", F.bitmap_bucket_number(bit(key))).join(F.broadcast(sieve), "__bucket", "left")
+            .withColumn("__perhaps", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("__bucket", "__bits"))
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400,
@@ -385,15 +380,20 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
     def runs_of(marked, start, end):
         return marked.select("d", start.cast("int").alias("start"), end.cast("int").alias("end"))
-    # a context that occurs twice needs no more: its runs below are parts of these
-    full = runs_of(live.join(contexts.where("n > 1").select("a", "c"), ["a", "c"], "left_semi"), lo, lo + size)
+    # a context that occurs twice needs no more: its runs below are parts of these; occurrences of the
+    # commonest contexts (at most COMMON) stay where they are, so none gathers in a task
+    least = live.count() // COMMON + 1
+    common = F.broadcast(contexts.where((F.col("n") > 1) & (F.col("n") >= least)).select("a", "c"))
+    twice = contexts.where((F.col("n") > 1) & (F.col("n") < least)).select("a", "c")
+    full = runs_of(live.join(common, ["a", "c"], "left_semi").unionByName(
+        live.join(common, ["a", "c"], "left_anti").join(twice, ["a", "c"], "left_semi")), lo, lo + size)
     # the text of one occurrence of every context whose anchor has others (repeated from end to end
     # or not: it may be another's only match)
     several = contexts.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("a")
     wanted = (contexts.join(several, "a", "left_semi")
               .groupBy("d").agg(F.collect_list(F.struct("a", "c", "lo", "shape")).alias("wanted")))
     wanted = written(wanted, "suffix-wanted")
-    held = texts.where(_perhaps(_sieve(wanted.select("d")), F.col("d")))
+    held = _perhaps(texts, "d", wanted.select("d")).where("__perhaps")
     cut = (wanted.join(held, "d").select("d", "wanted", "text")
            .mapInArrow(_cutter(length, anchor), "a long, c long, d long, lo int, shape long, bytes binary, "
                        "cores array<long>, hulls array<long>"))
@@ -407,45 +407,77 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     alive = written(met.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n")).select("a", "c"), "suffix-alive")
     kinds = written(alive.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")), "suffix-kinds")
     chosen = alive.join(kinds.where(F.col("kinds") <= hot).select("a"), "a", "left_semi")
-    perhaps_hot = _perhaps(_sieve(kinds.where(F.col("kinds") > hot).select(F.col("a").alias("d"))), F.col("a"))
+    heated = kinds.where(F.col("kinds") > hot).select("a")
+
+    def perhaps_hot(rows):
+        return _perhaps(rows, "a", heated).where("__perhaps").drop("__perhaps")
     few = cut.select("a", "c", "d", "lo", "bytes").join(chosen, ["a", "c"], "left_semi")
     indexed = (few.repartition("a").sortWithinPartitions("a")
                .mapInArrow(_indexed(length), "d long, start int, end int"))
     # hot anchors: a group whose windows another context has as a whole is repeated as a whole, and one
     # copy of it stands for the others where the windows of the remaining groups are counted one by one
-    many = written(met.where(perhaps_hot).join(kinds.where(F.col("kinds") > hot).select("a"), "a", "left_semi"), "suffix-many")
+    many = written(perhaps_hot(met).join(heated, "a", "left_semi"), "suffix-many")
     hulls = written(many.groupBy("u").agg(F.count(F.lit(1)).alias("n"), *[F.first(x).alias(x) for x in ("a", "c", "g")]),
                     "suffix-hulls")
     first, last = (F.array(*[F.lit(x[j]) for x in _steps(length, anchor)]) for j in (0, 1))
     whole = (many.join(hulls.where("n > 1").select("u"), "u", "left_semi").drop("shape")
-             .join(contexts.where(perhaps_hot).select("a", "c", "d", "lo", "shape"), ["a", "c"]))
+             .join(perhaps_hot(contexts).select("a", "c", "d", "lo", "shape"), ["a", "c"]))
     whole = runs_of(whole, lo + place - F.least(F.get(last, F.col("g")), place),
                     lo + place - F.greatest(F.get(first, F.col("g")), length - size + place) + length)
     open_ = hulls.groupBy("a", "c").agg(F.collect_set("g").alias("met"))
-    windows = written(cut.drop("cores", "hulls").where(perhaps_hot).join(open_, ["a", "c"])
+    windows = written(perhaps_hot(cut.drop("cores", "hulls")).join(open_, ["a", "c"])
                       .select("d", "lo", "shape", "bytes", "met")
                       .mapInArrow(_windows(length, anchor), "h long, d long, at int"),
                       "suffix-windows")
     spot = F.struct("d", "at")
-    twice = windows.groupBy("h").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x != y").select("h")
-    counted = runs_of(windows.join(twice, "h", "left_semi"), F.col("at"), F.col("at") + length)
+    met_twice = windows.groupBy("h").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x != y").select("h")
+    counted = runs_of(windows.join(met_twice, "h", "left_semi"), F.col("at"), F.col("at") + length)
     runs = full.unionByName(indexed).unionByName(counted).unionByName(whole)
     return runs.groupBy("d").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
 
 
+def shared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 51) -> DataFrame:
+    """(d, n_shared): for texts that have any, how many of their strings of ``words // 2 + 1`` words, the
+    smallest by hash in a window of ``words`` words, another row has too.  A run of ``words`` words that
+    stands in two rows has one at least; a shorter run may have one."""
+    def run(batches):
+        for batch in batches:
+            for i, _, data, off in X.chunks(batch.column(1), 1 << 18):
+                start, end, first = X.word_spans(data, off, ~X.SPACE)
+                word = X.span_hash(data, start, end)
+                with np.errstate(over="ignore"):
+                    pre = np.append(np.uint64(0), np.cumsum(word * X._powers(X.MULT, len(word)), dtype=np.uint64))
+                pos, h, _, _ = anchors(word, first, words, words // 2 + 1, pre)
+                if not len(pos):
+                    continue
+                doc = np.searchsorted(first, pos, side="right") - 1
+                order = np.lexsort((h, doc))
+                h, doc = h[order], doc[order]
+                once = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[once] + i)), pa.array(h[once].view(np.int64))],
+                                                 names=["d", "h"])
+    found = written(_texts(docs, id_col, text_col).mapInArrow(run, "d long, h long"), "suffix-passages")
+    # written, so that the join splits a passage that many texts have
+    again = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "suffix-passages-again")
+    return found.join(again, "h", "left_semi").groupBy("d").agg(F.size(F.collect_set("h")).cast("long").alias("n_shared"))
+
+
 _CLEANED = "n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, **options) -> DataFrame:
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, words: int = 51,
+          **options) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs), ``kept`` (what
-    is left of the text, as bytes) and ``kept_sha256``."""
-    runs = written(repeated(docs, id_col, text_col, length, **options), "suffix-runs")
+    is left of the text, as bytes), ``kept_sha256`` and ``n_shared`` (``shared``)."""
+    runs = written(repeated(docs, id_col, text_col, length, **options)
+                   .join(shared(docs, id_col, text_col, words), "d", "full"), "suffix-runs")
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    keyed = (docs.drop("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
+    keyed = (docs.drop("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "n_shared")
              .withColumn("__d", F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))))
-    perhaps = _perhaps(_sieve(runs.select("d")), F.col("__d"))
-    marked = keyed.where(perhaps).join(runs.select(F.col("d").alias("__d"), F.col("runs").alias("__runs")), "__d", "left")
-    joined = marked.unionByName(keyed.where(~perhaps).withColumn("__runs", empty))
+    keyed = _perhaps(keyed, "__d", runs.select("d"))
+    found = runs.select(F.col("d").alias("__d"), F.col("runs").alias("__runs"), F.col("n_shared").alias("__shared"))
+    joined = (keyed.where("__perhaps").join(found, "__d", "left")
+              .unionByName(keyed.where("not __perhaps"), allowMissingColumns=True).drop("__perhaps"))
 
     @F.arrow_udf(_CLEANED)
     def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
@@ -471,4 +503,5 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                                            pa.array(kept, pa.binary())], names=["n_bytes", "n_removed", "n_spans", "kept"])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return (joined.withColumn("__cut", cut(text, F.coalesce("__runs", empty))).drop("__d", "__runs")
-            .select("*", "__cut.*").drop("__cut").withColumn("kept_sha256", F.sha2("kept", 256)))
+            .select("*", "__cut.*").drop("__cut").withColumn("kept_sha256", F.sha2("kept", 256))
+            .withColumn("n_shared", F.coalesce("__shared", F.lit(0).cast("long"))).drop("__shared"))
