@@ -7,10 +7,12 @@ matrix products (slices of at most 1024 dimensions keep sums below 2^24).  Pairs
 dropped, surely above it accepted, and only the others are computed in double precision.
 
 Equal vectors are first merged, with their number.  Each vector goes to the cell of its nearest
-pivot (a bounded sample of vectors); two cells are compared only if the angle between their
-pivots is at most their radii and the threshold's angle together, which never loses a link.  A
-cell is cut into blocks of about ``block`` vectors, so a hot cell makes many tiles and no task
-holds more than two blocks.  A tile yields link counts and spanning stars, never its pairs.
+pivot (a bounded sample of vectors), and a cell is cut into blocks of about ``block`` vectors, each
+one row, so a hot cell makes many tiles and no task holds more than two blocks in Python.  Two blocks
+are compared only if each one's smallest angle to the other's pivot is at most the other's radius
+and the threshold's angle together, which never loses a link.  Tasks read the written blocks of two
+files and compare them where they are read: no tile is shuffled or written, so disk grows with the
+vectors, not with their pairs.  A task yields link counts and spanning stars of all its tiles, never pairs.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components have
 no links and are their own component (kept); vectors of different length do not link; repeated
@@ -57,9 +59,9 @@ def quantise(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, np.sqrt(np.einsum("ij,ij->i", residue, residue)) * (1 + SLACK) + SLACK
 
 
-def linked(ua: np.ndarray, ub: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (i, j) of unit rows with a cosine of at least ``threshold``."""
-    (qa, sa, ea), (qb, sb, eb) = quantise(ua), quantise(ub)
+def linked(ua: np.ndarray, ub: np.ndarray, threshold: float, coded=None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) of unit rows with a cosine of at least ``threshold``; ``coded``: both quantised."""
+    (qa, sa, ea), (qb, sb, eb) = coded or (quantise(ua), quantise(ub))
     dot = np.zeros((len(ua), len(ub)), np.float64 if ua.shape[1] > SLICE else np.float32)
     for d in range(0, ua.shape[1], SLICE):
         dot += qa[:, d:d + SLICE].astype(np.float32) @ qb[:, d:d + SLICE].astype(np.float32).T
@@ -92,58 +94,101 @@ def _distinct(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
             .groupBy("embedding").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
 
 
+def _digest(vec_col):
+    """128 bits of a vector's numbers (-0.0 as 0.0), which stand for it where only equality counts."""
+    return F.unhex(F.md5(F.transform(vec_col, lambda x: x + F.lit(0.0)).cast("string")))
+
+
 def _assigner(pivots: dict[int, np.ndarray]):
-    """Rows (embedding, id, n) -> with length, cell (-1: no pivot of this length) and angle to it."""
+    """Rows (embedding, id, n) -> with length and cell (-1: no pivot of this length)."""
     def run(batches):
         for batch in batches:
             rows = _rows(batch.column(0))
             size = np.array([len(r) for r in rows], np.int64)
-            cell, angle = np.full(len(rows), -1, np.int64), np.full(len(rows), np.pi)
+            cell = np.full(len(rows), -1, np.int64)
             for d in np.unique(size):
                 if int(d) in pivots:
                     at = np.flatnonzero(size == d)
-                    cos = unit(np.array([rows[i] for i in at])) @ pivots[int(d)].T
-                    cell[at] = cos.argmax(axis=1)
-                    angle[at] = np.arccos(np.clip(cos.max(axis=1), -1, 1))
-            yield pa.RecordBatch.from_arrays(
-                batch.columns + [pa.array(size), pa.array(cell), pa.array(angle)],
-                names=["embedding", "id", "n", "size", "cell", "angle"])
+                    cell[at] = (unit(np.array([rows[i] for i in at])) @ pivots[int(d)].T).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays(batch.columns + [pa.array(size), pa.array(cell)],
+                                             names=["embedding", "id", "n", "size", "cell"])
+    return run
+
+
+BLOCK = "i long, size long, cell long, radius double, near array<float>, ids binary, valid binary, n binary, vectors binary"
+
+
+def _packer(pivots: dict[int, np.ndarray]):
+    """Rows (i, size, cell, members) -> ``BLOCK``: the members as plain numbers, their largest angle to the
+    cell's pivot and their smallest to every pivot."""
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                i, size, cell = (batch.column(c)[k].as_py() for c in range(3))
+                m = batch.column(3)[k].values
+                ids = m.field("id")
+                x = np.asarray(m.field("embedding").flatten()).reshape(len(m), size)
+                x = x if x.dtype == np.float32 else x.astype(np.float64)
+                radius, near = np.pi, []
+                if cell >= 0:
+                    cos = np.clip(unit(x.astype(np.float64)) @ pivots[size].T, -1, 1)
+                    radius, near = float(np.arccos(cos[:, cell].min())), np.arccos(cos.max(axis=0)).tolist()
+                blobs = [np.asarray(ids.fill_null(-1)).tobytes(), np.asarray(ids.is_valid()).tobytes(),
+                         np.asarray(m.field("n")).tobytes(), x.tobytes()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i]), pa.array([size]), pa.array([cell]), pa.array([radius]), pa.array([near], pa.list_(pa.float32())),
+                     *[pa.array([v], pa.binary()) for v in blobs]],
+                    names=["i", "size", "cell", "radius", "near", "ids", "valid", "n", "vectors"])
     return run
 
 
-def _tile(threshold: float):
-    """Rows (i, j, members of block i, members of block j) -> (id, links) and (a, b) stars."""
-    def members(col: pa.Array, k: int):
-        m = col[k].values
-        ids, n, vec = m.field("id"), m.field("n"), m.field("embedding")
-        size = len(vec[0])
-        x = np.asarray(vec.flatten(), dtype=np.float64).reshape(-1, size)
-        return (np.asarray(ids.fill_null(-1)), np.asarray(ids.is_valid()), np.asarray(n), unit(x))
+EDGES = 1 << 20  # links that a task keeps before it makes them spanning stars
+
 
+def _tiles(threshold: float, dtype):
+    """Rows (size, and i, ids, valid, n, vectors of either block) -> (id, links) and (a, b) stars of all tiles
+    of the task."""
     def run(batches):
+        first, ids, valid, links, total = {}, [], [], [], 0  # of the blocks met, some of two files
+        left, edges = (None,), np.empty((2, 0), np.int64)
+
+        def met(batch, k, c):
+            nonlocal total
+            i = batch.column(c)[k].as_py()
+            if i not in first:
+                first[i] = (total, len(ids))
+                ids.append(np.frombuffer(batch.column(c + 1)[k].as_py(), np.int64))
+                valid.append(np.frombuffer(batch.column(c + 2)[k].as_py(), bool))
+                links.append(np.zeros(len(ids[-1]), np.int64))
+                total += len(ids[-1])
+            u = unit(np.frombuffer(batch.column(c + 4)[k].as_buffer(), dtype).reshape(-1, batch.column(0)[k].as_py()).astype(np.float64))
+            return i, np.frombuffer(batch.column(c + 3)[k].as_py(), np.int64), u, quantise(u)
+
         for batch in batches:
             for k in range(batch.num_rows):
-                same = batch.column(0)[k].as_py() == batch.column(1)[k].as_py()
-                ia, oka, na, ua = members(batch.column(2), k)
-                ib, okb, nb, ub = (ia, oka, na, ua) if same else members(batch.column(3), k)
-                p, q = linked(ua, ub, threshold)
-                if same:
+                if left[0] != batch.column(1)[k].as_py():
+                    left = met(batch, k, 1)
+                (i, na, ua, ca), (j, nb, ub, cb) = left, left if left[0] == batch.column(6)[k].as_py() else met(batch, k, 6)
+                p, q = linked(ua, ub, threshold, (ca, cb))
+                (at, a), (bt, b) = first[i], first[j]
+                if i == j:
                     p, q = p[p != q], q[p != q]  # no vector with itself
-                    counts, keys = [np.bincount(p, weights=nb[q], minlength=len(ia))], [(ia, oka)]
-                    ids, ok = ia, oka
                 else:
-                    counts = [np.bincount(p, weights=nb[q], minlength=len(ia)),
-                              np.bincount(q, weights=na[p], minlength=len(ib))]
-                    keys = [(ia, oka), (ib, okb)]
-                    q, ids, ok = q + len(ia), np.concatenate([ia, ib]), np.concatenate([oka, okb])
-                node, root = stars(p, q, len(ids))
-                good = ok[node] & ok[root]
-                for (i, valid), c in zip(keys, counts, strict=True):
-                    hit = (c > 0) & valid
-                    if hit.any():
-                        yield _batch(i[hit], c[hit].astype(np.int64), None, None)
-                if good.any():
-                    yield _batch(None, None, ids[node[good]], ids[root[good]])
+                    np.add.at(links[b], q, na[p])
+                np.add.at(links[a], p, nb[q])
+                both = valid[a][p] & valid[b][q]  # null ids link no others
+                edges = np.concatenate([edges, [at + p[both], bt + q[both]]], axis=1)
+                if edges.shape[1] > max(EDGES, 2 * total):
+                    edges = np.array(stars(*edges, total))
+        for i, ok, n in zip(ids, valid, links, strict=True):
+            hit = (n > 0) & ok
+            if hit.any():
+                yield _batch(i[hit], n[hit], None, None)
+        if edges.shape[1]:
+            every = np.concatenate(ids)
+            node, root = stars(*edges, total)
+            for k in range(0, len(node), EDGES):
+                yield _batch(None, None, every[node[k:k + EDGES]], every[root[k:k + EDGES]])
     return run
 
 
@@ -162,55 +207,50 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     ids = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("embedding"))
     distinct = written(_distinct(ids, "id", "embedding"), "vectors")
     total, widest = distinct.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
-    k = max(1, min(max_pivots, pivot_values // widest, total // (4 * block)))
+    k = max(1, min(max_pivots, pivot_values // widest, total // block))
     sample = [np.array(r["embedding"], dtype=np.float64) for r in
               distinct.orderBy(F.xxhash64("embedding"), "id").limit(k).select("embedding").collect()]
     pivots = {d: unit(np.array([s for s in sample if len(s) == d])) for d in {len(s) for s in sample}}
     kind = dict(distinct.dtypes)["embedding"]
     placed = distinct.select("embedding", "id", "n").mapInArrow(
-        _assigner(pivots), f"embedding {kind}, id long, n long, size long, cell long, angle double")
-    placed = written(placed, "vector-cells")
-    # at most max_pivots cells, and one for each length without a pivot
-    cells = sorted((r["size"], r["cell"], r["count"], r["radius"]) for r in
-                   placed.groupBy("size", "cell").agg(F.count(F.lit(1)).alias("count"),
-                                                      F.max("angle").alias("radius")).collect())
-    blocks, first = [], 0
-    for size, cell, count, radius in cells:
-        blocks.append((size, cell, first, -(-count // block), radius))
-        first += blocks[-1][3]
-    reach = float(np.arccos(threshold)) + 1e-6
-    ranges = []  # per cell, the ranges of blocks at or after its own that may hold links
-    for size, cell, start, n, radius in blocks:
-        spans = []
-        for size2, cell2, start2, n2, radius2 in blocks:
-            if size2 != size or start2 < start:
-                continue
-            if cell >= 0 and cell2 >= 0:
-                between = np.arccos(np.clip(pivots[size][cell] @ pivots[size][cell2], -1, 1))
-                if between > radius + radius2 + reach:
-                    continue
-            spans.append((start2, start2 + n2 - 1))
-        ranges.append((size, cell, start, n, spans))
-    plan = spark.createDataFrame(ranges, "size long, cell long, first long, blocks long, "
-                                 "spans array<struct<lo:long,hi:long>>")
-    numbered = (placed.join(F.broadcast(plan.drop("spans")), ["size", "cell"])  # a row a cell
+        _assigner(pivots), f"embedding {kind}, id long, n long, size long, cell long")
+    # every pivot has a cell, whatever the count: at most max_pivots, and one for each length without a pivot
+    cells = {(d, c): 0 for d, p in pivots.items() for c in range(len(p))}
+    cells.update({(r["size"], r["cell"]): r["count"] for r in placed.groupBy("size", "cell").count().collect()})
+    ranges, first = [], 0
+    for (size, cell), count in sorted(cells.items()):
+        ranges.append((size, cell, first, max(1, -(-count // block))))
+        first += ranges[-1][3]
+    plan = spark.createDataFrame(ranges, "size long, cell long, first long, blocks long")
+    numbered = (placed.join(F.broadcast(plan), ["size", "cell"])  # a row a cell
                 .withColumn("i", F.col("first") + F.pmod(F.xxhash64("embedding", "id"), F.col("blocks"))))
-    packed = (numbered.groupBy("i").agg(F.collect_list(F.struct("id", "n", "embedding")).alias("members"),
-                                        F.first("size").alias("size"), F.first("cell").alias("cell")))
-    packed = written(packed, "vector-blocks")  # about ``block`` vectors a row
-    wide = packed.join(F.broadcast(plan.select("size", "cell", "spans")), ["size", "cell"])
-    left = wide.select("i", F.col("members").alias("x"), F.explode_outer(F.filter(F.flatten(F.transform(
-        "spans", lambda s: F.sequence(s["lo"], s["hi"]))), lambda j: j >= F.col("i"))).alias("j"))
-    pairs = left.select("i", "j")
-    right = pairs.join(packed.select(F.col("i").alias("j"), F.col("members").alias("y")), "j")
-    tiles = left.join(right, ["i", "j"]).select("i", "j", "x", "y")
-    found = written(tiles.mapInArrow(_tile(threshold), "id long, links long, a long, b long"), "vector-links")
+    packed = numbered.groupBy("i", "size", "cell").agg(F.collect_list(F.struct("id", "n", "embedding")).alias("members"))
+    packed = written(packed.select("i", "size", "cell", "members").mapInArrow(_packer(pivots), BLOCK),
+                     "vector-blocks")  # about ``block`` vectors a row
+    found = written(block_pairs(packed, threshold).mapInArrow(
+        _tiles(threshold, np.float32 if kind == "array<float>" else np.float64), "id long, links long, a long, b long"), "vector-links")
     links = found.where("id is not null").groupBy("id").agg(F.sum("links").alias("links"))
     group = components(found.where("a is not null").select("a", "b"), name="vector-components")
-    known = (distinct.join(links, "id", "left").join(group, distinct["id"] == group["node"], "left")
-             .select(distinct["embedding"], (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-                     F.coalesce("component", distinct["id"]).alias("component_id")))
-    out = (ids.join(known, "embedding", "left")
+    known = (distinct.select("id", "n", _digest("embedding").alias("vector"))
+             .join(links, "id", "left").join(group, F.col("id") == group["node"], "left")
+             .select("vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
+                     F.coalesce("component", "id").alias("component_id")))
+    out = (ids.select("id", _digest("embedding").alias("vector")).join(known, "vector", "left")
            .select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
                    F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id")))
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+
+
+def block_pairs(packed: DataFrame, threshold: float) -> DataFrame:
+    """Rows of two blocks that may hold links, each pair once.  A nested loop over the files of ``packed`` on both
+    sides, so that nothing is moved; which of two blocks comes first changes with their numbers, which evens out tasks."""
+    x, y = (packed.select(*[F.col(c).alias(f"{c}_{s}") for c in packed.columns]) for s in "xy")
+    i, j = F.col("i_x"), F.col("i_y")
+    reach = float(np.arccos(threshold)) + 1e-6
+
+    def near(a, b):  # null: no pivot
+        return F.coalesce(F.get(f"near_{b}", F.col(f"cell_{a}").cast("int")) <= F.col(f"radius_{a}") + F.lit(reach), F.lit(True))
+    one_way = (i == j) | ((i != j) & ((i < j) == ((i + j) % 2 == 0)))
+    alike = (F.col("size_x") <= F.col("size_y")) & (F.col("size_x") >= F.col("size_y"))  # an equation would be a key to shuffle by
+    return (x.join(y.hint("shuffle_replicate_nl"), one_way & alike & near("x", "y") & near("y", "x"))
+            .select("size_x", *[f"{c}_{s}" for s in "xy" for c in ("i", "ids", "valid", "n", "vectors")]))
